@@ -23,6 +23,18 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
+def fresh(columns: list[str], prefix: str) -> str:
+    """``prefix``, lengthened until no column's name begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def own_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``like`` only, in their order."""
+    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder, named by URI, that the driver and all executors see.
 

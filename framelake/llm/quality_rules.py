@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import let, split_words
+from framelake.llm.common import fresh, let, own_columns, split_words
 
 # Frequent function words of the four languages.
 COMMON_WORDS = {
@@ -123,13 +123,15 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     return dict(sorted(found.items()))
 
 
-def quality_report(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_common: int = MIN_COMMON_WORDS) -> DataFrame:
-    """``docs`` with one more column, ``_quality``: a struct of the base counts, both distances and the verdict.
+def quality_report(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_common: int = MIN_COMMON_WORDS, into: str = "_quality") -> DataFrame:
+    """``docs`` with one more column (or another in the place of one of its name): a struct of the base counts, both distances and the verdict.
 
     The distances are those to the nearest language; null where a guard leaves the document unjudged.
     """
     refs, known = language_references(docs, text, lang), _all_words()
-    d = _features(docs.withColumn("_q_text", F.coalesce(F.col(text), F.lit(""))))
+    docs = docs.drop(into)
+    row = fresh([*docs.columns, "_q_"], "_row")  # the row itself, set aside so that no name of it can clash
+    d = _features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.coalesce(F.col(text), F.lit("")).alias("_q_text")))
     chars, words = _histograms()
     lines = F.filter(F.split("_q_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     d = d.withColumns({"_q_chars": chars, "_q_common": words, "_q_lines": lines, "_q_n": F.size("_q_words").cast("bigint"), "_q_repeat": _repeated_words(F.col("_q_words"))})
@@ -157,9 +159,10 @@ def quality_report(docs: DataFrame, text: str = "text", lang: str = "lang", max_
     verdict = F.struct(
         F.col("_q_n").alias("n_words"), word_chars.alias("word_chars"), F.col("_q_symbols").alias("n_symbols"), F.col("_q_dup").alias("n_dup_lines"),
         F.col("_q_repeat").alias("n_repeat_words"), F.col("_q_dc").alias("char_distance"), F.col("_q_dw").alias("word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias("_quality"))
+    return d.select(*[F.col(row)[c].alias(c) for c in docs.columns], verdict.alias(into))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return quality_report(docs, **options).where("_quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    into = fresh(docs.columns, "_quality")
+    return own_columns(quality_report(docs, into=into, **options).where(F.col(into)["kept"]), docs)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialize
+from framelake.llm.common import fresh, materialize, own_columns
 from framelake.llm.components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -157,8 +157,9 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 
     Rows without an id can't be told apart and are all kept.
     """
-    kept = near_duplicates(docs, id, text).where(F.col("id") == F.col("component")).select(F.col("id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col(f"`{id}`") == F.col("_kept_id"))
-    once = Window.partitionBy(F.col("_kept_id")).orderBy(F.col(f"`{text}`"))
-    named = named.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs.columns, "_near")
+    kept = near_duplicates(docs, id, text).where(F.col("id") == F.col("component")).select(F.col("id").alias(f"{name}id")).distinct()
+    named = docs.join(kept, F.col(f"`{id}`") == F.col(f"{name}id"))
+    once = Window.partitionBy(f"{name}id").orderBy(F.col(f"`{text}`"))
+    named = own_columns(named.withColumn(f"{name}n", F.row_number().over(once)).where(f"{name}n = 1"), docs)
     return named.union(docs.where(F.col(f"`{id}`").isNull()))
