@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import read_table
 from framelake.llm.decontaminate import contamination_report
+from framelake.llm.mixing import systematic_sample
 from framelake.llm.quality_rules import quality_report
 from framelake.llm.simhash import near_duplicates
 
@@ -19,6 +20,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", *[f"_hits.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = systematic_sample(read_table(spark, sf_dir, "documents"))
+    return sample.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -30,4 +36,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_decontaminate, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
