@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import read_table
+from framelake.llm.common import read_table, shared_dir
 from framelake.llm.decontaminate import contamination_report
 from framelake.llm.mixing import systematic_sample
 from framelake.llm.quality_rules import quality_report
 from framelake.llm.simhash import near_duplicates
+from framelake.llm.token_records import read_records, write_records
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    write_records(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
+    return read_records(spark, folder, ids=False)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,4 +46,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_token_records, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
