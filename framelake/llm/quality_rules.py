@@ -159,7 +159,8 @@ def quality_report(docs: DataFrame, text: str = "text", lang: str = "lang", max_
     verdict = F.struct(
         F.col("_q_n").alias("n_words"), word_chars.alias("word_chars"), F.col("_q_symbols").alias("n_symbols"), F.col("_q_dup").alias("n_dup_lines"),
         F.col("_q_repeat").alias("n_repeat_words"), F.col("_q_dc").alias("char_distance"), F.col("_q_dw").alias("word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
-    return d.select(*[F.col(row)[c].alias(c) for c in docs.columns], verdict.alias(into))
+    # generated, so that a filter on the verdict stays above and the features are not computed again for it
+    return d.select(row, F.explode(F.array(verdict)).alias(into)).select(*[F.col(row)[c].alias(c) for c in docs.columns], into)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
