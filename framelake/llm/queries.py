@@ -13,11 +13,17 @@ from framelake.llm.decontaminate import contamination_report
 from framelake.llm.mixing import systematic_sample
 from framelake.llm.quality_rules import quality_report
 from framelake.llm.simhash import near_duplicates
+from framelake.llm.substring_dedup import dedup_report
 from framelake.llm.token_records import read_records, write_records
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = dedup_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return report.select("doc_id", "_dedup.n_words", "_dedup.n_removed", F.sha2("_dedup.kept_text", 256).alias("kept_sha256"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     write_records(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
@@ -46,4 +52,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_records, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_token_records, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
