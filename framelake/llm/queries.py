@@ -15,6 +15,7 @@ from framelake.llm.quality_rules import quality_report
 from framelake.llm.simhash import near_duplicates
 from framelake.llm.substring_dedup import dedup_report
 from framelake.llm.token_records import read_records, write_records
+from framelake.llm.warc_zip import read_packages, write_packages
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,6 +31,12 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, folder, ids=False)
 
 
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    write_packages(read_table(spark, sf_dir, "pages"), folder)
+    return read_packages(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     hits = contamination_report(docs.select("doc_id", "text"), benchmark)
@@ -52,4 +59,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_token_records, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_token_records, op5_warc_zip, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
