@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import read_table, shared_dir
 from framelake.llm.decontaminate import contamination_report
+from framelake.llm.html_extract import main_text
 from framelake.llm.mixing import systematic_sample
 from framelake.llm.quality_rules import quality_report
 from framelake.llm.simhash import near_duplicates
@@ -20,6 +21,11 @@ from framelake.llm.warc_zip import read_packages, write_packages
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = main_text(read_table(spark, sf_dir, "pages"), into="text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = dedup_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return report.select("doc_id", "_dedup.n_words", "_dedup.n_removed", F.sha2("_dedup.kept_text", 256).alias("kept_sha256"))
@@ -59,4 +65,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_token_records, op5_warc_zip, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_token_records, op5_warc_zip, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
