@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.common import read_table, shared_dir
+from framelake.llm.cotraining import fit, score
 from framelake.llm.decontaminate import contamination_report
 from framelake.llm.html_extract import main_text
+from framelake.llm.line_dedup import drop_boilerplate
 from framelake.llm.mixing import systematic_sample
 from framelake.llm.quality_rules import quality_report
 from framelake.llm.simhash import near_duplicates
@@ -37,12 +39,22 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, folder, ids=False)
 
 
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read_table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
 def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     write_packages(read_table(spark, sf_dir, "pages"), folder)
     return read_packages(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_boilerplate(read_table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "host", "n_lines", "n_dropped", F.sha2(F.array_join("lines", "\n"), 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     hits = contamination_report(docs.select("doc_id", "text"), benchmark)
@@ -65,4 +77,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_token_records, op5_warc_zip, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)}
+    found = (op1_html_extract, op2_substring_dedup, op3_token_records, op4_cotraining, op5_warc_zip, op6_line_dedup, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)
+    return {f.__name__: f for f in found}
