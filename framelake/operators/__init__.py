@@ -1,0 +1 @@
+"""Frame indexes, chunks, pixels, folds, audio and timelines over containers."""

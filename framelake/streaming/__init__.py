@@ -1,0 +1 @@
+"""Players as Structured Streaming state."""
