@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,37 +70,44 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
 def _sums(h: np.ndarray, size: int) -> np.ndarray:
     """32 more bits for every run of ``size`` words."""
     total = np.r_[np.uint64(0), np.cumsum(h * _M3, dtype=np.uint64)]
-    return ((total[size:] - total[:-size]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return ((total[size:] - total[:-size]) >> np.uint64(32)).astype(np.int64)
 
 
-_ROWS = "k bigint, h bigint, x int, id bigint, at bigint, kind int"
+#: h: the hash. xp: 32 more bits of it, below the place. id. kv: what is known of the hash, above which of its id's texts it comes from.
+#: What varies from row to row stands together, so that the rest of a shuffled row packs into one repeat of the row before.
+_ROWS = "h bigint, xp bigint, id bigint, kv bigint"
 _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
-#: kind: one occurrence so far; the one of several in its chunk that stands for its hash; another of these.
+SHIFT, LOW = 32, (1 << 32) - 1
+#: One occurrence so far; the one of several in its chunk that stands for its hash; another of these.
 ONE, FIRST, KNOWN = 0, 1, 2
+#: Bits of an anchor's hash. Two anchors that agree in these by chance are told apart when they are extended.
+ANCHOR_MASK = np.uint64((1 << 48) - 1)
 
 
 class _Chunks:
-    """Collects rows and gives them combined, a chunk at a time."""
+    """Collects rows and gives them combined, a chunk at a time, in the order in which they came."""
 
     def __init__(self):
         self.held: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
     def add(self, h: np.ndarray, x: np.ndarray, id: int, version: int, places: np.ndarray) -> None:
-        self.held.append((h.view(np.int64), x, np.full(len(h), id, np.int64), (np.int64(version) << 32) | places.astype(np.int64)))
+        self.held.append((h.view(np.int64), x, np.full(len(h), id, np.int64), np.full(len(h), version, np.int64), places.astype(np.int64)))
         self.n += len(h)
 
     def take(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        h, x, id, at = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        h, x, id, version, place = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.n = [], 0
         order = np.lexsort((x, h))
-        h, x, id, at = h[order], x[order], id[order], at[order]
-        same = np.r_[False, (h[1:] == h[:-1]) & (x[1:] == x[:-1])]
-        kind = np.where(same, KNOWN, np.where(np.r_[same[1:], False], FIRST, ONE)).astype(np.int32)
-        k = np.where(same, at * np.int64(-7046029254386353131) + id, h)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k, h, x, id, at, kind)], _NAMES)
+        same = np.r_[False, (h[order[1:]] == h[order[:-1]]) & (x[order[1:]] == x[order[:-1]])]
+        kind = np.empty(len(h), np.int64)
+        kind[order] = np.where(same, KNOWN, np.where(np.r_[same[1:], False], FIRST, ONE))
+        known = kind == KNOWN  # need no hash any more; a document's go together
+        h = np.where(known, (id.view(np.uint64) * _M1 >> np.uint64(20)).view(np.int64), h)
+        xp = np.where(known, 0, x & LOW) | place << SHIFT
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, xp, id, kind << SHIFT | version)], _NAMES)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,21 +120,29 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             h = window_hashes(word_hashes(words), size)
             places = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(len(h)) % PERIOD])
-            chunks.add(h[places], np.zeros(len(places), np.int32), id, version, places)
+            chunks.add(h[places] & ANCHOR_MASK, np.zeros(len(places), np.int64), id, version, places)
             if chunks.n >= CHUNK:
                 yield from chunks.take()
     yield from chunks.take()
 
 
+def _places(found: list[int] | None, version: int) -> np.ndarray:
+    """The places in one text, of those in all texts of an id."""
+    at = np.asarray(found or [], np.int64)
+    return np.sort((at & LOW)[at >> SHIFT == version])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full windows around the recurring anchors, which are the last column, of each text."""
     chunks = _Chunks()
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in (0, 1, 2, batch.num_columns - 1)]
         for id, version, text, anchors in zip(*columns, strict=True):
-            words = word_hashes(split(text))
+            words, at = word_hashes(split(text)), _places(anchors, version)
             n = len(words) - WINDOW + 1
-            marks, at = np.zeros(n + 1, np.int32), np.asarray(anchors, np.int64)
+            if not len(at) or n < 1:
+                continue
+            marks = np.zeros(n + 1, np.int32)
             np.add.at(marks, np.maximum(at - PERIOD + 1, 0), 1)
             np.add.at(marks, np.minimum(at + 1, n), -1)
             places = np.flatnonzero(np.cumsum(marks)[:n])
@@ -139,19 +154,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by hash, the places whose hash has another row or is known to recur."""
-    held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32)]
+    held = [np.zeros(0, np.int64) for _ in range(4)]
     decided = 0  # of the held rows, those that are there to be compared with only
 
     def decide(upto: int) -> pa.RecordBatch:
-        h, x, id, at, kind = held
-        same = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
-        keep = ((kind != ONE) | np.r_[False, same] | np.r_[same, False])[decided:upto]
+        h, xp, id, kv = held
+        same = (h[1:] == h[:-1]) & (xp[1:] & LOW == xp[:-1] & LOW)
+        keep = ((kv >> SHIFT != ONE) | np.r_[False, same] | np.r_[same, False])[decided:upto]
+        at = (kv & LOW) << SHIFT | xp >> SHIFT
         return pa.RecordBatch.from_arrays([pa.array(id[decided:upto][keep]), pa.array(at[decided:upto][keep])], ["id", "at"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held = [np.concatenate([a, batch.column(c + 1).to_numpy(zero_copy_only=False)]) for c, a in enumerate(held)]
+        held = [np.concatenate([a, batch.column(c).to_numpy(zero_copy_only=False)]) for c, a in enumerate(held)]
         yield decide(len(held[0]) - 1)
         decided = min(1, len(held[0]) - 1)
         held = [c[-2:] for c in held]
@@ -160,26 +176,25 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _where_recurring(rows: DataFrame) -> DataFrame:
-    """``key``, ``version`` and ``places`` (an array): where rows whose hash recurs come from."""
-    found = rows.repartition("k").sortWithinPartitions("h", "x").mapInArrow(_recurring, "id bigint, at bigint")
-    place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    return found.groupBy(F.col("id").alias("key"), F.shiftright("at", 32).cast("int").alias("version")).agg(F.collect_list(place).alias("places"))
+    """``key`` and ``places`` (an array, with versions): where rows whose hash recurs come from."""
+    found = rows.repartition("h").sortWithinPartitions("h", F.col("xp").bitwiseAND(F.lit(LOW))).mapInArrow(_recurring, "id bigint, at bigint")
+    return found.groupBy(F.col("id").alias("key")).agg(F.collect_list("at").alias("places"))
 
 
 def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """A text's key (its id, or a hash where that is null) and version (a hash, as rows may share an id), the text, and the row."""
+    """A text's key (its id, or a hash where that is null), which of the texts of that key it is, the text, and the row."""
     key = F.coalesce(F.col(f"`{id}`").cast("bigint"), F.xxhash64(f"`{text}`"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    return docs.select(key.alias("key"), F.hash(f"`{text}`").alias("version"), F.col(f"`{text}`").alias("text"), row.alias("row"))
+    version = F.dense_rank().over(Window.partitionBy("key").orderBy("text")) - 1
+    return docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"), row.alias("row")).select("key", version.alias("version"), "text", "row")
 
 
 def _remover(into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept, spans = [], [], [], []
-            for text, places in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                words = split(text)
-                starts = np.sort(np.asarray(places or [], np.int64))
+            for version, text, places in zip(*(batch.column(c).to_pylist() for c in (1, 2, 4)), strict=True):
+                words, starts = split(text), _places(places, version)
                 cover, left, edges = np.zeros(len(words) + 1, np.int32), words, starts
                 if len(starts):
                     np.add.at(cover, starts, 1)
@@ -201,13 +216,13 @@ def _remover(into: str):
 def dedup_report(docs: DataFrame, id: str = "doc_id", text: str = "text", into: str = "_dedup") -> DataFrame:
     """``docs`` with one more column (or another in the place of one of its name): counts, the kept words joined by spaces, the removed spans.
 
-    The texts are shuffled once, by key; both joins read that exchange.
+    The texts are shuffled once, by key; the anchors and both joins read that exchange.
     """
     docs = docs.drop(into)
     texts = _texts(docs, id, text)
-    anchors = _where_recurring(texts.select("key", "version", "text").mapInArrow(_anchors, _ROWS))
-    windows = _where_recurring(texts.join(anchors, ["key", "version"]).mapInArrow(_windows, _ROWS))
+    anchors = _where_recurring(texts.mapInArrow(_anchors, _ROWS))
+    windows = _where_recurring(texts.join(anchors, "key").mapInArrow(_windows, _ROWS))
     report = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", T.ArrayType(T.IntegerType()))
-    joined = texts.join(windows, ["key", "version"], "left")
-    done = joined.mapInArrow(_remover("report"), T.StructType([T.StructField("text", texts.schema["text"].dataType), texts.schema["row"], T.StructField("report", report)]))
+    schema = T.StructType([T.StructField("text", texts.schema["text"].dataType), texts.schema["row"], T.StructField("report", report)])
+    done = texts.join(windows, "key", "left").mapInArrow(_remover("report"), schema)
     return done.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns], F.col("report").alias(into))
