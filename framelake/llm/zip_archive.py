@@ -34,9 +34,10 @@ def _directory(source, length: int) -> tuple[int, int, int]:
     """Entries, size and offset of the central directory."""
     tail_at = max(0, length - END_SIZE - LONGEST_COMMENT)
     tail = read_range(source, tail_at, length - tail_at)
-    at = tail.rfind(END)
+    last = len(tail) - END_SIZE + len(END)
+    at = tail.rfind(END, 0, max(0, last))
     while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(END, 0, at)
+        at = tail.rfind(END, 0, at + len(END) - 1)
     if at < 0:
         raise ValueError("no end-of-directory record: not a ZIP file, or cut short")
     entries, size, offset = struct.unpack_from("<HII", tail, at + 10)
