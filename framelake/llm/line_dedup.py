@@ -47,7 +47,8 @@ def boilerplate(rows: DataFrame, ratio: float = MAX_RATIO, min_pages: int = MIN_
 def drop_boilerplate(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``id``, ``host``, ``n_lines``, ``n_dropped`` and the kept ``lines`` of each page."""
     rows = materialize(pages.select(F.col(id).alias("id"), host_of(F.col(url)).alias("host"), page_lines(F.col(html)).alias("lines")))
-    joined = rows.join(boilerplate(rows, ratio, min_pages), "host", "left")
+    # written first: with its size known, Spark broadcasts it if it is small, and else splits the join's large hosts
+    joined = rows.join(materialize(boilerplate(rows, ratio, min_pages)), "host", "left")
     kept = F.when(F.col("fixed").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("fixed", F.xxhash64(x))))
     n = F.size("lines").cast("bigint")
     return joined.select("id", "host", n.alias("n_lines"), F.col("lines").alias("before"), kept.alias("lines")).select("id", "host", "n_lines", (F.col("n_lines") - F.size("lines")).alias("n_dropped"), "lines")
