@@ -1,7 +1,96 @@
-"""DuckDB SQL for those corpus queries that SQL can express."""
+"""DuckDB SQL for those corpus queries that SQL can express, written from their contracts.
+
+Not here: token ids (3), the classifier (4), draws by a 64-bit hash (8), fingerprints and their closure (9).
+"""
 
 from __future__ import annotations
 
+from framelake.llm import line_dedup, quality_rules
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The pages of the test tables hold their text in one article element.
+HTML_EXTRACT = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(?:</article>|\z)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '</?(?:p|h[1-6]|div|ul|ol|li|section|blockquote)(?:\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d"""
+
+SUBSTRING_DEDUP = f"""
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM l),
+v AS (SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS run FROM w),
+h AS (SELECT doc_id, p, md5(array_to_string(run, ' ')) AS h FROM v WHERE len(run) = 35),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, p + k AS p FROM r, range(35) t(k)),
+k AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.p) AS kept, count(*) AS n FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.p = w.p WHERE g.p IS NULL GROUP BY w.doc_id)
+SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN k ON k.doc_id = l.doc_id"""
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(d, {5 * g + 1}, 5))::BIGINT >> {s}) % 32 + 1 AS INTEGER), 1)" for g in range(8) for s in (15, 10, 5, 0))
+
+WARC_ZIP = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), s AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS d, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM s"""
+
+LINE_DEDUP = f"""
+WITH p AS (SELECT page_id, nullif(lower(regexp_extract(coalesce(url, ''), '{line_dedup.HOST}', 1)), '') AS host,
+  regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.UNSEEN}', ' ', 'g'), '{line_dedup.LINE_END}', chr(10), 'g'), '{line_dedup.MARKUP}', '', 'g') AS t FROM pages),
+l AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM p),
+e AS (SELECT page_id, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM l),
+h AS (SELECT host, count(*) AS pages FROM l WHERE host IS NOT NULL GROUP BY host),
+b AS (SELECT e.host, line FROM e JOIN h ON h.host = e.host GROUP BY e.host, line, pages HAVING count(DISTINCT page_id) >= {line_dedup.MIN_PAGES} AND count(DISTINCT page_id) > {line_dedup.MAX_RATIO} * pages),
+k AS (SELECT page_id, string_agg(e.line, chr(10) ORDER BY i) AS kept, count(*) AS n FROM e LEFT JOIN b ON b.host = e.host AND b.line = e.line WHERE b.line IS NULL GROUP BY page_id)
+SELECT l.page_id, l.host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN k ON k.page_id = l.page_id"""
+
+DECONTAMINATE = rf"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+ip AS (SELECT item, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM i WHERE len(ws) > 0),
+pat AS (SELECT DISTINCT item, m, array_to_string(ws[s:s + m - 1], ' ') AS run FROM ip),
+l AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM l),
+v AS (SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS run FROM w),
+x AS (SELECT doc_id, p, m, item FROM v, (SELECT DISTINCT m FROM pat) q JOIN pat USING (m) WHERE len(v.run) >= q.m AND array_to_string(v.run[1:q.m], ' ') = pat.run),
+hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, p + k AS p FROM x, range(10) t(k) WHERE k < m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM x) GROUP BY doc_id)
+SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM l LEFT JOIN hit ON hit.doc_id = l.doc_id LEFT JOIN it ON it.doc_id = l.doc_id"""
+
+
+def _quality() -> str:
+    q = quality_rules
+    count = lambda rule: f"length(rest) - length(regexp_replace(rest, '{rule}', '', 'g'))"
+    classes = [*(count(rule) for rule in q.CHAR_CLASSES.values())]
+    lists = " UNION ALL ".join(f"SELECT '{lang}' AS ref, unnest({words!r}) AS word" for lang, words in q.COMMON_WORDS.items())
+    langs = ", ".join(f"'{x}'" for x in q.COMMON_WORDS)
+    js = lambda p, r: f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {r}) / 2)) ELSE 0 END + CASE WHEN {r} > 0 THEN {r} * log2({r} / (({p} + {r}) / 2)) ELSE 0 END"
+    kinds = range(len(q.KINDS))
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+l AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws, regexp_replace(t, '[a-z\x20\x09-\x0D]+', '', 'g') AS rest, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM l),
+tri AS (SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM w),
+rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(run, ' ')) AS n FROM tri WHERE len(run) = 3) WHERE n > 1),
+cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, p + k AS p FROM rep, range(3) t(k)) GROUP BY doc_id),
+b AS (SELECT l.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST({count(r"[#*$%&|<>]+")} AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS whole, [{", ".join(classes)}] AS k, length(rest) AS rest FROM l LEFT JOIN cov ON cov.doc_id = l.doc_id),
+c AS (SELECT doc_id, lang, n_words, whole, k || [rest - list_sum(k), whole - word_chars, word_chars - rest] AS c FROM b),
+cr AS (SELECT lang AS ref, sum(n_words) AS n, sum(whole) AS whole, {", ".join(f"sum(c[{i + 1}]) AS s{i}" for i in kinds)} FROM c WHERE lang IN ({langs}) GROUP BY lang HAVING sum(n_words) >= {q.MIN_REFERENCE_WORDS}),
+dc AS (SELECT doc_id, min(sqrt(greatest(({" + ".join("(" + js(f"(c[{i + 1}] / greatest(c.whole, 1))", f"(s{i} / cr.whole)") + ")" for i in kinds)}) / 2, 0))) AS dist FROM c, cr GROUP BY doc_id),
+ref AS ({lists}),
+wc AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, lower(word) AS word FROM w WHERE word IN (SELECT word FROM ref UNION SELECT upper(word[1]) || word[2:] FROM ref)) GROUP BY doc_id, word),
+qn AS (SELECT ref.ref, ref.word, coalesce(sum(wc.n), 0) / any_value(cr.n) AS q FROM ref JOIN cr ON cr.ref = ref.ref LEFT JOIN (SELECT wc.*, lang FROM wc JOIN d ON d.doc_id = wc.doc_id) wc ON wc.word = ref.word AND wc.lang = ref.ref GROUP BY ref.ref, ref.word),
+pr AS (SELECT c.doc_id, qn.ref, qn.q, coalesce(wc.n, 0) / greatest(c.n_words, 1) AS p FROM c CROSS JOIN qn LEFT JOIN wc ON wc.doc_id = c.doc_id AND wc.word = qn.word),
+ps AS (SELECT doc_id, ref, sum({js("p", "q")}) AS part, greatest(1 - sum(p), 0) AS p, greatest(1 - sum(q), 0) AS q FROM pr GROUP BY doc_id, ref),
+dw AS (SELECT doc_id, min(sqrt(greatest((part + {js("p", "q")}) / 2, 0))) AS dist FROM ps GROUP BY doc_id),
+f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words >= {q.MIN_WORDS} AND dc.dist > {q.MAX_CHAR_DISTANCE}, false) AND NOT coalesce(n_words >= {q.MIN_COMMON_WORDS} AND dw.dist > {q.MAX_WORD_DISTANCE}, false) AS kept
+FROM f LEFT JOIN dc ON dc.doc_id = f.doc_id LEFT JOIN dw ON dw.doc_id = f.doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_html_extract": HTML_EXTRACT, "op2_substring_dedup": SUBSTRING_DEDUP, "op5_warc_zip": WARC_ZIP, "op6_line_dedup": LINE_DEDUP, "op7_decontaminate": DECONTAMINATE,
+        "op10_quality_rules": _quality(),
+    }
