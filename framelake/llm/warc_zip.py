@@ -30,6 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.llm.common import materialize
 from framelake.llm.zip_archive import members, read_range, stored_at
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
@@ -122,7 +123,8 @@ def with_revisits(pages: DataFrame, id: str = "page_id", url: str = "url", html:
     """
     rows = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1 AND first IS NOT NULL").drop("n")
+    # written first: with its size known, Spark broadcasts it if it is small, and pages are not shuffled at all
+    firsts = materialize(firsts.where("n > 1 AND first IS NOT NULL").drop("n"))
     joined = rows.join(firsts, "digest", "left")
     return joined.select("page_id", "url", "html", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
