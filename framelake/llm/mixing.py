@@ -65,7 +65,8 @@ def systematic_sample(docs: DataFrame, id: str = "doc_id", text: str = "text", s
     wanted = spark.createDataFrame([(s, sizes[s], goal[s], goal[s] / sizes[s] if sizes[s] else 0.0) for s in sizes], "source string, source_size bigint, target double, rate double")
     runs = runs.alias("r").join(wanted.alias("w"), F.col("r.source").eqNullSafe(F.col("w.source"))).select("r.source", "part", "first", "before", "source_size", "target", "rate")
     rank = F.col("before") + F.col("at") - F.col("first")
-    offset = F.pmod(F.xxhash64(F.col("p.source"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("p.source", F.lit("")))), 1, 13)
+    offset = F.conv(digits, 16, 10).cast("bigint") / F.lit(float(1 << 52))
     crossed = F.floor(offset + F.col("rate") * (rank + 1)) - F.floor(offset + F.col("rate") * rank)
     joined = placed.alias("p").join(runs.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")) & (F.shiftright("p.at", 33) == F.col("part")))
     return joined.select("id", F.col("p.source").alias("source"), "size", "source_size", "target", F.least(crossed, F.lit(MAX_REPEATS)).cast("int").alias("copies"))

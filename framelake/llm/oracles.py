@@ -1,11 +1,11 @@
 """DuckDB SQL for those corpus queries that SQL can express, written from their contracts.
 
-Not here: token ids (3), the classifier (4), draws by a 64-bit hash (8), fingerprints and their closure (9).
+Not here: token ids (3), the classifier (4), fingerprints and their closure (9).
 """
 
 from __future__ import annotations
 
-from framelake.llm import line_dedup, quality_rules
+from framelake.llm import line_dedup, mixing, quality_rules
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,6 +57,18 @@ it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS item
 SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
 FROM l LEFT JOIN hit ON hit.doc_id = l.doc_id LEFT JOIN it ON it.doc_id = l.doc_id"""
 
+#: Sources in order of cap over weight: those before the first that its share does not fill are capped.
+MIXING = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, CAST({mixing.MAX_REPEATS} * size AS DOUBLE) AS cap FROM s),
+o AS (SELECT *, row_number() OVER q AS k, CAST(sum(size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w WINDOW q AS (ORDER BY cap / w, i)),
+f AS (SELECT arg_min(rest, k) AS rest, arg_min(open, k) AS open, min(k) AS k FROM o WHERE rest * w / open <= cap),
+t AS (SELECT o.source, o.size AS source_size, CASE WHEN o.k < f.k THEN cap ELSE f.rest * w / f.open END AS target FROM o, f),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.source ORDER BY d.size, doc_id) - 1 AS n,
+  ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.source, '')), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE AS u FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, CAST(least(floor(u + rate * (n + 1)) - floor(u + rate * n), {mixing.MAX_REPEATS}) AS BIGINT) * size AS taken FROM r"""
+
 
 def _quality() -> str:
     q = quality_rules
@@ -91,6 +103,6 @@ FROM f LEFT JOIN dc ON dc.doc_id = f.doc_id LEFT JOIN dw ON dw.doc_id = f.doc_id
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_html_extract": HTML_EXTRACT, "op2_substring_dedup": SUBSTRING_DEDUP, "op5_warc_zip": WARC_ZIP, "op6_line_dedup": LINE_DEDUP, "op7_decontaminate": DECONTAMINATE,
+        "op1_html_extract": HTML_EXTRACT, "op2_substring_dedup": SUBSTRING_DEDUP, "op5_warc_zip": WARC_ZIP, "op6_line_dedup": LINE_DEDUP, "op7_decontaminate": DECONTAMINATE, "op8_mixing": MIXING,
         "op10_quality_rules": _quality(),
     }
