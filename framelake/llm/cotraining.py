@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 MAX_LABELLED, MAX_POOL, ROUNDS, ADDED, MIN_CLASS = 4000, 4000, 5, 200, 10
 WORD_BINS, META_BINS, HELD_OUT = 512, 64, 5
+#: Documents are kept from this score on. Below one half, as a good document lost costs more than a poor one kept.
+KEEP_SCORE = 0.25
 _TEXT, _META = WORD_BINS + 256, META_BINS + 10
 
 
@@ -180,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "d
         stack([v[0] for v in others], _TEXT), stack([v[1] for v in others], _META))
 
 
-def score(docs: DataFrame, model: CoModel, id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: CoModel, id: str = "doc_id", text: str = "text", threshold: float = KEEP_SCORE) -> DataFrame:
     """``id``, ``p_text``, ``p_meta``, ``score`` and ``kept`` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
