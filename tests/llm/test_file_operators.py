@@ -123,6 +123,23 @@ def test_named_regions_and_odd_markup(spark):
     assert html_extract.main_text(pages.where("false")).collect() == []
 
 
+def test_class_names_never_drop_what_holds_the_article(spark):
+    rows = [
+        (1, "http://h/a", "<div class='layout has-sidebar'><article><div class='article-header'><h1>T</h1></div><p>x</p></article><div class=sidebar>s</div></div>"),
+        (2, "http://h/b", "<div id='page menu'><main><p>y</p></main><div class='menu'>m</div></div>"), (3, "http://h/c", "<p>z</p><div class='comments'><article class=comment><p>c</p></article></div>"),
+    ]
+    got = {r.page_id: r.main_text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "T\nx", 2: "y", 3: "z"}
+
+
+def test_a_host_of_many_layouts_is_folded_in_parts(spark):
+    page = lambda i: f"<div>Site name</div>{''.join(f'<{t}>a {i} {k}</{t}>' for k, t in enumerate('p h2 p h3 pre dl'.split()) if i >> k & 1)}<p>own {i}</p>"
+    pages = spark.createDataFrame([(i, "http://host.org/", page(i)) for i in range(64)], "page_id bigint, url string, html string")
+    assert html_extract.induce_wrappers(pages).count() == 1
+    got = {r.page_id: r.main_text for r in html_extract.main_text(pages).collect()}
+    assert all(got[i].endswith(f"own {i}") and "Site name" not in got[i] and got[i].count("a ") == bin(i).count("1") for i in range(64))
+
+
 def test_tree_matching_keeps_order():
     a, b = (html_extract.skeleton(parse(x)) for x in ("<div><p>1</p><h2>x</h2><p>2</p></div>", "<div><h2>y</h2><p>3</p><ul></ul></div>"))
     score, pairs = html_extract.tree_match(a, b)
