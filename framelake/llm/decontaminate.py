@@ -5,8 +5,10 @@ pattern length, a shift table over blocks of two words tells how far a scan may
 moves it on, past all positions where no pattern can end. Where the shift is zero, the patterns that end in that
 block are looked up by their suffix and compared word for word. Documents are scanned whole, in place: no shuffle.
 
-The benchmark is a stated query set. It reaches the tasks in blocks of ``BLOCK_BYTES`` of text, each its own pass over
-the rows in the same stage; above ``MAX_BYTES`` the operator refuses, as the search tables would not fit a task.
+The benchmark is a stated query set. It reaches the tasks in blocks of ``BLOCK_BYTES`` of text (an item is not cut), each
+its own pass over the rows. The tables of a block take some 150 times its bytes, so no more than ``BLOCKS_AT_ONCE`` share
+a stage; then the rows are written with what was found, and the next ones read them. Above ``MAX_BYTES`` the operator
+refuses, as there would be too many passes.
 
 Defined results: null or wordless texts have no words and no hits; a null or wordless item has no windows; an item with
 a null id still marks words, and counts under the empty name; repeated items count once by id; an empty benchmark hits
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fresh, own_columns
+from framelake.llm.common import fresh, materialize, own_columns
 
 WINDOW = 10
-BLOCK_BYTES, MAX_BYTES = 8 << 20, 256 << 20
+BLOCK_BYTES, BLOCKS_AT_ONCE, MAX_BYTES = 1 << 20, 2, 64 << 20
 
 #: A-Z to lower case, and what is neither digit, letter nor beyond ASCII to a space.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -130,7 +132,7 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str =
     block, held = [], 0
     for row in items.toLocalIterator():
         block.append((row["i"], row["t"]))
-        held += len(row["t"])
+        held += len(row["t"].encode("utf-8", "surrogatepass"))
         if held >= BLOCK_BYTES:
             yield block
             block, held = [], 0
@@ -144,7 +146,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     name, at = fresh(docs.columns, "_wm"), docs.columns.index(text)
     found = docs.withColumns({f"{name}1": F.array().cast("array<int>"), f"{name}2": F.array().cast("array<string>")})
     schema = found.schema
-    for block in benchmark_blocks(benchmark):
+    for k, block in enumerate(benchmark_blocks(benchmark)):
+        if k and k % BLOCKS_AT_ONCE == 0:
+            found = materialize(found)
         found = found.mapInArrow(_scanner(Patterns(block, window), at), schema)
     report = "struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, contaminated: boolean, spans: array<int>, items: array<string>>"
     return found.mapInArrow(_summary(at, into), docs.withColumn(into, F.lit(None).cast(report)).schema)
