@@ -111,6 +111,23 @@ def test_wrappers_tell_template_from_content(spark):
     assert got == {i: f"story {i} one\nstory {i} two" for i in range(8)}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """Copies vote once: they are no evidence against their own text, nor against that of other pages of the host."""
+    story = lambda i: LAYOUT % (f"story {i} one", f"story {i} two", "reserved")
+    quoted = story(100).replace("</p></div>", "</p><blockquote>a quote</blockquote></div>")
+    rows = [("one.org", story(0), 3), ("many.org", story(0), 12), *(("many.org", story(i), 1) for i in (1, 2, 3)), ("quote.org", quoted, 3), *(("quote.org", story(i), 1) for i in range(8))]
+    rows = [(k, f"http://{host}/{k}-{j}", html) for k, (host, html, n) in enumerate(rows) for j in range(n)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {}
+    for r in html_extract.main_text(pages).collect():
+        got.setdefault(r.page_id, []).append(r.main_text)
+    frame = "Site name\nMenu oneMenu two\n%s\nAll rights reserved"
+    assert got[0] == [frame % "story 0 one\nstory 0 two"] * 3
+    assert got[1] == ["story 0 one\nstory 0 two"] * 12
+    assert [got[k] for k in (2, 3, 4)] == [[f"story {i} one\nstory {i} two"] for i in (1, 2, 3)]
+    assert got[5] == ["story 100 one\nstory 100 two\na quote"] * 3
+
+
 def test_named_regions_and_odd_markup(spark):
     rows = [
         (1, None, None), (2, "http://h/x", ""), (3, "http://h/y", '<div class="comments">c</div><p>a &amp; b&nbsp;c<p>d<li>e</li><form>q</form><p'),
