@@ -221,19 +221,30 @@ def planes_to_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.planes_to_pixels(bits, ["l_orderkey"], "l_linenumber", "bit")
 
 
-@query("""
-WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame FROM orders WHERE o_orderkey % 11 > 0),
-g AS (SELECT o_custkey, frame + CASE WHEN frame >= 8 AND o_custkey % 2 = 0 THEN 1 ELSE 0 END AS frame, o_orderkey FROM r)
-SELECT 'cust/' || o_custkey AS path, CAST(frame AS INTEGER) AS frame_index, o_orderkey AS "offset" FROM g WHERE o_custkey % 2 = 1 OR frame < 8""")
-def record_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sorted_records(orders: DataFrame) -> DataFrame:
     """Orders as records of a customer's file, numbered in order but for a gap at 8 in every other file, out of order in the table."""
-    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 11 > 0")
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     rows = orders.withColumn("n", n).withColumn("frame", F.col("n") + F.when((F.col("n") >= 8) & (F.col("o_custkey") % 2 == 0), 1).otherwise(0))
     records = rows.select(F.concat(F.lit("cust/"), F.col("o_custkey").cast("string")).alias("path"), "frame", F.col("o_orderkey").alias("offset"), F.lit(0).alias("size"))
     return frame_index.dense_records(records).select("path", "frame_index", "offset")
 
 
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame FROM orders WHERE o_orderkey % 11 > 0),
+g AS (SELECT o_custkey, frame + CASE WHEN frame >= 8 AND o_custkey % 2 = 0 THEN 1 ELSE 0 END AS frame, o_orderkey FROM r)
+SELECT 'cust/' || o_custkey AS path, CAST(frame AS INTEGER) AS frame_index, o_orderkey AS "offset" FROM g WHERE o_custkey % 2 = 1 OR frame < 8""")
+def record_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part of the orders, as the SQL of this name has them; ``record_sort_whole`` has all."""
+    return _sorted_records(_table(spark, sf_dir, "orders").where("o_orderkey % 11 > 0"))
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame FROM orders)
+SELECT 'cust/' || o_custkey AS path, CAST(CASE WHEN frame >= 8 AND o_custkey % 2 = 0 THEN frame + 1 ELSE frame END AS INTEGER) AS frame_index, o_orderkey AS "offset" FROM r WHERE o_custkey % 2 = 1 OR frame < 8""")
+def record_sort_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sorted_records(_table(spark, sf_dir, "orders"))
+
+
 def _padded_sql() -> str:
     """Documents as bytes padded to n whole frames."""
     return f"SELECT doc_id, 'doc/' || doc_id AS path, greatest(CAST(ceil(strlen(text) / {float(derived.SIZE)}) AS BIGINT), 1) AS n, rpad(hex(encode(text)), CAST(greatest(CAST(ceil(strlen(text) / {float(derived.SIZE)}) AS BIGINT), 1) * {2 * derived.SIZE} AS INTEGER), '0') AS x FROM documents"

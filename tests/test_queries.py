@@ -35,3 +35,13 @@ def test_every_sql_has_a_query_and_the_entry_runs(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_records_are_sorted_over_all_orders(spark, sf_dir, tables):
+    files, want = {}, set()
+    for customer, order in tables.sql("SELECT o_custkey, o_orderkey FROM orders ORDER BY o_orderkey").fetchall():
+        files.setdefault(customer, []).append(order)
+    for customer, found in files.items():
+        want |= {(f"cust/{customer}", k, order) for k, order in enumerate(found if customer % 2 else found[:8])}
+    got = [(r.path, r.frame_index, r.offset) for r in media_queries.queries()["record_sort_whole"](spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want and any(x[2] % 11 == 0 for x in got)
