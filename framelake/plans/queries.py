@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import binary, colour, timing
@@ -172,6 +172,20 @@ def byte_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[f(data, 0).alias(n) for n, f in readers.items()], binary.u16le(data, F.length(data)).alias("past"))
 
 
+@query()
+def byte_readers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reader over the whole text, from end to end in steps of its own width and once past the end: the values read, as a polynomial of 31 modulo 2 ** 31 - 1."""
+    readers = {"u8": (binary.u8, 1), "u16le": (binary.u16le, 2), "u16be": (binary.u16be, 2), "u32le": (binary.u32le, 4), "u32be": (binary.u32be, 4)}
+
+    def read(data: Column) -> Column:
+        n = F.length(data)
+        folded = lambda f, w: F.aggregate(F.sequence(F.lit(0), F.ceil(n / w).cast("int")), F.lit(0).cast("bigint"), lambda acc, i: (acc * 31 + f(data, i * w)) % 2147483647)
+        return F.struct(n.cast("bigint").alias("n_bytes"), *[folded(*r).alias(name) for name, r in readers.items()])
+
+    rows = _table(spark, sf_dir, "documents").select("doc_id", binary.once(F.encode(F.coalesce("text", F.lit("")), "utf-8"), read).alias("x"))
+    return rows.select("doc_id", "x.*")
+
+
 _OPS = "SELECT event_id, ts, user_id % 50 AS file, event_id % 16 AS place, CASE WHEN event_type = 'error' THEN NULL ELSE user_id % 256 END AS v, event_id % 7 = 0 AS clear, (event_id * 37) % 65536 AS word, event_id % 3 > 0 AS swaps FROM events"
 
 
@@ -298,8 +312,18 @@ def flc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT path, frame_index, i, ('0x' || substr(h, CAST(i * 2 + 1 AS INTEGER), 2))::BIGINT AS v FROM p)
 SELECT path, frame_index, md5(string_agg(printf('%02X%02X%02XFF', v * 21 % 256, (v * 21 + 7) % 256, (v * 21 + 14) % 256), '' ORDER BY i)) AS rgba_md5 FROM q GROUP BY path, frame_index""")
 def flc_to_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first frame of each file through its palette, with alpha, in expressions."""
-    rows = frames.decode_frames(_with_codec(_flc(spark, sf_dir)), upto=0)
+    """The first frame of each file, as the SQL of this name has it; ``flc_to_rgba_whole`` has all."""
+    return _rgba(frames.decode_frames(_with_codec(_flc(spark, sf_dir)), upto=0))
+
+
+@query()
+def flc_to_rgba_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames of each file through its palette, with alpha. SQL for it would have a row a pixel; tests hold it against brute force."""
+    return _rgba(frames.decode_frames(_with_codec(_flc(spark, sf_dir))))
+
+
+def _rgba(rows: DataFrame) -> DataFrame:
+    """Decoded frames through their palette, with alpha, in expressions."""
     rgba = colour.convert_pixels(F.col("pixels"), F.col("palette"), F.col("format"), "rgba8888")
     return rows.select("path", "frame_index", F.md5(F.hex(rgba)).alias("rgba_md5"))
 

@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import duckdb
@@ -45,3 +46,28 @@ def test_records_are_sorted_over_all_orders(spark, sf_dir, tables):
         want |= {(f"cust/{customer}", k, order) for k, order in enumerate(found if customer % 2 else found[:8])}
     got = [(r.path, r.frame_index, r.offset) for r in media_queries.queries()["record_sort_whole"](spark, sf_dir).collect()]
     assert len(got) == len(want) and set(got) == want and any(x[2] % 11 == 0 for x in got)
+
+
+def test_all_frames_become_rgba(spark, sf_dir, tables):
+    want, colour = {}, [f"{v * 21 % 256:02X}{(v * 21 + 7) % 256:02X}{(v * 21 + 14) % 256:02X}FF" for v in range(256)]
+    for doc, text in tables.sql("SELECT doc_id, text FROM documents").fetchall():
+        data = (text or "").encode()
+        for k in range(max(-(-len(data) // 256), 1)):
+            pixels = data[k * 256 : k * 256 + 256].ljust(256, b"\0")
+            want[f"doc/{doc}", k] = hashlib.md5("".join(colour[v] for v in pixels).encode()).hexdigest()
+    rows = media_queries.queries()["flc_to_rgba_whole"](spark, sf_dir).collect()
+    assert len(rows) == len(want) and {(r.path, r.frame_index): r.rgba_md5 for r in rows} == want
+
+
+def test_readers_reach_every_byte(spark, sf_dir, tables):
+    def folded(data, width, order):
+        acc = 0
+        for at in range(0, (-(-len(data) // width) + 1) * width, width):
+            part = data[at : at + width]
+            acc = (acc * 31 + (int.from_bytes(part, order) if len(part) == width else 0)) % 2147483647
+        return acc
+
+    readers = [(1, "little"), (2, "little"), (2, "big"), (4, "little"), (4, "big")]
+    texts = [(doc, (text or "").encode()) for doc, text in tables.sql("SELECT doc_id, text FROM documents").fetchall()]
+    want = sorted((doc, len(data), *[folded(data, *r) for r in readers]) for doc, data in texts)
+    assert sorted(tuple(r) for r in media_queries.queries()["byte_readers_whole"](spark, sf_dir).collect()) == want
