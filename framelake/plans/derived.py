@@ -14,19 +14,36 @@ from framelake.functions.binary import hex_uint, once
 WIDTH, HEIGHT = 32, 8
 SIZE = WIDTH * HEIGHT
 SPEED = 33
+#: Frames that a file can hold: 16 bits of an FLC header, 256 pages of 200 records of a DPAN file. Longer documents make several files.
+FLC_FRAMES, DPAN_FRAMES = 65535, 256 * 200
 
 
 def _num(x: Column | int, size: int, little: bool = True) -> Column:
     return hex_uint(x if isinstance(x, Column) else F.lit(x), size, little)
 
 
-def _padded(docs: DataFrame) -> DataFrame:
-    """``path``, ``data`` (the text's bytes, filled with zeros to whole frames) and ``n`` frames."""
-    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    rows = docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), data.alias("data"))
+def _padded(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """``path``, ``data`` (the text's bytes, filled with zeros to whole frames) and ``n`` frames; a row for each ``limit`` frames, from the second on with ``#`` and the part's number in its path."""
+    path, data = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    if limit is None:
+        rows = docs.select(path.alias("path"), data.alias("data"))
+    else:
+        step = limit * SIZE
+        parts = once(data, lambda d: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(d) / step).cast("int") - 1, F.lit(0))), lambda k: F.substring(d, k * step + 1, F.lit(step))))
+        rows = docs.select(path.alias("path"), F.posexplode(parts).alias("part", "data"))
+        rows = rows.select(F.when(F.col("part") > 0, F.concat("path", F.lit("#"), F.col("part").cast("string"))).otherwise(F.col("path")).alias("path"), "data")
     n = F.greatest(F.ceil(F.length("data") / SIZE), F.lit(1)).cast("int")
     fill = F.unhex(F.repeat(F.lit("00"), (n * SIZE - F.length("data")).cast("int")))
-    return rows.select("path", n.alias("n"), F.concat("data", fill).alias("data"))
+    # generated, so that Spark doesn't build the data again for each frame
+    return rows.select("path", n.alias("n"), F.explode(F.array(F.concat("data", fill))).alias("data"))
+
+
+def joined(rows: DataFrame, limit: int, **steps: int) -> DataFrame:
+    """Rows of frames with the parts of a document as one file again: ``frame_index`` and the columns of ``steps``, by their step a part, run on."""
+    part = F.when(F.col("path").contains("#"), F.substring_index("path", "#", -1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    moved = {name: F.col(name) + part * step for name, step in steps.items()}
+    index = (F.col("frame_index") + part * limit).cast("int")
+    return rows.withColumns({**moved, "frame_index": index, "path": F.substring_index("path", "#", 1)})
 
 
 def _files(rows: DataFrame, digits: Column) -> DataFrame:
@@ -41,7 +58,7 @@ def _slice(data: Column, at: Column, size: int) -> Column:
 
 def flc_files(docs: DataFrame) -> DataFrame:
     """FLC files: frames in turn a raw picture, byte runs and changed bytes; the first with a palette."""
-    rows = _padded(docs)
+    rows = _padded(docs, FLC_FRAMES)
     d = F.col("data")
     palette = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.lpad(F.hex((i * 7) % 256), 2, "0")), "")
     chunk = lambda kind, payload: once(payload, lambda p: F.concat(_num(F.length(p) / 2 + 6, 4), _num(kind, 2), p))
@@ -61,11 +78,14 @@ def flc_files(docs: DataFrame) -> DataFrame:
     return _files(rows, whole)
 
 
-def cdxl_files(docs: DataFrame) -> DataFrame:
-    """CDXL files of one plane: a chunk's picture is 32 bytes of the text as 32 by 8 bits, and its sound the next 16."""
+def cdxl_files(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """CDXL files of one plane: a chunk's picture is 32 bytes of the text as 32 by 8 bits, and its sound the next 16. ``whole``: a last chunk is filled with zeros, else it is left out."""
     bitmap, sound = WIDTH // 8 * HEIGHT, 16
     rows, d = _padded(docs), F.col("data")
     step = bitmap + sound
+    if whole:
+        missing = F.pmod(-F.length("data"), F.lit(step)).cast("int")
+        rows = rows.select("path", F.explode(F.array(F.concat("data", F.unhex(F.repeat(F.lit("00"), missing))))).alias("data"))
     n = F.call_function("div", F.length("data"), F.lit(step)).cast("int")
     size = 32 + 4 + step
 
@@ -78,7 +98,7 @@ def cdxl_files(docs: DataFrame) -> DataFrame:
 
 def dpan_files(docs: DataFrame) -> DataFrame:
     """DPAN files of one page a 64 KiB: each record a long copy of a whole frame; 200 frames a page."""
-    rows, d, per = _padded(docs), F.col("data"), 200
+    rows, d, per = _padded(docs, DPAN_FRAMES), F.col("data"), 200
     record = 4 + 3 + SIZE
     n = F.col("n")
     pages = F.ceil(n / per).cast("int")
@@ -97,7 +117,7 @@ def dpan_files(docs: DataFrame) -> DataFrame:
     head = F.rpad(F.concat(F.rpad(head, 128, "0"), _num(n, 4), _num(10, 2)), 512, "0")
     colours = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex((i * 5) % 256), 2, "0")), "")
     body = F.array_join(F.transform(F.sequence(F.lit(0), pages - 1), page), "")
-    return _files(rows.where(n <= 256 * per), F.concat(head, colours, table, body))
+    return _files(rows, F.concat(head, colours, table, body))
 
 
 def index_files(orders: DataFrame, lines: DataFrame, codec: str) -> DataFrame:

@@ -268,6 +268,12 @@ def _flc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.flc_files(_table(spark, sf_dir, "documents"))
 
 
+def _one_start(rows: DataFrame, *flags: str) -> DataFrame:
+    """``flags`` unset where a document's further files begin, which is no start of the document."""
+    begins = F.col("frame_index") % derived.FLC_FRAMES == 0
+    return rows.withColumns({f: F.col(f) & ((F.col("frame_index") == 0) | ~begins) for f in flags})
+
+
 def _with_codec(files: DataFrame) -> DataFrame:
     return files.withColumn("codec", media.codec_of(F.col("content"), F.length("content").cast("bigint")))
 
@@ -287,7 +293,7 @@ SELECT path, frame_index, md5(h) AS pixels_md5, frame_index = 0 AS keyframe, fra
   ('0x' || substr(h, 1, 2))::BIGINT + ('0x' || substr(h, 257, 2))::BIGINT + ('0x' || substr(h, 511, 2))::BIGINT AS checksum FROM p""")
 def flc_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as FLC files (raw, run and changed-byte frames in turn) and decoded again."""
-    rows = frames.decode_frames(_with_codec(_flc(spark, sf_dir)))
+    rows = _one_start(derived.joined(frames.decode_frames(_with_codec(_flc(spark, sf_dir))), derived.FLC_FRAMES), "keyframe", "palette_changed")
     return rows.select("path", "frame_index", F.md5(F.hex("pixels")).alias("pixels_md5"), "keyframe", "palette_changed", timeline.frame_checksum(F.col("pixels")).alias("checksum"))
 
 
@@ -305,6 +311,7 @@ def flc_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _flc(spark, sf_dir)
     rows = frame_index.with_times(frame_index.flc_index(files), media.containers(files))
+    rows = _one_start(derived.joined(rows, derived.FLC_FRAMES, pts_us=derived.FLC_FRAMES * PERIOD), "keyframe_flag")
     return rows.select("path", "frame_index", "pts_us", "duration_us", "keyframe_flag")
 
 
@@ -313,7 +320,7 @@ q AS (SELECT path, frame_index, i, ('0x' || substr(h, CAST(i * 2 + 1 AS INTEGER)
 SELECT path, frame_index, md5(string_agg(printf('%02X%02X%02XFF', v * 21 % 256, (v * 21 + 7) % 256, (v * 21 + 14) % 256), '' ORDER BY i)) AS rgba_md5 FROM q GROUP BY path, frame_index""")
 def flc_to_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first frame of each file, as the SQL of this name has it; ``flc_to_rgba_whole`` has all."""
-    return _rgba(frames.decode_frames(_with_codec(_flc(spark, sf_dir)), upto=0))
+    return _rgba(frames.decode_frames(_with_codec(_flc(spark, sf_dir)), upto=0).where("NOT contains(path, '#')"))
 
 
 @query()
@@ -324,6 +331,7 @@ def flc_to_rgba_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rgba(rows: DataFrame) -> DataFrame:
     """Decoded frames through their palette, with alpha, in expressions."""
+    rows = derived.joined(rows, derived.FLC_FRAMES)
     rgba = colour.convert_pixels(F.col("pixels"), F.col("palette"), F.col("format"), "rgba8888")
     return rows.select("path", "frame_index", F.md5(F.hex(rgba)).alias("rgba_md5"))
 
@@ -331,7 +339,18 @@ def _rgba(rows: DataFrame) -> DataFrame:
 @query(f"""WITH d AS ({_padded_sql()}), f AS (SELECT path, x, unnest(range(n * 256 // 48)) AS k FROM d)
 SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(192 AS BIGINT) AS rate, 1 AS channels, md5(substr(x, CAST(k * 96 + 65 AS INTEGER), 32)) AS pcm_md5 FROM f""")
 def cdxl_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio.cdxl_audio(derived.cdxl_files(_table(spark, sf_dir, "documents")))
+    """The whole chunks of 48 bytes, as the SQL of this name has them; ``cdxl_audio_whole`` has all bytes."""
+    return _cdxl_audio(derived.cdxl_files(_table(spark, sf_dir, "documents")))
+
+
+@query(f"""WITH d AS ({_padded_sql()}), f AS (SELECT path, x, unnest(range((n * 256 + 47) // 48)) AS k FROM d)
+SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(192 AS BIGINT) AS rate, 1 AS channels, md5(rpad(substr(x, CAST(k * 96 + 65 AS INTEGER), 32), 32, '0')) AS pcm_md5 FROM f""")
+def cdxl_audio_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cdxl_audio(derived.cdxl_files(_table(spark, sf_dir, "documents"), whole=True))
+
+
+def _cdxl_audio(files: DataFrame) -> DataFrame:
+    rows = audio.cdxl_audio(files)
     return rows.select("path", "frame_index", "rate", "channels", F.md5(F.hex("pcm")).alias("pcm_md5"))
 
 
@@ -339,8 +358,20 @@ def cdxl_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT path, k, unnest(range(32)) AS i, x FROM f), v AS (SELECT path, k, i, ('0x' || substr(x, CAST(k * 96 + i * 2 + 1 AS INTEGER), 2))::BIGINT AS byte FROM b)
 SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(sum(bit_count(byte)) AS BIGINT) AS set_pixels, CAST(sum(byte * (i + 1)) AS BIGINT) AS weighted FROM v GROUP BY path, k""")
 def cdxl_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chunks of 48 bytes, as the SQL of this name has them; ``cdxl_frames_whole`` has all bytes."""
+    return _cdxl_frames(derived.cdxl_files(_table(spark, sf_dir, "documents")))
+
+
+@query(f"""WITH d AS ({_padded_sql()}), f AS (SELECT path, x, unnest(range((n * 256 + 47) // 48)) AS k FROM d),
+b AS (SELECT path, k, unnest(range(32)) AS i, rpad(substr(x, CAST(k * 96 + 1 AS INTEGER), 64), 64, '0') AS h FROM f), v AS (SELECT path, k, i, ('0x' || substr(h, CAST(i * 2 + 1 AS INTEGER), 2))::BIGINT AS byte FROM b)
+SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(sum(bit_count(byte)) AS BIGINT) AS set_pixels, CAST(sum(byte * (i + 1)) AS BIGINT) AS weighted FROM v GROUP BY path, k""")
+def cdxl_frames_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cdxl_frames(derived.cdxl_files(_table(spark, sf_dir, "documents"), whole=True))
+
+
+def _cdxl_frames(files: DataFrame) -> DataFrame:
     """One-plane pictures: the pixels that are set, and the packed bytes again, weighted by place."""
-    rows = frames.decode_frames(_with_codec(derived.cdxl_files(_table(spark, sf_dir, "documents"))))
+    rows = frames.decode_frames(_with_codec(files))
     rows = rows.select("path", "frame_index", F.regexp_replace(F.hex("pixels"), "0(.)", "$1").alias("bits"))
     byte = lambda i: F.conv(F.substring("bits", i * 8 + 1, F.lit(8)), 2, 10).cast("bigint") * (i + 1)
     weighted = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(31)), byte), F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -350,14 +381,16 @@ def cdxl_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_EVERY.format(padded=_padded_sql())} SELECT path, CAST(k AS INTEGER) AS frame_index, md5(substr(x, CAST(k * 512 + 1 AS INTEGER), 512)) AS pixels_md5, CAST(NULL AS VARCHAR) AS error FROM f""")
 def dpan_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames.decode_frames(_with_codec(derived.dpan_files(_table(spark, sf_dir, "documents"))))
+    rows = derived.joined(frames.decode_frames(_with_codec(derived.dpan_files(_table(spark, sf_dir, "documents")))), derived.DPAN_FRAMES)
     return rows.select("path", "frame_index", F.md5(F.hex("pixels")).alias("pixels_md5"), "error")
 
 
 @query(f"""{_EVERY.format(padded=_padded_sql())}, p AS (SELECT path, k, n, k // 200 AS page, k % 200 AS r FROM f)
 SELECT path, CAST(k AS INTEGER) AS frame_index, 2816 + page * 65536 + 8 + least(200, n - page * 200) * 2 + r * 263 AS "offset", CAST(263 AS BIGINT) AS size FROM p""")
 def dpan_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame_index.dpan_index(derived.dpan_files(_table(spark, sf_dir, "documents"))).select("path", "frame_index", "offset", "size")
+    """Offsets run on through the files of a very long document, as if their pages followed each other."""
+    rows = frame_index.dpan_index(derived.dpan_files(_table(spark, sf_dir, "documents")))
+    return derived.joined(rows, derived.DPAN_FRAMES, offset=256 * 65536).select("path", "frame_index", "offset", "size")
 
 
 _LINES = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey % 64 + 4 AS size FROM lineitem"

@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+from framelake.plans import derived
 from framelake.plans import queries as media_queries
 
 
@@ -71,3 +72,16 @@ def test_readers_reach_every_byte(spark, sf_dir, tables):
     texts = [(doc, (text or "").encode()) for doc, text in tables.sql("SELECT doc_id, text FROM documents").fetchall()]
     want = sorted((doc, len(data), *[folded(data, *r) for r in readers]) for doc, data in texts)
     assert sorted(tuple(r) for r in media_queries.queries()["byte_readers_whole"](spark, sf_dir).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["flc_frames", "flc_index", "dpan_frames"])
+def test_documents_beyond_a_format_make_several_files(spark, sf_dir, tables, monkeypatch, name):
+    monkeypatch.setattr(derived, "FLC_FRAMES", 6)
+    monkeypatch.setattr(derived, "DPAN_FRAMES", 5)
+    test_query_equals_its_sql(spark, sf_dir, tables, name)
+
+
+def test_cdxl_files_hold_the_last_bytes(spark):
+    docs = spark.createDataFrame([(1, "x" * 255 + "!")], "doc_id bigint, text string")
+    content = derived.cdxl_files(docs, whole=True).collect()[0].content
+    assert len(content) == 6 * 84 and content[5 * 84 + 36 : 6 * 84] == b"x" * 15 + b"!" + bytes(32)
