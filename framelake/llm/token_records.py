@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import worker_state
+from framelake.llm.common import pieces, worker_state
 
 END_ID = 1
 # Fixed values of the frame format.
@@ -37,6 +37,8 @@ MASK_TURN, MASK_ADD = 15, 0xA282EAD8
 NULL_ID = -(1 << 63)
 #: Words whose ids a task keeps; about 200 bytes each.
 CACHE_WORDS = 400_000
+#: A shard's text, where that makes more shards than Spark's shuffle partitions, and the records that a task reads in a row.
+SHARD_BYTES, READ_BYTES = 128 << 20, 4 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -136,9 +138,7 @@ def _writer(folder: str, tokenizer: str):
         number, name, out = TaskContext.get().partitionId(), "", None
         end, offset, start, record = None, 0, 0, 0
         try:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in pieces(batches, 1):
                 if out is None:
                     name = f"part-{number:06d}-{uuid.uuid4().hex}.rec"
                     out, encode = fs.open_output_stream(f"{path}/{name}", buffer_size=1 << 20), encoder(tokenizer)
@@ -166,21 +166,26 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id: str = "doc_i
     spark = docs.sparkSession
     fs, path = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    volume = int(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # Spark's estimate; of a join it may be far off
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // SHARD_BYTES if volume < 1 << 50 else 0)
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first())
     index = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(_writer(folder, tokenizer), INDEX)
     index.write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
 
 
-def _reader(folder: str):
+def _reader(folder: str, with_ids: bool):
     """Reads index rows, fetches each record by its place and checks it."""
+    kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         open_, source = "", None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             for shard, offset, length, width, base in zip(*columns, strict=True):
                 if shard != open_:
@@ -191,12 +196,14 @@ def _reader(folder: str):
                 payload = read_frame(source)
                 if payload is None or len(payload) + 16 != length:
                     raise ValueError(f"{shard} does not hold the record at {offset}")
-                ids = np.frombuffer(payload, f"<u{width}", offset=8).astype("<u4", copy=False)
+                ids = np.frombuffer(payload, f"<u{width}", offset=8).astype("<u4", copy=False).tobytes()
                 doc_id = struct.unpack("<q", payload[:8])[0]
-                rows.append((None if doc_id == NULL_ID else doc_id, base, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+                rows.append((None if doc_id == NULL_ID else doc_id, base, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else [])))
+                held += len(ids) if with_ids else 0
+                if held >= READ_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
+            yield out(rows)
         if source is not None:
             source.close()
 
@@ -204,12 +211,19 @@ def _reader(folder: str):
 
 
 def read_records(spark: SparkSession, folder: str, index: DataFrame | None = None, ids: bool = True) -> DataFrame:
-    """The records that ``index`` names (all by default), in any order it has: id, start, n_tokens, crc, and the ids as packed u32."""
+    """The records that ``index`` names (all by default): id, start, n_tokens, crc, and (with ``ids``) the ids as packed u32.
+
+    An index of the caller's is read in the order and the partitions that it has, for shuffled reads. All records are
+    dealt out by place in runs of ``READ_BYTES``, so that reading is as parallel as the records' volume allows.
+    """
     whole = spark.read.parquet(f"{folder}/index")
-    totals = whole.groupBy("shard_number").agg(F.sum("n_tokens").alias("n"))  # a row a shard
+    totals = whole.groupBy("shard_number").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("length")).alias("bytes"))  # a row a shard
     before = Window.orderBy("shard_number").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard_number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rows = (whole if index is None else index).join(bases, "shard_number")
     placed = rows.select("shard", "offset", "length", "id_bytes", (F.col("base") + F.col("start_in_shard")).alias("start"))
-    found = placed.mapInArrow(_reader(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    return found if ids else found.drop("ids")
+    if index is None:
+        volume = totals.agg(F.sum("bytes")).first()[0] or 0
+        placed = placed.repartition(max(1, -(-volume // READ_BYTES)), "shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
+    fields = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    return placed.mapInArrow(_reader(folder, ids), f"{fields}, ids binary" if ids else fields)
