@@ -6,8 +6,9 @@ the variants, done by sorting them, brings all such pairs together, and the whol
 
 Only distinct fingerprints are indexed: copies share one. Within a variant's group, small groups are compared in full
 and larger ones are searched breadth first, which gives a spanning forest of their links, never all pairs. A group of
-over ``MANY`` fingerprints is dealt out again by the bytes of its other segment, one of which must agree; so no task
-holds a group that grows without bound, and no link is lost.
+over ``MANY`` fingerprints is dealt out again by the bytes of its other segment, one of which must agree, and if that
+leaves over ``MANY``, by the variants of the other three bytes with one bit masked out, of which one must agree. Then 46
+of 64 bits are fixed: no group has over 2 ** 18 fingerprints, and no link is lost.
 
 Defined results: a text without words, null included, has fingerprint zero and links like any other; repeated rows
 are rows of one class; a null id takes part but is never a component's name, and a class without any id has none;
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fresh, materialize, own_columns
+from framelake.llm.common import fresh, materialize, own_columns, pieces
 from framelake.llm.components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -53,7 +54,7 @@ def fingerprint(text: str | None, seed: int = SEED) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         found = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "fp"])
 
@@ -139,7 +140,12 @@ def near_links(fingerprints: DataFrame, many: int = MANY) -> DataFrame:
     other = F.expr("(CASE WHEN shiftright(key, 37) = 1 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END)")
     byte = F.expr("shiftright(o, 8 * k) & 255L")
     again = hot.withColumn("o", other).select((F.col("key") * 1024 + F.col("k") * 256 + byte).alias("key"), "fp")
-    return first.where("NOT hot").select("a", "b").union(_linked(again, None).select("a", "b"))
+    second = materialize(_linked(again, many))
+    rest = second.where("hot").select(F.col("a").alias("key2"), F.col("b").alias("fp"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("v"))
+    rest = rest.withColumns({"key": F.shiftright("key2", 10), "k": F.expr("shiftright(v, 3)")}).where("k != (shiftright(key2, 8) & 3L)").withColumn("o", other)
+    variant = F.expr("v * 256L + (shiftright(o, 8 * k) & 255L & ~shiftleft(1L, v % 8))")
+    third = _linked(rest.select((F.col("key2") * (1 << 13) + variant).alias("key"), "fp"), None)
+    return first.where("NOT hot").select("a", "b").union(second.where("NOT hot").select("a", "b")).union(third.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
