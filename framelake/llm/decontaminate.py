@@ -5,10 +5,11 @@ pattern length, a shift table over blocks of two words tells how far a scan may
 moves it on, past all positions where no pattern can end. Where the shift is zero, the patterns that end in that
 block are looked up by their suffix and compared word for word. Documents are scanned whole, in place: no shuffle.
 
-The benchmark is a stated query set. It reaches the tasks in blocks of ``BLOCK_BYTES`` of text (an item is not cut), each
-its own pass over the rows. The tables of a block take some 150 times its bytes, so no more than ``BLOCKS_AT_ONCE`` share
-a stage; then the rows are written with what was found, and the next ones read them. Above ``MAX_BYTES`` the operator
-refuses, as there would be too many passes.
+The benchmark is a stated query set. It reaches the tasks in blocks of ``BLOCK_BYTES`` of text, each its own pass over the
+rows; an item longer than a block is cut into parts that overlap by a window less a word, so that no window is lost. In
+the tables words are numbers and patterns lie in one run of bytes. No more than ``BLOCKS_AT_ONCE`` blocks share a stage;
+then the rows are written with what was found, and the next ones read them. Above ``MAX_BYTES`` the operator refuses, as
+there would be too many passes.
 
 Defined results: null or wordless texts have no words and no hits; a null or wordless item has no windows; an item with
 a null id still marks words, and counts under the empty name; repeated items count once by id; an empty benchmark hits
@@ -20,14 +21,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fresh, materialize, own_columns
+from framelake.llm.common import fresh, materialize, own_columns, pieces
 
 WINDOW = 10
-BLOCK_BYTES, BLOCKS_AT_ONCE, MAX_BYTES = 1 << 20, 2, 64 << 20
+BLOCK_BYTES, BLOCKS_AT_ONCE, MAX_BYTES = 2 << 20, 2, 64 << 20
 
 #: A-Z to lower case, and what is neither digit, letter nor beyond ASCII to a space.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -38,45 +40,59 @@ def benchmark_words(text: str | None) -> list[bytes]:
 
 
 class Patterns:
-    """Shift and suffix tables for the windows of some items, one pair a window length."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        by_length: dict[int, dict[tuple, set[str]]] = {}
-        for name, text in items:
-            words = benchmark_words(text)
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                by_length.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add(name)
+    """Shift and suffix tables for the windows of some items, one pair a window length.
+
+    A block of words is the number that its words' numbers make. The patterns of a length are sorted by their last block,
+    one after the other in ``runs``, four bytes a word; ``ends`` tells which of them end in a block.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        self.numbers: dict[bytes, int] = {}
+        self.names = sorted({name for name, _ in items})
+        place = {name: k for k, name in enumerate(self.names)}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for name, words in items:
+            if words:
+                ids = np.fromiter((self.numbers.setdefault(w, len(self.numbers) + 1) for w in words), np.int32, len(words))
+                by_length.setdefault(min(window, len(words)), []).append((place[name], ids))
         self.tables = [(m, *self._tables(m, found)) for m, found in sorted(by_length.items())]
 
-    @staticmethod
-    def _tables(m: int, patterns: dict[tuple, set[str]]) -> tuple[int, dict, dict]:
-        block = min(2, m)
-        shift: dict[tuple, int] = {}
-        ends: dict[tuple, list[tuple[tuple, frozenset]]] = {}
-        for words, names in patterns.items():
-            for end in range(block, m + 1):
-                key = words[end - block : end]
-                shift[key] = min(shift.get(key, m), m - end)
-            ends.setdefault(words[m - block :], []).append((words, frozenset(names)))
-        return block, shift, ends
+    def _tables(self, m: int, items: list[tuple[int, np.ndarray]]) -> tuple:
+        block, base = min(2, m), len(self.numbers) + 1
+        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(ids, m) for _, ids in items])
+        owners = np.concatenate([np.full(len(ids) - m + 1, k, np.int32) for k, ids in items])
+        keys = windows.astype(np.int64) if block == 1 else windows[:, :-1].astype(np.int64) * base + windows[:, 1:]
+        shift: dict[int, int] = {}
+        for at in range(keys.shape[1]):  # from the far end of the windows to the near one, so that the least shift stays
+            shift.update(dict.fromkeys(np.unique(keys[:, at]).tolist(), keys.shape[1] - 1 - at))
+        order = np.argsort(keys[:, -1], kind="stable")
+        last = keys[order, -1]
+        starts = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
+        ends = dict(zip(last[starts].tolist(), zip(starts.tolist(), np.r_[starts[1:], len(last)].tolist(), strict=True), strict=True))
+        return block, base, shift, ends, np.ascontiguousarray(windows[order]).tobytes(), owners[order]
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The spans of all occurrences, and the names of the items that have one."""
         spans, names = [], set()
-        for m, block, shift, ends in self.tables:
-            at, n, jump = m, len(words), m - block + 1
+        number = self.numbers.get
+        ids = [number(w, 0) for w in words]
+        packed = np.array(ids, np.int32).tobytes()
+        for m, block, base, shift, ends, runs, owners in self.tables:
+            at, n, jump, width = m, len(words), m - block + 1, 4 * m
             far = shift.get
             while at <= n:
-                key = tuple(words[at - block : at])
+                key = ids[at - 1] if block == 1 else ids[at - 2] * base + ids[at - 1]
                 step = far(key, jump)
                 if step:
                     at += step
                     continue
-                for pattern, owners in ends[key]:
-                    if tuple(words[at - m : at]) == pattern:
-                        spans.append((at - m, at))
-                        names |= owners
+                here, hit = packed[4 * (at - m) : 4 * at], False
+                for k in range(*ends[key]):
+                    if runs[k * width : (k + 1) * width] == here:
+                        hit = True
+                        names.add(self.names[owners[k]])
+                if hit:
+                    spans.append((at - m, at))
                 at += 1
         return spans, names
 
@@ -94,7 +110,7 @@ def _scanner(patterns: Patterns, text_at: int):
     """Appends what one block of the benchmark hits to the last two columns, spans and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_at):
             spans, items = [], []
             before = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
             for text, (s, i) in zip(batch.column(text_at).to_pylist(), before, strict=True):
@@ -109,7 +125,7 @@ def _scanner(patterns: Patterns, text_at: int):
 
 def _summary(text_at: int, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_at):
             found: list[tuple] = []
             columns = (batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))
             for text, s, i in zip(*(c.to_pylist() for c in columns), strict=True):
@@ -123,19 +139,26 @@ def _summary(text_at: int, into: str):
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark's items in blocks of bounded size, read a partition at a time."""
+def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The words of the benchmark's items in blocks of bounded size, read a partition at a time."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if size > MAX_BYTES:
         raise ValueError(f"the benchmark has {size} bytes of text; {MAX_BYTES} are allowed")
     block, held = [], 0
     for row in items.toLocalIterator():
-        block.append((row["i"], row["t"]))
-        held += len(row["t"].encode("utf-8", "surrogatepass"))
-        if held >= BLOCK_BYTES:
-            yield block
-            block, held = [], 0
+        words, start = benchmark_words(row["t"]), 0
+        while start < len(words):
+            end = start
+            while end < len(words) and held < BLOCK_BYTES:
+                held += len(words[end]) + 1
+                end += 1
+            end = min(len(words), max(end, start + window))  # a part holds one window at least
+            block.append((row["i"], words[start:end]))
+            start = end if end == len(words) else end - window + 1
+            if held >= BLOCK_BYTES:
+                yield block
+                block, held = [], 0
     if block:
         yield block
 
@@ -146,7 +169,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     name, at = fresh(docs.columns, "_wm"), docs.columns.index(text)
     found = docs.withColumns({f"{name}1": F.array().cast("array<int>"), f"{name}2": F.array().cast("array<string>")})
     schema = found.schema
-    for k, block in enumerate(benchmark_blocks(benchmark)):
+    for k, block in enumerate(benchmark_blocks(benchmark, window=window)):
         if k and k % BLOCKS_AT_ONCE == 0:
             found = materialize(found)
         found = found.mapInArrow(_scanner(Patterns(block, window), at), schema)
