@@ -10,23 +10,27 @@ Before each shuffle a task combines its own rows: of equal hashes one goes on un
 recur, are spread evenly; so no key has more rows than there are chunks, whatever the copies. Sorted rows are then
 compared with their neighbours in constant memory.
 
+A text is named by its id, or where ids are repeated or null by a hash of id and text; so rows equal in both share one
+name. A task hashes such a text once and takes it as recurring, so that repeated rows cost no more than other ones.
+
 Defined results: a null or empty text has no words; texts shorter than WINDOW lose nothing; repeated rows are
-occurrences of their own, so that all copies lose what they share; a null id is told apart by its text; an empty table
-gives no rows; columns besides id and text are not read.
+occurrences of their own, so that all copies lose what they share, and so are rows of one id with different texts; an
+empty table gives no rows; columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.llm.common import fresh, materialize, pieces
+
 WINDOW = 35
 # A difference cover modulo 21.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -73,7 +77,7 @@ def _sums(h: np.ndarray, size: int) -> np.ndarray:
     return ((total[size:] - total[:-size]) >> np.uint64(32)).astype(np.int64)
 
 
-#: h: the hash. xp: 32 more bits of it, below the place. id. kv: what is known of the hash, above which of its id's texts it comes from.
+#: h: the hash. xp: 32 more bits of it, below the place. id: the text's name. kv: what is known of the hash, above the kind of the name.
 #: What varies from row to row stands together, so that the rest of a shuffled row packs into one repeat of the row before.
 _ROWS = "h bigint, xp bigint, id bigint, kv bigint"
 _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
@@ -84,12 +88,28 @@ ONE, FIRST, KNOWN = 0, 1, 2
 ANCHOR_MASK = np.uint64((1 << 48) - 1)
 
 
+#: What a text's name is: its id, which no other row has, or a hash of id and text, which equal rows share.
+BY_ID, BY_TEXT = 0, 1
+
+
 class _Chunks:
     """Collects rows and gives them combined, a chunk at a time, in the order in which they came."""
 
     def __init__(self):
         self.held: list[tuple[np.ndarray, ...]] = []
         self.n = 0
+        self.shared: dict[int, int] = {}  # texts named by hash, and where they are held
+        self.again: set[int] = set()
+
+    def has(self, id: int, version: int) -> bool:
+        """Whether the chunk has this text from an equal row; then all its rows recur, and are not needed again."""
+        if version == BY_ID:
+            return False
+        at = self.shared.setdefault(id, len(self.held))
+        if at == len(self.held):
+            return False
+        self.again.add(at)
+        return True
 
     def add(self, h: np.ndarray, x: np.ndarray, id: int, version: int, places: np.ndarray) -> None:
         self.held.append((h.view(np.int64), x, np.full(len(h), id, np.int64), np.full(len(h), version, np.int64), places.astype(np.int64)))
@@ -98,12 +118,14 @@ class _Chunks:
     def take(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
+        again = np.repeat([k in self.again for k in range(len(self.held))], [len(c[0]) for c in self.held])
         h, x, id, version, place = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        self.held, self.n = [], 0
+        self.held, self.n, self.shared, self.again = [], 0, {}, set()
         order = np.lexsort((x, h))
         same = np.r_[False, (h[order[1:]] == h[order[:-1]]) & (x[order[1:]] == x[order[:-1]])]
         kind = np.empty(len(h), np.int64)
         kind[order] = np.where(same, KNOWN, np.where(np.r_[same[1:], False], FIRST, ONE))
+        kind[again & (kind == ONE)] = FIRST
         known = kind == KNOWN  # need no hash any more; a document's go together
         h = np.where(known, (id.view(np.uint64) * _M1 >> np.uint64(20)).view(np.int64), h)
         xp = np.where(known, 0, x & LOW) | place << SHIFT
@@ -113,10 +135,10 @@ class _Chunks:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashed anchors of each text."""
     size, chunks = WINDOW - PERIOD + 1, _Chunks()
-    for batch in batches:
+    for batch in pieces(batches, 2):
         for id, version, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             words = split(text)
-            if len(words) < WINDOW:
+            if len(words) < WINDOW or chunks.has(id, version):
                 continue
             h = window_hashes(word_hashes(words), size)
             places = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(len(h)) % PERIOD])
@@ -126,22 +148,20 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from chunks.take()
 
 
-def _places(found: list[int] | None, version: int) -> np.ndarray:
-    """The places in one text, of those in all texts of an id."""
-    at = np.asarray(found or [], np.int64)
-    return np.sort((at & LOW)[at >> SHIFT == version])
+def _places(found: list[int] | None) -> np.ndarray:
+    return np.unique(np.asarray(found or [], np.int64))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full windows around the recurring anchors, which are the last column, of each text."""
     chunks = _Chunks()
-    for batch in batches:
+    for batch in pieces(batches, 2):
         columns = [batch.column(c).to_pylist() for c in (0, 1, 2, batch.num_columns - 1)]
         for id, version, text, anchors in zip(*columns, strict=True):
-            words, at = word_hashes(split(text)), _places(anchors, version)
-            n = len(words) - WINDOW + 1
-            if not len(at) or n < 1:
+            if not anchors or chunks.has(id, version):
                 continue
+            words, at = word_hashes(split(text)), _places(anchors)
+            n = len(words) - WINDOW + 1
             marks = np.zeros(n + 1, np.int32)
             np.add.at(marks, np.maximum(at - PERIOD + 1, 0), 1)
             np.add.at(marks, np.minimum(at + 1, n), -1)
@@ -176,25 +196,30 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _where_recurring(rows: DataFrame) -> DataFrame:
-    """``key`` and ``places`` (an array, with versions): where rows whose hash recurs come from."""
+    """``key``, ``version`` and ``places`` (an array): where rows whose hash recurs come from."""
     found = rows.repartition("h").sortWithinPartitions("h", F.col("xp").bitwiseAND(F.lit(LOW))).mapInArrow(_recurring, "id bigint, at bigint")
-    return found.groupBy(F.col("id").alias("key")).agg(F.collect_list("at").alias("places"))
+    version = F.shiftright("at", SHIFT).cast("int").alias("version")
+    return found.groupBy(F.col("id").alias("key"), version).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(LOW)).cast("int")).alias("places"))
 
 
 def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """A text's key (its id, or a hash where that is null), which of the texts of that key it is, the text, and the row."""
-    key = F.coalesce(F.col(f"`{id}`").cast("bigint"), F.xxhash64(f"`{text}`"))
+    """A text's name as ``key`` and ``version``, the text, and the row. Only ids are read to find those that are repeated."""
+    own, name = F.col(f"`{id}`").cast("bigint"), fresh(docs.columns, "_again")
+    # written first: with its size known, Spark broadcasts it if it is small
+    again = materialize(docs.select(own.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name))
+    rows = docs.join(again, own == F.col(name), "left")
+    shared = own.isNull() | F.col(name).isNotNull()
+    key, version = F.when(shared, F.xxhash64(own, f"`{text}`")).otherwise(own), F.when(shared, BY_TEXT).otherwise(BY_ID)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    version = F.dense_rank().over(Window.partitionBy("key").orderBy("text")) - 1
-    return docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"), row.alias("row")).select("key", version.alias("version"), "text", "row")
+    return rows.select(key.alias("key"), version.alias("version"), F.col(f"`{text}`").alias("text"), row.alias("row"))
 
 
 def _remover(into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             counts, removed, kept, spans = [], [], [], []
-            for version, text, places in zip(*(batch.column(c).to_pylist() for c in (1, 2, 4)), strict=True):
-                words, starts = split(text), _places(places, version)
+            for text, places in zip(*(batch.column(c).to_pylist() for c in (2, 4)), strict=True):
+                words, starts = split(text), _places(places)
                 cover, left, edges = np.zeros(len(words) + 1, np.int32), words, starts
                 if len(starts):
                     np.add.at(cover, starts, 1)
@@ -216,13 +241,13 @@ def _remover(into: str):
 def dedup_report(docs: DataFrame, id: str = "doc_id", text: str = "text", into: str = "_dedup") -> DataFrame:
     """``docs`` with one more column (or another in the place of one of its name): counts, the kept words joined by spaces, the removed spans.
 
-    The texts are shuffled once, by key; the anchors and both joins read that exchange.
+    The texts are shuffled once, by name; both joins read that exchange.
     """
     docs = docs.drop(into)
     texts = _texts(docs, id, text)
     anchors = _where_recurring(texts.mapInArrow(_anchors, _ROWS))
-    windows = _where_recurring(texts.join(anchors, "key").mapInArrow(_windows, _ROWS))
+    windows = _where_recurring(texts.join(anchors, ["key", "version"]).mapInArrow(_windows, _ROWS))
     report = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", T.ArrayType(T.IntegerType()))
     schema = T.StructType([T.StructField("text", texts.schema["text"].dataType), texts.schema["row"], T.StructField("report", report)])
-    done = texts.join(windows, "key", "left").mapInArrow(_remover("report"), schema)
+    done = texts.join(windows, ["key", "version"], "left").mapInArrow(_remover("report"), schema)
     return done.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns], F.col("report").alias(into))
