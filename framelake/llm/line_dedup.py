@@ -1,12 +1,18 @@
 """Line dedup by site-relative frequency, in DataFrame expressions only.
 
-The lines of a page are its text between block tags. For each host, the pages that contain a line are divided by the
-host's pages; a line on a larger share of them than the boilerplate ratio is dropped from all its pages. Counting is a
-grouped sum, so a host of a third of all pages costs no more than others; a host has fewer boilerplate lines than its
-mean lines a page over the ratio, and they meet the pages as one array a host.
+The lines of a page are its text between block tags. For each host, the distinct pages that contain a line are divided
+by the host's distinct pages; a line on ``MIN_PAGES`` of them at least and on a share above ``MAX_RATIO`` is dropped
+from all its pages. Pages with the same lines in the same order count once, so copies of a page are no evidence against
+its text. On a host of under ``MIN_PAGES / MAX_RATIO`` pages the number of pages decides, on larger ones the share; a
+host of fewer distinct pages than ``MIN_PAGES`` loses nothing.
 
-Lines are compared within a host by 64-bit hash. Defined results: null or empty html has no lines; a page without host
-keeps all its lines; repeated rows are pages of their own; an empty table gives no rows; other columns are not read.
+Counting is a grouped sum, so a host of a third of all pages costs no more than others. The boilerplate lines have a
+row each and meet the pages' lines, exploded to hashes and places, in a join by host and line, which Spark can
+broadcast or split; what comes back to a page is the places of its dropped lines.
+
+Lines are compared within a host by 64-bit hash, pages by a hash of theirs. Defined results: null or empty html has no
+lines; a page without host keeps all its lines; an unclosed script or style runs to the end of the page; repeated rows
+each get their lines; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from framelake.llm.common import WORD_GAP, materialize
 MAX_RATIO, MIN_PAGES = 0.01, 5
 
 # What is no text, what ends a line, and the remaining markup.
-UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+UNSEEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
 LINE_END = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 MARKUP = r"<[^>]*>"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)"
@@ -36,19 +42,24 @@ def host_of(url: Column) -> Column:
 
 
 def boilerplate(rows: DataFrame, ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host`` and ``fixed``, the hashes of its boilerplate lines, from rows of ``host`` and ``lines``."""
-    pages = rows.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages"))
-    hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))
-    seen = rows.where("host IS NOT NULL").select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    often = seen.where(F.col("n") >= min_pages).join(pages, "host").where(F.col("n") > ratio * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("line").alias("fixed"))
+    """``host`` and ``line``, the hash of a boilerplate line of it, from rows of ``host`` and ``hashes`` (of a page's lines)."""
+    distinct = rows.where("host IS NOT NULL").select("host", F.xxhash64("hashes").alias("page"), F.array_distinct("hashes").alias("lines")).dropDuplicates(["host", "page"])
+    pages = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    seen = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    return seen.join(pages, "host").where(F.col("n") > ratio * F.col("pages")).select("host", "line")
 
 
 def drop_boilerplate(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``id``, ``host``, ``n_lines``, ``n_dropped`` and the kept ``lines`` of each page."""
-    rows = materialize(pages.select(F.col(id).alias("id"), host_of(F.col(url)).alias("host"), page_lines(F.col(html)).alias("lines")))
-    # written first: with its size known, Spark broadcasts it if it is small, and else splits the join's large hosts
-    joined = rows.join(materialize(boilerplate(rows, ratio, min_pages)), "host", "left")
-    kept = F.when(F.col("fixed").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("fixed", F.xxhash64(x))))
-    n = F.size("lines").cast("bigint")
-    return joined.select("id", "host", n.alias("n_lines"), F.col("lines").alias("before"), kept.alias("lines")).select("id", "host", "n_lines", (F.col("n_lines") - F.size("lines")).alias("n_dropped"), "lines")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), host_of(F.col(url)).alias("host"), page_lines(F.col(html)).alias("lines"))
+    rows = materialize(rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))))
+    # written first: with its size known, Spark broadcasts it if it is small, and else splits the join's frequent lines
+    fixed = materialize(boilerplate(rows.select("host", "hashes"), ratio, min_pages))
+    places = rows.where("host IS NOT NULL").select("row", "host", F.posexplode("hashes").alias("at", "line"))
+    gone = places.join(fixed, ["host", "line"], "left_semi").groupBy("row").agg(F.collect_list("at").alias("gone"))
+    joined = rows.drop("hashes").join(materialize(gone), "row", "left")
+    n = F.size("lines")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone")), lambda k: F.get("lines", k))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left)
+    dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint")
+    return joined.select("id", "host", n.cast("bigint").alias("n_lines"), dropped.alias("n_dropped"), kept.alias("lines"))

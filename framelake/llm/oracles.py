@@ -5,7 +5,7 @@ Not here: token ids (3), the classifier (4), fingerprints and their closure (9).
 
 from __future__ import annotations
 
-from framelake.llm import line_dedup, mixing, quality_rules
+from framelake.llm import mixing, quality_rules
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,13 +34,16 @@ WARC_ZIP = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), s AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS d, min(page_id) OVER (PARTITION BY t) AS first FROM p)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM s"""
 
-LINE_DEDUP = f"""
-WITH p AS (SELECT page_id, nullif(lower(regexp_extract(coalesce(url, ''), '{line_dedup.HOST}', 1)), '') AS host,
-  regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.UNSEEN}', ' ', 'g'), '{line_dedup.LINE_END}', chr(10), 'g'), '{line_dedup.MARKUP}', '', 'g') AS t FROM pages),
-l AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM p),
+#: Its own patterns and values; those of the operator are not used.
+LINE_DEDUP = r"""
+WITH p AS (SELECT page_id, nullif(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)), '') AS host,
+  regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b.*?(</(script|style)\s*>|\z)', ' ', 'g'), '(?s)<!--.*?(-->|\z)', ' ', 'g') AS t FROM pages),
+q AS (SELECT page_id, host, regexp_replace(regexp_replace(t, '(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM p),
+l AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM q),
 e AS (SELECT page_id, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM l),
-h AS (SELECT host, count(*) AS pages FROM l WHERE host IS NOT NULL GROUP BY host),
-b AS (SELECT e.host, line FROM e JOIN h ON h.host = e.host GROUP BY e.host, line, pages HAVING count(DISTINCT page_id) >= {line_dedup.MIN_PAGES} AND count(DISTINCT page_id) > {line_dedup.MAX_RATIO} * pages),
+u AS (SELECT DISTINCT host, lines FROM l WHERE host IS NOT NULL),
+h AS (SELECT host, count(*) AS pages FROM u GROUP BY host),
+b AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM u) x JOIN h USING (host) GROUP BY host, line, pages HAVING count(*) >= 5 AND count(*) > 0.01 * pages),
 k AS (SELECT page_id, string_agg(e.line, chr(10) ORDER BY i) AS kept, count(*) AS n FROM e LEFT JOIN b ON b.host = e.host AND b.line = e.line WHERE b.line IS NULL GROUP BY page_id)
 SELECT l.page_id, l.host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN k ON k.page_id = l.page_id"""
 
@@ -96,8 +99,8 @@ qn AS (SELECT ref.ref, ref.word, coalesce(sum(wc.n), 0) / any_value(cr.n) AS q F
 pr AS (SELECT c.doc_id, qn.ref, qn.q, coalesce(wc.n, 0) / greatest(c.n_words, 1) AS p FROM c CROSS JOIN qn LEFT JOIN wc ON wc.doc_id = c.doc_id AND wc.word = qn.word),
 ps AS (SELECT doc_id, ref, sum({js("p", "q")}) AS part, greatest(1 - sum(p), 0) AS p, greatest(1 - sum(q), 0) AS q FROM pr GROUP BY doc_id, ref),
 dw AS (SELECT doc_id, min(sqrt(greatest((part + {js("p", "q")}) / 2, 0))) AS dist FROM ps GROUP BY doc_id),
-f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words >= {q.MIN_WORDS} AND dc.dist > {q.MAX_CHAR_DISTANCE}, false) AND NOT coalesce(n_words >= {q.MIN_COMMON_WORDS} AND dw.dist > {q.MAX_WORD_DISTANCE}, false) AS kept
+f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, lang IS NULL OR lang IN ({langs}) AS known FROM b)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(known AND n_words >= {q.MIN_WORDS} AND dc.dist > {q.MAX_CHAR_DISTANCE}, false) AND NOT coalesce(known AND n_words >= {q.MIN_COMMON_WORDS} AND dw.dist > {q.MAX_WORD_DISTANCE}, false) AS kept
 FROM f LEFT JOIN dc ON dc.doc_id = f.doc_id LEFT JOIN dw ON dw.doc_id = f.doc_id"""
 
 
