@@ -1,17 +1,22 @@
 """Quality classifier by co-training on two views: a text's content, and its page's metadata.
 
-The content view hashes words and counts bytes; the metadata view has language, source, length and layout. Each view
-has a logistic classifier fitted to labelled rows. Over ``ROUNDS`` rounds each labels the pool documents it is surest
-of for the other view, in the proportion of the classes. The views are then calibrated on labelled rows that none was
-fitted to, and combined as independent evidence: their log-odds are added and the prior's taken off once.
-
-Fitting reads a bounded sample, ``MAX_LABELLED`` labelled rows and a pool of ``MAX_POOL`` others, those with the least
-hashed ids; scoring covers all documents, in place. The models are a few thousand numbers, whatever the corpus.
+The content view hashes words and counts bytes. The metadata view has language, source, both together and the recorded
+length, and never reads the text. Each view has a logistic classifier fitted to labelled rows. Over ``ROUNDS`` rounds
+each view scores all documents outside the sample and gives the other one those that it is surest of, as pseudo-labels
+in the proportion of the classes: ``ADDED`` a round at most, and none below a confidence of ``SURE``. The views are then
+calibrated on labelled rows that none was fitted to, and combined as independent evidence: their log-odds are added and
+the prior's taken off once.
+
+The bounds of what is fitted: ``MAX_LABELLED`` labelled rows of documents that exist, half of either class if there are
+as many, those with the least hashed ids; and the pseudo-labels. Search for these and scoring cover all documents, in
+place: a task keeps its ``ADDED`` surest documents of each kind, and these few are merged. The models are a few thousand
+numbers, whatever the corpus. Margins are compared in steps of 0.001, then by id, so that reruns agree.
 
 Defined results: a null or empty text has a content view of zeros; null language, source and length have values of
-their own; rows with a null or repeated id are scored row by row; labels other than 0 and 1, or null, are not used; a
-document with contradictory labels counts once for each. Without ``MIN_CLASS`` rows of either class nothing can be
-learnt, and every score is the share of label 1, or 0.5 without labels. Other columns are not read.
+their own; rows with a null or repeated id are scored row by row; of rows with one id the least by text, language,
+source and length is fitted; labels other than 0 and 1, or null, are not used, nor are those of no document; a document
+with contradictory labels counts once for each. Without ``MIN_CLASS`` rows of either class nothing can be learnt, and
+every score is the share of label 1, or 0.5 without labels. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +27,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LABELLED, MAX_POOL, ROUNDS, ADDED, MIN_CLASS = 4000, 4000, 5, 200, 10
-WORD_BINS, META_BINS, HELD_OUT = 512, 64, 5
+from framelake.llm.common import pieces
+
+MAX_LABELLED, ROUNDS, ADDED, MIN_CLASS = 4000, 2, 200, 10
+#: The least probability, by the view's own classifier, of a pseudo-label.
+SURE = 0.9
+WORD_BINS, META_BINS, HELD_OUT = 512, 128, 5
 #: Documents are kept from this score on. Below one half, as a good document lost costs more than a poor one kept.
 KEEP_SCORE = 0.25
-_TEXT, _META = WORD_BINS + 256, META_BINS + 10
+#: Lengths are told apart in powers of two.
+LENGTHS = 24
+_TEXT, _META = WORD_BINS + 256, META_BINS + LENGTHS + 2
 
 
 def content_view(text: str | None) -> np.ndarray:
@@ -44,19 +55,17 @@ def content_view(text: str | None) -> np.ndarray:
     return np.sqrt(both).astype(np.float32)
 
 
-def metadata_view(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Hashed language and source, and numbers of length and layout."""
+def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Hashed language, source and both, and the recorded length: its power of two and its logarithm."""
     out = np.zeros(_META, np.float32)
-    for name, value in (("lang", lang), ("source", source)):
-        out[xxhash.xxh32_intdigest(f"{name}={value}".encode("utf-8", "surrogatepass")) % META_BINS] += 1
-    lines = (text or "").split("\n")
-    words = (text or "").split()
-    n, w = len(text or ""), max(1, len(words))
-    full = [x for x in lines if x]
-    out[META_BINS:] = (
-        np.log1p(n_chars or 0) / 10, n_chars is None, np.log1p(len(lines)) / 5, np.log1p(n / len(lines)) / 5, 1 - len(set(full)) / max(1, len(full)),
-        len(set(words)) / w, np.log1p(len(words)) / 10, n / w / 10, max(map(len, words), default=0) / 100 if words else 0, not words)
-    return np.minimum(out, 10)
+    for value in (f"lang={lang}", f"source={source}", f"both={lang}={source}"):
+        out[xxhash.xxh32_intdigest(value.encode("utf-8", "surrogatepass")) % META_BINS] += 1
+    if n_chars is not None:
+        n = max(0, n_chars)
+        out[META_BINS + min(n.bit_length(), LENGTHS - 1)] = 1
+        out[-2] = np.log1p(n) / 10
+    out[-1] = n_chars is None
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -121,76 +130,135 @@ class CoModel:
         return _sigmoid(one), _sigmoid(two), _sigmoid(one + two - self.prior)
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, added: int = ADDED) -> CoModel:
-    share = float(y.mean()) if len(y) else 0.5
-    prior = float(np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3))))
-    if min((y == 1).sum(), (y == 0).sum()) < MIN_CLASS:
-        return CoModel(None, None, ((1.0, 0.0), (1.0, 0.0)), prior)
-    held = np.arange(len(y)) % HELD_OUT == 0
-    views = [(text, pool_text), (meta, pool_meta)]
-    xs, ys, free = [v[~held] for v, _ in views], [y[~held], y[~held]], np.ones(len(pool_text), bool)
-    weights = [fit_logistic(x, t) for x, t in zip(xs, ys, strict=True)]
-    for _ in range(rounds):
-        picks = []
-        for k in (0, 1):
-            margin, at = logits(views[k][1], weights[k]), np.flatnonzero(free)
-            order = at[np.argsort(margin[at], kind="stable")]
-            low, high = round(added * (1 - share)), round(added * share)
-            picks.append((np.r_[order[:low], order[max(low, len(order) - high) :]], np.r_[np.zeros(len(order[:low])), np.ones(len(order[max(low, len(order) - high) :]))]))
-        for k, (rows, labels) in enumerate(picks):
-            other = 1 - k
-            xs[other], ys[other] = np.r_[xs[other], views[other][1][rows]], np.r_[ys[other], labels]
-            free[rows] = False
-        weights = [fit_logistic(x, t) for x, t in zip(xs, ys, strict=True)]
-    margins = [logits(v[held], w) for (v, _), w in zip(views, weights, strict=True)]
-    return CoModel(*weights, tuple(_platt(m, y[held]) for m in margins), prior)
+Examples = tuple[list[np.ndarray], list[np.ndarray]]
+
+
+def surest(margin: np.ndarray, ids: np.ndarray, most: int, sure: float = SURE) -> tuple[list[int], list[int]]:
+    """Rows of the lowest and of the highest margins, ``most`` at most and each at least as sure as ``sure``; ties by id."""
+    step, floor = np.round(margin, 3), np.log(sure / (1 - sure))
+    up, down = np.lexsort((ids, -step))[:most], np.lexsort((ids, step))[:most]
+    return [int(k) for k in down if step[k] <= -floor], [int(k) for k in up if step[k] >= floor]
+
+
+def fit_views(labelled: Examples, y: np.ndarray, pseudo: list[tuple[int, np.ndarray, float]]) -> list[np.ndarray]:
+    """Both views' weights from the labelled rows and the pseudo-labels (view, features, label)."""
+    found = []
+    for view, rows in enumerate(labelled):
+        own = [(x, label) for k, x, label in pseudo if k == view]
+        found.append(fit_logistic(np.stack([*rows, *(x for x, _ in own)]), np.r_[y, [label for _, label in own]]))
+    return found
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     rows = list(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True))
     text = np.stack([content_view(r[0]) for r in rows]) if rows else np.zeros((0, _TEXT), np.float32)
-    return text, np.stack([metadata_view(*r) for r in rows]) if rows else np.zeros((0, _META), np.float32)
+    return text, np.stack([metadata_view(*r[1:]) for r in rows]) if rows else np.zeros((0, _META), np.float32)
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded text and of 1,000 rows at most."""
+    for batch in pieces(batches, 1):
+        for at in range(0, batch.num_rows, 1000):
+            yield batch.slice(at, 1000)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text, meta = _views(batch)
-        packed = [pa.array([r.tobytes() for r in view], pa.binary()) for view in (text, meta)]
+    for batch in _small(batches):
+        packed = [pa.array([r.tobytes() for r in view], pa.binary()) for view in _views(batch)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *packed], ["id", "text", "meta"])
 
 
+def _candidates(weights: list[np.ndarray], most: tuple[int, int]):
+    """A task's surest documents: view, label, the margin's step and id, in the order of certainty within a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[(np.zeros(0), np.zeros(0, np.int64)) for _ in (0, 1)] for _ in (0, 1)]
+        for batch in _small(batches):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for view, x in enumerate(_views(batch)):
+                margin = logits(x, weights[view])
+                for label, rows in enumerate(surest(margin, ids, max(most))):
+                    m, i = (np.r_[a, b] for a, b in zip(held[view][label], (margin[rows], ids[rows]), strict=True))
+                    keep = surest(m, i, most[label])[label]
+                    held[view][label] = m[keep], i[keep]
+        rows = [(view, label, round(float(m), 3), int(i)) for view in (0, 1) for label in (0, 1) for m, i in zip(*held[view][label], strict=True)]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], ["view", "label", "margin", "id"])
+
+    return run
+
+
 def _inputs(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoModel:
-    """Co-trains on the sample; only its ids and feature rows reach the driver."""
+def _best(found: DataFrame, most: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """Of all tasks' candidates the surest: view, label and id. Each id is taken once a view and label."""
+    margin = F.when(F.col("label") == 1, -F.col("margin")).otherwise(F.col("margin"))
+    rank = F.row_number().over(Window.partitionBy("view", "label").orderBy("m", "id"))
+    once = found.groupBy("view", "label", "id").agg(F.min(margin).alias("m"))
+    # a row_number with a bound: Spark keeps the first rows of each task's share before it shuffles
+    kept = once.withColumn("k", rank).where(f"k <= {max(most)}").where(f"k <= IF(label = 1, {most[1]}, {most[0]})")
+    return sorted((r["view"], r["label"], r["id"]) for r in kept.collect())
+
+
+def _features_of(inputs: DataFrame, ids: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Both views of a bounded list of ids; of a repeated id, of its least row."""
+    if not ids:
+        return {}
+    wanted = inputs.sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
+    rows = inputs.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("id", "r.*")
+    return {r["id"]: (np.frombuffer(r["text"], np.float32), np.frombuffer(r["meta"], np.float32)) for r in rows.mapInArrow(_feature_rows, "id bigint, text binary, meta binary").collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, added: int = ADDED) -> CoModel:
+    """Co-trains on the sample and the pseudo-labels; only their ids and features reach the driver."""
+    inputs = _inputs(docs, id, text).where("id IS NOT NULL")
+    known = labels.select(F.col(id).cast("bigint").alias("id"), F.col(label).cast("double").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").distinct()
+    known = known.join(inputs.select("id"), "id", "left_semi")
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    pos, neg = counts.get(1.0, 0), counts.get(0.0, 0)
+    share = pos / (pos + neg) if pos + neg else 0.5
+    clipped = min(max(share, 1e-3), 1 - 1e-3)
+    prior = float(np.log(clipped / (1 - clipped)))
+    if min(pos, neg) < MIN_CLASS:
+        return CoModel(None, None, ((1.0, 0.0), (1.0, 0.0)), prior)
     order = F.xxhash64("id", F.lit(7))
-    known = labels.select(F.col(id).cast("bigint").alias("id"), F.col(label).alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
-    chosen = known.orderBy(order, "id", "y").limit(max_labelled).collect()
-    ids = docs.select(F.col(id).cast("bigint").alias("id")).where("id IS NOT NULL")
-    pool = ids.join(known.select("id"), "id", "left_anti").orderBy(order, "id").limit(max_pool).collect()
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(r["id"], float(r["y"])) for r in chosen] + [(r["id"], -1.0) for r in pool], "id bigint, y double").distinct()
-    found = _inputs(docs, id, text).join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi").mapInArrow(_feature_rows, "id bigint, text binary, meta binary")
-    rows = {r["id"]: (np.frombuffer(r["text"], np.float32), np.frombuffer(r["meta"], np.float32)) for r in found.orderBy("id").toLocalIterator()}
-    fitted = [(rows[r["id"]], r["y"]) for r in chosen if r["id"] in rows]
-    others = [rows[r["id"]] for r in pool if r["id"] in rows]
-    stack = lambda xs, n: np.stack(xs) if xs else np.zeros((0, n), np.float32)
-    return cotrain(
-        stack([v[0] for v, _ in fitted], _TEXT), stack([v[1] for v, _ in fitted], _META), np.array([y for _, y in fitted], np.float64),
-        stack([v[0] for v in others], _TEXT), stack([v[1] for v in others], _META))
+    few = min(pos, neg, max_labelled // 2)  # what one class lacks the other one has
+    most = {1.0: few if pos <= neg else max_labelled - few, 0.0: few if neg < pos else max_labelled - few}
+    chosen = [(r["id"], r["y"]) for y, n in most.items() for r in known.where(F.col("y") == y).orderBy(order, "id").limit(n).collect()]
+    chosen.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), x))
+    rows = _features_of(inputs, sorted({i for i, _ in chosen}))
+    y = np.array([v for _, v in chosen])
+    most_drawn = {v: int((y == v).sum()) for v in (0.0, 1.0)}
+    held = np.arange(len(y)) % HELD_OUT == 0
+    views = [np.stack([rows[i][k] for i, _ in chosen]) for k in (0, 1)]
+    train = [list(v[~held]) for v in views]
+    used, pseudo = {i for i, _ in chosen}, []
+    weights = fit_views(train, y[~held], pseudo)
+    most = round(added * (1 - share)), round(added * share)
+    for _ in range(rounds):
+        left = inputs.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(used)], "id bigint")), "id", "left_anti")
+        found = left.mapInArrow(_candidates(weights, most), "view int, label int, margin double, id bigint")
+        best = _best(found, most)
+        rows = _features_of(inputs, sorted({i for _, _, i in best}))
+        pseudo += [(1 - view, rows[i][1 - view], float(one)) for view, one, i in best]
+        used |= set(rows)
+        if not best:
+            break
+        weights = fit_views(train, y[~held], pseudo)
+    drawn = float(np.log(most_drawn[1.0] / most_drawn[0.0]))  # the sample's own prior, which calibration on it has taken in
+    fits = [_platt(logits(v[held], w), y[held]) for v, w in zip(views, weights, strict=True)]
+    return CoModel(*weights, tuple((a, b + prior - drawn) for a, b in fits), prior)
 
 
 def score(docs: DataFrame, model: CoModel, id: str = "doc_id", text: str = "text", threshold: float = KEEP_SCORE) -> DataFrame:
     """``id``, ``p_text``, ``p_meta``, ``score`` and ``kept`` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                one, two, both = model.score(*_views(part))
-                arrays = [part.column(0), *(pa.array(p, pa.float64()) for p in (one, two, both)), pa.array(both >= threshold)]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "p_text", "p_meta", "score", "kept"])
+        for part in _small(batches):
+            one, two, both = model.score(*_views(part))
+            arrays = [part.column(0), *(pa.array(p, pa.float64()) for p in (one, two, both)), pa.array(both >= threshold)]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "p_text", "p_meta", "score", "kept"])
 
     return _inputs(docs, id, text).mapInArrow(run, "id bigint, p_text double, p_meta double, score double, kept boolean")
