@@ -1,17 +1,17 @@
 """WARC records in ZIP packages, written by partition and read back by range, without extraction.
 
 A package holds two stored members: ``archive/data.warc.gz``, a run of gzipped records, and ``indexes/index.jsonl``,
-a line a record with its offset and length in that member. A reader takes the package's directory from its end, then
-the index, then each record by its range. Of records with equal payloads the one with the smallest page id is a
+a line a record with its member, offset and length in that. A reader takes the package's directory from its end, then
+all members below ``indexes/``, then each record by its range; so it reads packages of other names for members too. Of records with equal payloads the one with the smallest page id is a
 response and the others revisit it: their block is the HTTP header alone, which still tells the payload's length, and
 the record header its digest.
 
 Packages are written by tasks to a shared folder, each under a name of its own attempt; the returned list names only
-those of attempts that ended well. A package is closed at ``PACKAGE_BYTES``, so its index fits in memory.
+those of attempts that ended well. A package is closed at ``PACKAGE_BYTES`` or ``PACKAGE_RECORDS``, so its index fits in memory.
 
 Defined results: a null payload is empty; empty payloads are equal payloads like any other; a null id is never the
 smallest, and a group of payloads without ids has no revisits; repeated ids make records of their own, alike
-response or revisit; an empty table gives no packages; other columns are not read.
+response or revisit, and share their record id; an empty table gives no packages; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialize
+from framelake.llm.common import PIECE_BYTES, materialize, pieces
 from framelake.llm.zip_archive import members, read_range, stored_at
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
-PACKAGE_BYTES = 512 << 20
+PACKAGE_BYTES, PACKAGE_RECORDS = 512 << 20, 50_000
+#: Index lines that a task hands on at once.
+SLICE = 5000
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -83,7 +85,7 @@ class _Package:
     def add(self, record: bytes, page_id: int | None, url: str | None) -> None:
         packed = gzip.compress(record, LEVEL, mtime=0)
         self.data.write(packed)
-        self.index.append(json.dumps({"id": page_id, "url": url, "offset": self.offset, "length": len(packed)}))
+        self.index.append(json.dumps({"id": page_id, "url": url, "filename": DATA.rpartition("/")[2], "offset": self.offset, "length": len(packed)}))
         self.offset += len(packed)
 
     def close(self) -> None:
@@ -97,14 +99,14 @@ def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         package, name = None, ""
-        for batch in batches:
+        for batch in pieces(batches, 2):
             done = []
             for page_id, url, html, first, revisit in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if package is None:
                     name = f"{uuid.uuid4().hex}.wacz"
                     package = _Package(fs, f"{path}/{name}")
                 package.add(warc_record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), first, revisit), page_id, url)
-                if package.offset >= PACKAGE_BYTES:
+                if package.offset >= PACKAGE_BYTES or len(package.index) >= PACKAGE_RECORDS:
                     package.close()
                     done.append((name, len(package.index)))
                     package = None
@@ -144,20 +146,26 @@ _ENTRIES = "package string, id bigint, url string, start bigint, length bigint"
 def _indexer(folder: str):
     """Reads each package's directory and index: where in the package every record lies."""
 
+    def entries(name: str, archives: dict[str, int], lines: list[dict]) -> pa.RecordBatch:
+        starts = [archives[x["filename"]] + int(x["offset"]) for x in lines]
+        columns = [[name] * len(lines), [x.get("id") for x in lines], [x.get("url") for x in lines], starts, [int(x["length"]) for x in lines]]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _ENTRIES.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with fs.open_input_file(f"{path}/{name}") as source:
-                    found = {m.name: m for m in members(source, source.size())}
-                    base = stored_at(source, found[DATA])
-                    index = read_range(source, stored_at(source, found[INDEX]), found[INDEX].size)
-                    if zlib.crc32(index) != found[INDEX].crc:
-                        raise ValueError(f"{name}: broken index")
-                lines = [json.loads(x) for x in index.decode().split("\n") if x]
-                columns = [[name] * len(lines), [x["id"] for x in lines], [x["url"] for x in lines], [base + x["offset"] for x in lines], [x["length"] for x in lines]]
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _ENTRIES.split(", ")])
+                    held = members(source, source.size())
+                    archives = {m.name.rpartition("/")[2]: stored_at(source, m) for m in held if m.name.startswith("archive/")}
+                    indexes = [(m, read_range(source, stored_at(source, m), m.size)) for m in held if m.name.startswith("indexes/")]
+                for m, index in indexes:
+                    if zlib.crc32(index) != m.crc:
+                        raise ValueError(f"{name}: broken index {m.name}")
+                    lines = [x for x in index.split(b"\n") if x.strip()]
+                    for at in range(0, len(lines), SLICE):
+                        yield entries(name, archives, [json.loads(x) for x in lines[at : at + SLICE]])
 
     return run
 
@@ -168,11 +176,16 @@ _RECORDS = "page_id bigint, url string, record_type string, payload_digest strin
 def _reader(folder: str, payloads: bool):
     number = lambda uri: int(x) if (x := uri.strip("<>").rpartition(":")[2]) else None
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = [c.split()[0] for c in _RECORDS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         open_, source = "", None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for name, url, start, length in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
                 if name != open_:
                     if source is not None:
@@ -185,9 +198,11 @@ def _reader(folder: str, payloads: bool):
                     raise ValueError(f"{name}: the payload at {start} does not match its digest")
                 refers = number(warc["warc-refers-to"]) if kind == "revisit" else None
                 rows.append((number(warc["warc-record-id"]), url, kind, digest, size, refers, record["payload"] if payloads and kind == "response" else None))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-            names = [c.split()[0] for c in _RECORDS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+                held += len(record["payload"]) if payloads else 0
+                if held >= PIECE_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
+            yield out(rows)
         if source is not None:
             source.close()
 
