@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialize
+from framelake.llm.common import discard, materialize
 
 
 def _parents(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = materialize(large)
         least = large.join(_parents(large), F.col("hi") == F.col("node"))
         small = least.select("hi", F.col("parent").alias("lo")).union(least.where("lo != parent").select(F.col("lo").alias("hi"), F.col("parent").alias("lo")))
-        now = materialize(small.distinct())
+        before, now = now, materialize(small.distinct())
+        discard(before, large)
         many = now.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1")
         chained = now.select(F.col("lo").alias("hi")).join(now.select("hi"), "hi", "left_semi")
         if many.isEmpty() and chained.isEmpty():
