@@ -1,11 +1,15 @@
 import base64
+import gzip
 import hashlib
 import io
+import json
+import time
 import zipfile
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -45,6 +49,30 @@ def test_records_round_trip_in_order(spark, documents):
     assert token_records.read_records(spark, empty).collect() == []
 
 
+def test_what_a_task_holds_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(common, "PIECE_BYTES", 100)
+    texts = ["x" * 60, None, "y" * 60, "", "z" * 500, "w", "é" * 30]
+    batch = pa.RecordBatch.from_pylist([{"id": i, "text": t} for i, t in enumerate(texts)])
+    parts = list(common.pieces([batch.slice(0, 0), batch], 1))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert len(parts) > 2 and all(sum(len((t or "").encode()) for t in p.column(1).to_pylist()[1:]) <= 100 for p in parts)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("sc", (), {"getCheckpointDir": staticmethod(lambda: type("none", (), {"isEmpty": staticmethod(lambda: True)}))}))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_broken_frames_are_noticed():
     data = token_records.frame(b"payload")
     assert token_records.read_frame(io.BytesIO(data)) == b"payload" and token_records.read_frame(io.BytesIO(b"")) is None
@@ -79,6 +107,22 @@ def test_directories_with_and_without_zip64(monkeypatch, limit):
 PAGES = [(3, "http://a", "x"), (1, "http://é b", "x"), (2, None, None), (7, "u", ""), (None, "u", "x"), (9, "q", "zé"), (9, "q", "zé"), (None, None, "w"), (None, None, "w"), (10, "v", "long " * 20_000)]
 
 
+def test_packages_are_closed_by_records_and_other_names_are_read(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc_zip, "PACKAGE_RECORDS", 3)
+    monkeypatch.setattr(warc_zip, "SLICE", 2)
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(10)], "page_id bigint, url string, html string").coalesce(1)
+    folder = common.shared_dir(spark)
+    assert sorted(r.records for r in warc_zip.write_packages(pages, folder).collect()) == [1, 3, 3, 3]
+    assert sorted(r.page_id for r in warc_zip.read_packages(spark, folder).collect()) == list(range(10))
+    records = [gzip.compress(warc_zip.warc_record(i, "u", b"x" * i, None, False)) for i in range(4)]
+    line = lambda name, at, data: json.dumps({"filename": name, "offset": at, "length": len(data)})
+    files = {"archive/a.warc.gz": records[0] + records[1], "archive/b.warc.gz": records[2] + records[3], "indexes/one.jsonl": "\n".join([line("a.warc.gz", 0, records[0]), line("a.warc.gz", len(records[0]), records[1])]).encode(),
+             "indexes/two.jsonl": "\n".join([line("b.warc.gz", 0, records[2]), line("b.warc.gz", len(records[2]), records[3])]).encode()}
+    (tmp_path / "x.zip").write_bytes(packed(files).getvalue())
+    got = warc_zip.read_packages(spark, f"file://{tmp_path}", spark.createDataFrame([("x.zip",)], "package string")).collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in got) == [(i, b"x" * i) for i in range(4)]
+
+
 def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc_zip, "PACKAGE_BYTES", 300)
     pages = spark.createDataFrame([(*p, 1) for p in PAGES], "page_id bigint, url string, html string, first int")
@@ -149,6 +193,42 @@ def test_class_names_never_drop_what_holds_the_article(spark):
     assert got == {1: "T\nx", 2: "y", 3: "z"}
 
 
+ARTICLE = "<nav>n %s</nav><article><div class=head><h1>Same title</h1></div><p>lead %s</p><p class=notice>%s</p><div class='related-work'><p>%s</p></div><div class=subscribe-box><p>Get our letter</p></div><div class=comments>c %s</div></article>"
+
+
+def test_the_wrapper_decides_within_an_article(spark):
+    """Marked elements of an article are template where they hardly vary over distinct pages, content where they vary; plain ones are content."""
+    rows = [(i, f"http://one.org/{i}", ARTICLE % (i, i, f"note {i}", f"work {i}", i)) for i in range(6)]
+    rows += [(10 + i, f"http://two.org/{i}", ARTICLE % (i, i, "Read this", f"work {i}", i)) for i in range(6)]
+    rows += [(20, "http://few.org/", ARTICLE % (1, 1, "Read this", "work 1", 1))]
+    rows += [(30 + i, "http://near.org/", ARTICLE % (i, 1, "Read this", "work 1", 1)) for i in range(5)]  # one article, other menus
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.main_text.split("\n") for r in html_extract.main_text(pages).collect()}
+    assert got[3] == ["Same title", "lead 3", "note 3", "work 3"] and got[13] == ["Same title", "lead 3", "work 3"]
+    whole = ["Same title", "lead 1", "Read this", "work 1", "Get our letter"]
+    assert got[20] == whole and all(got[30 + i] == whole for i in range(5))
+
+
+def test_wide_and_deep_pages_are_matched_in_time():
+    wide = [html_extract.skeleton(parse("<body>" + f"<{a}>x</{a}><{b}>y</{b}>" * 10_000)) for a, b in (("p", "h2"), ("h2", "p"))]
+    began = time.time()
+    html_extract.fold(*wide)
+    assert len(html_extract.align(*wide)) == 4 and time.time() - began < 5
+    deep = html_extract.skeleton(parse("<div>" * 5000 + "x"))
+    html_extract.fold(deep, html_extract.skeleton(parse("<div>" * 4000 + "y")))
+    assert len(html_extract.align(deep, deep)) == html_extract.MAX_DEPTH + 1
+    many = html_extract.skeleton(parse("<body>"))
+    for i in range(200):
+        html_extract.fold(many, html_extract.skeleton(parse("".join(f"<div class={chr(97 + i % 26)}{chr(97 + k)}><p>x</p></div>" for k in range(i % 26 + 1)))))
+    assert sum(1 for _ in many.walk()) <= html_extract.MAX_NODES
+
+
+def test_a_page_that_is_all_template_keeps_its_text(spark):
+    pages = spark.createDataFrame([(i, "http://host.org/", f"<div>Frame</div><p>{'own ' + str(i) if i else ''}</p>") for i in range(5)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.main_text for r in html_extract.main_text(pages).collect()}
+    assert got == {0: "Frame"} | {i: f"own {i}" for i in range(1, 5)}
+
+
 def test_a_host_of_many_layouts_is_folded_in_parts(spark):
     page = lambda i: f"<div>Site name</div>{''.join(f'<{t}>a {i} {k}</{t}>' for k, t in enumerate('p h2 p h3 pre dl'.split()) if i >> k & 1)}<p>own {i}</p>"
     pages = spark.createDataFrame([(i, "http://host.org/", page(i)) for i in range(64)], "page_id bigint, url string, html string")
@@ -172,6 +252,11 @@ def test_boilerplate_lines_match_brute_force(spark):
     for i in range(40):
         assert got[i] == (4, 1, [f"top {i % 3}", f"story {i}", f"story {i}"])
     assert got[90] == (1, 0, ["menu"]) and got[91] == (0, 0, []) and got[92] == (1, 0, ["menu"])
+    copies = pages.union(pages.where("page_id = 0")).union(pages.where("page_id = 0"))  # rows of one page are no evidence
+    rows = line_dedup.drop_boilerplate(copies, ratio=0.5, min_pages=3).where("id = 0").collect()
+    assert [(r.n_lines, r.n_dropped) for r in rows] == [(4, 1)] * 3
+    odd = spark.createDataFrame([(i, "http://o.org", f"<p>same</p><p>own {i}</p><script>leak {i}") for i in range(4)], "page_id bigint, url string, html string")
+    assert sorted(r.lines for r in line_dedup.drop_boilerplate(odd, ratio=0.5, min_pages=3).collect()) == [[f"own {i}"] for i in range(4)]
     assert line_dedup.drop_boilerplate(pages.where("false")).collect() == []
 
 
@@ -185,6 +270,35 @@ def test_cotraining_reaches_held_out_accuracy(spark):
     assert cotraining.score(docs, model).count() == docs.count()
 
 
+def test_pseudo_labels_are_the_surest_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(5)
+    weights = [rng.normal(0, 3, n + 1).astype(np.float32) for n in (cotraining._TEXT, cotraining._META)]
+    most = (5, 9)
+    inputs = cotraining._inputs(docs, "doc_id", "text")
+    got = cotraining._best(inputs.repartition(5).mapInArrow(cotraining._candidates(weights, most), "view int, label int, margin double, id bigint"), most)
+    want = []
+    for view in (0, 1):
+        margins = []
+        for r in docs.collect():
+            x = cotraining.content_view(r.text) if view == 0 else cotraining.metadata_view(r.lang, r.source, r.n_chars)
+            margins.append((round(float(cotraining.logits(x[None], weights[view])[0]), 3), r.doc_id))
+        floor = np.log(9)
+        want += [(view, 0, i) for m, i in sorted(margins)[:5] if m <= -floor] + [(view, 1, i) for m, i in sorted((-m, i) for m, i in margins)[:9] if -m >= floor]
+    assert got == sorted(want) and got
+
+
+def test_cotraining_is_the_same_for_any_partitioning_and_takes_repeated_ids(spark, documents):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(10, 0), (9999, 1), (200, 1), (201, 0)], "doc_id bigint, quality int")
+    runs = [cotraining.fit(d, labels, rounds=1, added=10) for d in (documents, documents.repartition(7))]
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip((runs[0].text, runs[0].meta), (runs[1].text, runs[1].meta), strict=True))
+    rows = cotraining.score(documents, runs[0]).collect()
+    assert len(rows) == documents.count() and len({r.score for r in rows if r.id == 10}) <= 3 and all(0 <= r.score <= 1 for r in rows)
+    none = documents.where("false")
+    assert cotraining.score(none, cotraining.fit(none, labels)).collect() == []
+
+
 def test_nothing_to_learn_from(spark, documents):
     none = spark.createDataFrame([(1, None), (2, 5), (None, 1)], "doc_id bigint, quality int")
     got = cotraining.score(documents, cotraining.fit(documents, none)).collect()

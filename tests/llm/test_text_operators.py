@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -42,6 +43,30 @@ def test_quality_rejects_what_is_far_from_every_language(spark):
     assert sorted(r.doc_id for r in quality_rules.keep_good(df).collect()) == list(range(20))
 
 
+def test_quality_leaves_other_languages_to_the_base_rules(spark):
+    text = lambda i: " ".join("the river of stone and the light in a garden that is to be for it on the hill".split() * 3 + [f"word{chr(97 + k % 26)}{chr(97 + i)}{chr(97 + k // 26)}" for k in range(200)])
+    odd = " ".join(f"слово{chr(0x430 + k % 26)}{chr(0x430 + k // 26)}" for k in range(200))
+    rows = [(i, text(i), "en") for i in range(20)] + [(90, odd, "ru"), (91, odd, "en"), (92, odd, None), (93, "слово", "ru")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r._quality for r in quality_rules.quality_report(df).collect()}
+    assert got[90].kept and got[90].char_distance is None and not got[91].kept and not got[92].kept and not got[93].kept
+    trusted = quality_rules.language_references(df.where("doc_id < 20"))
+    junk = df.where("doc_id IN (5, 91)")  # references of a trusted corpus judge a corpus of junk
+    assert {r.doc_id: r._quality.kept for r in quality_rules.quality_report(junk, references=trusted).collect()} == {5: True, 91: False}
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_repeated_windows_by_both_ways(spark, monkeypatch, few):
+    monkeypatch.setattr(quality_rules, "FEW", few)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefghij"[: 2 + i % 9]) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    for r in quality_rules.quality_report(df, references={}).collect():
+        w = words(r.text)
+        seen = Counter(zip(w, w[1:], w[2:]))
+        assert r._quality.n_repeat_words == len({k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(i, i + 3)})
+
+
 def test_quality_expressions_hold_no_python(documents):
     plan = quality_rules.quality_report(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -86,7 +111,8 @@ def test_near_duplicates_match_brute_force(documents):
     assert ids.count(None) == 2 and {100, 101, 102, 200, 201}.isdisjoint(ids) and ids.count(10) == 1 and 400 in ids and 401 not in ids
 
 
-def test_large_groups_are_dealt_again_without_losing_links(spark):
+@pytest.mark.parametrize("many", [8, 2])
+def test_large_groups_are_dealt_again_without_losing_links(spark, many):
     rng = np.random.default_rng(1)
     prints = set()
     for x in rng.integers(0, 2**63, 10):
@@ -95,7 +121,7 @@ def test_large_groups_are_dealt_again_without_losing_links(spark):
             for k in rng.integers(0, 64, rng.integers(0, 6)):
                 y ^= 1 << int(k)
             prints.add(y - 2**64 if y >= 2**63 else y)
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in prints], "fp bigint"), many=8)
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in prints], "fp bigint"), many=many)
     assert all(((r.a ^ r.b) % 2**64).bit_count() <= 3 for r in links.collect())
     root = {r.node: r.root for r in connected_components(links, "a", "b").collect()}
     order = sorted(prints)
@@ -127,6 +153,16 @@ def test_repeated_passages_match_brute_force(documents, monkeypatch, chunk):
         assert sum(b - a for a, b in zip(r._dedup.spans[::2], r._dedup.spans[1::2], strict=True)) == len(gone)
 
 
+@pytest.mark.parametrize("chunk", [300, 1_000_000])
+def test_repeated_rows_cost_no_more_than_others(spark, prose, monkeypatch, chunk):
+    """Equal rows, also without id, and different texts of one id; each row loses what it shares with any other."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+    a, b, c, d = (" ".join(prose(s, 120)) for s in (1, 2, 3, 4))
+    rows = [(7, a)] * 500 + [(8, a + " x " + b)] + [(None, c)] * 3 + [(9, b), (9, d), (9, None)]
+    got = substring_dedup.dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r._dedup.n_words, r._dedup.n_removed) for r in got) == Counter({(7, 120, 120): 500, (8, 241, 240): 1, (None, 120, 120): 3, (9, 120, 120): 1, (9, 120, 0): 1, (9, 0, 0): 1})
+
+
 def test_the_cover_aligns_any_two_places():
     d = substring_dedup.COVER
     assert all(any((i + k) % 21 in d and (j + k) % 21 in d for k in range(21)) for i in range(21) for j in range(21))
@@ -172,6 +208,18 @@ def test_contamination_matches_brute_force(spark, documents, prose, monkeypatch,
     assert 3 not in [r.doc_id for r in decontaminate.drop_contaminated(documents, bench).collect()]
 
 
+def test_long_items_are_cut_without_losing_windows(spark, prose, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    item = prose(5, 700)
+    bench = spark.createDataFrame([("long", " ".join(item)), ("short", "only three words")], "item_id string, text string")
+    blocks = list(decontaminate.benchmark_blocks(bench))
+    assert len(blocks) > 5 and {n for block in blocks for n, _ in block} == {"long", "short"}
+    windows = lambda w: {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
+    assert set().union(*(windows(w) for block in blocks for n, w in block if n == "long")) == windows([w.encode() for w in item])
+    docs = spark.createDataFrame([(i, " ".join(["own", *item[i : i + 10], "end"])) for i in range(0, 690, 23)], "doc_id bigint, text string")
+    assert all((r._hits.n_hit, r._hits.n_items) == (10, 1) for r in decontaminate.contamination_report(docs, bench).collect())
+
+
 def test_a_benchmark_beyond_the_bound_is_refused(spark, documents, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BYTES", 10)
     with pytest.raises(ValueError):
