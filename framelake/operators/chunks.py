@@ -40,7 +40,7 @@ def flc_chunks_of(data: bytes) -> Iterator[tuple]:
 
 
 def _rows(walker, schema: str):
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
     fields = [c.split() for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,24 +68,35 @@ def top_chunks(census: DataFrame, k: int = 4) -> DataFrame:
     return census.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def payloads(media: DataFrame, chunks: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """The payloads of some types of chunk. Only ids are joined to the contents, by path."""
-    wanted = chunks.where(F.col("type_name").isin(*types))
-    return wanted.join(media.select("path", "content"), "path").select(*chunks.columns, F.substring("content", F.col("payload_offset").cast("int") + 1, F.col("payload_size").cast("int")).alias("payload"))
+def payloads(media: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """The sub-chunks of some types with their payloads, cut out where the content lies."""
+    codes = {name: code for code, name in CHUNK_NAMES.items()}
+    wanted = {codes.get(t, int(t.removeprefix("type_")) if t.startswith("type_") else -1) for t in types}
 
+    def walker(data: bytes) -> Iterator[tuple]:
+        for *place, at, size in flc_chunks_of(data):
+            if place[2] in wanted:
+                yield *place, at, size, data[at : at + size]
 
-IFF_CHUNKS = "path string, seq int, id string, payload_offset bigint, payload_size bigint"
+    schema = f"{CHUNKS}, payload binary"
+    rows = media.select("path", "content").mapInArrow(_rows(walker, schema), schema)
+    return rows.select("path", "frame_index", "seq", "type_code", chunk_name(F.col("type_code")).alias("type_name"), "payload_offset", "payload_size", "payload")
+
+
+#: ``head``: the first bytes of a payload, which hold the fields of all header chunks.
+IFF_CHUNKS = "path string, seq int, id string, payload_offset bigint, payload_size bigint, head binary"
+HEAD = 40
 #: Chunks that hold other chunks after a four-byte type.
 GROUPS = (b"FORM", b"LIST", b"CAT ")
 
 
 def iff_chunks_of(data: bytes) -> Iterator[tuple]:
-    """(seq, id, payload offset, payload size) of all chunks, groups before what they hold; chunks lie on even bytes."""
+    """(seq, id, payload offset, payload size, head) of all chunks, groups before what they hold; chunks lie on even bytes."""
     at, seq = 0, 0
     while at + 8 <= len(data):
         kind, size = data[at : at + 4], struct.unpack_from(">I", data, at + 4)[0]
         size = min(size, len(data) - at - 8)
-        yield seq, kind.decode("latin-1"), at + 8, size
+        yield seq, kind.decode("latin-1"), at + 8, size, data[at + 8 : at + 8 + min(size, HEAD)]
         seq += 1
         at += 12 if kind in GROUPS else 8 + size + size % 2
 
@@ -101,9 +112,8 @@ def iff_headers(media: DataFrame) -> DataFrame:
     relative time that isn't 0.
     """
     heads = iff_chunks(media).where(F.col("id").isin("BMHD", "ANHD", "INFO", "BODY", "DLTA"))
-    joined = heads.join(media.select("path", "content"), "path")
-    at, data = F.col("payload_offset"), F.col("content")
-    rows = joined.select(
+    at, data = 0, F.col("head")
+    rows = heads.select(
         "path", "seq", "id", u16be(data, at).alias("a"), u16be(data, at + 2).alias("b"), u16be(data, at + 4).alias("depth"), u16be(data, at + 6).alias("speed"),
         u16be(data, at + 8).alias("frames"), u8(data, at + 8).alias("planes"), u32be(data, at + 14).alias("reltime"))
     first = lambda c, *ids: F.min_by(c, F.when(F.col("id").isin(*ids), F.col("seq")))

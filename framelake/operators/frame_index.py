@@ -19,11 +19,10 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _prefix_sums(sizes: Column) -> Column:
-    """For each size the sum of those before it."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("all"))
-    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all"))
-    return F.aggregate(sizes, zero, step, lambda a: a["all"])
+def _before(part: list[str], order: str) -> Column:
+    """For each row the sum of the sizes before it: a window over small rows, never over contents."""
+    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("size").over(w), F.lit(0).cast("bigint"))
 
 
 def _explode(rows: DataFrame, entries: Column) -> DataFrame:
@@ -36,13 +35,14 @@ def smk_index(media: DataFrame) -> DataFrame:
     """From the size and flag tables; frames that the file ends before are left out."""
     data = F.col("content")
     d = media.withColumn("n", u32le(data, 12) + u32le(data, 20).bitwiseAND(F.lit(1).cast("bigint")))
-    d = d.withColumn("raw", F.transform(_upto(F.col("n")), lambda i: u32le(data, 104 + i * 4)))
-    d = d.withColumn("sizes", F.transform("raw", lambda x: F.shiftleft(F.shiftright(x, 2), 2)))
-    d = d.withColumn("starts", _prefix_sums(F.col("sizes"))).withColumn("base", 104 + F.col("n") * 5 + u32le(data, 52))
-    entry = lambda i: F.struct(i.alias("i"), (F.col("base") + F.get("starts", i.cast("int"))).alias("offset"), F.get("sizes", i.cast("int")).alias("size"),
-        u8(data, 104 + F.col("n") * 4 + i).alias("flags"), ((F.get("raw", i.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) != 0) | (i == 0)).alias("key"))
-    fits = F.filter(F.transform(_upto(F.col("n")), entry), lambda e: e["offset"] + e["size"] <= F.length(data))
-    return _explode(d, fits)
+    fits = F.least(F.col("n"), div(F.greatest(F.length(data) - 104, F.lit(0)), F.lit(4)))  # of the table, what the file has
+    entry = lambda i: F.struct(i.alias("i"), u32le(data, 104 + i * 4).alias("raw"), u8(data, 104 + F.col("n") * 4 + i).alias("flags"))
+    base = (104 + F.col("n") * 5 + u32le(data, 52)).alias("base")
+    rows = d.select("path", base, F.length(data).alias("length"), F.explode_outer(F.transform(_upto(fits), entry)).alias("e")).where("e IS NOT NULL")
+    rows = rows.select("path", "base", "length", "e.*").withColumn("size", F.shiftleft(F.shiftright("raw", 2), 2)).withColumn("offset", F.col("base") + _before(["path"], "i"))
+    key = (F.col("raw").bitwiseAND(F.lit(1).cast("bigint")) != 0) | (F.col("i") == 0)
+    return rows.where(F.col("offset") + F.col("size") <= F.col("length")).select(
+        "path", F.col("i").cast("int").alias("frame_index"), "offset", "size", F.col("flags").cast("int").alias("raw_flags"), key.alias("keyframe_flag"), F.lit(None).cast("int").alias("delay_ms"))
 
 
 def bink_index(media: DataFrame) -> DataFrame:
@@ -74,11 +74,10 @@ def dpan_index(media: DataFrame) -> DataFrame:
     pages = media.select("path", "content", drop.alias("total"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("page"))
     pages = pages.withColumns({"base": u16le(data, entry), "n": u16le(data, entry + 2).bitwiseAND(F.lit(0x3FFF).cast("bigint")), "at": 2816 + F.col("page").cast("bigint") * 65536})
     pages = pages.where((F.col("n") > 0) & (F.col("at") < F.length(data)))
-    pages = pages.withColumn("sizes", F.transform(_upto(F.col("n")), lambda r: u16le(data, F.col("at") + 8 + r * 2)))
-    record = F.transform(F.arrays_zip("sizes", _prefix_sums(F.col("sizes")).alias("starts")), lambda x, r: F.struct(
-        (F.col("base") + r).alias("frame"), (F.col("at") + 8 + F.col("n") * 2 + x["starts"]).alias("offset"), x["sizes"].alias("size")))
-    records = pages.select("path", "total", F.explode(record).alias("e")).where(F.col("e.frame") < total)
-    return dense_records(records.select("path", F.col("e.frame").alias("frame"), F.col("e.offset").alias("offset"), F.col("e.size").alias("size"), "total"))
+    sizes = F.transform(_upto(F.col("n")), lambda r: u16le(data, F.col("at") + 8 + r * 2))
+    records = pages.select("path", "total", "page", "base", (F.col("at") + 8 + F.col("n") * 2).alias("first"), F.posexplode(sizes).alias("r", "size"))
+    records = records.withColumns({"frame": F.col("base") + F.col("r"), "offset": F.col("first") + _before(["path", "page"], "r")})
+    return dense_records(records.where(F.col("frame") < total).select("path", "frame", "offset", "size", "total"))
 
 
 def dense_records(records: DataFrame) -> DataFrame:

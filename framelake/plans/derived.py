@@ -6,7 +6,7 @@ a decoder gives back can then be held against the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.binary import hex_uint, once
@@ -78,14 +78,13 @@ def flc_files(docs: DataFrame) -> DataFrame:
     return _files(rows, whole)
 
 
-def cdxl_files(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """CDXL files of one plane: a chunk's picture is 32 bytes of the text as 32 by 8 bits, and its sound the next 16. ``whole``: a last chunk is filled with zeros, else it is left out."""
+def cdxl_files(docs: DataFrame) -> DataFrame:
+    """CDXL files of one plane: a chunk's picture is 32 bytes of the text as 32 by 8 bits, and its sound the next 16. A last chunk is filled with zeros."""
     bitmap, sound = WIDTH // 8 * HEIGHT, 16
     rows, d = _padded(docs), F.col("data")
     step = bitmap + sound
-    if whole:
-        missing = F.pmod(-F.length("data"), F.lit(step)).cast("int")
-        rows = rows.select("path", F.explode(F.array(F.concat("data", F.unhex(F.repeat(F.lit("00"), missing))))).alias("data"))
+    missing = F.pmod(-F.length("data"), F.lit(step)).cast("int")
+    rows = rows.select("path", F.explode(F.array(F.concat("data", F.unhex(F.repeat(F.lit("00"), missing))))).alias("data"))
     n = F.call_function("div", F.length("data"), F.lit(step)).cast("int")
     size = 32 + 4 + step
 
@@ -120,22 +119,22 @@ def dpan_files(docs: DataFrame) -> DataFrame:
     return _files(rows, F.concat(head, colours, table, body))
 
 
-def index_files(orders: DataFrame, lines: DataFrame, codec: str) -> DataFrame:
+def index_files(lines: DataFrame, codec: str) -> DataFrame:
     """SMK or Bink files of an order's lines: a frame a line, in order of line number, of as many bytes as the part's number modulo 64, and 4 more."""
-    sizes = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
-    rows = sizes.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path"), F.transform("lines", lambda x: (x["l_partkey"] % 64 + 4).cast("bigint")).alias("sizes"))
-    n = F.size("sizes")
+    size = (F.col("l_partkey") % 64 + 4).cast("bigint")
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", size.alias("size"), (F.shiftright(size, 1) * 2).alias("even"))
+    upto = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum("even").over(upto)).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "size", "even", "end"))).alias("lines"))
+    rows = rows.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path"), "lines")
+    n = F.size("lines")
     if codec == "smk":
         head = F.concat(F.lit(b"SMK2".hex()), _num(160, 4), _num(120, 4), _num(n, 4), _num(100, 4), _num(0, 4))
-        words = F.array_join(F.transform("sizes", lambda s: _num(s, 4)), "")
+        words = F.array_join(F.transform("lines", lambda x: _num(x["size"], 4)), "")
         flags = F.repeat(F.lit("00"), n)
-        data = F.array_join(F.transform("sizes", lambda s: F.repeat(F.lit("AB"), (F.shiftright(s, 2) * 4).cast("int"))), "")
+        data = F.array_join(F.transform("lines", lambda x: F.repeat(F.lit("AB"), (F.shiftright(x["size"], 2) * 4).cast("int"))), "")
         return _files(rows, F.concat(F.rpad(head, 208, "0"), words, flags, data))
     base = 44 + 4 * (n + 1)
-    rows = rows.withColumn("even", F.transform("sizes", lambda s: F.shiftright(s, 1) * 2))
-    even = F.col("even")
-    starts = F.transform(F.sequence(F.lit(0), n), lambda i: base + F.aggregate(F.slice(even, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x))
-    words = F.array_join(F.transform(starts, lambda s, i: _num(s + F.when((i == 0) & (n > 0), 1).otherwise(0), 4)), "")
+    words = F.concat(_num(base + F.when(n > 0, 1).otherwise(0), 4), F.array_join(F.transform("lines", lambda x: _num(base + x["end"], 4)), ""))
     head = F.concat(F.lit(b"BIKi".hex()), _num(0, 4), _num(n, 4), _num(64, 4), _num(n, 4), _num(320, 4), _num(200, 4), _num(30000, 4), _num(1001, 4), _num(0, 4), _num(0, 4))
-    data = F.array_join(F.transform(even, lambda s: F.repeat(F.lit("CD"), s.cast("int"))), "")
+    data = F.array_join(F.transform("lines", lambda x: F.repeat(F.lit("CD"), x["even"].cast("int"))), "")
     return _files(rows, F.concat(head, words, data))

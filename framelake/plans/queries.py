@@ -161,19 +161,15 @@ def sniff_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", media.codec_of(F.col("content"), n).alias("codec"), n.alias("n_bytes"))
 
 
-@query("""
-WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents),
-b AS (SELECT doc_id, x, ('0x' || substr(x || '0000000000000000', 1, 2))::BIGINT AS b0, ('0x' || substr(x || '0000000000000000', 3, 2))::BIGINT AS b1, ('0x' || substr(x || '0000000000000000', 5, 2))::BIGINT AS b2, ('0x' || substr(x || '0000000000000000', 7, 2))::BIGINT AS b3 FROM h)
-SELECT doc_id, CASE WHEN length(x) >= 2 THEN b0 ELSE 0 END AS u8, CASE WHEN length(x) >= 4 THEN b0 + 256 * b1 ELSE 0 END AS u16le, CASE WHEN length(x) >= 4 THEN b1 + 256 * b0 ELSE 0 END AS u16be,
-  CASE WHEN length(x) >= 8 THEN b0 + 256 * b1 + 65536 * b2 + 16777216 * b3 ELSE 0 END AS u32le, CASE WHEN length(x) >= 8 THEN b3 + 256 * b2 + 65536 * b1 + 16777216 * b0 ELSE 0 END AS u32be, CAST(0 AS BIGINT) AS past FROM b""")
-def byte_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, data = _table(spark, sf_dir, "documents"), F.encode("text", "utf-8")
-    readers = {"u8": binary.u8, "u16le": binary.u16le, "u16be": binary.u16be, "u32le": binary.u32le, "u32be": binary.u32be}
-    return d.select("doc_id", *[f(data, 0).alias(n) for n, f in readers.items()], binary.u16le(data, F.length(data)).alias("past"))
+def _read_sql() -> str:
+    """Each reader's values over a text and what lies past its end, folded; a text is split into words of the reader's width."""
+    word = {"u8": "x", "u16le": "substr(x, 3, 2) || substr(x, 1, 2)", "u16be": "x", "u32le": "substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)", "u32be": "x"}
+    fold = lambda name, w: f"list_reduce(list_transform(regexp_extract_all(h, '.{{{2 * w}}}'), lambda x: ('0x' || {word[name]})::BIGINT) || list_transform(range(CAST(ceil(n / {w}.0) AS BIGINT) - n // {w} + 1), lambda z: 0::BIGINT), lambda a, v: (a * 31 + v) % 2147483647, 0::BIGINT) AS {name}"
+    return f"WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents) SELECT doc_id, n AS n_bytes, {', '.join(fold(k, w) for k, w in (('u8', 1), ('u16le', 2), ('u16be', 2), ('u32le', 4), ('u32be', 4)))} FROM d"
 
 
-@query()
-def byte_readers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_read_sql())
+def byte_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reader over the whole text, from end to end in steps of its own width and once past the end: the values read, as a polynomial of 31 modulo 2 ** 31 - 1."""
     readers = {"u8": (binary.u8, 1), "u16le": (binary.u16le, 2), "u16be": (binary.u16be, 2), "u32le": (binary.u32le, 4), "u32be": (binary.u32be, 4)}
 
@@ -186,13 +182,13 @@ def byte_readers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "x.*")
 
 
-_OPS = "SELECT event_id, ts, user_id % 50 AS file, event_id % 16 AS place, CASE WHEN event_type = 'error' THEN NULL ELSE user_id % 256 END AS v, event_id % 7 = 0 AS clear, (event_id * 37) % 65536 AS word, event_id % 3 > 0 AS swaps FROM events"
+_OPS = "SELECT event_id, ts, user_id AS file, event_id % 16 AS place, CASE WHEN event_type = 'error' THEN NULL ELSE user_id % 256 END AS v, event_id % 7 = 0 AS clear, (event_id * 37) % 65536 AS word, event_id % 3 > 0 AS swaps FROM events"
 
 
 def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as write operations: 50 files of 16 places, in order of time."""
+    """Events as write operations: a user is a file of 16 places, in order of time."""
     e, u, i = _table(spark, sf_dir, "events"), F.col("user_id"), F.col("event_id")
-    return e.select("event_id", "ts", (u % 50).alias("file"), (i % 16).alias("place"), F.when(F.coalesce(F.col("event_type") == "error", F.lit(False)), None).otherwise(u % 256).alias("v"),
+    return e.select("event_id", "ts", u.alias("file"), (i % 16).alias("place"), F.when(F.coalesce(F.col("event_type") == "error", F.lit(False)), None).otherwise(u % 256).alias("v"),
         (i % 7 == 0).alias("clear"), ((i * 37) % 65536).alias("word"), (i % 3 > 0).alias("swaps"))
 
 
@@ -243,19 +239,10 @@ def _sorted_records(orders: DataFrame) -> DataFrame:
     return frame_index.dense_records(records).select("path", "frame_index", "offset")
 
 
-@query("""
-WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame FROM orders WHERE o_orderkey % 11 > 0),
-g AS (SELECT o_custkey, frame + CASE WHEN frame >= 8 AND o_custkey % 2 = 0 THEN 1 ELSE 0 END AS frame, o_orderkey FROM r)
-SELECT 'cust/' || o_custkey AS path, CAST(frame AS INTEGER) AS frame_index, o_orderkey AS "offset" FROM g WHERE o_custkey % 2 = 1 OR frame < 8""")
-def record_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part of the orders, as the SQL of this name has them; ``record_sort_whole`` has all."""
-    return _sorted_records(_table(spark, sf_dir, "orders").where("o_orderkey % 11 > 0"))
-
-
 @query("""
 WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame FROM orders)
 SELECT 'cust/' || o_custkey AS path, CAST(CASE WHEN frame >= 8 AND o_custkey % 2 = 0 THEN frame + 1 ELSE frame END AS INTEGER) AS frame_index, o_orderkey AS "offset" FROM r WHERE o_custkey % 2 = 1 OR frame < 8""")
-def record_sort_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def record_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sorted_records(_table(spark, sf_dir, "orders"))
 
 
@@ -315,17 +302,10 @@ def flc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "frame_index", "pts_us", "duration_us", "keyframe_flag")
 
 
-@query(f"""{_EVERY.format(padded=_padded_sql())}, p AS (SELECT path, CAST(k AS INTEGER) AS frame_index, unnest(range(256)) AS i, substr(x, CAST(k * 512 + 1 AS INTEGER), 512) AS h FROM f WHERE k < 1),
-q AS (SELECT path, frame_index, i, ('0x' || substr(h, CAST(i * 2 + 1 AS INTEGER), 2))::BIGINT AS v FROM p)
-SELECT path, frame_index, md5(string_agg(printf('%02X%02X%02XFF', v * 21 % 256, (v * 21 + 7) % 256, (v * 21 + 14) % 256), '' ORDER BY i)) AS rgba_md5 FROM q GROUP BY path, frame_index""")
+@query(f"""{_EVERY.format(padded=_padded_sql())}, p AS (SELECT path, CAST(k AS INTEGER) AS frame_index, list_transform(regexp_extract_all(substr(x, CAST(k * 512 + 1 AS INTEGER), 512), '..'), lambda y: ('0x' || y)::BIGINT) AS vs FROM f)
+SELECT path, frame_index, md5(array_to_string(list_transform(vs, lambda v: printf('%02X%02X%02XFF', v * 21 % 256, (v * 21 + 7) % 256, (v * 21 + 14) % 256)), '')) AS rgba_md5 FROM p""")
 def flc_to_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first frame of each file, as the SQL of this name has it; ``flc_to_rgba_whole`` has all."""
-    return _rgba(frames.decode_frames(_with_codec(_flc(spark, sf_dir)), upto=0).where("NOT contains(path, '#')"))
-
-
-@query()
-def flc_to_rgba_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frames of each file through its palette, with alpha. SQL for it would have a row a pixel; tests hold it against brute force."""
+    """All frames of each file through its palette, with alpha."""
     return _rgba(frames.decode_frames(_with_codec(_flc(spark, sf_dir))))
 
 
@@ -336,17 +316,10 @@ def _rgba(rows: DataFrame) -> DataFrame:
     return rows.select("path", "frame_index", F.md5(F.hex(rgba)).alias("rgba_md5"))
 
 
-@query(f"""WITH d AS ({_padded_sql()}), f AS (SELECT path, x, unnest(range(n * 256 // 48)) AS k FROM d)
-SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(192 AS BIGINT) AS rate, 1 AS channels, md5(substr(x, CAST(k * 96 + 65 AS INTEGER), 32)) AS pcm_md5 FROM f""")
-def cdxl_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chunks of 48 bytes, as the SQL of this name has them; ``cdxl_audio_whole`` has all bytes."""
-    return _cdxl_audio(derived.cdxl_files(_table(spark, sf_dir, "documents")))
-
-
 @query(f"""WITH d AS ({_padded_sql()}), f AS (SELECT path, x, unnest(range((n * 256 + 47) // 48)) AS k FROM d)
 SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(192 AS BIGINT) AS rate, 1 AS channels, md5(rpad(substr(x, CAST(k * 96 + 65 AS INTEGER), 32), 32, '0')) AS pcm_md5 FROM f""")
-def cdxl_audio_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cdxl_audio(derived.cdxl_files(_table(spark, sf_dir, "documents"), whole=True))
+def cdxl_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cdxl_audio(derived.cdxl_files(_table(spark, sf_dir, "documents")))
 
 
 def _cdxl_audio(files: DataFrame) -> DataFrame:
@@ -354,19 +327,11 @@ def _cdxl_audio(files: DataFrame) -> DataFrame:
     return rows.select("path", "frame_index", "rate", "channels", F.md5(F.hex("pcm")).alias("pcm_md5"))
 
 
-@query(f"""WITH d AS ({_padded_sql()}), f AS (SELECT path, x, unnest(range(n * 256 // 48)) AS k FROM d),
-b AS (SELECT path, k, unnest(range(32)) AS i, x FROM f), v AS (SELECT path, k, i, ('0x' || substr(x, CAST(k * 96 + i * 2 + 1 AS INTEGER), 2))::BIGINT AS byte FROM b)
-SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(sum(bit_count(byte)) AS BIGINT) AS set_pixels, CAST(sum(byte * (i + 1)) AS BIGINT) AS weighted FROM v GROUP BY path, k""")
-def cdxl_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chunks of 48 bytes, as the SQL of this name has them; ``cdxl_frames_whole`` has all bytes."""
-    return _cdxl_frames(derived.cdxl_files(_table(spark, sf_dir, "documents")))
-
-
 @query(f"""WITH d AS ({_padded_sql()}), f AS (SELECT path, x, unnest(range((n * 256 + 47) // 48)) AS k FROM d),
 b AS (SELECT path, k, unnest(range(32)) AS i, rpad(substr(x, CAST(k * 96 + 1 AS INTEGER), 64), 64, '0') AS h FROM f), v AS (SELECT path, k, i, ('0x' || substr(h, CAST(i * 2 + 1 AS INTEGER), 2))::BIGINT AS byte FROM b)
 SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(sum(bit_count(byte)) AS BIGINT) AS set_pixels, CAST(sum(byte * (i + 1)) AS BIGINT) AS weighted FROM v GROUP BY path, k""")
-def cdxl_frames_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cdxl_frames(derived.cdxl_files(_table(spark, sf_dir, "documents"), whole=True))
+def cdxl_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cdxl_frames(derived.cdxl_files(_table(spark, sf_dir, "documents")))
 
 
 def _cdxl_frames(files: DataFrame) -> DataFrame:
@@ -400,7 +365,7 @@ _LINES = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY
 SELECT 'order/' || l_orderkey AS path, CAST(k AS INTEGER) AS frame_index, CAST(104 + 5 * n + coalesce(sum(bytes) OVER (PARTITION BY l_orderkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
   CAST(bytes AS BIGINT) AS size, k = 0 OR size % 2 = 1 AS keyframe_flag FROM s""")
 def smk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = derived.index_files(_table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem"), "smk")
+    files = derived.index_files(_table(spark, sf_dir, "lineitem"), "smk")
     return frame_index.smk_index(files).select("path", "frame_index", "offset", "size", "keyframe_flag")
 
 
@@ -408,7 +373,7 @@ def smk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'order/' || l_orderkey AS path, CAST(k AS INTEGER) AS frame_index, CAST(44 + 4 * (n + 1) + coalesce(sum(bytes) OVER (PARTITION BY l_orderkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
   CAST(bytes AS BIGINT) AS size, k = 0 AS keyframe_flag, CAST(1001 * 1000000 // 30000 * k AS BIGINT) AS pts_us FROM s""")
 def bink_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = derived.index_files(_table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem"), "bink")
+    files = derived.index_files(_table(spark, sf_dir, "lineitem"), "bink")
     rows = frame_index.with_times(frame_index.bink_index(files), media.containers(files))
     return rows.select("path", "frame_index", "offset", "size", "keyframe_flag", "pts_us")
 
@@ -444,12 +409,12 @@ def event_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH f AS (SELECT 'flc' AS codec, 'doc/' || doc_id AS path, greatest(CAST(ceil(strlen(text) / 256.0) AS BIGINT), 1) AS n FROM documents
-UNION ALL SELECT 'cdxl', 'doc/' || doc_id, greatest(CAST(ceil(strlen(text) / 256.0) AS BIGINT), 1) * 256 // 48 FROM documents
+UNION ALL SELECT 'cdxl', 'doc/' || doc_id, (greatest(CAST(ceil(strlen(text) / 256.0) AS BIGINT), 1) * 256 + 47) // 48 FROM documents
 UNION ALL SELECT 'smk', 'order/' || l_orderkey, count(*) FROM lineitem GROUP BY l_orderkey)
 SELECT codec, CAST(count(*) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS frames, CAST(sum(greatest(n, 1) * CASE codec WHEN 'smk' THEN 19200 ELSE 256 END) AS BIGINT) AS pixels FROM f GROUP BY codec""")
 def files_by_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, orders, lines = (_table(spark, sf_dir, n) for n in ("documents", "orders", "lineitem"))
-    files = derived.flc_files(docs).union(derived.cdxl_files(docs)).union(derived.index_files(orders, lines, "smk"))
+    docs, lines = (_table(spark, sf_dir, n) for n in ("documents", "lineitem"))
+    files = derived.flc_files(docs).union(derived.cdxl_files(docs)).union(derived.index_files(lines, "smk"))
     found = media.containers(files)
     pixels = F.greatest(F.col("frame_count"), F.lit(1)).cast("bigint") * F.col("width") * F.col("height")
     return found.groupBy("codec").agg(F.count("*").alias("files"), F.sum("frame_count").alias("frames"), F.sum(pixels).alias("pixels"))

@@ -64,7 +64,7 @@ def test_the_slice_of_the_plan(spark):
     assert census == {("COLOR_256", 1, 772), ("BRUN", 1, 3), ("LC", 1, 9)}
     timed = {r.frame_index: (r.pts_us, r.duration_us) for r in frame_index.with_times(frame_index.flc_index(files), media.containers(files)).collect()}
     assert timed == {0: (0, 33000), 1: (33000, 50000)}
-    assert [bytes(r.payload) for r in chunks.payloads(files, chunks.flc_chunks(files), ("LC",)).collect()] == [bytes([0, 0, 1, 0, 1, 1, 2, 2, 2])]
+    assert [bytes(r.payload) for r in chunks.payloads(files, ("LC",)).collect()] == [bytes([0, 0, 1, 0, 1, 1, 2, 2, 2])]
 
 
 @pytest.mark.parametrize(

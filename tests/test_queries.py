@@ -45,7 +45,7 @@ def test_records_are_sorted_over_all_orders(spark, sf_dir, tables):
         files.setdefault(customer, []).append(order)
     for customer, found in files.items():
         want |= {(f"cust/{customer}", k, order) for k, order in enumerate(found if customer % 2 else found[:8])}
-    got = [(r.path, r.frame_index, r.offset) for r in media_queries.queries()["record_sort_whole"](spark, sf_dir).collect()]
+    got = [(r.path, r.frame_index, r.offset) for r in media_queries.queries()["record_sort"](spark, sf_dir).collect()]
     assert len(got) == len(want) and set(got) == want and any(x[2] % 11 == 0 for x in got)
 
 
@@ -56,7 +56,7 @@ def test_all_frames_become_rgba(spark, sf_dir, tables):
         for k in range(max(-(-len(data) // 256), 1)):
             pixels = data[k * 256 : k * 256 + 256].ljust(256, b"\0")
             want[f"doc/{doc}", k] = hashlib.md5("".join(colour[v] for v in pixels).encode()).hexdigest()
-    rows = media_queries.queries()["flc_to_rgba_whole"](spark, sf_dir).collect()
+    rows = media_queries.queries()["flc_to_rgba"](spark, sf_dir).collect()
     assert len(rows) == len(want) and {(r.path, r.frame_index): r.rgba_md5 for r in rows} == want
 
 
@@ -71,7 +71,7 @@ def test_readers_reach_every_byte(spark, sf_dir, tables):
     readers = [(1, "little"), (2, "little"), (2, "big"), (4, "little"), (4, "big")]
     texts = [(doc, (text or "").encode()) for doc, text in tables.sql("SELECT doc_id, text FROM documents").fetchall()]
     want = sorted((doc, len(data), *[folded(data, *r) for r in readers]) for doc, data in texts)
-    assert sorted(tuple(r) for r in media_queries.queries()["byte_readers_whole"](spark, sf_dir).collect()) == want
+    assert sorted(tuple(r) for r in media_queries.queries()["byte_readers"](spark, sf_dir).collect()) == want
 
 
 @pytest.mark.parametrize("name", ["flc_frames", "flc_index", "dpan_frames"])
@@ -83,5 +83,5 @@ def test_documents_beyond_a_format_make_several_files(spark, sf_dir, tables, mon
 
 def test_cdxl_files_hold_the_last_bytes(spark):
     docs = spark.createDataFrame([(1, "x" * 255 + "!")], "doc_id bigint, text string")
-    content = derived.cdxl_files(docs, whole=True).collect()[0].content
+    content = derived.cdxl_files(docs).collect()[0].content
     assert len(content) == 6 * 84 and content[5 * 84 + 36 : 6 * 84] == b"x" * 15 + b"!" + bytes(32)
