@@ -30,6 +30,14 @@ def uint(data: Column, at: int | Column, size: int, little: bool = True) -> Colu
     return F.when((_at(at) >= 0) & (F.length(data) >= _at(at) + size), value).otherwise(F.lit(0).cast("bigint"))
 
 
+def bits(data: Column, at: int | Column, n: int) -> Column:
+    """``n`` bits (32 at most) from bit ``at`` on, the lowest bit of a byte first, as BIGINT; what lies past the end is 0."""
+    at = _at(at).cast("int")
+    digits = F.rpad(F.hex(F.substring(data, F.shiftright(at, 3) + 1, F.lit(5))), 10, "0")
+    value = F.conv(once(digits, lambda x: swapped(x, 5)), 16, 10).cast("bigint")
+    return F.call_function("shiftright", value, at % 8).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
+
+
 def u8(data: Column, at: int | Column) -> Column:
     return uint(data, at, 1)
 

@@ -51,9 +51,14 @@ def _rows(walker, schema: str):
     return run
 
 
+def map_files(media: DataFrame, walker, schema: str) -> DataFrame:
+    """``walker(content)`` gives the rows of a file, without its path; ``schema`` begins with the path."""
+    return media.select("path", "content").mapInArrow(_rows(walker, schema), schema)
+
+
 def flc_chunks(media: DataFrame) -> DataFrame:
     """A row a sub-chunk, with its name."""
-    rows = media.select("path", "content").mapInArrow(_rows(flc_chunks_of, CHUNKS), CHUNKS)
+    rows = map_files(media, flc_chunks_of, CHUNKS)
     return rows.select("path", "frame_index", "seq", "type_code", chunk_name(F.col("type_code")).alias("type_name"), "payload_offset", "payload_size")
 
 
@@ -79,7 +84,7 @@ def payloads(media: DataFrame, types: tuple[str, ...]) -> DataFrame:
                 yield *place, at, size, data[at : at + size]
 
     schema = f"{CHUNKS}, payload binary"
-    rows = media.select("path", "content").mapInArrow(_rows(walker, schema), schema)
+    rows = map_files(media, walker, schema)
     return rows.select("path", "frame_index", "seq", "type_code", chunk_name(F.col("type_code")).alias("type_name"), "payload_offset", "payload_size", "payload")
 
 
@@ -102,7 +107,7 @@ def iff_chunks_of(data: bytes) -> Iterator[tuple]:
 
 
 def iff_chunks(media: DataFrame) -> DataFrame:
-    return media.select("path", "content").mapInArrow(_rows(iff_chunks_of, IFF_CHUNKS), IFF_CHUNKS)
+    return map_files(media, iff_chunks_of, IFF_CHUNKS)
 
 
 def iff_headers(media: DataFrame) -> DataFrame:

@@ -49,3 +49,23 @@ def ham(pixels: DataFrame, row: list[str], x: str, op: str, value: Column, held:
 def planes_to_pixels(bits: DataFrame, pixel: list[str], plane: str, bit: str) -> DataFrame:
     """Bit planes, one row a bit, gathered to pixels (``value``)."""
     return bits.groupBy(*pixel).agg(F.bit_or(F.call_function("shiftleft", F.col(bit).cast("bigint"), F.col(plane).cast("int"))).alias("value"))
+
+
+def xor_planes(ops: DataFrame, screen: list[str], order: list[str], word: str, plane: str, planes: int) -> DataFrame:
+    """XOR deltas over a screen's planes: after each row the word of every plane (``plane0`` and so on)."""
+    run = Window.partitionBy(*screen).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    word_of = lambda k: F.bit_xor(F.when(F.col(plane) == k, F.col(word)).otherwise(0).cast("bigint")).over(run)
+    return ops.withColumns({f"plane{k}": word_of(k) for k in range(planes)})
+
+
+def words_to_chunky(planes: list[Column], width: int = 16) -> Column:
+    """The pixels (an array) of ``width`` bits of each plane, the highest bit first; a plane's bit has the plane's number in a pixel."""
+    bit = lambda k, x: F.call_function("shiftleft", F.call_function("shiftright", planes[k], F.lit(width - 1) - x).bitwiseAND(F.lit(1).cast("bigint")), F.lit(k))
+
+    def pixel(x: Column) -> Column:
+        value = bit(0, x)
+        for k in range(1, len(planes)):
+            value = value.bitwiseOR(bit(k, x))
+        return value
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), pixel)

@@ -41,6 +41,23 @@ def realtime_clock(ticks: DataFrame, session: list[str], order: list[str], delta
     return ticks.withColumn("media_time_us", F.sum(step).over(w))
 
 
+def transport_clock(ticks: DataFrame, session: list[str], order: list[str], delta: str, control: str, value: str) -> DataFrame:
+    """A clock under control (``media_time_us``, ``paused``): a tick's row adds its delta, or does what its ``control`` says.
+
+    ``pause`` and ``resume`` hold and go on, ``seek`` sets the time to ``value``, ``rewind`` to 0, ``external`` too sets it,
+    as a clock from outside does; null is a tick. Controls add no time themselves, ticks none while paused or if negative.
+    """
+    upto = Window.partitionBy(*session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col(control)
+    to = F.when(c == "rewind", 0).when(c.isin("seek", "external"), F.col(value)).cast("bigint")
+    held = F.coalesce(F.last(F.when(c == "pause", True).when(c == "resume", False), ignorenulls=True).over(upto), F.lit(False))
+    rows = ticks.withColumns({"paused": held, "_to": to}).withColumn("_part", F.count("_to").over(upto))
+    step = F.when(c.isNull() & ~F.col("paused") & (F.col(delta) >= 0), F.col(delta)).otherwise(0).cast("bigint")
+    within = Window.partitionBy(*session, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    base = F.coalesce(F.first("_to", ignorenulls=True).over(within), F.lit(0))
+    return rows.withColumn("media_time_us", base + F.sum(step).over(within)).drop("_to", "_part")
+
+
 def frame_checksum(pixels: Column) -> Column:
     """The sum of a buffer's first, middle and last byte."""
     byte = lambda at: F.conv(F.hex(F.substring(pixels, at + 1, F.lit(1))), 16, 10).cast("bigint")

@@ -119,22 +119,72 @@ def dpan_files(docs: DataFrame) -> DataFrame:
     return _files(rows, F.concat(head, colours, table, body))
 
 
-def index_files(lines: DataFrame, codec: str) -> DataFrame:
-    """SMK or Bink files of an order's lines: a frame a line, in order of line number, of as many bytes as the part's number modulo 64, and 4 more."""
+def _chunk(kind: str, payload: Column | str) -> Column:
+    """An IFF chunk of an even number of bytes, as hexadecimal digits."""
+    return once(payload if isinstance(payload, Column) else F.lit(payload), lambda p: F.concat(F.lit(kind.encode().hex()), _num(F.length(p) / 2, 4, False), p))
+
+
+def _form(kind: str, body: Column) -> Column:
+    return _chunk("FORM", F.concat(F.lit(kind.encode().hex()), body))
+
+
+#: The sounds of ANIM files: eight bytes of the slot's number each.
+BANK = [f"{k:02X}" * 8 for k in (1, 2, 3)]
+ANIM_RELTIME, ANIM_RATE = 2, 8000
+
+
+def anim_files(docs: DataFrame) -> DataFrame:
+    """ANIM files: a picture of the text's bytes a frame, whole at first and a delta from then on, each with a sound control and 16 bytes of stereo sound, behind a bank of sounds."""
+    rows, d = _padded(docs), F.col("data")
+    byte = lambda x, size=1: _num(x, size, False)
+    bank = F.concat(*[_form("8SVX", _chunk("BODY", sound)) for sound in BANK])
+    bmhd = F.concat(byte(WIDTH, 2), byte(HEIGHT, 2), F.lit("00" * 4 + "08" + "00" * 5 + "0101"), byte(WIDTH, 2), byte(HEIGHT, 2))
+    sxhd = F.concat(F.lit("0840"), byte(8, 4), byte(0, 4), byte(0, 4), F.lit("0202"), byte(ANIM_RATE, 4))
+    first = F.concat(_chunk("BMHD", bmhd), _chunk("CMAP", "000000FF8040"), _chunk("CAMG", "00000800"), _chunk("SXHD", sxhd))
+    later = _chunk("ANHD", F.concat(F.lit("05" + "00" * 13), byte(ANIM_RELTIME, 4), F.lit("00" * 6)))
+    control = lambda f: _chunk("SCTL", F.concat(F.lit("01"), byte(32 + f % 64), byte(f % 5, 2), byte(1, 2), byte(3, 2), F.lit("00" * 8)))
+    picture = lambda f: F.when(f == 0, _chunk("BODY", _slice(d, f * SIZE, SIZE))).otherwise(_chunk("DLTA", _slice(d, f * SIZE, SIZE)))
+    frame = lambda f: _form("ILBM", F.concat(F.when(f == 0, first).otherwise(later), control(f), picture(f), _chunk("SBDY", _slice(d, f * SIZE, 16))))
+    frames = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), frame), "")
+    return _files(rows, _form("ANIM", F.concat(bank, frames)))
+
+
+YAFA_SPEED = 2
+
+
+def yafa_files(docs: DataFrame) -> DataFrame:
+    """YAFA files: the text's bytes as chunky frames; with an even number of frames they count as packed, and their ends are listed."""
+    rows, n, d = _padded(docs, FLC_FRAMES), F.col("n"), F.col("data")
+    word = lambda x, size=2: _num(x, size, False)
+    listed = n % 2 == 0
+    info = F.concat(word(WIDTH), word(HEIGHT), word(8), word(YAFA_SPEED), word(n), word(F.when(listed, 3).otherwise(4)), word(0))
+    ends = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: word((k + 1) * SIZE, 4)), "")
+    return _files(rows, _form("YAFA", F.concat(_chunk("INFO", info), F.when(listed, _chunk("PROF", ends)).otherwise(""), _chunk("BODY", F.hex(d)))))
+
+
+def index_files(lines: DataFrame, codec: str, tracks: bool = False) -> DataFrame:
+    """SMK or Bink files of an order's lines: a frame a line, in order of line number, of as many bytes as the part's number modulo 64, and 4 more.
+
+    ``tracks``: with sound tracks by the order's number: Bink as many as it leaves modulo 3, Smacker one if it is odd.
+    """
     size = (F.col("l_partkey") % 64 + 4).cast("bigint")
     rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", size.alias("size"), (F.shiftright(size, 1) * 2).alias("even"))
     upto = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("even").over(upto)).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "size", "even", "end"))).alias("lines"))
-    rows = rows.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path"), "lines")
+    key = F.col("l_orderkey") if tracks else F.lit(0).cast("bigint")
+    rows = rows.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path"), "lines", (key % 2).alias("odd"), (key % 3).cast("int").alias("tracks"))
     n = F.size("lines")
     if codec == "smk":
         head = F.concat(F.lit(b"SMK2".hex()), _num(160, 4), _num(120, 4), _num(n, 4), _num(100, 4), _num(0, 4))
+        head = F.concat(F.rpad(head, 144, "0"), F.when(F.col("odd") == 1, _num(22050 + (0xF0 << 24), 4)).otherwise("00" * 4))
         words = F.array_join(F.transform("lines", lambda x: _num(x["size"], 4)), "")
         flags = F.repeat(F.lit("00"), n)
         data = F.array_join(F.transform("lines", lambda x: F.repeat(F.lit("AB"), (F.shiftright(x["size"], 2) * 4).cast("int"))), "")
         return _files(rows, F.concat(F.rpad(head, 208, "0"), words, flags, data))
-    base = 44 + 4 * (n + 1)
+    base = 44 + 12 * F.col("tracks") + 4 * (n + 1)
+    each = lambda f: F.when(F.col("tracks") > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.col("tracks") - 1), f), "")).otherwise("")
+    sound = F.concat(each(lambda k: _num(1000 + k, 4)), each(lambda k: F.concat(_num(11025 * (k + 1), 2), _num(F.when(k == 0, 0x7000).otherwise(0x1000), 2))), each(lambda k: _num(k + 7, 4)))
     words = F.concat(_num(base + F.when(n > 0, 1).otherwise(0), 4), F.array_join(F.transform("lines", lambda x: _num(base + x["end"], 4)), ""))
-    head = F.concat(F.lit(b"BIKi".hex()), _num(0, 4), _num(n, 4), _num(64, 4), _num(n, 4), _num(320, 4), _num(200, 4), _num(30000, 4), _num(1001, 4), _num(0, 4), _num(0, 4))
+    head = F.concat(F.lit(b"BIKi".hex()), _num(0, 4), _num(n, 4), _num(64, 4), _num(n, 4), _num(320, 4), _num(200, 4), _num(30000, 4), _num(1001, 4), _num(0, 4), _num(F.col("tracks"), 4))
     data = F.array_join(F.transform("lines", lambda x: F.repeat(F.lit("CD"), x["even"].cast("int"))), "")
-    return _files(rows, F.concat(head, words, data))
+    return _files(rows, F.concat(head, sound, words, data))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import binary, colour, timing
-from framelake.operators import audio, chunks, folds, frame_index, frames, timeline
+from framelake.operators import audio, chunks, folds, frame_index, frames, iff, timeline
 from framelake.plans import derived
 from framelake.sources import media
 
@@ -418,3 +418,106 @@ def files_by_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.containers(files)
     pixels = F.greatest(F.col("frame_count"), F.lit(1)).cast("bigint") * F.col("width") * F.col("height")
     return found.groupBy("codec").agg(F.count("*").alias("files"), F.sum("frame_count").alias("frames"), F.sum(pixels).alias("pixels"))
+
+
+def _anim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.anim_files(_table(spark, sf_dir, "documents"))
+
+
+#: In an ANIM file: what stands before the first frame, the first frame, a later one, and what lies before their pictures.
+_BANK_BYTES, _FIRST, _LATER, _HEAD_FIRST, _HEAD_LATER = 12 + 84, 406, 356, 126, 76
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())} SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(CASE WHEN k = 0 THEN {_BANK_BYTES + _HEAD_FIRST} ELSE {_BANK_BYTES + _FIRST + _HEAD_LATER} + (k - 1) * {_LATER} END AS BIGINT) AS "offset",
+  CAST(256 AS BIGINT) AS size, k = 0 AS keyframe_flag, CAST(16 AS BIGINT) AS sound_bytes, CASE WHEN n > 1 THEN 33333 ELSE 16666 END * k AS pts_us, CAST(CASE WHEN n > 1 THEN 33333 ELSE 16666 END AS BIGINT) AS duration_us FROM f""")
+def anim_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iff.anim_index(_anim(spark, sf_dir))
+
+
+@query("""SELECT 'doc/' || doc_id AS path, CAST(32 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, CAST(8 AS BIGINT) AS planes, '000000FF8040' AS cmap, CAST(2048 AS BIGINT) AS camg,
+  CAST(8 AS BIGINT) AS audio_bits, CAST(8000 AS BIGINT) AS audio_rate, CAST(2 AS BIGINT) AS audio_channels FROM documents""")
+def anim_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iff.anim_headers(_anim(spark, sf_dir)).withColumn("cmap", F.hex("cmap"))
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())}, s AS (SELECT path, k, substr(x, CAST(k * 512 + 1 AS INTEGER), 32) AS h FROM f)
+SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(8000 AS BIGINT) AS rate, CAST(2 AS BIGINT) AS channels, array_to_string(list_transform(range(8), lambda i: substr(h, CAST(i * 2 + 1 AS INTEGER), 2) || substr(h, CAST(i * 2 + 17 AS INTEGER), 2)), '') AS pcm FROM s""")
+def anim_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iff.anim_pcm(_anim(spark, sf_dir)).withColumn("pcm", F.hex("pcm"))
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())}
+SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(k % 5 AS BIGINT) AS slot, '464F524D0000001438535658424F445900000008' || repeat('0' || (k % 5), 8) AS sound, least((32 + k % 64) / 64.0::DOUBLE, 1.0) AS volume, CAST(1 AS BIGINT) AS repeats FROM f WHERE k % 5 BETWEEN 1 AND 3""")
+def anim_sound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's sound controls against its own bank; those that name no sound of it are dropped."""
+    files = _anim(spark, sf_dir)
+    rows = audio.sound_events(iff.anim_controls(files), iff.sound_bank(files))
+    return rows.select("path", "frame_index", "slot", F.hex("sound_bytes").alias("sound"), "volume", "repeats")
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())} SELECT path, CAST(k AS INTEGER) AS frame_index, 42 + CASE WHEN n % 2 = 0 THEN 8 + 4 * n ELSE 0 END + k * 256 AS "offset", CAST(256 AS BIGINT) AS size, k * 40000 AS pts_us, CAST(40000 AS BIGINT) AS duration_us FROM f""")
+def yafa_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = iff.yafa_index(derived.yafa_files(_table(spark, sf_dir, "documents")))
+    return derived.joined(rows, derived.FLC_FRAMES).select("path", "frame_index", "offset", "size", "pts_us", "duration_us")
+
+
+@query("""
+WITH o AS (SELECT DISTINCT l_orderkey FROM lineitem), b AS (SELECT l_orderkey, unnest(range(l_orderkey % 3)) AS t FROM o)
+SELECT 'order/' || l_orderkey AS path, 'smk' AS codec, 0 AS track, CAST(22050 AS BIGINT) AS rate, 2 AS channels, 16 AS bits, true AS packed, CAST(NULL AS BIGINT) AS track_id, CAST(NULL AS BIGINT) AS max_bytes FROM o WHERE l_orderkey % 2 = 1
+UNION ALL SELECT 'order/' || l_orderkey, 'bink', CAST(t AS INTEGER), 11025 * (t + 1), CASE WHEN t = 0 THEN 2 ELSE 1 END, CASE WHEN t = 0 THEN 16 ELSE 8 END, true, t + 7, t + 1000 FROM b""")
+def audio_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sound tracks of Smacker and Bink files; every order has a file of either kind."""
+    lines = _table(spark, sf_dir, "lineitem")
+    return media.audio_tracks(derived.index_files(lines, "smk", tracks=True).union(derived.index_files(lines, "bink", tracks=True)))
+
+
+@query("""
+WITH d AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: reverse(lpad(bin(('0x' || b)::BIGINT), 8, '0'))), '') AS bits FROM documents),
+c AS (SELECT doc_id, length(bits) AS n, list_transform(regexp_extract_all(bits, '.{1,11}'), lambda s: list_sum(list_transform(range(length(s)), lambda i: CASE WHEN substr(s, CAST(i + 1 AS INTEGER), 1) = '1' THEN 1::BIGINT << CAST(i AS INTEGER) ELSE 0 END))::BIGINT) AS codes FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bits, list_reduce(codes, lambda a, v: (a * 31 + v) % 2147483647, 0::BIGINT) AS folded FROM c""")
+def bit_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 11 bits over the whole text, the last one filled with zeros, as a polynomial of 31 modulo 2 ** 31 - 1."""
+
+    def read(data: Column) -> Column:
+        n = F.length(data) * 8
+        codes = F.when(n > 0, F.sequence(F.lit(0), F.call_function("div", n - 1, F.lit(11)).cast("int"))).otherwise(F.array().cast("array<int>"))
+        folded = F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, i: (acc * 31 + binary.bits(data, i * 11, 11)) % 2147483647)
+        return F.struct(n.cast("bigint").alias("n_bits"), folded.alias("folded"))
+
+    return _table(spark, sf_dir, "documents").select("doc_id", binary.once(F.encode(F.coalesce("text", F.lit("")), "utf-8"), read).alias("x")).select("doc_id", "x.*")
+
+
+@query(f"""
+WITH o AS ({_OPS}), p AS (SELECT event_id, ts, file, word, event_id % 4 AS plane FROM o),
+s AS (SELECT event_id, {", ".join(f"bit_xor(CASE WHEN plane = {k} THEN word ELSE 0 END) OVER w AS p{k}" for k in range(4))} FROM p WINDOW w AS (PARTITION BY file ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, array_to_string(list_transform(range(16), lambda x: {" + ".join(f"((p{k} >> CAST(15 - x AS INTEGER)) & 1) * {1 << k}" for k in range(4))}), ',') AS pixels FROM s""")
+def seq_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as XOR words on a screen of four planes, and the screen's 16 pixels after each."""
+    rows = _ops(spark, sf_dir).withColumn("plane", F.col("event_id") % 4)
+    rows = folds.xor_planes(rows, ["file"], ["ts", "event_id"], "word", "plane", 4)
+    pixels = folds.words_to_chunky([F.col(f"plane{k}") for k in range(4)])
+    return rows.select("event_id", F.array_join(F.transform(pixels, lambda x: x.cast("string")), ",").alias("pixels"))
+
+
+@query(f"""
+WITH t AS ({_TICKS}), d AS (SELECT user_id, event_id, ts, event_type, media_time_us, coalesce(media_time_us - lag(media_time_us) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS dt FROM t),
+c AS (SELECT *, CASE event_type WHEN 'error' THEN 'pause' WHEN 'signup' THEN 'resume' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'rewind' ELSE 'seek' END END AS control FROM d),
+p AS (SELECT *, coalesce(last_value(CASE control WHEN 'pause' THEN true WHEN 'resume' THEN false END IGNORE NULLS) OVER w, false) AS paused, count(CASE WHEN control IN ('rewind', 'seek') THEN 1 END) OVER w AS part FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, event_id, paused, CAST(coalesce(first_value(CASE control WHEN 'rewind' THEN 0 WHEN 'seek' THEN event_id * 1000 END) OVER v, 0) + sum(CASE WHEN control IS NULL AND NOT paused AND dt >= 0 THEN dt ELSE 0 END) OVER v AS BIGINT) AS clock_us
+FROM p WINDOW v AS (PARTITION BY user_id, part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def transport_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors pause, signups go on, purchases seek or rewind; the other events are ticks."""
+    e, w = F.col("event_type"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = ticks(spark, sf_dir).withColumn("dt", F.coalesce(F.col("media_time_us") - F.lag("media_time_us").over(w), F.lit(0)))
+    control = F.when(e == "error", "pause").when(e == "signup", "resume").when(e == "purchase", F.when(F.col("event_id") % 3 == 0, "rewind").otherwise("seek"))
+    rows = rows.drop("media_time_us").withColumns({"control": control, "to": F.col("event_id") * 1000})
+    rows = timeline.transport_clock(rows, ["user_id"], ["ts", "event_id"], "dt", "control", "to")
+    return rows.select("user_id", "event_id", "paused", F.col("media_time_us").alias("clock_us"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, CASE doc_id % 11 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _CODEC.items())} END AS codec FROM documents), n AS (SELECT doc_id, 'open/' || codec || '/' || doc_id AS name FROM c WHERE codec IS NOT NULL)
+SELECT doc_id, name FROM n WHERE regexp_matches(name, '^open/(smk|bink)/.*[02468]$')""")
+def files_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files picked by a pattern of their names, which is what the operator is for."""
+    rows = sniff_codecs(spark, sf_dir).where("codec IS NOT NULL").withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+    return media.named(rows, "^open/(smk|bink)/.*[02468]$", "open").select("doc_id", "name")

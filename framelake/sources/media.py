@@ -72,7 +72,7 @@ def codec_of(data: Column, length: Column, codecs: list[str] | None = None) -> C
 
 
 def _fields(data: Column) -> dict[str, dict[str, Column | int | str]]:
-    """Header fields by format; ANIM and YAFA, whose headers are IFF chunks, are in operators.iff."""
+    """Header fields by format; those of ANIM and YAFA are IFF chunks: operators.iff and operators.chunks."""
     one = lambda x: F.lit(x).cast("bigint")
     seq_cel = 128 + 4 * u32be(data, 4)
     resolution = u16be(data, seq_cel + 2)
@@ -137,3 +137,38 @@ def containers(media: DataFrame, codecs: list[str] | None = None, max_width: int
     return rows.select(
         *keep, "codec", "width", "height", "frame_count", "format", (F.col("period") * F.col("frame_count")).alias("duration_us"), F.col("period").alias("frame_period_us"),
         F.when(F.col("audio_rate") > 0, 1).otherwise(0).alias("audio_track_count"), "audio_rate", "audio_channels", "audio_bits", error.alias("error"))
+
+
+def audio_tracks(media: DataFrame) -> DataFrame:
+    """A row an audio track of Smacker and Bink files: ``track``, ``rate``, ``channels``, ``bits``, ``packed``, and Bink's ``track_id`` and ``max_bytes``.
+
+    Smacker has seven places for tracks, of which those present are given; Bink has a table of up to 256.
+    """
+    data, one = F.col("content"), lambda x: F.lit(x).cast("bigint")
+    flag = lambda flags, bit: flags.bitwiseAND(one(1 << bit)) != 0
+
+    def entry(i, rate, stereo, wide, packed, track_id, most):
+        return F.struct(i.cast("int").alias("track"), rate.alias("rate"), F.when(stereo, 2).otherwise(1).alias("channels"), F.when(wide, 16).otherwise(8).alias("bits"), packed.alias("packed"), track_id.alias("track_id"), most.alias("max_bytes"))
+
+    def smk(i):
+        flags = u8(data, 75 + i * 4)
+        return F.when(flag(flags, 6), entry(i, u32le(data, 72 + i * 4).bitwiseAND(one(0xFFFFFF)), flag(flags, 4), flag(flags, 5), flag(flags, 7), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
+
+    n = u32le(data, 40)
+    at = 44 + F.when(F.substring(data, 4, F.lit(1)).cast("string") == "k", 4).otherwise(0)
+
+    def bink(i):
+        flags = u16le(data, at + n * 4 + i * 4 + 2)
+        return entry(i, u16le(data, at + n * 4 + i * 4), flag(flags, 13), flag(flags, 14), F.lit(True), u32le(data, at + n * 8 + i * 4), u32le(data, at + i * 4))
+
+    codec = codec_of(data, F.length(data).cast("bigint"), ["smk", "bink"])
+    none = F.array().cast("array<bigint>")
+    numbers = F.when((n > 0) & (n <= 256) & (F.length(data) >= at + n * 12), F.sequence(one(0), n - 1)).otherwise(none)
+    tracks = F.when(codec == "smk", F.transform(F.sequence(one(0), one(6)), smk)).when(codec == "bink", F.transform(numbers, bink))
+    return media.select("path", codec.alias("codec"), F.explode(F.array_compact(tracks)).alias("t")).select("path", "codec", "t.*")
+
+
+def named(rows: DataFrame, pattern: str, kind: str, codec: str = "codec", path: str = "path") -> DataFrame:
+    """The rows whose name, kind/codec/file, a regular expression is found in; ``name`` is added."""
+    name = F.concat_ws("/", F.lit(kind), F.col(codec), F.element_at(F.split(F.col(path), "/"), -1))
+    return rows.withColumn("name", name).where(F.col("name").rlike(pattern))

@@ -1,10 +1,13 @@
+import re
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framelake.functions import binary
 from framelake.operators import audio, chunks, folds, frame_index, frames, timeline
+from framelake.operators import iff as iff_ops
 from framelake.sources import media, sinks
 
 PALETTE = bytes(range(256)) * 3
@@ -216,3 +219,84 @@ def test_streamed_player_keeps_state(spark, tmp_path):
     query.awaitTermination(120)
     got = [(r.frame_index, r.rendered, r.eos) for r in spark.table("shown").collect()]
     assert got == [(0, True, False), (0, False, False), (1, True, False), (2, True, False), (9, False, True), (9, False, False), (0, True, False)]
+
+
+def iff(kind, payload):
+    return kind + struct.pack(">I", len(payload)) + payload + bytes(len(payload) % 2)
+
+
+def form(kind, *parts):
+    return iff(b"FORM", kind + b"".join(parts))
+
+
+def sxhd(mode, depth=8, packed=0, rate=8000):
+    return iff(b"SXHD", struct.pack(">BBIIIBBI", depth, 64, 4, 0, packed, mode, mode, rate))
+
+
+def anhd(time):
+    return iff(b"ANHD", bytes(14) + struct.pack(">I", time) + bytes(6))
+
+
+def test_anim_frames_begin_once_the_one_before_is_filled(spark):
+    bmhd = iff(b"BMHD", struct.pack(">HH", 16, 2) + bytes(4) + bytes([3]) + bytes(11))
+    bank = form(b"8SVX", iff(b"BODY", b"snd1")), form(b"8SVX", iff(b"BODY", b"odd"))
+    control = lambda sound, volume: iff(b"SCTL", struct.pack(">BBHHHHH", 1, volume, sound, 0, 3, 0, 0) + bytes(4))
+    one = form(b"ILBM", bmhd, anhd(0), iff(b"CMAP", b"abcdef+"), iff(b"CAMG", b"\0\0\x08\0"), sxhd(2), control(1, 100), control(3, 9), iff(b"BODY", b"12345"), iff(b"SBDY", b"LlRr"), iff(b"SBDY", b"xy"))
+    two = form(b"ILBM", anhd(3), control(2, 16), iff(b"SCTL", b"short"), iff(b"DLTA", b"67"))
+    late = form(b"8SVX", iff(b"BODY", b"late"))
+    files = spark.createDataFrame([("a", form(b"ANIM", *bank, one, two, late)), ("b", b""), ("c", form(b"ANIM", form(b"ILBM", bmhd, sxhd(1), iff(b"SBDY", b"mono")))), ("d", form(b"ANIM", form(b"ILBM", bmhd, sxhd(1, 16), iff(b"SBDY", b"wide"))))], "path string, content binary")
+    index = {(r.path, r.frame_index): r for r in iff_ops.anim_index(files).collect()}
+    assert [(k, r.size, r.keyframe_flag, r.sound_bytes, r.pts_us, r.duration_us) for k, r in sorted(index.items())] == [
+        (("a", 0), 5, True, 6, 0, 50000), (("a", 1), 2, False, 0, 50000, 50000), (("c", 0), None, None, 4, 0, 16666), (("d", 0), None, None, 4, 0, 16666)]
+    head = {r.path: r for r in iff_ops.anim_headers(files).collect()}
+    assert (head["a"].width, head["a"].height, head["a"].planes, bytes(head["a"].cmap), head["a"].camg, head["a"].audio_rate, head["a"].audio_channels) == (16, 2, 3, b"abcdef", 2048, 8000, 2)
+    assert {r.path: (r.channels, bytes(r.pcm)) for r in iff_ops.anim_pcm(files).collect()} == {"a": (2, b"LrlxRy"), "c": (1, b"mono")}
+    assert sorted((r.slot, bytes(r.sound_bytes)) for r in iff_ops.sound_bank(files).collect()) == [(1, bank[0]), (2, bank[1])]
+    events = audio.sound_events(iff_ops.anim_controls(files), iff_ops.sound_bank(files)).collect()
+    assert sorted((r.frame_index, r.slot, r.volume) for r in events) == [(0, 1, 1.0), (1, 2, 0.25)]
+    assert [r.sound for r in iff_ops.anim_controls(files).where("frame_index = 1").orderBy("seq").collect()] == [2, 0]
+
+
+def test_yafa_frames_from_ends_or_of_one_size(spark):
+    info = lambda n, kind, flags: iff(b"INFO", struct.pack(">HHHHHHH", 16, 2, 2, 0, n, kind, flags))
+    rows = {
+        "listed": [info(2, 3, 0), iff(b"PROF", struct.pack(">II", 10, 15)), iff(b"BODY", bytes(15))], "planar": [info(2, 0, 0), iff(b"BODY", bytes(16))], "delta": [info(2, 0, 4), iff(b"BODY", bytes(16))],
+        "wrong": [info(3, 3, 0), iff(b"PROF", struct.pack(">II", 10, 15)), iff(b"BODY", bytes(15))], "none": [info(0, 4, 0), iff(b"BODY", b"")], "short": [iff(b"INFO", bytes(4)), iff(b"BODY", b"")],
+    }
+    files = spark.createDataFrame([(k, form(b"YAFA", *v)) for k, v in rows.items()], "path string, content binary")
+    got = sorted((r.path, r.frame_index, r.offset, r.size, r.pts_us) for r in iff_ops.yafa_index(files).collect())
+    assert got == [("listed", 0, 58, 10, 0), ("listed", 1, 68, 5, 83333), ("planar", 0, 42, 8, 0), ("planar", 1, 50, 8, 83333)]
+
+
+def test_contents_are_never_shuffled(spark):
+    files = spark.createDataFrame([("a", b"")], "path string, content binary").repartition(2)
+    for found in (audio.cdxl_audio(files), chunks.payloads(files, ("LC",)), chunks.iff_headers(files), iff_ops.anim_index(files), iff_ops.yafa_index(files), frame_index.smk_index(files), frame_index.dpan_index(files)):
+        plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [x.split("\n")[1] for x in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", x) and "REPARTITION_BY_NUM" not in x]
+        assert not any("content" in x for x in moved), moved
+
+
+def test_bits_lowest_first_and_zeros_past_the_end(spark):
+    data = bytes([0b10110101, 0b01100011, 0xFF])
+    df = spark.createDataFrame([(data,)], "d binary")
+    whole = int.from_bytes(data, "little")
+    for at, n in ((0, 1), (0, 8), (3, 7), (5, 19), (16, 8), (20, 32), (24, 4), (100, 3)):
+        assert df.select(binary.bits(F.col("d"), at, n)).first()[0] == whole >> at & (1 << n) - 1
+
+
+def test_names_and_tracks(spark):
+    rows = spark.createDataFrame([("x/one.flc", "flc"), ("x/two.smk", "smk"), ("y/two.smk", None)], "path string, codec string")
+    assert [r.name for r in media.named(rows, "smk/tw", "decode").collect()] == ["decode/smk/two.smk"]
+    smk = b"SMK2" + bytes(68) + struct.pack("<7I", 11025 | 0x40 << 24, 5, 22050 | 0x70 << 24, 0, 0, 0, 0) + bytes(4)
+    bink = lambda tail: b"BIKk" + bytes(36) + struct.pack("<I", 2) + bytes(4) + tail
+    table = struct.pack("<2I4H2I", 100, 200, 44100, 0x2000, 8000, 0x4000, 5, 6)
+    files = spark.createDataFrame([("s", smk), ("b", bink(table)), ("cut", bink(table[:-1])), ("n", None)], "path string, content binary")
+    got = sorted((r.path, r.track, r.rate, r.channels, r.bits, r.packed, r.track_id, r.max_bytes) for r in media.audio_tracks(files).collect())
+    assert got == [("b", 0, 44100, 2, 8, True, 5, 100), ("b", 1, 8000, 1, 16, True, 6, 200), ("s", 0, 11025, 1, 8, False, None, None), ("s", 2, 22050, 2, 16, False, None, None)]
+
+
+def test_a_clock_under_control(spark):
+    rows = [(1, 5, None, None), (2, 3, "pause", None), (3, 4, None, None), (4, 0, "resume", None), (5, -2, None, None), (6, 6, None, None), (7, 0, "seek", 100), (8, 1, None, None), (9, 0, "rewind", None), (10, 2, None, None), (11, 9, "external", 50)]
+    df = spark.createDataFrame([(0, *r) for r in rows], "s int, n int, dt bigint, control string, to bigint")
+    got = timeline.transport_clock(df, ["s"], ["n"], "dt", "control", "to").orderBy("n").collect()
+    assert [r.media_time_us for r in got] == [5, 5, 5, 5, 5, 11, 100, 101, 0, 2, 50] and [r.paused for r in got] == [False, True, True] + [False] * 8
