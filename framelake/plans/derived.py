@@ -56,17 +56,22 @@ def _slice(data: Column, at: Column, size: int) -> Column:
     return F.hex(F.substring(data, at + 1, F.lit(size)))
 
 
-def flc_files(docs: DataFrame) -> DataFrame:
-    """FLC files: frames in turn a raw picture, byte runs and changed bytes; the first with a palette."""
+def flc_files(docs: DataFrame, words: bool = False) -> DataFrame:
+    """FLC files: frames in turn a raw picture, byte runs and changed bytes; the first with a palette.
+
+    ``words``: with changed words in the place of bytes, every fifth frame black, and a palette of six bits a colour.
+    """
     rows = _padded(docs, FLC_FRAMES)
     d = F.col("data")
-    palette = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.lpad(F.hex((i * 7) % 256), 2, "0")), "")
+    palette = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.lpad(F.hex((i * 7) % (64 if words else 256)), 2, "0")), "")
     chunk = lambda kind, payload: once(payload, lambda p: F.concat(_num(F.length(p) / 2 + 6, 4), _num(kind, 2), p))
     lines = lambda f, head: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda y: F.concat(F.lit(head), _slice(d, f * SIZE + y * WIDTH, WIDTH))), "")
     brun = lambda f: chunk(15, lines(f, f"00{256 - WIDTH:02X}"))
     lc = lambda f: chunk(12, F.concat(_num(0, 2), _num(HEIGHT, 2), lines(f, f"0100{WIDTH:02X}")))
-    body = lambda f: F.when(f % 3 == 0, chunk(16, _slice(d, f * SIZE, SIZE))).when(f % 3 == 1, brun(f)).otherwise(lc(f))
-    colours = lambda f: F.when(f == 0, chunk(4, F.concat(_num(1, 2), F.lit("0000"), palette))).otherwise("")
+    ss2 = lambda f: chunk(7, F.concat(_num(HEIGHT, 2), lines(f, f"010000{WIDTH // 2:02X}")))
+    changed = lambda f: F.when(f % 5 == 4, chunk(13, F.lit(""))).otherwise(ss2(f)) if words else lc(f)
+    body = lambda f: F.when(f % 3 == 0, chunk(16, _slice(d, f * SIZE, SIZE))).when(f % 3 == 1, brun(f)).otherwise(changed(f))
+    colours = lambda f: F.when(f == 0, chunk(11 if words else 4, F.concat(_num(1, 2), F.lit("0000"), palette))).otherwise("")
 
     def frame(f: Column) -> Column:
         head = lambda c: F.concat(_num(F.length(c) / 2 + 16, 4), _num(0xF1FA, 2), _num(F.when(f == 0, 2).otherwise(1), 2), F.lit("00" * 8))
@@ -78,19 +83,19 @@ def flc_files(docs: DataFrame) -> DataFrame:
     return _files(rows, whole)
 
 
-def cdxl_files(docs: DataFrame) -> DataFrame:
-    """CDXL files of one plane: a chunk's picture is 32 bytes of the text as 32 by 8 bits, and its sound the next 16. A last chunk is filled with zeros."""
-    bitmap, sound = WIDTH // 8 * HEIGHT, 16
+def cdxl_files(docs: DataFrame, planes: int = 1) -> DataFrame:
+    """CDXL files: a chunk's picture is 32 bytes of the text a plane, as 32 by 8 bits, and its sound the next 16. A last chunk is filled with zeros."""
+    bitmap, sound, colours = WIDTH // 8 * HEIGHT * planes, 16, 1 << planes
     rows, d = _padded(docs), F.col("data")
     step = bitmap + sound
     missing = F.pmod(-F.length("data"), F.lit(step)).cast("int")
     rows = rows.select("path", F.explode(F.array(F.concat("data", F.unhex(F.repeat(F.lit("00"), missing))))).alias("data"))
     n = F.call_function("div", F.length("data"), F.lit(step)).cast("int")
-    size = 32 + 4 + step
+    size = 32 + 2 * colours + step
 
     def chunk(i: Column) -> Column:
-        head = F.concat(F.lit("0100"), _num(size, 4, False), _num(F.when(i > 0, size).otherwise(0), 4, False), _num(i + 1, 4, False), _num(WIDTH, 2, False), _num(HEIGHT, 2, False), F.lit("0001"), _num(4, 2, False), _num(sound, 2, False))
-        return F.concat(F.rpad(head, 64, "0"), F.lit("00000FFF"), _slice(d, i * step, step))
+        head = F.concat(F.lit("0100"), _num(size, 4, False), _num(F.when(i > 0, size).otherwise(0), 4, False), _num(i + 1, 4, False), _num(WIDTH, 2, False), _num(HEIGHT, 2, False), _num(planes, 2, False), _num(2 * colours, 2, False), _num(sound, 2, False))
+        return F.concat(F.rpad(head, 64, "0"), F.lit("0000" + "0FFF" * (colours - 1)), _slice(d, i * step, step))
 
     return _files(rows, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), chunk), ""))
 
@@ -119,6 +124,15 @@ def dpan_files(docs: DataFrame) -> DataFrame:
     return _files(rows, F.concat(head, colours, table, body))
 
 
+def seq_files(docs: DataFrame) -> DataFrame:
+    """SEQ files: a cel of the text's bytes a frame, every fourth a copy and the others XOR; the table of offsets is left empty, as it is not to be trusted."""
+    rows, n, d = _padded(docs), F.col("n"), F.col("data")
+    word = lambda x, size=2: _num(x, size, False)
+    head = F.rpad(F.concat(word(0xFEDB), word(0), word(n, 4), word(SPEED)), 256, "0")
+    cel = lambda f: F.concat(F.rpad(F.concat(F.rpad(F.lit("FFFF"), 124, "0"), word(F.when(f % 4 == 0, 0).otherwise(1), 1), word(0, 1), word(SIZE, 4)), 256, "0"), _slice(d, f * SIZE, SIZE))
+    return _files(rows, F.concat(head, F.repeat(F.lit("00" * 4), n), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), cel), "")))
+
+
 def _chunk(kind: str, payload: Column | str) -> Column:
     """An IFF chunk of an even number of bytes, as hexadecimal digits."""
     return once(payload if isinstance(payload, Column) else F.lit(payload), lambda p: F.concat(F.lit(kind.encode().hex()), _num(F.length(p) / 2, 4, False), p))

@@ -521,3 +521,32 @@ def files_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files picked by a pattern of their names, which is what the operator is for."""
     rows = sniff_codecs(spark, sf_dir).where("codec IS NOT NULL").withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
     return media.named(rows, "^open/(smk|bink)/.*[02468]$", "open").select("doc_id", "name")
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())}, p AS (SELECT path, CAST(k AS INTEGER) AS frame_index, CASE WHEN k % 3 = 2 AND k % 5 = 4 THEN repeat('00', 256) ELSE substr(x, CAST(k * 512 + 1 AS INTEGER), 512) END AS h FROM f)
+SELECT path, frame_index, md5(h) AS pixels_md5, md5(array_to_string(list_transform(range(768), lambda i: printf('%02X', (i * 7 % 64) * 4 + (i * 7 % 64) // 16)), '')) AS palette_md5 FROM p""")
+def flc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLC files with changed words, black frames and a palette of six bits a colour."""
+    rows = frames.decode_frames(_with_codec(derived.flc_files(_table(spark, sf_dir, "documents"), words=True)))
+    return derived.joined(rows, derived.FLC_FRAMES).select("path", "frame_index", F.md5(F.hex("pixels")).alias("pixels_md5"), F.md5(F.hex("palette")).alias("palette_md5"))
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())} SELECT path, CAST(k AS INTEGER) AS frame_index, CASE WHEN k = 0 THEN 1 ELSE 0 END AS seq, md5(substr(x, CAST(k * 512 + 1 AS INTEGER), 512)) AS payload_md5 FROM f WHERE k % 3 = 0""")
+def flc_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads of the raw pictures, behind the palette in a first frame."""
+    rows = derived.joined(chunks.payloads(_flc(spark, sf_dir), ("COPY",)), derived.FLC_FRAMES)
+    return rows.select("path", "frame_index", "seq", F.md5(F.hex("payload")).alias("payload_md5"))
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())} SELECT path, CAST(k AS INTEGER) AS frame_index, 128 + 4 * n + k * 384 AS "offset", CAST(384 AS BIGINT) AS size, CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END AS raw_flags, k % 4 = 0 AS keyframe_flag FROM f""")
+def seq_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame_index.seq_index(derived.seq_files(_table(spark, sf_dir, "documents"))).select("path", "frame_index", "offset", "size", "raw_flags", "keyframe_flag")
+
+
+@query(f"""WITH d AS ({_padded_sql()}), f AS (SELECT path, x, unnest(range((n * 256 + 143) // 144)) AS k FROM d),
+b AS (SELECT path, k, array_to_string(list_transform(regexp_extract_all(rpad(substr(x, CAST(k * 288 + 1 AS INTEGER), 256), 256, '0'), '..'), lambda h: lpad(bin(('0x' || h)::BIGINT), 8, '0')), '') AS bits FROM f)
+SELECT path, CAST(k AS INTEGER) AS frame_index, md5(array_to_string(list_transform(range(256), lambda i: '0' || printf('%X', {" + ".join(f"CAST(substr(bits, CAST({p * 256} + i + 1 AS INTEGER), 1) AS BIGINT) * {1 << p}" for p in range(4))})), '')) AS pixels_md5 FROM b""")
+def cdxl_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CDXL files of four planes, as pixels."""
+    rows = frames.decode_frames(_with_codec(derived.cdxl_files(_table(spark, sf_dir, "documents"), planes=4)))
+    return rows.select("path", "frame_index", F.md5(F.hex("pixels")).alias("pixels_md5"))
