@@ -1,11 +1,16 @@
-"""From raw documents to token records: quality rules, near-dedup, decontamination, mixing, binary output."""
+"""From raw documents to token records: quality rules, near-dedup, decontamination, mixing, binary output.
+
+Each stage but the last hands on documents with their own columns, whatever further ones there are; each works on all
+that its predecessor kept. Defined results: null and empty texts fail the quality rules; of repeated rows and copies one
+stays; rows without an id are never taken for copies; an empty table gives no records.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm.common import materialize, read_table, shared_dir
+from framelake.llm.common import discard, materialize, read_table, shared_dir
 from framelake.llm.decontaminate import drop_contaminated
 from framelake.llm.mixing import mix
 from framelake.llm.quality_rules import keep_good
@@ -55,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """A row a token record: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``. What a stage has written is deleted once the next one has read it."""
+    docs, written = read_table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(*written)
+        written = [docs]
+    records = STAGES[-1][1](spark, docs, sf_dir)
+    discard(*written)
+    return records
