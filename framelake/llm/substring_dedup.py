@@ -209,7 +209,8 @@ def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
     again = materialize(docs.select(own.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name))
     rows = docs.join(again, own == F.col(name), "left")
     shared = own.isNull() | F.col(name).isNotNull()
-    key, version = F.when(shared, F.xxhash64(own, f"`{text}`")).otherwise(own), F.when(shared, BY_TEXT).otherwise(BY_ID)
+    # never null: a join that filters nulls out would not find the exchange of the other one
+    key, version = F.when(shared, F.xxhash64(own, f"`{text}`")).otherwise(F.coalesce(own, F.lit(0))), F.when(shared, BY_TEXT).otherwise(BY_ID)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     return rows.select(key.alias("key"), version.alias("version"), F.col(f"`{text}`").alias("text"), row.alias("row"))
 
