@@ -111,6 +111,23 @@ def test_near_duplicates_match_brute_force(documents):
     assert ids.count(None) == 2 and {100, 101, 102, 200, 201}.isdisjoint(ids) and ids.count(10) == 1 and 400 in ids and 401 not in ids
 
 
+def test_every_link_of_a_whole_table_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    prints = np.array([simhash.fingerprint(r.text) for r in rows], np.int64).view(np.uint64)
+    assert all(int(prints[k]) == brute_fingerprint(rows[k].text) for k in range(0, len(rows), 50))
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
+    ids = np.array([r.doc_id for r in rows])
+    least = ids.copy()
+    while True:
+        now = np.where(near, least[None, :], ids.max()).min(axis=1)
+        if (now == least).all():
+            break
+        least = now
+    assert near.sum() > len(rows)
+    assert {r.id: r.component for r in simhash.near_duplicates(docs).collect()} == dict(zip(ids.tolist(), least.tolist(), strict=True))
+
+
 @pytest.mark.parametrize("many", [8, 2])
 def test_large_groups_are_dealt_again_without_losing_links(spark, many):
     rng = np.random.default_rng(1)
