@@ -73,6 +73,33 @@ r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / s
 SELECT doc_id, size, source_size, target, CAST(least(floor(u + rate * (n + 1)) - floor(u + rate * n), {mixing.MAX_REPEATS}) AS BIGINT) * size AS taken FROM r"""
 
 
+#: CRC-32 by a table of 256 steps, which the query works out itself.
+CRC32 = """
+RECURSIVE step AS (SELECT i AS b, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8)"""
+
+
+def crc32(text: str) -> str:
+    """The CRC-32 of a text's bytes, where ``crc`` of ``CRC32`` is joined in as one row."""
+    octets = f"list_transform(range(CAST(strlen({text}) AS BIGINT)), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+RESAMPLING = rf"""
+WITH {CRC32},
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+w AS (SELECT doc_id, unnest(ws) AS word FROM d),
+v AS (SELECT word, sum(s) AS s, sum(t) AS t FROM (SELECT word, count(*) AS s, 0 AS t FROM w GROUP BY word UNION ALL SELECT word, 0, count(*) FROM b GROUP BY word) GROUP BY word),
+h AS (SELECT word, v.s, v.t, {crc32("word")} % 10000 AS bucket FROM v, crc),
+k AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM h GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM v) + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM v) + 10000)))) AS BIGINT) AS gain FROM k),
+f AS (SELECT doc_id, sum(gain) AS weight FROM w JOIN h ON h.word = w.word JOIN g ON g.bucket = h.bucket GROUP BY doc_id),
+x AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN f ON f.doc_id = d.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS n, count(*) OVER () AS docs FROM x WHERE n_features >= 20)
+SELECT x.*, CASE WHEN r.n <= r.docs * 10 // 100 THEN CAST(r.n AS BIGINT) END AS rank FROM x LEFT JOIN r ON r.doc_id = x.doc_id"""
+
+
 def _quality() -> str:
     q = quality_rules
     count = lambda rule: f"length(rest) - length(regexp_replace(rest, '{rule}', '', 'g'))"
@@ -107,5 +134,5 @@ FROM f LEFT JOIN dc ON dc.doc_id = f.doc_id LEFT JOIN dw ON dw.doc_id = f.doc_id
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_html_extract": HTML_EXTRACT, "op2_substring_dedup": SUBSTRING_DEDUP, "op5_warc_zip": WARC_ZIP, "op6_line_dedup": LINE_DEDUP, "op7_decontaminate": DECONTAMINATE, "op8_mixing": MIXING,
-        "op10_quality_rules": _quality(),
+        "op10_quality_rules": _quality(), "op13_resampling": RESAMPLING,
     }

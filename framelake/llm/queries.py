@@ -15,6 +15,7 @@ from framelake.llm.html_extract import main_text
 from framelake.llm.line_dedup import drop_boilerplate
 from framelake.llm.mixing import systematic_sample
 from framelake.llm.quality_rules import quality_report
+from framelake.llm.resampling import resample
 from framelake.llm.simhash import near_duplicates
 from framelake.llm.substring_dedup import dedup_report
 from framelake.llm.token_records import read_records, write_records
@@ -76,6 +77,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", *[f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return drawn.select("doc_id", *[f"_draw.{c}" for c in ("n_features", "weight", "score", "rank")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extract, op2_substring_dedup, op3_token_records, op4_cotraining, op5_warc_zip, op6_line_dedup, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules)
+    found = (op1_html_extract, op2_substring_dedup, op3_token_records, op4_cotraining, op5_warc_zip, op6_line_dedup, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules, op13_resampling)
     return {f.__name__: f for f in found}
