@@ -100,6 +100,39 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS n, count
 SELECT x.*, CASE WHEN r.n <= r.docs * 10 // 100 THEN CAST(r.n AS BIGINT) END AS rank FROM x LEFT JOIN r ON r.doc_id = x.doc_id"""
 
 
+def _repair() -> str:
+    """The least edits row by row, by states: a plain path beside the operator's spans."""
+
+    def plus(cell: str, cost: str, initial: str, line: str | None = None) -> str:
+        return f"{{'c': {cell}.c + {cost}, 'a': {cell}.a || '{initial}', 't': {f'list_append({cell}.t, {line})' if line else f'{cell}.t'}}}"
+
+    user, assistant, never = "'user:'", "'assistant:'", "{'c': 1000000, 'a': '', 't': []::VARCHAR[]}"
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    put = lambda x, role: plus(x, "5", "I", role)
+    closed = f"x0 AS c0, x1 AS c1, {least('x2', put('x0', user), put('x1', user), put('x3', user))} AS c2, {least('x3', put('x2', assistant), put(put('x0', user), assistant), put(put('x1', user), assistant))} AS c3"
+    drop = lambda x: plus(x, "2", "D")
+    keep = lambda x, initial: f"CASE WHEN NOT gone AND init = '{initial}' THEN {plus(x, 'more', 'K', 'line')} ELSE {never} END"
+    turn = lambda x, role: f"CASE WHEN NOT gone THEN {plus(x, '(1 + more)', 'R', f'{role} || body')} ELSE {never} END"
+    user_from = [w for x in ("c0", "c1", "c3") for w in (keep(x, "u"), turn(x, user))]
+    steps = [least(drop("c0"), keep("c0", "")), least(drop("c1"), keep("c0", "s"), keep("c1", "")), least(drop("c2"), keep("c2", ""), *user_from), least(drop("c3"), keep("c3", ""), keep("c2", "a"), turn("c2", assistant))]
+    return rf"""
+WITH {CRC32},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+m AS (SELECT name, {crc32("name")} % 20 AS kind FROM (SELECT DISTINCT name FROM o), crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM o JOIN m ON m.name = o.name, range(2) r(k) WHERE kind <> 0 AND (k = 0 OR kind = 3)),
+e AS (SELECT *, role[1:1] AS init, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER w AS i, lag(role[1:1]) OVER w AS before FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM e),
+f AS (SELECT conv_id, turn, i, init, before, role || ':' || text AS line, text AS body, body = '' OR again AS gone, body = '' AS blank, body <> '' AND again AS duplicate, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS truncated FROM r),
+n AS (SELECT *, CASE WHEN truncated THEN 5 ELSE 0 END AS more FROM f),
+g AS (SELECT conv_id, max(i) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(i > 1 AND before || init NOT IN ('su', 'ua', 'au')) AS illegal FROM n GROUP BY conv_id),
+walk AS (SELECT conv_id, 0 AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS x0, {never} AS x1, {never} AS x2, {never} AS x3 FROM g
+  UNION ALL SELECT q.conv_id, CAST(n.i AS INTEGER), {", ".join(steps)} FROM (SELECT conv_id, i, {closed} FROM walk) q JOIN n ON n.conv_id IS NOT DISTINCT FROM q.conv_id AND n.i = q.i + 1),
+last AS (SELECT conv_id, {least("c0", "c3")} AS best FROM (SELECT conv_id, {closed} FROM walk JOIN g USING (conv_id) WHERE walk.i = g.rows))
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id = a.conv_id LEFT JOIN last ON last.conv_id = a.conv_id"""
+
+
 def _quality() -> str:
     q = quality_rules
     count = lambda rule: f"length(rest) - length(regexp_replace(rest, '{rule}', '', 'g'))"
@@ -134,5 +167,5 @@ FROM f LEFT JOIN dc ON dc.doc_id = f.doc_id LEFT JOIN dw ON dw.doc_id = f.doc_id
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_html_extract": HTML_EXTRACT, "op2_substring_dedup": SUBSTRING_DEDUP, "op5_warc_zip": WARC_ZIP, "op6_line_dedup": LINE_DEDUP, "op7_decontaminate": DECONTAMINATE, "op8_mixing": MIXING,
-        "op10_quality_rules": _quality(), "op13_resampling": RESAMPLING,
+        "op10_quality_rules": _quality(), "op11_conversation_repair": _repair(), "op13_resampling": RESAMPLING,
     }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.common import read_table, shared_dir
+from framelake.llm.conversation_repair import all_conversations, damage, repair_digests
 from framelake.llm.cotraining import fit, score
 from framelake.llm.decontaminate import contamination_report
 from framelake.llm.html_extract import main_text
@@ -77,11 +78,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", *[f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return all_conversations(conversations, repair_digests(damage(conversations)))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return drawn.select("doc_id", *[f"_draw.{c}" for c in ("n_features", "weight", "score", "rank")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extract, op2_substring_dedup, op3_token_records, op4_cotraining, op5_warc_zip, op6_line_dedup, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules, op13_resampling)
+    found = (op1_html_extract, op2_substring_dedup, op3_token_records, op4_cotraining, op5_warc_zip, op6_line_dedup, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules, op11_conversation_repair, op13_resampling)
     return {f.__name__: f for f in found}
