@@ -15,6 +15,7 @@ from framelake.llm.decontaminate import contamination_report
 from framelake.llm.html_extract import main_text
 from framelake.llm.line_dedup import drop_boilerplate
 from framelake.llm.mixing import systematic_sample
+from framelake.llm.pii import KINDS, find_personal_data, listed
 from framelake.llm.quality_rules import quality_report
 from framelake.llm.resampling import resample
 from framelake.llm.simhash import near_duplicates
@@ -83,11 +84,19 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_conversations(conversations, repair_digests(damage(conversations)))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("_pii", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("bigint").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_pii")).alias("spans"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return drawn.select("doc_id", *[f"_draw.{c}" for c in ("n_features", "weight", "score", "rank")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extract, op2_substring_dedup, op3_token_records, op4_cotraining, op5_warc_zip, op6_line_dedup, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules, op11_conversation_repair, op13_resampling)
+    found = (op1_html_extract, op2_substring_dedup, op3_token_records, op4_cotraining, op5_warc_zip, op6_line_dedup, op7_decontaminate, op8_mixing, op9_simhash, op10_quality_rules, op11_conversation_repair, op12_pii, op13_resampling)
     return {f.__name__: f for f in found}
