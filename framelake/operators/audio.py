@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.binary import u8, u16be, u32be
+from framelake.functions.binary import once, u8, u16be, u32be
 from framelake.functions.timing import CDXL_FPS, div
 
 
 def cdxl_audio(media: DataFrame) -> DataFrame:
     """``path``, ``frame_index``, ``rate``, ``channels`` and ``pcm``, the last bytes of each chunk, as they are. Chunks are read where the content lies."""
-    data, stride = F.col("content"), u32be(F.col("content"), 2)
-    n = F.coalesce(div(F.length(data), stride), F.lit(0))
 
-    def sound(i: Column) -> Column:
-        at = i * stride
+    def chunks(data: Column) -> Column:
+        stride = u32be(data, 2)
+        n = F.coalesce(div(F.length(data), stride), F.lit(0))
+        numbers = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+        return once(stride, lambda step: F.transform(numbers, lambda i: sound(data, i * step, i)))
+
+    def sound(data: Column, at: Column, i: Column) -> Column:
         channels = F.when(u8(data, at + 1).bitwiseAND(F.lit(0x10).cast("bigint")) != 0, 2).otherwise(1)
         held = u16be(data, at + 22)
         pcm = F.substring(data, (at + u32be(data, at + 2) - held + 1).cast("int"), held.cast("int"))
         return F.struct(i.cast("int").alias("frame_index"), div(held * CDXL_FPS, channels).alias("rate"), channels.alias("channels"), F.when(held > 0, pcm).alias("pcm"))
 
-    chunks = F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>")), sound)
     # outer, as otherwise Spark filters on the chunks first and so makes them twice
-    return media.select("path", F.explode_outer(chunks).alias("c")).where("c.pcm IS NOT NULL").select("path", "c.*")
+    return media.select("path", F.explode_outer(once(F.col("content"), chunks)).alias("c")).where("c.pcm IS NOT NULL").select("path", "c.*")
 
 
 def sound_events(controls: DataFrame, bank: DataFrame) -> DataFrame:

@@ -33,13 +33,15 @@ def _explode(rows: DataFrame, entries: Column) -> DataFrame:
 
 def smk_index(media: DataFrame) -> DataFrame:
     """From the size and flag tables; frames that the file ends before are left out."""
-    data = F.col("content")
-    d = media.withColumn("n", u32le(data, 12) + u32le(data, 20).bitwiseAND(F.lit(1).cast("bigint")))
-    fits = F.least(F.col("n"), div(F.greatest(F.length(data) - 104, F.lit(0)), F.lit(4)))  # of the table, what the file has
-    entry = lambda i: F.struct(i.alias("i"), u32le(data, 104 + i * 4).alias("raw"), u8(data, 104 + F.col("n") * 4 + i).alias("flags"))
-    base = (104 + F.col("n") * 5 + u32le(data, 52)).alias("base")
-    rows = d.select("path", base, F.length(data).alias("length"), F.explode_outer(F.transform(_upto(fits), entry)).alias("e")).where("e IS NOT NULL")
-    rows = rows.select("path", "base", "length", "e.*").withColumn("size", F.shiftleft(F.shiftright("raw", 2), 2)).withColumn("offset", F.col("base") + _before(["path"], "i"))
+    def table(data: Column) -> Column:
+        n = u32le(data, 12) + u32le(data, 20).bitwiseAND(F.lit(1).cast("bigint"))
+        fits = F.least(n, div(F.greatest(F.length(data) - 104, F.lit(0)), F.lit(4)))  # of the table, what the file has
+        base = 104 + n * 5 + u32le(data, 52)
+        return once(F.struct(n.alias("n"), base.alias("base")), lambda h: F.transform(_upto(fits), lambda i: F.struct(
+            i.alias("i"), u32le(data, 104 + i * 4).alias("raw"), u8(data, 104 + h["n"] * 4 + i).alias("flags"), h["base"].alias("base"), F.length(data).alias("length"))))
+
+    rows = media.select("path", F.explode_outer(once(F.col("content"), table)).alias("e")).where("e IS NOT NULL").select("path", "e.*")
+    rows = rows.withColumn("size", F.shiftleft(F.shiftright("raw", 2), 2)).withColumn("offset", F.col("base") + _before(["path"], "i"))
     key = (F.col("raw").bitwiseAND(F.lit(1).cast("bigint")) != 0) | (F.col("i") == 0)
     return rows.where(F.col("offset") + F.col("size") <= F.col("length")).select(
         "path", F.col("i").cast("int").alias("frame_index"), "offset", "size", F.col("flags").cast("int").alias("raw_flags"), key.alias("keyframe_flag"), F.lit(None).cast("int").alias("delay_ms"))
@@ -47,35 +49,46 @@ def smk_index(media: DataFrame) -> DataFrame:
 
 def bink_index(media: DataFrame) -> DataFrame:
     """From the offset table, whose low bits mark keyframes; a table that doesn't ascend gives no rows."""
-    data, tracks = F.col("content"), u32le(F.col("content"), 40)
-    extra = F.when(F.substring(data, 4, F.lit(1)).cast("string") == "k", F.lit(4)).otherwise(F.lit(0))
-    d = media.withColumn("n", u32le(data, 8)).withColumn("at", 44 + extra + 12 * tracks)
-    d = d.withColumn("raw", F.transform(_upto(F.col("n") + 1), lambda i: u32le(data, F.col("at") + i * 4)))
     even = lambda x: F.shiftleft(F.shiftright(x, 1), 1)
-    word = lambda i: F.get("raw", i.cast("int"))
-    entry = lambda i: F.struct(i.alias("i"), even(word(i)).alias("offset"), (even(word(i + 1)) - even(word(i))).alias("size"),
-        F.lit(0).alias("flags"), (word(i).bitwiseAND(F.lit(1).cast("bigint")) != 0).alias("key"))
-    entries = F.transform(_upto(F.col("n")), entry)
-    return _explode(d, once(entries, lambda es: F.when(~F.exists(es, lambda e: e["size"] <= 0), es)))
+
+    def table(data: Column) -> Column:
+        extra = F.when(F.substring(data, 4, F.lit(1)).cast("string") == "k", F.lit(4)).otherwise(F.lit(0))
+        begin = 44 + extra + 12 * u32le(data, 40)
+        words = once(begin, lambda at: F.transform(_upto(u32le(data, 8) + 1), lambda i: u32le(data, at + i * 4)))
+        return once(words, lambda raw: once(F.transform(_upto(u32le(data, 8)), lambda i: entry(raw, i.cast("int"))), rising))
+
+    def entry(raw: Column, i: Column) -> Column:
+        this, after = F.get(raw, i), F.get(raw, i + 1)
+        return F.struct(i.alias("i"), even(this).alias("offset"), (even(after) - even(this)).alias("size"), F.lit(0).alias("flags"), (this.bitwiseAND(F.lit(1).cast("bigint")) != 0).alias("key"))
+
+    rising = lambda es: F.when(~F.exists(es, lambda e: e["size"] <= 0), es)
+    return _explode(media, once(F.col("content"), table))
 
 
 def cdxl_index(media: DataFrame) -> DataFrame:
     """Equal strides of the first chunk's size; every chunk is a whole picture."""
-    size = u32be(F.col("content"), 2)
-    entry = lambda i: F.struct(i.alias("i"), (i * size).alias("offset"), size.alias("size"), F.lit(0).alias("flags"), F.lit(True).alias("key"))
-    return _explode(media, F.transform(_upto(F.coalesce(div(F.length("content"), size), F.lit(0))), entry))
+    entry = lambda size, i: F.struct(i.alias("i"), (i * size).alias("offset"), size.alias("size"), F.lit(0).alias("flags"), F.lit(True).alias("key"))
+    chunks = lambda data: once(u32be(data, 2), lambda size: F.transform(_upto(F.coalesce(div(F.length(data), size), F.lit(0))), lambda i: entry(size, i)))
+    return _explode(media, once(F.col("content"), chunks))
 
 
 def dpan_index(media: DataFrame) -> DataFrame:
     """From the page table: records of all pages sorted by frame, which must be dense; the loop-back record is left out."""
-    data, total = F.col("content"), F.col("total")
-    drop = F.when(u8(data, 26) > 0, F.greatest(u32le(data, 8), F.lit(1)) - 1).otherwise(u32le(data, 8))
-    entry = 1280 + F.col("page") * 6
-    pages = media.select("path", "content", drop.alias("total"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("page"))
-    pages = pages.withColumns({"base": u16le(data, entry), "n": u16le(data, entry + 2).bitwiseAND(F.lit(0x3FFF).cast("bigint")), "at": 2816 + F.col("page").cast("bigint") * 65536})
-    pages = pages.where((F.col("n") > 0) & (F.col("at") < F.length(data)))
-    sizes = F.transform(_upto(F.col("n")), lambda r: u16le(data, F.col("at") + 8 + r * 2))
-    records = pages.select("path", "total", "page", "base", (F.col("at") + 8 + F.col("n") * 2).alias("first"), F.posexplode(sizes).alias("r", "size"))
+    def page(data: Column, p: Column) -> Column:
+        entry, at = 1280 + p * 6, 2816 + p.cast("bigint") * 65536
+        n = F.when(at < F.length(data), u16le(data, entry + 2).bitwiseAND(F.lit(0x3FFF).cast("bigint"))).otherwise(0)
+        sizes = once(n, lambda held: F.transform(_upto(held), lambda r: u16le(data, at + 8 + r * 2)))
+        return F.struct(p.alias("page"), u16le(data, entry).alias("base"), sizes.alias("sizes"), at.alias("at"))
+
+    def table(data: Column) -> Column:
+        drop = F.when(u8(data, 26) > 0, F.greatest(u32le(data, 8), F.lit(1)) - 1).otherwise(u32le(data, 8))
+        pages = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda p: page(data, p))
+        return F.struct(drop.alias("total"), F.filter(pages, lambda p: F.size(p["sizes"]) > 0).alias("pages"))
+
+    total = F.col("total")
+    pages = media.select("path", F.explode_outer(F.array(once(F.col("content"), table))).alias("t")).select("path", "t.total", F.explode("t.pages").alias("p")).select("path", "total", "p.*")
+    pages = pages.withColumn("n", F.size("sizes"))
+    records = pages.select("path", "total", "page", "base", (F.col("at") + 8 + F.col("n") * 2).alias("first"), F.posexplode("sizes").alias("r", "size"))
     records = records.withColumns({"frame": F.col("base") + F.col("r"), "offset": F.col("first") + _before(["path", "page"], "r")})
     return dense_records(records.where(F.col("frame") < total).select("path", "frame", "offset", "size", "total"))
 

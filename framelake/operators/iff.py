@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.binary import u8, u16be, u32be
+from framelake.functions.binary import once, u8, u16be, u32be
 from framelake.functions.timing import SECOND, anim_period, div, yafa_period
 from framelake.operators.chunks import IFF_CHUNKS, iff_chunks_of, map_files
 
@@ -115,11 +115,15 @@ def anim_pcm(media: DataFrame) -> DataFrame:
     rows = rows.withColumn("sxhd", last).where((F.col("id") == "SBDY") & (u8(x, 0) == 8) & (u32be(x, 10) == 0) & u8(x, 15).isin(1, 2) & (u32be(x, 16) > 0))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("payload").alias("digits")))), lambda c: c["digits"]), "")
     frames = rows.groupBy("path", "frame_index").agg(F.first(u32be(x, 16)).alias("rate"), F.first(u8(x, 15)).alias("channels"), whole.alias("digits"))
-    half = div(F.length("digits"), F.lit(4)).cast("int")  # bytes of a channel
-    digits = lambda at: F.substring(F.col("digits"), at * 2 + 1, F.lit(2))
-    stereo = F.array_join(F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.concat(digits(i), digits(half + i))), "")
-    pcm = F.when(F.col("channels") == 1, F.col("digits")).otherwise(F.when(half > 0, stereo).otherwise(""))
-    return frames.select("path", "frame_index", "rate", "channels", F.unhex(pcm).alias("pcm"))
+    byte = lambda data, at: F.hex(F.substring(data, at + 1, F.lit(1)))
+
+    def stereo(data: Column) -> Column:
+        half = div(F.length(data), F.lit(2)).cast("int")  # bytes of a channel
+        pairs = once(half, lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(byte(data, i), byte(data, n + i))))
+        return F.unhex(F.when(half > 0, F.array_join(pairs, "")).otherwise(""))
+
+    pcm = once(F.unhex("digits"), lambda data: F.when(F.col("channels") == 1, data).otherwise(stereo(data)))
+    return frames.select("path", "frame_index", "rate", "channels", pcm.alias("pcm"))
 
 
 def yafa_index(media: DataFrame) -> DataFrame:
@@ -133,9 +137,11 @@ def yafa_index(media: DataFrame) -> DataFrame:
     i = F.col("i")
     got = got.where("i IS NOT NULL AND body IS NOT NULL").select("path", "prof", "body", u16be(i, 0).alias("w"), u16be(i, 2).alias("h"), u16be(i, 4).alias("depth"), u16be(i, 6).alias("speed"), u16be(i, 8).alias("n"), u16be(i, 10).alias("type"), u16be(i, 12).alias("flags"))
     fixed = F.when(F.col("flags").bitwiseAND(F.lit(4).cast("bigint")) == 0, F.when(F.col("type") == 4, F.col("w") * F.col("h")).when(F.col("type") == 0, div(F.col("w") + 7, F.lit(8)) * F.col("h") * F.col("depth")))
-    told = F.coalesce(F.length("prof"), F.lit(0)) > 0
-    end = lambda k: F.when(told, u32be(F.col("prof"), k * 4)).otherwise(fixed * (k + 1))
-    frames = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda k: F.struct(k.cast("int").alias("frame_index"), F.when(k > 0, end(k - 1)).otherwise(0).alias("start"), end(k).alias("end")))
-    fits = (F.col("n") > 0) & F.when(told, F.length("prof") == F.col("n") * 4).otherwise(fixed.isNotNull())
+    got = got.withColumn("n_prof", F.coalesce(F.length("prof"), F.lit(0)))
+    told = F.col("n_prof") > 0
+    end = lambda prof, k: F.when(told, u32be(prof, k * 4)).otherwise(fixed * (k + 1))
+    frame = lambda prof, k: F.struct(k.cast("int").alias("frame_index"), F.when(k > 0, end(prof, k - 1)).otherwise(0).alias("start"), end(prof, k).alias("end"))
+    frames = once(F.col("prof"), lambda prof: F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda k: frame(prof, k)))
+    fits = (F.col("n") > 0) & F.when(told, F.col("n_prof") == F.col("n") * 4).otherwise(fixed.isNotNull())
     out = got.where(fits).select("path", "body", yafa_period(F.col("speed")).alias("period"), F.explode(frames).alias("f"))
     return out.select("path", "f.frame_index", (F.col("body") + F.col("f.start")).alias("offset"), (F.col("f.end") - F.col("f.start")).alias("size"), (F.col("period") * F.col("f.frame_index")).alias("pts_us"), F.col("period").alias("duration_us"))

@@ -6,6 +6,8 @@ a decoder gives back can then be held against the document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +48,13 @@ def joined(rows: DataFrame, limit: int, **steps: int) -> DataFrame:
     return rows.withColumns({**moved, "frame_index": index, "path": F.substring_index("path", "#", 1)})
 
 
-def _files(rows: DataFrame, digits: Column) -> DataFrame:
-    """``path`` and ``content``. Generated, so that no reader of the content makes Spark build it again."""
-    return rows.select("path", F.explode_outer(F.array(F.unhex(digits))).alias("content"))
+def _files(rows: DataFrame, digits: Callable[[Column], Column]) -> DataFrame:
+    """``path`` and ``content``, of the digits that ``digits`` makes of ``data``. Generated, so that no reader of the content makes Spark build it again.
+
+    ``data`` is bound once: a binary column that a lambda reads by its name is copied whole at every use.
+    """
+    data = F.col("data") if "data" in rows.columns else F.lit(b"")
+    return rows.select("path", F.explode_outer(F.array(once(data, lambda d: F.unhex(digits(d))))).alias("content"))
 
 
 def _slice(data: Column, at: Column, size: int) -> Column:
@@ -62,47 +68,46 @@ def flc_files(docs: DataFrame, words: bool = False) -> DataFrame:
     ``words``: with changed words in the place of bytes, every fifth frame black, and a palette of six bits a colour.
     """
     rows = _padded(docs, FLC_FRAMES)
-    d = F.col("data")
     palette = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.lpad(F.hex((i * 7) % (64 if words else 256)), 2, "0")), "")
     chunk = lambda kind, payload: once(payload, lambda p: F.concat(_num(F.length(p) / 2 + 6, 4), _num(kind, 2), p))
-    lines = lambda f, head: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda y: F.concat(F.lit(head), _slice(d, f * SIZE + y * WIDTH, WIDTH))), "")
-    brun = lambda f: chunk(15, lines(f, f"00{256 - WIDTH:02X}"))
-    lc = lambda f: chunk(12, F.concat(_num(0, 2), _num(HEIGHT, 2), lines(f, f"0100{WIDTH:02X}")))
-    ss2 = lambda f: chunk(7, F.concat(_num(HEIGHT, 2), lines(f, f"010000{WIDTH // 2:02X}")))
-    changed = lambda f: F.when(f % 5 == 4, chunk(13, F.lit(""))).otherwise(ss2(f)) if words else lc(f)
-    body = lambda f: F.when(f % 3 == 0, chunk(16, _slice(d, f * SIZE, SIZE))).when(f % 3 == 1, brun(f)).otherwise(changed(f))
+    lines = lambda d, f, head: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda y: F.concat(F.lit(head), _slice(d, f * SIZE + y * WIDTH, WIDTH))), "")
+    brun = lambda d, f: chunk(15, lines(d, f, f"00{256 - WIDTH:02X}"))
+    lc = lambda d, f: chunk(12, F.concat(_num(0, 2), _num(HEIGHT, 2), lines(d, f, f"0100{WIDTH:02X}")))
+    ss2 = lambda d, f: chunk(7, F.concat(_num(HEIGHT, 2), lines(d, f, f"010000{WIDTH // 2:02X}")))
+    changed = lambda d, f: F.when(f % 5 == 4, chunk(13, F.lit(""))).otherwise(ss2(d, f)) if words else lc(d, f)
+    body = lambda d, f: F.when(f % 3 == 0, chunk(16, _slice(d, f * SIZE, SIZE))).when(f % 3 == 1, brun(d, f)).otherwise(changed(d, f))
     colours = lambda f: F.when(f == 0, chunk(11 if words else 4, F.concat(_num(1, 2), F.lit("0000"), palette))).otherwise("")
 
-    def frame(f: Column) -> Column:
+    def frame(d: Column, f: Column) -> Column:
         head = lambda c: F.concat(_num(F.length(c) / 2 + 16, 4), _num(0xF1FA, 2), _num(F.when(f == 0, 2).otherwise(1), 2), F.lit("00" * 8))
-        return once(F.concat(colours(f), body(f)), lambda c: F.concat(head(c), c))
+        return once(F.concat(colours(f), body(d, f)), lambda c: F.concat(head(c), c))
 
-    frames = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), frame), "")
+    frames = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda f: frame(d, f)), "")
     head = F.concat(_num(0xAF12, 2), _num(F.col("n"), 2), _num(WIDTH, 2), _num(HEIGHT, 2), _num(8, 2), _num(3, 2), _num(SPEED, 4))
-    whole = once(frames, lambda body: F.concat(F.rpad(F.concat(_num(F.length(body) / 2 + 128, 4), head), 256, "0"), body))
+    whole = lambda d: once(frames(d), lambda body: F.concat(F.rpad(F.concat(_num(F.length(body) / 2 + 128, 4), head), 256, "0"), body))
     return _files(rows, whole)
 
 
 def cdxl_files(docs: DataFrame, planes: int = 1) -> DataFrame:
     """CDXL files: a chunk's picture is 32 bytes of the text a plane, as 32 by 8 bits, and its sound the next 16. A last chunk is filled with zeros."""
     bitmap, sound, colours = WIDTH // 8 * HEIGHT * planes, 16, 1 << planes
-    rows, d = _padded(docs), F.col("data")
+    rows = _padded(docs)
     step = bitmap + sound
     missing = F.pmod(-F.length("data"), F.lit(step)).cast("int")
     rows = rows.select("path", F.explode(F.array(F.concat("data", F.unhex(F.repeat(F.lit("00"), missing))))).alias("data"))
     n = F.call_function("div", F.length("data"), F.lit(step)).cast("int")
     size = 32 + 2 * colours + step
 
-    def chunk(i: Column) -> Column:
+    def chunk(d: Column, i: Column) -> Column:
         head = F.concat(F.lit("0100"), _num(size, 4, False), _num(F.when(i > 0, size).otherwise(0), 4, False), _num(i + 1, 4, False), _num(WIDTH, 2, False), _num(HEIGHT, 2, False), _num(planes, 2, False), _num(2 * colours, 2, False), _num(sound, 2, False))
         return F.concat(F.rpad(head, 64, "0"), F.lit("0000" + "0FFF" * (colours - 1)), _slice(d, i * step, step))
 
-    return _files(rows, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), chunk), ""))
+    return _files(rows.withColumn("n", n), lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: chunk(d, i)), ""))
 
 
 def dpan_files(docs: DataFrame) -> DataFrame:
     """DPAN files of one page a 64 KiB: each record a long copy of a whole frame; 200 frames a page."""
-    rows, d, per = _padded(docs, DPAN_FRAMES), F.col("data"), 200
+    rows, per = _padded(docs, DPAN_FRAMES), 200
     record = 4 + 3 + SIZE
     n = F.col("n")
     pages = F.ceil(n / per).cast("int")
@@ -110,7 +115,7 @@ def dpan_files(docs: DataFrame) -> DataFrame:
     entry = lambda p: F.concat(_num(p * per, 2), _num(held(p), 2), _num(held(p) * record, 2))
     table = F.rpad(F.array_join(F.transform(F.sequence(F.lit(0), pages - 1), entry), ""), 256 * 12, "0")
 
-    def page(p: Column) -> Column:
+    def page(d: Column, p: Column) -> Column:
         numbers = F.sequence(p * per, p * per + held(p) - 1)
         sizes = F.array_join(F.transform(numbers, lambda f: _num(record, 2)), "")
         pictures = F.array_join(F.transform(numbers, lambda f: F.concat(F.lit("4200000080"), _num(0x8000 + SIZE, 2), _slice(d, f * SIZE, SIZE))), "")
@@ -120,17 +125,17 @@ def dpan_files(docs: DataFrame) -> DataFrame:
     head = F.concat(F.lit(b"LPF ".hex()), _num(256, 2), _num(pages, 2), _num(n, 4), _num(per, 2), _num(1280, 2), F.lit(b"ANIM".hex()), _num(WIDTH, 2), _num(HEIGHT, 2), F.lit("0000000000010001"))
     head = F.rpad(F.concat(F.rpad(head, 128, "0"), _num(n, 4), _num(10, 2)), 512, "0")
     colours = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex((i * 5) % 256), 2, "0")), "")
-    body = F.array_join(F.transform(F.sequence(F.lit(0), pages - 1), page), "")
-    return _files(rows, F.concat(head, colours, table, body))
+    body = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), pages - 1), lambda p: page(d, p)), "")
+    return _files(rows, lambda d: F.concat(head, colours, table, body(d)))
 
 
 def seq_files(docs: DataFrame) -> DataFrame:
     """SEQ files: a cel of the text's bytes a frame, every fourth a copy and the others XOR; the table of offsets is left empty, as it is not to be trusted."""
-    rows, n, d = _padded(docs), F.col("n"), F.col("data")
+    rows, n = _padded(docs), F.col("n")
     word = lambda x, size=2: _num(x, size, False)
     head = F.rpad(F.concat(word(0xFEDB), word(0), word(n, 4), word(SPEED)), 256, "0")
-    cel = lambda f: F.concat(F.rpad(F.concat(F.rpad(F.lit("FFFF"), 124, "0"), word(F.when(f % 4 == 0, 0).otherwise(1), 1), word(0, 1), word(SIZE, 4)), 256, "0"), _slice(d, f * SIZE, SIZE))
-    return _files(rows, F.concat(head, F.repeat(F.lit("00" * 4), n), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), cel), "")))
+    cel = lambda d, f: F.concat(F.rpad(F.concat(F.rpad(F.lit("FFFF"), 124, "0"), word(F.when(f % 4 == 0, 0).otherwise(1), 1), word(0, 1), word(SIZE, 4)), 256, "0"), _slice(d, f * SIZE, SIZE))
+    return _files(rows, lambda d: F.concat(head, F.repeat(F.lit("00" * 4), n), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda f: cel(d, f)), "")))
 
 
 def _chunk(kind: str, payload: Column | str) -> Column:
@@ -149,7 +154,7 @@ ANIM_RELTIME, ANIM_RATE = 2, 8000
 
 def anim_files(docs: DataFrame) -> DataFrame:
     """ANIM files: a picture of the text's bytes a frame, whole at first and a delta from then on, each with a sound control and 16 bytes of stereo sound, behind a bank of sounds."""
-    rows, d = _padded(docs), F.col("data")
+    rows = _padded(docs)
     byte = lambda x, size=1: _num(x, size, False)
     bank = F.concat(*[_form("8SVX", _chunk("BODY", sound)) for sound in BANK])
     bmhd = F.concat(byte(WIDTH, 2), byte(HEIGHT, 2), F.lit("00" * 4 + "08" + "00" * 5 + "0101"), byte(WIDTH, 2), byte(HEIGHT, 2))
@@ -157,10 +162,10 @@ def anim_files(docs: DataFrame) -> DataFrame:
     first = F.concat(_chunk("BMHD", bmhd), _chunk("CMAP", "000000FF8040"), _chunk("CAMG", "00000800"), _chunk("SXHD", sxhd))
     later = _chunk("ANHD", F.concat(F.lit("05" + "00" * 13), byte(ANIM_RELTIME, 4), F.lit("00" * 6)))
     control = lambda f: _chunk("SCTL", F.concat(F.lit("01"), byte(32 + f % 64), byte(f % 5, 2), byte(1, 2), byte(3, 2), F.lit("00" * 8)))
-    picture = lambda f: F.when(f == 0, _chunk("BODY", _slice(d, f * SIZE, SIZE))).otherwise(_chunk("DLTA", _slice(d, f * SIZE, SIZE)))
-    frame = lambda f: _form("ILBM", F.concat(F.when(f == 0, first).otherwise(later), control(f), picture(f), _chunk("SBDY", _slice(d, f * SIZE, 16))))
-    frames = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), frame), "")
-    return _files(rows, _form("ANIM", F.concat(bank, frames)))
+    picture = lambda d, f: F.when(f == 0, _chunk("BODY", _slice(d, f * SIZE, SIZE))).otherwise(_chunk("DLTA", _slice(d, f * SIZE, SIZE)))
+    frame = lambda d, f: _form("ILBM", F.concat(F.when(f == 0, first).otherwise(later), control(f), picture(d, f), _chunk("SBDY", _slice(d, f * SIZE, 16))))
+    frames = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda f: frame(d, f)), "")
+    return _files(rows, lambda d: _form("ANIM", F.concat(bank, frames(d))))
 
 
 YAFA_SPEED = 2
@@ -168,12 +173,12 @@ YAFA_SPEED = 2
 
 def yafa_files(docs: DataFrame) -> DataFrame:
     """YAFA files: the text's bytes as chunky frames; with an even number of frames they count as packed, and their ends are listed."""
-    rows, n, d = _padded(docs, FLC_FRAMES), F.col("n"), F.col("data")
+    rows, n = _padded(docs, FLC_FRAMES), F.col("n")
     word = lambda x, size=2: _num(x, size, False)
     listed = n % 2 == 0
     info = F.concat(word(WIDTH), word(HEIGHT), word(8), word(YAFA_SPEED), word(n), word(F.when(listed, 3).otherwise(4)), word(0))
     ends = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: word((k + 1) * SIZE, 4)), "")
-    return _files(rows, _form("YAFA", F.concat(_chunk("INFO", info), F.when(listed, _chunk("PROF", ends)).otherwise(""), _chunk("BODY", F.hex(d)))))
+    return _files(rows, lambda d: _form("YAFA", F.concat(_chunk("INFO", info), F.when(listed, _chunk("PROF", ends)).otherwise(""), _chunk("BODY", F.hex(d)))))
 
 
 def index_files(lines: DataFrame, codec: str, tracks: bool = False) -> DataFrame:
@@ -194,11 +199,11 @@ def index_files(lines: DataFrame, codec: str, tracks: bool = False) -> DataFrame
         words = F.array_join(F.transform("lines", lambda x: _num(x["size"], 4)), "")
         flags = F.repeat(F.lit("00"), n)
         data = F.array_join(F.transform("lines", lambda x: F.repeat(F.lit("AB"), (F.shiftright(x["size"], 2) * 4).cast("int"))), "")
-        return _files(rows, F.concat(F.rpad(head, 208, "0"), words, flags, data))
+        return _files(rows, lambda _: F.concat(F.rpad(head, 208, "0"), words, flags, data))
     base = 44 + 12 * F.col("tracks") + 4 * (n + 1)
     each = lambda f: F.when(F.col("tracks") > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.col("tracks") - 1), f), "")).otherwise("")
     sound = F.concat(each(lambda k: _num(1000 + k, 4)), each(lambda k: F.concat(_num(11025 * (k + 1), 2), _num(F.when(k == 0, 0x7000).otherwise(0x1000), 2))), each(lambda k: _num(k + 7, 4)))
     words = F.concat(_num(base + F.when(n > 0, 1).otherwise(0), 4), F.array_join(F.transform("lines", lambda x: _num(base + x["end"], 4)), ""))
     head = F.concat(F.lit(b"BIKi".hex()), _num(0, 4), _num(n, 4), _num(64, 4), _num(n, 4), _num(320, 4), _num(200, 4), _num(30000, 4), _num(1001, 4), _num(0, 4), _num(F.col("tracks"), 4))
     data = F.array_join(F.transform("lines", lambda x: F.repeat(F.lit("CD"), x["even"].cast("int"))), "")
-    return _files(rows, F.concat(head, sound, words, data))
+    return _files(rows, lambda _: F.concat(head, sound, words, data))
