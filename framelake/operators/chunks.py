@@ -15,6 +15,8 @@ from framelake.operators.frame_index import flc_frames_of
 
 # Chunk types.
 CHUNK_NAMES = {4: "COLOR_256", 7: "SS2", 11: "COLOR_64", 12: "LC", 13: "BLACK", 15: "BRUN", 16: "COPY", 18: "PSTAMP"}
+#: Of rows that a task holds as Python objects.
+BATCH_BYTES = 4 << 20
 CHUNKS = "path string, frame_index int, seq int, type_code int, payload_offset bigint, payload_size bigint"
 
 
@@ -40,13 +42,21 @@ def flc_chunks_of(data: bytes) -> Iterator[tuple]:
 
 
 def _rows(walker, schema: str):
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
     fields = [c.split() for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
         for batch in batches:
-            rows = [(path, *x) for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in walker(data or b"")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+            rows, held = [], 0
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):
+                for x in walker(data.as_py() or b""):
+                    rows.append((path.as_py(), *x))
+                    held += 64 + sum(4 * len(v) for v in x if hasattr(v, "__len__"))
+                    if held > BATCH_BYTES:
+                        yield packed(rows)
+                        rows, held = [], 0
+            yield packed(rows)
 
     return run
 

@@ -60,12 +60,13 @@ def xor_planes(ops: DataFrame, screen: list[str], order: list[str], word: str, p
 
 def words_to_chunky(planes: list[Column], width: int = 16) -> Column:
     """The pixels (an array) of ``width`` bits of each plane, the highest bit first; a plane's bit has the plane's number in a pixel."""
-    bit = lambda k, x: F.call_function("shiftleft", F.call_function("shiftright", planes[k], F.lit(width - 1) - x).bitwiseAND(F.lit(1).cast("bigint")), F.lit(k))
+    bit = lambda k, x: F.shiftleft(F.shiftright(planes[k], width - 1 - x).bitwiseAND(F.lit(1).cast("bigint")), k)
 
-    def pixel(x: Column) -> Column:
+    def pixel(x: int) -> Column:
         value = bit(0, x)
         for k in range(1, len(planes)):
             value = value.bitwiseOR(bit(k, x))
         return value
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), pixel)
+    # spelled out, as Spark compiles no lambdas
+    return F.array(*[pixel(x) for x in range(width)])

@@ -138,6 +138,26 @@ def seq_files(docs: DataFrame) -> DataFrame:
     return _files(rows, lambda d: F.concat(head, F.repeat(F.lit("00" * 4), n), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda f: cel(d, f)), "")))
 
 
+#: Of a cel's 128 words, those that lie in the file one by one; the last of them is repeated for the rest.
+SEQ_LITERAL = 120
+SEQ_CEL = (32, 16)
+
+
+def seq_cel_files(docs: DataFrame) -> DataFrame:
+    """SEQ files of run-length cels of 32 by 16 pixels in four planes, each of 256 bytes of the text: its first 32 are the palette too. Every fourth clears the screen, the others are XOR; they move by 5 pixels and a line a frame."""
+    rows, n = _padded(docs), F.col("n")
+    word = lambda x, size=2: _num(x, size, False)
+    head = F.rpad(F.concat(word(0xFEDB), word(0), word(n, 4), word(SPEED)), 256, "0")
+    size = 2 + 2 * (SEQ_LITERAL - 1) + 4
+
+    def cel(d: Column, f: Column) -> Column:
+        fields = F.concat(F.lit("FFFF0000"), _slice(d, f * SIZE, 32), F.lit("00" * 18), word(f * 5 % 40), word(f % 20), word(SEQ_CEL[0]), word(SEQ_CEL[1]), word(F.when(f % 4 == 0, 0).otherwise(1), 1), word(1, 1), word(size, 4))
+        runs = F.concat(word(0x8000 + SEQ_LITERAL - 1), _slice(d, f * SIZE, 2 * (SEQ_LITERAL - 1)), word(SIZE // 2 - SEQ_LITERAL + 1), _slice(d, f * SIZE + 2 * (SEQ_LITERAL - 1), 2))
+        return F.concat(F.rpad(fields, 256, "0"), runs)
+
+    return _files(rows, lambda d: F.concat(head, F.repeat(F.lit("00" * 4), n), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda f: cel(d, f)), "")))
+
+
 def _chunk(kind: str, payload: Column | str) -> Column:
     """An IFF chunk of an even number of bytes, as hexadecimal digits."""
     return once(payload if isinstance(payload, Column) else F.lit(payload), lambda p: F.concat(F.lit(kind.encode().hex()), _num(F.length(p) / 2, 4, False), p))
