@@ -285,7 +285,7 @@ def decode_frames(media: DataFrame, upto: int | None = None) -> DataFrame:
             for path, codec, data in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 decode, n = DECODERS.get(codec), -1
                 try:
-                    for frame in decode(data) if decode else ():
+                    for frame in decode(data or b"") if decode else ():
                         n = frame[0]
                         if upto is not None and n > upto:
                             break

@@ -87,7 +87,7 @@ def seq_palettes(cels: DataFrame) -> DataFrame:
 
 
 def seq_words(cels: DataFrame) -> DataFrame:
-    """A row for each 16 pixels that a cel touches: ``y``, ``column`` (of 16 pixels), and the words written to each plane (``plane0`` to ``plane3``).
+    """A row for each 16 pixels that a cel touches: ``y``, ``column`` (of 16 pixels), and the words written to the planes in one number, the first plane's lowest (``planes``).
 
     A rectangle that doesn't begin at a column writes each of its words to two of them; what lies beyond the right edge is lost.
     """
@@ -108,15 +108,22 @@ def seq_words(cels: DataFrame) -> DataFrame:
     out = rows.select("path", "frame_index", "segment", "y", "h", "shift", "first", F.explode_outer(places).alias("p")).where("p IS NOT NULL")
     shifted = lambda k: F.call_function("shiftright", F.col(f"p.own{k}"), F.col("shift")).bitwiseOR(
         F.call_function("shiftleft", F.col(f"p.before{k}"), F.lit(16) - F.col("shift")).bitwiseAND(F.lit(0xFFFF)))
+    packed = shifted(0).cast("bigint")
+    for k in range(1, 4):
+        packed = packed.bitwiseOR(F.shiftleft(shifted(k).cast("bigint"), 16 * k))
     column = F.col("first") + F.call_function("div", F.col("p.at"), F.col("h")).cast("int")
-    return out.select("path", "frame_index", "segment", (F.col("y") + F.col("p.at") % F.col("h")).alias("y"), column.alias("column"), *[shifted(k).cast("bigint").alias(f"plane{k}") for k in range(4)])
+    return out.select("path", "frame_index", "segment", (F.col("y") + F.col("p.at") % F.col("h")).alias("y"), column.alias("column"), packed.alias("planes"))
 
 
 def seq_screens(words: DataFrame) -> DataFrame:
-    """What the touched places hold after each cel: the planes folded, and the 16 ``pixels``. Places without a row since the screen was cleared are 0."""
+    """What the touched places hold after each cel: the folded ``planes`` and the 16 ``pixels``. Places without a row since the screen was cleared are 0.
+
+    Rows are dealt by path and segment, which serves what groups them by frame as well: give ``segment`` as a key too.
+    """
     run = Window.partitionBy("path", "segment", "y", "column").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
-    folded = words.withColumns({f"plane{k}": F.bit_xor(f"plane{k}").over(run) for k in range(4)})
-    return folded.withColumn("pixels", words_to_chunky([F.col(f"plane{k}") for k in range(4)]))
+    folded = words.repartition("path", "segment").withColumn("planes", F.bit_xor("planes").over(run))
+    plane = lambda k: F.shiftright("planes", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    return folded.withColumn("pixels", words_to_chunky([plane(k) for k in range(4)]))
 
 
 def seq_pictures(cels: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import binary, colour, timing
-from framelake.operators import audio, chunks, folds, frame_index, frames, iff, seq, timeline
+from framelake.operators import audio, chunks, folds, frame_index, frames, iff, seq, timeline, write_ops
 from framelake.plans import derived
 from framelake.sources import media
 
@@ -559,15 +559,38 @@ _LIT = derived.SEQ_LITERAL - 1
 r AS (SELECT path, k, segment, x // 16 AS first, x % 16 AS s, y0, h, unnest(range(CASE WHEN x % 16 > 0 THEN 48 ELSE 32 END)) AS pos FROM c),
 w AS (SELECT path, k, segment, y0 + pos % 16 AS y, first + pos // 16 AS col, {", ".join(f"CASE WHEN pos < 32 THEN ('0x' || substr(h, CAST(least({32 * p} + pos, {_LIT}) * 4 + 1 AS INTEGER), 4))::BIGINT ELSE 0 END >> CAST(s AS INTEGER) AS l{p}, CASE WHEN s > 0 AND pos >= 16 THEN (('0x' || substr(h, CAST(least({32 * p} + pos - 16, {_LIT}) * 4 + 1 AS INTEGER), 4))::BIGINT << CAST(16 - s AS INTEGER)) & 65535 ELSE 0 END AS r{p}" for p in range(4))} FROM r),
 b AS (SELECT path, k, y, col, {", ".join(f"bit_xor(l{p} | r{p}) OVER v AS p{p}" for p in range(4))} FROM w WINDOW v AS (PARTITION BY path, segment, y, col ORDER BY k ROWS UNBOUNDED PRECEDING)),
-q AS (SELECT path, k, count(*) AS places, sum({" + ".join(f"(((p0 >> {15 - i}) & 1) + 2 * ((p1 >> {15 - i}) & 1) + 4 * ((p2 >> {15 - i}) & 1) + 8 * ((p3 >> {15 - i}) & 1)) * (y * 320 + col * 16 + {i + 1})" for i in range(16))}) AS weighted FROM b GROUP BY path, k),
-e AS (SELECT path, k, ('0x' || substr(h, 5, 4))::BIGINT AS c FROM c)
-SELECT q.path, CAST(q.k AS INTEGER) AS frame_index, CAST(places AS BIGINT) AS places, CAST(weighted AS BIGINT) AS weighted, {", ".join(f"CAST((c >> {n}) % 8 * 32 + (c >> {n}) % 8 * 4 + (c >> {n}) % 8 // 2 AS INTEGER) AS {rgb}" for rgb, n in (("red", 8), ("green", 4), ("blue", 0)))}
-FROM q JOIN e ON e.path = q.path AND e.k = q.k""")
+q AS (SELECT path, k, count(*) AS places, sum({" + ".join(f"(((p0 >> {15 - i}) & 1) + 2 * ((p1 >> {15 - i}) & 1) + 4 * ((p2 >> {15 - i}) & 1) + 8 * ((p3 >> {15 - i}) & 1)) * (y * 320 + col * 16 + {i + 1})" for i in range(16))}) AS weighted FROM b GROUP BY path, k)
+SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(places AS BIGINT) AS places, CAST(weighted AS BIGINT) AS weighted FROM q""")
 def seq_cels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as cels of SEQ files, run-length coded, moving, and XOR with the screen: the touched pixels of each frame, weighted by place, and the second colour of its palette."""
+    """Documents as cels of SEQ files, run-length coded, moving, and XOR with the screen: the touched pixels of each frame, weighted by place."""
     cels = seq.seq_cels(derived.seq_cel_files(_table(spark, sf_dir, "documents")))
-    rows = seq.seq_screens(seq.seq_words(cels))
     weighted = sum((F.col("pixels")[i] * (F.col("y") * 320 + F.col("column") * 16 + i + 1) for i in range(16)), F.lit(0).cast("bigint"))
-    frames_of = rows.groupBy("path", "frame_index").agg(F.count("*").alias("places"), F.sum(weighted).alias("weighted"))
-    second = seq.seq_palettes(cels).select("path", "frame_index", F.col("palette")[1].alias("c"))
-    return frames_of.join(second, ["path", "frame_index"]).select("path", "frame_index", "places", "weighted", F.col("c.r").alias("red"), F.col("c.g").alias("green"), F.col("c.b").alias("blue"))
+    rows = seq.seq_screens(seq.seq_words(cels)).groupBy("path", "segment", "frame_index").agg(F.count("*").alias("places"), F.sum(weighted).alias("weighted"))
+    return rows.select("path", "frame_index", "places", "weighted")
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())}, c AS (SELECT path, k, list_transform(regexp_extract_all(substr(x, CAST(k * 512 + 1 AS INTEGER), 64), '.{{{{4}}}}'), lambda w: ('0x' || w)::BIGINT) AS ws FROM f)
+SELECT path, CAST(k AS INTEGER) AS frame_index, array_to_string(list_transform(ws, lambda w: {" || '.' || ".join(f"(((w >> {n}) % 8) * 36 + ((w >> {n}) % 8) // 2)" for n in (8, 4, 0))}), ' ') AS colours FROM c""".replace("{{4}}", "{4}"))
+def seq_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen colours of each cel, as red.green.blue."""
+    colours = seq.seq_palettes(seq.seq_cels(derived.seq_cel_files(_table(spark, sf_dir, "documents"))))
+    shown = F.array_join(F.transform("palette", lambda c: F.concat_ws(".", c["r"].cast("string"), c["g"].cast("string"), c["b"].cast("string"))), " ")
+    return colours.select("path", "frame_index", shown.alias("colours"))
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())}, p AS (SELECT path, CAST(k AS INTEGER) AS frame_index, CASE WHEN k % 3 = 2 AND k % 5 = 4 THEN repeat('00', 256) ELSE substr(x, CAST(k * 512 + 1 AS INTEGER), 512) END AS h FROM f)
+SELECT path, frame_index, 32 AS width, 8 AS height, md5(h) AS pixels_md5 FROM p""")
+def flc_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as FLC files, these as write operations, and their replay: the pictures that decoding gives."""
+    ops = write_ops.write_ops(derived.flc_files(_table(spark, sf_dir, "documents"), words=True))
+    return derived.joined(write_ops.replay(ops), derived.FLC_FRAMES).select("path", "frame_index", "width", "height", F.md5(F.hex("pixels")).alias("pixels_md5"))
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())}, k AS (SELECT path, k, CASE k % 3 WHEN 0 THEN 'copy' WHEN 1 THEN 'copy' ELSE CASE WHEN k % 5 = 4 THEN 'fill' ELSE 'copy' END END AS op FROM f)
+SELECT path, op, CAST(count(*) * 8 AS BIGINT) AS writes, CAST(count(*) * 256 AS BIGINT) AS written FROM k GROUP BY path, op""")
+def flc_write_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often and how much the operations of each file write."""
+    ops = write_ops.write_ops(derived.flc_files(_table(spark, sf_dir, "documents"), words=True)).where("op IN ('copy', 'fill', 'fill_words')")
+    size = F.col("count") * F.when(F.col("op") == "fill_words", 2).otherwise(1)
+    rows = ops.withColumn("path", F.substring_index("path", "#", 1)).groupBy("path", "op")
+    return rows.agg(F.count("*").alias("writes"), F.sum(size).cast("bigint").alias("written"))
