@@ -1,11 +1,13 @@
 """Quality classifier by co-training on two views: a text's content, and its page's metadata.
 
 The content view hashes words and counts bytes. The metadata view has language, source, both together and the recorded
-length, and never reads the text. Each view has a logistic classifier fitted to labelled rows. Over ``ROUNDS`` rounds
-each view scores all documents outside the sample and gives the other one those that it is surest of, as pseudo-labels
-in the proportion of the classes: ``ADDED`` a round at most, and none below a confidence of ``SURE``. The views are then
-calibrated on labelled rows that none was fitted to, and combined as independent evidence: their log-odds are added and
-the prior's taken off once.
+length, and never reads the text. Each view has a logistic classifier fitted to labelled rows, and is calibrated on
+labelled rows that none is fitted to. Over ``ROUNDS`` rounds at most, each view scores all documents outside the sample
+and gives the other one those that it is surest of, as pseudo-labels in the proportion of the classes: ``ADDED`` a round
+at most, and none below a calibrated probability of ``SURE``, at the prior of the corpus; so a weak view teaches little.
+A pseudo-label weighs ``PSEUDO_WEIGHT`` of a label. The views are combined as independent evidence: their log-odds are
+added and the prior's taken off once. A view takes the lesson of a round if that lowers the combined loss on the rows held
+out; the first round in which neither does ends the exchange.
 
 The bounds of what is fitted: ``MAX_LABELLED`` labelled rows of documents that exist, half of either class if there are
 as many, those with the least hashed ids; and the pseudo-labels. Search for these and scoring cover all documents, in
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import pieces
 
-MAX_LABELLED, ROUNDS, ADDED, MIN_CLASS = 4000, 2, 200, 10
-#: The least probability, by the view's own classifier, of a pseudo-label.
-SURE = 0.9
+MAX_LABELLED, ROUNDS, ADDED, MIN_CLASS = 4000, 5, 200, 10
+#: The least calibrated probability of a pseudo-label, and its weight beside a label.
+SURE, PSEUDO_WEIGHT = 0.95, 0.2
 WORD_BINS, META_BINS, HELD_OUT = 512, 128, 5
 #: Documents are kept from this score on. Below one half, as a good document lost costs more than a poor one kept.
 KEEP_SCORE = 0.25
@@ -72,11 +74,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
-    """Weights, the last one constant, by accelerated gradient descent on features scaled to unit variance; classes weigh alike."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, worth: np.ndarray | None = None, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
+    """Weights, the last one constant, by accelerated gradient descent on features scaled to unit variance; classes weigh alike, rows in a class by ``worth``."""
+    worth = np.ones(len(y)) if worth is None else worth
     centre, scale = x.mean(axis=0), x.std(axis=0) + np.float32(1e-3)
     z = np.c_[(x - centre) / scale, np.ones(len(x))].astype(np.float32)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
+    weight = (worth * np.where(y == 1, 0.5 / max(1e-6, worth[y == 1].sum()), 0.5 / max(1e-6, worth[y == 0].sum()))).astype(np.float32)
     y, top = y.astype(np.float32), np.ones(z.shape[1], np.float32)
     for _ in range(20):  # power iteration: the steepest curvature bounds the step
         top /= np.linalg.norm(top)
@@ -133,20 +136,30 @@ class CoModel:
 Examples = tuple[list[np.ndarray], list[np.ndarray]]
 
 
+def calibrated(rows: np.ndarray, weights: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], np.ndarray]:
+    """A view's calibration on the rows held out, and its log-odds for them."""
+    margin = logits(rows, weights)
+    a, b = _platt(margin, y)
+    return (float(a), float(b)), a * margin + b
+
+
+def loss_of(odds: list[np.ndarray], y: np.ndarray) -> float:
+    """The views' combined loss on the rows held out, which have a prior of their own."""
+    both = sum(odds) - np.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum()))
+    return float(np.logaddexp(0, np.where(y == 1, -both, both)).mean())
+
+
 def surest(margin: np.ndarray, ids: np.ndarray, most: int, sure: float = SURE) -> tuple[list[int], list[int]]:
-    """Rows of the lowest and of the highest margins, ``most`` at most and each at least as sure as ``sure``; ties by id."""
+    """Rows of the lowest and of the highest calibrated margins (log-odds), ``most`` at most and each at least as sure as ``sure``; ties by id."""
     step, floor = np.round(margin, 3), np.log(sure / (1 - sure))
     up, down = np.lexsort((ids, -step))[:most], np.lexsort((ids, step))[:most]
     return [int(k) for k in down if step[k] <= -floor], [int(k) for k in up if step[k] >= floor]
 
 
-def fit_views(labelled: Examples, y: np.ndarray, pseudo: list[tuple[int, np.ndarray, float]]) -> list[np.ndarray]:
-    """Both views' weights from the labelled rows and the pseudo-labels (view, features, label)."""
-    found = []
-    for view, rows in enumerate(labelled):
-        own = [(x, label) for k, x, label in pseudo if k == view]
-        found.append(fit_logistic(np.stack([*rows, *(x for x, _ in own)]), np.r_[y, [label for _, label in own]]))
-    return found
+def fit_view(rows: list[np.ndarray], y: np.ndarray, pseudo: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """A view's weights from the labelled rows and the pseudo-labels (features, label)."""
+    worth = np.r_[np.ones(len(y)), np.full(len(pseudo), PSEUDO_WEIGHT)]
+    return fit_logistic(np.stack([*rows, *(x for x, _ in pseudo)]), np.r_[y, [label for _, label in pseudo]], worth)
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +181,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), *packed], ["id", "text", "meta"])
 
 
-def _candidates(weights: list[np.ndarray], most: tuple[int, int]):
+def _candidates(weights: list[np.ndarray], calibration: list[tuple[float, float]], most: tuple[int, int]):
     """A task's surest documents: view, label, the margin's step and id, in the order of certainty within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +189,8 @@ def _candidates(weights: list[np.ndarray], most: tuple[int, int]):
         for batch in _small(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for view, x in enumerate(_views(batch)):
-                margin = logits(x, weights[view])
+                slope, shift = calibration[view]
+                margin = slope * logits(x, weights[view]) + shift
                 for label, rows in enumerate(surest(margin, ids, max(most))):
                     m, i = (np.r_[a, b] for a, b in zip(held[view][label], (margin[rows], ids[rows]), strict=True))
                     keep = surest(m, i, most[label])[label]
@@ -234,22 +248,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "d
     held = np.arange(len(y)) % HELD_OUT == 0
     views = [np.stack([rows[i][k] for i, _ in chosen]) for k in (0, 1)]
     train = [list(v[~held]) for v in views]
-    used, pseudo = {i for i, _ in chosen}, []
-    weights = fit_views(train, y[~held], pseudo)
+    used, taught = {i for i, _ in chosen}, [[], []]
+    # the sample's own prior, which calibration on it takes in
+    shift = prior - float(np.log(most_drawn[1.0] / most_drawn[0.0]))
+    weights = [fit_view(rows, y[~held], []) for rows in train]
+    fits = [calibrated(v[held], w, y[held]) for v, w in zip(views, weights, strict=True)]
+    at_prior = lambda: [(a, b + shift) for (a, b), _ in fits]
     most = round(added * (1 - share)), round(added * share)
     for _ in range(rounds):
         left = inputs.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(used)], "id bigint")), "id", "left_anti")
-        found = left.mapInArrow(_candidates(weights, most), "view int, label int, margin double, id bigint")
-        best = _best(found, most)
+        best = _best(left.mapInArrow(_candidates(weights, at_prior(), most), "view int, label int, margin double, id bigint"), most)
         rows = _features_of(inputs, sorted({i for _, _, i in best}))
-        pseudo += [(1 - view, rows[i][1 - view], float(one)) for view, one, i in best]
         used |= set(rows)
-        if not best:
+        learnt = False
+        for view in (0, 1):
+            lesson = [(rows[i][view], float(one)) for teacher, one, i in best if teacher != view]
+            if not lesson:
+                continue
+            after = fit_view(train[view], y[~held], taught[view] + lesson)
+            fitted = calibrated(views[view][held], after, y[held])
+            if loss_of([fitted[1], fits[1 - view][1]], y[held]) < loss_of([odds for _, odds in fits], y[held]):
+                weights[view], fits[view], learnt = after, fitted, True
+                taught[view] += lesson
+        if not learnt:
             break
-        weights = fit_views(train, y[~held], pseudo)
-    drawn = float(np.log(most_drawn[1.0] / most_drawn[0.0]))  # the sample's own prior, which calibration on it has taken in
-    fits = [_platt(logits(v[held], w), y[held]) for v, w in zip(views, weights, strict=True)]
-    return CoModel(*weights, tuple((a, b + prior - drawn) for a, b in fits), prior)
+    return CoModel(*weights, tuple(at_prior()), prior)
 
 
 def score(docs: DataFrame, model: CoModel, id: str = "doc_id", text: str = "text", threshold: float = KEEP_SCORE) -> DataFrame:

@@ -42,8 +42,10 @@ def benchmark_words(text: str | None) -> list[bytes]:
 class Patterns:
     """Shift and suffix tables for the windows of some items, one pair a window length.
 
-    A block of words is the number that its words' numbers make. The patterns of a length are sorted by their last block,
-    one after the other in ``runs``, four bytes a word; ``ends`` tells which of them end in a block.
+    A block of words is the number that its words' numbers make. The different patterns of a length are sorted by their
+    last block, and within it by their bytes, one after the other in ``runs``, four bytes a word; ``ends`` tells which of
+    them end in a block, so that those equal to a stretch of text are found by halving, however many share a suffix.
+    ``owners`` has the items of all patterns in turn, those of pattern k from ``first[k]`` on.
     """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
@@ -65,11 +67,18 @@ class Patterns:
         shift: dict[int, int] = {}
         for at in range(keys.shape[1]):  # from the far end of the windows to the near one, so that the least shift stays
             shift.update(dict.fromkeys(np.unique(keys[:, at]).tolist(), keys.shape[1] - 1 - at))
-        order = np.argsort(keys[:, -1], kind="stable")
-        last = keys[order, -1]
+        runs, same = np.unique(np.ascontiguousarray(windows).view(f"V{4 * m}").ravel(), return_inverse=True)
+        last = np.zeros(len(runs), np.int64)
+        last[same] = keys[:, -1]
+        order = np.argsort(last, kind="stable")  # keeps the order of bytes within a block
+        last, runs = last[order], runs[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        owned = np.unique(np.c_[rank[same], owners], axis=0)  # an item owns a repeated window once
+        first = np.searchsorted(owned[:, 0], np.arange(len(runs) + 1))
         starts = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
         ends = dict(zip(last[starts].tolist(), zip(starts.tolist(), np.r_[starts[1:], len(last)].tolist(), strict=True), strict=True))
-        return block, base, shift, ends, np.ascontiguousarray(windows[order]).tobytes(), owners[order]
+        return block, base, shift, ends, runs.tobytes(), owned[:, 1].astype(np.int32), first
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The spans of all occurrences, and the names of the items that have one."""
@@ -77,21 +86,23 @@ class Patterns:
         number = self.numbers.get
         ids = [number(w, 0) for w in words]
         packed = np.array(ids, np.int32).tobytes()
-        for m, block, base, shift, ends, runs, owners in self.tables:
+        for m, block, base, shift, ends, runs, owners, first in self.tables:
             at, n, jump, width = m, len(words), m - block + 1, 4 * m
-            far = shift.get
+            far, found = shift.get, set()
             while at <= n:
                 key = ids[at - 1] if block == 1 else ids[at - 2] * base + ids[at - 1]
                 step = far(key, jump)
                 if step:
                     at += step
                     continue
-                here, hit = packed[4 * (at - m) : 4 * at], False
-                for k in range(*ends[key]):
-                    if runs[k * width : (k + 1) * width] == here:
-                        hit = True
-                        names.add(self.names[owners[k]])
-                if hit:
+                here, (low, high) = packed[4 * (at - m) : 4 * at], ends[key]
+                while low < high:
+                    middle = (low + high) // 2
+                    low, high = (middle + 1, high) if runs[middle * width : (middle + 1) * width] < here else (low, middle)
+                if low < ends[key][1] and runs[low * width : (low + 1) * width] == here:
+                    if low not in found:
+                        found.add(low)
+                        names.update(self.names[k] for k in owners[first[low] : first[low + 1]])
                     spans.append((at - m, at))
                 at += 1
         return spans, names

@@ -3,8 +3,8 @@
 The lines of a page are its text between block tags. For each host, the distinct pages that contain a line are divided
 by the host's distinct pages; a line on ``MIN_PAGES`` of them at least and on a share above ``MAX_RATIO`` is dropped
 from all its pages. Pages with the same lines in the same order count once, so copies of a page are no evidence against
-its text. On a host of under ``MIN_PAGES / MAX_RATIO`` pages the number of pages decides, on larger ones the share; a
-host of fewer distinct pages than ``MIN_PAGES`` loses nothing.
+its text. The share decides on every host of thirty pages or more (``MIN_PAGES / MAX_RATIO``); below, the least number of
+pages is the stricter one, so that two near copies on a small host don't take each other's lines.
 
 Counting is a grouped sum, so a host of a third of all pages costs no more than others. The boilerplate lines have a
 row each and meet the pages' lines, exploded to hashes and places, in a join by host and line, which Spark can
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import WORD_GAP, materialize
 
-MAX_RATIO, MIN_PAGES = 0.01, 5
+MAX_RATIO, MIN_PAGES = 0.1, 3
 
 # What is no text, what ends a line, and the remaining markup.
 UNSEEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"

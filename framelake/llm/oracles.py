@@ -43,7 +43,7 @@ l AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)),
 e AS (SELECT page_id, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM l),
 u AS (SELECT DISTINCT host, lines FROM l WHERE host IS NOT NULL),
 h AS (SELECT host, count(*) AS pages FROM u GROUP BY host),
-b AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM u) x JOIN h USING (host) GROUP BY host, line, pages HAVING count(*) >= 5 AND count(*) > 0.01 * pages),
+b AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM u) x JOIN h USING (host) GROUP BY host, line, pages HAVING count(*) >= 3 AND count(*) > 0.1 * pages),
 k AS (SELECT page_id, string_agg(e.line, chr(10) ORDER BY i) AS kept, count(*) AS n FROM e LEFT JOIN b ON b.host = e.host AND b.line = e.line WHERE b.line IS NULL GROUP BY page_id)
 SELECT l.page_id, l.host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN k ON k.page_id = l.page_id"""
 

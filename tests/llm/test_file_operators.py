@@ -277,18 +277,54 @@ def test_pseudo_labels_are_the_surest_by_brute_force(spark):
     weights = [rng.normal(0, 3, n + 1).astype(np.float32) for n in (cotraining._TEXT, cotraining._META)]
     most = (5, 9)
     inputs = cotraining._inputs(docs, "doc_id", "text")
-    got = cotraining._best(inputs.repartition(5).mapInArrow(cotraining._candidates(weights, most), "view int, label int, margin double, id bigint"), most)
+    got = cotraining._best(inputs.repartition(5).mapInArrow(cotraining._candidates(weights, [(1.0, 0.0), (1.0, 0.0)], most), "view int, label int, margin double, id bigint"), most)
     want = []
     for view in (0, 1):
         margins = []
         for r in docs.collect():
             x = cotraining.content_view(r.text) if view == 0 else cotraining.metadata_view(r.lang, r.source, r.n_chars)
             margins.append((round(float(cotraining.logits(x[None], weights[view])[0]), 3), r.doc_id))
-        floor = np.log(9)
+        floor = np.log(cotraining.SURE / (1 - cotraining.SURE))
         want += [(view, 0, i) for m, i in sorted(margins)[:5] if m <= -floor] + [(view, 1, i) for m, i in sorted((-m, i) for m, i in margins)[:9] if -m >= floor]
     assert got == sorted(want) and got
 
 
+def test_exchange_does_not_harm(spark):
+    """The registered setting against no exchange, on a quarter of the labels that neither has seen."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = {r.doc_id: r.quality for r in labels.where("doc_id % 4 = 0").collect()}
+    found = []
+    for rounds in (0, cotraining.ROUNDS):
+        model = cotraining.fit(docs, labels.where("doc_id % 4 != 0"), rounds=rounds)
+        rows = [r for r in cotraining.score(docs.where("doc_id % 4 = 0"), model).collect() if r.id in held]
+        right = sum((r.score >= 0.5) == (held[r.id] == 1) for r in rows)
+        found.append((right, sum(r.kept for r in rows if held[r.id] == 0)))
+    (plain, plain_kept), (right, kept) = found
+    assert right >= plain and kept <= plain_kept and right > 0.98 * len(held)
+
+
+def test_a_lesson_is_taken_only_if_the_combined_loss_falls():
+    rng = np.random.default_rng(5)
+    y = np.r_[np.ones(30), np.zeros(30)]
+    views = [np.c_[y + rng.normal(0, 0.4, 60), rng.normal(0, 1, 60)].astype(np.float32) for _ in (0, 1)]
+    fits = [cotraining.calibrated(v, cotraining.fit_view(list(v), y, []), y) for v in views]
+    want = np.mean([np.logaddexp(0, -o if one else o) for one, o in zip(y, fits[0][1] + fits[1][1], strict=True)])
+    assert abs(cotraining.loss_of([odds for _, odds in fits], y) - want) < 1e-9
+    wrong = [(x, 1.0 - one) for x, one in zip(views[0], y, strict=True)] * 20  # a teacher that is always wrong
+    taught = cotraining.calibrated(views[0], cotraining.fit_view(list(views[0]), y, wrong), y)
+    assert cotraining.loss_of([taught[1], fits[1][1]], y) > cotraining.loss_of([odds for _, odds in fits], y)
+
+
+def test_line_ratio_decides_from_small_hosts_on(spark):
+    """On a host of 20 pages the least number decides, on one of 2,000 the share."""
+    html = lambda *xs: "".join(f"<p>{x}</p>" for x in xs)
+    rows = [(i, "http://small.example/", html(f"own {i}", *["menu"] * (i < 3), *["pair"] * (i < 2))) for i in range(20)]
+    rows += [(1000 + i, "http://large.example/", html(f"own {i}", *["banner"] * (i < 201), *["often"] * (i < 200), *["thrice"] * (i < 3))) for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.id: r.lines for r in line_dedup.drop_boilerplate(pages).collect()}
+    assert got[0] == ["own 0", "pair"] and got[19] == ["own 19"] and got[1000] == ["own 0", "often", "thrice"] and got[1150] == ["own 150", "often"]
+
+
 def test_cotraining_is_the_same_for_any_partitioning_and_takes_repeated_ids(spark, documents):
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(10, 0), (9999, 1), (200, 1), (201, 0)], "doc_id bigint, quality int")
     runs = [cotraining.fit(d, labels, rounds=1, added=10) for d in (documents, documents.repartition(7))]

@@ -268,3 +268,15 @@ def test_mixing_meets_targets_and_repeats_itself(spark, documents):
         wanted[r.id, r.size] += r.copies
     found = Counter((r.doc_id, len(words(r.text))) for r in got.collect())
     assert found == Counter({k: v for k, v in wanted.items() if v})
+
+
+def test_many_items_of_one_suffix_are_found_fast():
+    import time
+
+    items = [(f"i{k}", [b"w%d" % (k * 7 % 997), b"v%d" % k, *[b"x"] * 6, b"the", b"end"]) for k in range(30_000)]
+    many = decontaminate.Patterns(items + [(f"copy{k}", items[5][1]) for k in range(3000)])
+    text = ([b"a"] * 8 + [b"the", b"end"]) * 1000 + items[5][1] + items[29_999][1]
+    began = time.perf_counter()
+    spans, names = many.search(text)
+    assert time.perf_counter() - began < 0.2
+    assert spans == [(10_000, 10_010), (10_010, 10_020)] and names == {"i5", "i29999", *(f"copy{k}" for k in range(3000))}
