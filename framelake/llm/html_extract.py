@@ -9,10 +9,12 @@ that vary are content slots, and a page's main text is that of its content slots
 
 Regions that vary from page to page and are no content all the same (menus, headers, footers, sidebars, adverts,
 notices, forms, comments) are known by tag, class or role. What holds the main element, or an article with its heading,
-is never one of these by its class alone. Within an article or main element, plain elements are content: a passage that
-several articles share is still text of each. There, marked elements are content or template as the wrapper has it; a
-class name alone leaves out a container only, and only if it is a name of the list as it stands: ``comments``, not
-``related-work``.
+is never one of these by its class alone; nor, within an article or on a page without one, is a region that holds more
+than half of the text, if not by a name of comments: ``layout has-sidebar`` is a page. A form around an article is no region of its own. Where names leave
+no text at all, those regions are content that hold most of it. Within an article or main element, plain elements are
+content: a passage that several articles share is still text of each. There, marked elements are content or template as
+the wrapper has it; a class name alone leaves out a container only, and only if all its parts are names of the list or
+say no more than that it is a box: ``comment-list``, not ``related-work``.
 
 The pages are parsed twice, for the skeletons and for the text; what is shuffled is skeletons and hashes, those of all
 pages once to find the copies. A host's pages are never gathered: skeletons and texts are counted by grouped sums; a
@@ -56,12 +58,18 @@ popup modal overlay share sharing social related recommended recommendations wid
 BLOCKS = frozenset("""address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main
 ol p pre section summary table tbody td tfoot th thead tr ul caption""".split())
 PROTECTED = frozenset(("article", "main"))
-#: Within an article these are left out if a class is a name of the list.
-CONTAINERS = frozenset("div section ul ol dl table span figure".split())
+#: Within an article these are left out by their class.
+CONTAINERS = frozenset("div section ul ol dl table span figure p".split())
+#: What a class says beside the name of a region, within an article.
+BOXES = frozenset("list slot box block wrapper wrap container inner outer section area form item items unit thread group body content label bar links top bottom left right".split())
+#: Regions of readers' comments, however much text they hold.
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+#: A region that holds more than this share of the text it stands in is not left out by its class.
+MOST = 0.5
 
 
 def _holders(root: Node) -> set[int]:
-    """The id() of the nodes that are or hold a main element, or an article with a heading of the first rank."""
+    """The id() of the nodes that are or hold a main element, or an article with a heading of the first rank, and of forms that hold any article."""
     order: list[tuple] = [(root, None, None)]
     seeds, found = [], set()
     for k, (node, _, article) in enumerate(order):  # grows while it is read
@@ -70,28 +78,70 @@ def _holders(root: Node) -> set[int]:
             seeds.append(k)
         elif node.tag == "h1" and within is not None:
             seeds.append(within)
+        elif node.tag == "article":
+            above = order[k][1]
+            while above is not None:
+                if order[above][0].tag in ("form", "fieldset"):
+                    found.add(id(order[above][0]))
+                above = order[above][1]
         order.extend((c, k, within) for c in node.children if isinstance(c, Node))
+    done = set()
     for k in seeds:
-        while k is not None and id(order[k][0]) not in found:
+        while k is not None and k not in done:
+            done.add(k)
             found.add(id(order[k][0]))
             k = order[k][1]
     return found
 
 
-def _named_no_content(node: Node, protected: bool, holders: set[int]) -> bool:
+def _is_region(name: str, protected: bool) -> bool:
+    """Whether a class is the name of a region that is no content."""
+    if not protected:
+        return any(part in NO_CONTENT_NAMES for part in re.split(r"[^a-z]+", name)) or "comment" in name or "sidebar" in name or "advert" in name
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return name != "header" and any(x in NO_CONTENT_NAMES for x in parts) and all(x in NO_CONTENT_NAMES or x in BOXES for x in parts)
+
+
+def _of_comments(name: str) -> bool:
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return any(x in COMMENTS for x in parts) and all(x in COMMENTS or x in BOXES for x in parts)
+
+
+def _named_no_content(node: Node, protected: bool, holders: set[int], share: float) -> bool:
+    """``share``: of the text that the node stands in, what it holds."""
     if node.tag in NO_CONTENT or (node.tag == "header" and not protected):
-        return True
+        return not (node.tag in ("form", "fieldset") and id(node) in holders)
     if not node.attrs or node.tag in PROTECTED or node.tag in ("html", "body"):
         return False
     a = node.attrs
     if a.get("role", "").lower() in NO_CONTENT_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    if id(node) in holders:
+    if id(node) in holders or (protected and node.tag not in CONTAINERS):
         return False
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    if protected:
-        return node.tag in CONTAINERS and any(name in NO_CONTENT_NAMES and name != "header" for name in names.split())
-    return any(part in NO_CONTENT_NAMES for part in re.split(r"[^a-z]+", names)) or "comment" in names or "sidebar" in names or "advert" in names
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    return any(_is_region(x, protected) and (share <= MOST or _of_comments(x)) for x in names)
+
+
+def _elements(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack.extend(c for c in node.children if isinstance(c, Node))
+
+
+def _text_sizes(root: Node) -> dict[int, int]:
+    """The id() of each node with the characters of text it holds, but for what is left out by its tag."""
+    sizes: dict[int, int] = {}
+    order: list[tuple[Node, int | None]] = [(root, None)]
+    for node, _ in order:  # grows while it is read
+        sizes[id(node)] = sum(len(c.strip()) for c in node.children if isinstance(c, str)) if node.tag not in NO_CONTENT or node.tag in ("form", "fieldset") else 0
+        if node.tag not in NO_CONTENT or node.tag in ("form", "fieldset"):
+            order.extend((c, id(node)) for c in node.children if isinstance(c, Node))
+    for node, above in reversed(order):
+        if above is not None:
+            sizes[above] += sizes[id(node)]
+    return sizes
 
 
 def _marked(node: Node) -> bool:
@@ -232,6 +282,16 @@ def _own_text(s: Skeleton) -> str:
 
 def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
     """The blocks of main text of a tree, a line each. ``template``: the id() of nodes that are template."""
+    holders, sizes = _holders(root), _text_sizes(root)
+    text = _extract(root, template, holders, sizes)
+    if text or not sizes[id(root)]:
+        return text
+    # the names leave nothing: what holds most of the text is content
+    most = {k for k, n in sizes.items() if n >= MOST * sizes[id(root)]}
+    return _extract(root, template, holders | most, sizes)
+
+
+def _extract(root: Node, template: frozenset[int], holders: set[int], sizes: dict[int, int]) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -240,18 +300,19 @@ def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         run.clear()
 
-    holders = _holders(root)
-    # protected: within an article. plain: with no marked element between. own: text of what it stands in is content
-    stack: list = [(root, False, False, True)]
+    articles = any(node.tag in PROTECTED for node in _elements(root))  # beside one, a long advert is no page
+    # protected: within an article. plain: with no marked element between. own: text of what it stands in is content. scope: text of the page or article
+    stack: list = [(root, False, False, True, 0 if articles else sizes[id(root)])]
     while stack:
-        item, protected, plain, own = stack.pop()
+        item, protected, plain, own, scope = stack.pop()
         if item is None:
             end()
         elif isinstance(item, str):
             run.append(item)
-        elif not _named_no_content(item, protected, holders):
+        elif not _named_no_content(item, protected, holders, sizes.get(id(item), 0) / scope if scope else 0.0):
             if item.tag in PROTECTED:
                 protected = plain = own = True
+                scope = sizes.get(id(item), 0)
             elif protected and item.tag == "h1":
                 own = True
             elif _is_slot(item):
@@ -260,10 +321,10 @@ def extract(root: Node, template: frozenset[int] = frozenset()) -> str:
             block = item.tag in BLOCKS
             if block:
                 end()
-                stack.append((None, protected, plain, own))
+                stack.append((None, protected, plain, own, scope))
             elif item.tag == "br":
                 run.append(" ")
-            stack.extend((c, protected, plain, own) for c in reversed(item.children) if own or isinstance(c, Node))
+            stack.extend((c, protected, plain, own, scope) for c in reversed(item.children) if own or isinstance(c, Node))
     end()
     return "\n".join(blocks)
 

@@ -237,6 +237,37 @@ def test_a_host_of_many_layouts_is_folded_in_parts(spark):
     assert all(got[i].endswith(f"own {i}") and "Site name" not in got[i] and got[i].count("a ") == bin(i).count("1") for i in range(64))
 
 
+BODY = "Some long body text of the page, with several words in it."
+PAGES = {
+    "a form around the page": (f'<form id="aspnetForm"><article>{BODY}</article></form>', BODY),
+    "a form with fields": (f'<form><input value="x"><article><h1>T</h1>{BODY}</article></form>', f"T\n{BODY}"),
+    "a form with an article in an aside": (f"<form><aside><article>{BODY}</article></aside></form><p>own</p>", "own"),
+    "a layout class": (f'<div class="layout has-sidebar"><div class="content">{BODY}</div><div class="sidebar">menu</div></div>', BODY),
+    "a state class": (f'<div class="post comments-open"><p>{BODY}</p></div>', BODY),
+    "a topic class": (f'<div class="topic social science"><p>{BODY}</p></div>', BODY),
+    "a tag class": (f'<div class="story tags-news"><p>{BODY}</p></div><div>x</div>', f"{BODY}\nx"),
+    "body text of an article": (f'<article><h1>T</h1><div class="tags search">{BODY}</div></article>', f"T\n{BODY}"),
+    "comments within": (f'<article><h1>T</h1><p>{BODY}</p><div class="comment-list">{BODY * 4}</div></article>', f"T\n{BODY}"),
+    "adverts within": (f'<article><h1>T</h1><p>{BODY}</p><p class="ad">buy</p><div class="ad-slot">x</div><div class="newsletter-signup">s</div><div class="related-work">R</div></article>', f"T\n{BODY}\nR"),
+    "long comments beside": (f'<div><p>{BODY}</p><div id="comments">{BODY * 3}</div></div>', BODY),
+    "nothing but a named region": (f'<div class="comments">{BODY}</div>', BODY),
+}
+
+
+@pytest.mark.parametrize("case", PAGES)
+def test_names_lose_no_page(case):
+    page, want = PAGES[case]
+    assert html_extract.extract(parse(page)) == want
+
+
+def test_the_wrapper_changes_the_answer(spark):
+    """Pages that no tag or name tells apart: without the wrapper their template would be text."""
+    page = lambda i: f"<div class='x1'><p>All rights are ours.</p></div><div class='x2'><p>Story {i} of its own.</p></div><div class='x3'><span>Site number one</span></div>"
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}.org/{i}", page(i)) for i in range(12)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.main_text for r in html_extract.main_text(pages).collect()} == {i: f"Story {i} of its own." for i in range(12)}
+    assert html_extract.extract(parse(page(1))) == "All rights are ours.\nStory 1 of its own.\nSite number one"
+
+
 def test_tree_matching_keeps_order():
     a, b = (html_extract.skeleton(parse(x)) for x in ("<div><p>1</p><h2>x</h2><p>2</p></div>", "<div><h2>y</h2><p>3</p><ul></ul></div>"))
     score, pairs = html_extract.tree_match(a, b)
