@@ -60,8 +60,10 @@ ol p pre section summary table tbody td tfoot th thead tr ul caption""".split())
 PROTECTED = frozenset(("article", "main"))
 #: Within an article these are left out by their class.
 CONTAINERS = frozenset("div section ul ol dl table span figure p".split())
+#: Of paragraphs, only those with such a name.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
 #: What a class says beside the name of a region, within an article.
-BOXES = frozenset("list slot box block wrapper wrap container inner outer section area form item items unit thread group body content label bar links top bottom left right".split())
+BOXES = frozenset("list slot block wrapper wrap container inner outer section area form item items unit thread group body content label bar links top bottom left right".split())
 #: Regions of readers' comments, however much text they hold.
 COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 #: A region that holds more than this share of the text it stands in is not left out by its class.
@@ -119,6 +121,8 @@ def _named_no_content(node: Node, protected: bool, holders: set[int], share: flo
     if id(node) in holders or (protected and node.tag not in CONTAINERS):
         return False
     names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    if node.tag == "p" and protected:
+        names = [x for x in names if ADVERTS.intersection(re.split(r"[^a-z]+", x))]
     return any(_is_region(x, protected) and (share <= MOST or _of_comments(x)) for x in names)
 
 
