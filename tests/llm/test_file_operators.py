@@ -262,7 +262,7 @@ def test_names_lose_no_page(case):
 
 def test_the_wrapper_changes_the_answer(spark):
     """Pages that no tag or name tells apart: without the wrapper their template would be text."""
-    page = lambda i: f"<div class='x1'><p>All rights are ours.</p></div><div class='x2'><p>Story {i} of its own.</p></div><div class='x3'><span>Site number one</span></div>"
+    page = lambda i: f"<div class='xa'><p>All rights are ours.</p></div><div class='xb'><p>Story {i} of its own.</p></div><div class='xc'><span>Site number one</span></div>"
     pages = spark.createDataFrame([(i, f"http://h{i % 2}.org/{i}", page(i)) for i in range(12)], "page_id bigint, url string, html string")
     assert {r.page_id: r.main_text for r in html_extract.main_text(pages).collect()} == {i: f"Story {i} of its own." for i in range(12)}
     assert html_extract.extract(parse(page(1))) == "All rights are ours.\nStory 1 of its own.\nSite number one"
