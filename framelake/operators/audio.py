@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.binary import once, u8, u16be, u32be
-from framelake.functions.timing import CDXL_FPS, div
+from framelake.functions.timing import CDXL_FPS, div, pcm_offset
 
 
 def cdxl_audio(media: DataFrame) -> DataFrame:
@@ -43,6 +47,77 @@ def cap_events(events: DataFrame, tick: list[str], order: list[str], most: int =
     return events.withColumn("voice", F.row_number().over(Window.partitionBy(*tick).orderBy(*order))).where(F.col("voice") <= most)
 
 
+#: Bytes of sound that meet under one key.
+BUCKET = 1 << 16
+
+
+def pcm_between(chunks: DataFrame, requests: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``requests`` (``path``, ``begin_us``, ``end_us`` and others) with the exact bytes of sound of that time (``pcm``), across the borders of chunks.
+
+    ``chunks``: ``path``, ``frame_index``, ``rate``, ``channels``, ``pcm``, of one rate and number of channels a file. A
+    chunk's place is the sum of the bytes before it. Requests meet chunks by file and bucket of bytes, and a pair once: in
+    the first bucket that both lie in. What is gathered for a request is the sound that it asks for.
+    """
+    before = Window.partitionBy("path").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.length("pcm").cast("bigint")
+    cut = lambda at: F.call_function("div", at, F.lit(bucket))
+    spread = lambda a, b: F.explode(F.sequence(cut(a), cut(b)))
+    placed = chunks.where(n > 0).withColumn("start", F.coalesce(F.sum(n).over(before), F.lit(0))).withColumn("stop", F.col("start") + n)
+    placed = placed.select("path", "start", "stop", "pcm", spread(F.col("start"), F.col("stop") - 1).alias("bucket"))
+    form = chunks.groupBy("path").agg(F.first("rate").alias("rate"), F.first("channels").alias("channels"))
+    asked = requests.withColumn("request", F.monotonically_increasing_id()).join(form, "path", "left")
+    at = lambda c: pcm_offset(F.greatest(F.col(c), F.lit(0)), F.col("rate"), F.col("channels"))
+    asked = asked.withColumns({"low": F.coalesce(at("begin_us"), F.lit(0)), "high": F.coalesce(at("end_us"), F.lit(0))}).drop("rate", "channels")
+    wanted = asked.where("low < high").select("path", "request", "low", "high", spread(F.col("low"), F.col("high") - 1).alias("bucket"))
+    met = wanted.join(placed, ["path", "bucket"]).where((F.col("start") < F.col("high")) & (F.col("stop") > F.col("low")) & (F.col("bucket") == F.greatest(cut(F.col("low")), cut(F.col("start")))))
+    first, last = F.greatest("low", "start"), F.least("high", "stop")
+    piece = F.substring(F.col("pcm"), (first - F.col("start") + 1).cast("int"), (last - first).cast("int"))
+    parts = met.select("request", F.struct(first.alias("at"), F.hex(piece).alias("digits")).alias("part")).groupBy("request").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    whole = F.unhex(F.array_join(F.transform(F.coalesce("parts", F.array().cast("array<struct<at: bigint, digits: string>>")), lambda p: p["digits"]), ""))
+    return asked.join(parts, "request", "left").select(*requests.columns, whole.alias("pcm"))
+
+
+def voices(events: DataFrame, session: str, order: list[str], start: str, length: str, clear: str | None = None, most: int = 16) -> DataFrame:
+    """The sounds that get one of ``most`` voices (``voice``, from 1 on: those sounding then, with this one).
+
+    A sound holds its voice from ``start`` for ``length`` microseconds, without end if that is null; a sound of no length is
+    none. One that finds no free voice is dropped and never sounds. A row with ``clear`` sounds not, and frees all voices, as a seek does.
+
+    Sounds that begin when none before them can still sound make a part of their own; a running maximum finds these parts,
+    so that a long session is spread over tasks. Each part is swept in order, with the ends of the active sounds in hand.
+    """
+    silence = F.col(clear) if clear else F.lit(False)
+    clears = F.coalesce(F.sum(silence.cast("bigint")).over(Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    end = F.when(silence, F.lit(0)).otherwise(F.col(start) + F.coalesce(F.col(length), F.lit((1 << 62) - 1) - F.col(start)))
+    rows = events.withColumns({"_end": end.cast("bigint"), "_cleared": clears, "_silent": silence})
+    since = Window.partitionBy(session, "_cleared").orderBy(*order)
+    before = F.max("_end").over(since.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_idle", (F.coalesce(before, F.lit(0)) <= F.col(start)).cast("bigint"))
+    rows = rows.withColumn("_part", F.sum("_idle").over(since.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = rows.where(~F.col("_silent") & (F.col("_end") > F.col(start))).repartition(session, "_cleared", "_part").sortWithinPartitions(session, "_cleared", "_part", *order)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sounding = None, []
+        for batch in batches:
+            names, taken = batch.schema.names, []
+            keys = zip(*(batch.column(names.index(c)).to_pylist() for c in (session, "_cleared", "_part", start, "_end")), strict=True)
+            for *key, begin, stop in keys:
+                if key != part:
+                    part, sounding = key, []
+                while sounding and sounding[0] <= begin:
+                    heapq.heappop(sounding)
+                if len(sounding) < most:
+                    heapq.heappush(sounding, stop)
+                    taken.append(len(sounding))
+                else:
+                    taken.append(None)
+            kept = batch.append_column("voice", pa.array(taken, pa.int32()))
+            yield kept.filter(pa.array([v is not None for v in taken], pa.bool_()))
+
+    found = dealt.mapInArrow(sweep, dealt.withColumn("voice", F.lit(None).cast("int")).schema)
+    return found.select(*events.columns, "voice")
+
+
 def interleave(halves: DataFrame, n: str = "n") -> DataFrame:
     """Stereo chunks that hold all left samples, then all right ones: the place of each sample (``at``) once interleaved."""
     half = F.call_function("div", F.col(n), F.lit(2))

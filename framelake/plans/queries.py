@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import binary, colour, timing
-from framelake.operators import audio, chunks, folds, frame_index, frames, iff, seq, timeline, write_ops
+from framelake.operators import audio, chunks, folds, frame_index, frames, iff, seek, seq, timeline, write_ops
 from framelake.plans import derived
 from framelake.sources import media
 
@@ -594,3 +594,43 @@ def flc_write_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("count") * F.when(F.col("op") == "fill_words", 2).otherwise(1)
     rows = ops.withColumn("path", F.substring_index("path", "#", 1)).groupBy("path", "op")
     return rows.agg(F.count("*").alias("writes"), F.sum(size).cast("bigint").alias("written"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_suppkey % 9 AS target, l_partkey % 8 AS cursor,
+  CASE l_orderkey % 3 WHEN 0 THEN 'bink' WHEN 1 THEN 'cdxl' ELSE 'flc' END AS codec FROM lineitem),
+a AS (SELECT r.*, key.k AS keyframe FROM r ASOF LEFT JOIN (SELECT l_orderkey, k FROM r WHERE l_partkey % 3 = 0) key ON key.l_orderkey = r.l_orderkey AND key.k <= r.target),
+b AS (SELECT *, target <= n AS can_seek, CASE WHEN codec = 'cdxl' THEN target WHEN target >= cursor THEN cursor WHEN codec = 'bink' THEN coalesce(keyframe, 0) ELSE 0 END AS start FROM a)
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(target AS BIGINT) AS frame_index, can_seek, CAST(CASE WHEN can_seek THEN start END AS BIGINT) AS replay_from, CAST(CASE WHEN can_seek THEN target - start END AS BIGINT) AS replay_frames FROM b""")
+def seek_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of an order as a seek within the order's file, a frame a line, of which some are keyframes."""
+    w = Window.partitionBy("l_orderkey")
+    rows = _table(spark, sf_dir, "lineitem").withColumns({"k": F.row_number().over(w.orderBy("l_linenumber", "l_partkey")) - 1, "frame_count": F.count("*").over(w)})
+    path = F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path")
+    codec = F.when(F.col("l_orderkey") % 3 == 0, "bink").when(F.col("l_orderkey") % 3 == 1, "cdxl").otherwise("flc").alias("codec")
+    requests = rows.select("l_orderkey", "l_linenumber", "l_partkey", path, codec, "frame_count", (F.col("l_partkey") % 8).alias("cursor"), (F.col("l_suppkey") % 9).cast("bigint").alias("frame_index"))
+    keyframes = rows.where("l_partkey % 3 = 0").select(path, F.col("k").alias("frame_index"))
+    return seek.replay_ranges(requests, keyframes).select("l_orderkey", "l_linenumber", "l_partkey", "frame_index", "can_seek", "replay_from", "replay_frames")
+
+
+@query(f"""
+WITH d AS ({_padded_sql()}), r AS (SELECT doc_id, path, x, (n * 256 + 47) // 48 * 16 AS held, doc_id * 104729 % 2000000 AS begin_us FROM d), b AS (SELECT *, begin_us * 192 // 1000000 AS low, least((begin_us + 1500000) * 192 // 1000000, held) AS high FROM r)
+SELECT path, CAST(begin_us AS BIGINT) AS begin_us, array_to_string(list_transform(range(CAST(low AS BIGINT), CAST(greatest(high, low) AS BIGINT)), lambda j: rpad(substr(x, CAST((48 * (j // 16) + 32 + j % 16) * 2 + 1 AS INTEGER), 2), 2, '0')), '') AS pcm FROM b""")
+def pcm_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second and a half of each document's CDXL sound, from a time of its own on, whatever chunks that lies in."""
+    docs = _table(spark, sf_dir, "documents")
+    begin = (F.col("doc_id") * 104729 % 2000000).cast("bigint")
+    requests = docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), begin.alias("begin_us"), (begin + 1500000).alias("end_us"))
+    return audio.pcm_between(audio.cdxl_audio(derived.cdxl_files(docs)), requests).select("path", "begin_us", F.hex("pcm").alias("pcm"))
+
+
+@query(f"""
+WITH RECURSIVE t AS ({_TICKS}), s AS (SELECT user_id, event_id, media_time_us AS start, CASE WHEN event_id % 97 = 0 THEN 4000000000000000000 ELSE media_time_us + event_id % 40 * 10000 END AS stop, event_type = 'error' AND event_id % 5 = 0 AS clear, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM t),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS i, []::BIGINT[] AS sounding, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS INTEGER) AS voice FROM (SELECT DISTINCT user_id FROM s)
+  UNION ALL SELECT q.user_id, q.i, CASE WHEN clear THEN []::BIGINT[] WHEN takes THEN list_append(left_on, stop) ELSE left_on END, q.event_id, CASE WHEN takes THEN CAST(len(left_on) + 1 AS INTEGER) END
+  FROM (SELECT s.*, list_filter(w.sounding, lambda e: e > s.start) AS left_on, NOT clear AND stop > start AND len(list_filter(w.sounding, lambda e: e > s.start)) < 16 AS takes FROM w JOIN s ON s.user_id = w.user_id AND s.i = w.i + 1) q)
+SELECT user_id, event_id, voice FROM w WHERE voice IS NOT NULL""")
+def sound_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sounds of some length, some without end; some errors are seeks, which silence all. Sixteen may sound at once."""
+    rows = ticks(spark, sf_dir).select("user_id", "event_id", "ts", F.col("media_time_us").alias("start"), F.when(F.col("event_id") % 97 > 0, F.col("event_id") % 40 * 10000).alias("length"), ((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)).alias("clear"))
+    return audio.voices(rows, "user_id", ["ts", "event_id"], "start", "length", "clear").select("user_id", "event_id", "voice")
