@@ -2,12 +2,12 @@
 
 The content view hashes words and counts bytes. The metadata view has language, source, both together and the recorded
 length, and never reads the text. Each view has a logistic classifier fitted to labelled rows, and is calibrated on
-labelled rows that none is fitted to. Over ``ROUNDS`` rounds at most, each view scores all documents outside the sample
+labelled rows that none is fitted to. Over ``ROUNDS`` rounds, each view scores all documents outside the sample
 and gives the other one those that it is surest of, as pseudo-labels in the proportion of the classes: ``ADDED`` a round
 at most, and none below a calibrated probability of ``SURE``, at the prior of the corpus; so a weak view teaches little.
 A pseudo-label weighs ``PSEUDO_WEIGHT`` of a label. The views are combined as independent evidence: their log-odds are
 added and the prior's taken off once. A view takes the lesson of a round if that lowers the combined loss on the rows held
-out; the first round in which neither does ends the exchange.
+out; documents of a lesson that doesn't are not offered again.
 
 The bounds of what is fitted: ``MAX_LABELLED`` labelled rows of documents that exist, half of either class if there are
 as many, those with the least hashed ids; and the pseudo-labels. Search for these and scoring cover all documents, in
@@ -260,7 +260,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "d
         best = _best(left.mapInArrow(_candidates(weights, at_prior(), most), "view int, label int, margin double, id bigint"), most)
         rows = _features_of(inputs, sorted({i for _, _, i in best}))
         used |= set(rows)
-        learnt = False
         for view in (0, 1):
             lesson = [(rows[i][view], float(one)) for teacher, one, i in best if teacher != view]
             if not lesson:
@@ -268,10 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "d
             after = fit_view(train[view], y[~held], taught[view] + lesson)
             fitted = calibrated(views[view][held], after, y[held])
             if loss_of([fitted[1], fits[1 - view][1]], y[held]) < loss_of([odds for _, odds in fits], y[held]):
-                weights[view], fits[view], learnt = after, fitted, True
+                weights[view], fits[view] = after, fitted
                 taught[view] += lesson
-        if not learnt:
-            break
     return CoModel(*weights, tuple(at_prior()), prior)
 
 
