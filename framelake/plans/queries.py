@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import binary, colour, timing
-from framelake.operators import audio, chunks, folds, frame_index, frames, iff, seek, seq, timeline, write_ops
+from framelake.operators import audio, chunks, folds, frame_index, frames, iff, probe, seek, seq, timeline, write_ops
 from framelake.plans import derived
 from framelake.sources import media
 
@@ -634,3 +634,25 @@ def sound_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sounds of some length, some without end; some errors are seeks, which silence all. Sixteen may sound at once."""
     rows = ticks(spark, sf_dir).select("user_id", "event_id", "ts", F.col("media_time_us").alias("start"), F.when(F.col("event_id") % 97 > 0, F.col("event_id") % 40 * 10000).alias("length"), ((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)).alias("clear"))
     return audio.voices(rows, "user_id", ["ts", "event_id"], "start", "length", "clear").select("user_id", "event_id", "voice")
+
+
+def _probe_sql() -> str:
+    """A row a file: by codec its size, frames, format, period and sound."""
+    docs = [("flc", 32, 8, "n", "indexed8", "33000", (0, 0, 0, 0)), ("cdxl", 32, 8, "(n * 256 + 47) // 48", "indexed8", "83333", (1, 192, 1, 8)), ("dpan", 32, 8, "n", "indexed8", "100000", (0, 0, 0, 0)), ("atari_seq", 320, 200, "n", "indexed8", "5500", (0, 0, 0, 0)),
+            ("amiga_anim", 32, 8, "n", "rgb888", "CASE WHEN n > 1 THEN 33333 ELSE 16666 END", (1, 8000, 2, 8)), ("yafa", 32, 8, "n", "indexed8", "40000", (0, 0, 0, 0))]
+    row = lambda source, codec, w, h, n, form, period, sound: f"SELECT path, '{codec}' AS codec, {w} AS width, {h} AS height, CAST({n} AS INTEGER) AS frame_count, '{form}' AS format, CAST({period} * ({n}) AS BIGINT) AS duration_us, CAST({period} AS BIGINT) AS frame_period_us, " + ", ".join(f"CAST({x} AS INTEGER) AS {c}" for x, c in zip(sound, ("audio_track_count", "audio_rate", "audio_channels", "audio_bits"), strict=True)) + f", CAST(NULL AS VARCHAR) AS error FROM {source}"
+    odd, some = (lambda x: f"CASE WHEN l_orderkey % 2 = 1 THEN {x} ELSE 0 END"), (lambda x: f"CASE WHEN l_orderkey % 3 > 0 THEN {x} ELSE 0 END")
+    parts = [row("d", *x) for x in docs] + [row("o", "smk", 160, 120, "n", "indexed8", "100000", (odd(1), odd(22050), odd(2), odd(16))), row("o", "bink", 320, 200, "n", "rgb888", "33366", ("l_orderkey % 3", some(11025), some(2), some(16)))]
+    return f"WITH d AS ({_padded_sql()}), o AS (SELECT l_orderkey, 'order/' || l_orderkey AS path, count(*) AS n FROM lineitem GROUP BY l_orderkey) " + " UNION ALL ".join(parts)
+
+
+@query(_probe_sql())
+def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all eight formats: every document in six of them, every order in the other two."""
+    docs, lines = (_table(spark, sf_dir, n) for n in ("documents", "lineitem"))
+    files = [build(docs) for build in (derived.flc_files, derived.cdxl_files, derived.dpan_files, derived.seq_files, derived.anim_files, derived.yafa_files)]
+    files += [derived.index_files(lines, codec, tracks=True) for codec in ("smk", "bink")]
+    whole = files[0]
+    for more in files[1:]:
+        whole = whole.union(more)
+    return probe.probe(whole)

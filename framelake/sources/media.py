@@ -139,33 +139,35 @@ def containers(media: DataFrame, codecs: list[str] | None = None, max_width: int
         F.when(F.col("audio_rate") > 0, 1).otherwise(0).alias("audio_track_count"), "audio_rate", "audio_channels", "audio_bits", error.alias("error"))
 
 
-def audio_tracks(media: DataFrame) -> DataFrame:
-    """A row an audio track of Smacker and Bink files: ``track``, ``rate``, ``channels``, ``bits``, ``packed``, and Bink's ``track_id`` and ``max_bytes``.
-
-    Smacker has seven places for tracks, of which those present are given; Bink has a table of up to 256.
-    """
+def tracks_of(data: Column) -> Column:
+    """``codec`` and the sound ``tracks`` of a Smacker or Bink header; null ``tracks`` for others."""
     one = lambda x: F.lit(x).cast("bigint")
     flag = lambda flags, bit: flags.bitwiseAND(one(1 << bit)) != 0
 
     def entry(i, rate, stereo, wide, packed, track_id, most):
         return F.struct(i.cast("int").alias("track"), rate.alias("rate"), F.when(stereo, 2).otherwise(1).alias("channels"), F.when(wide, 16).otherwise(8).alias("bits"), packed.alias("packed"), track_id.alias("track_id"), most.alias("max_bytes"))
 
-    def smk(data, i):
+    def smk(i):
         flags = u8(data, 75 + i * 4)
         return F.when(flag(flags, 6), entry(i, u32le(data, 72 + i * 4).bitwiseAND(one(0xFFFFFF)), flag(flags, 4), flag(flags, 5), flag(flags, 7), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
 
-    def bink(data, n, at, i):
+    def bink(n, at, i):
         flags = u16le(data, at + n * 4 + i * 4 + 2)
         return entry(i, u16le(data, at + n * 4 + i * 4), flag(flags, 13), flag(flags, 14), F.lit(True), u32le(data, at + n * 8 + i * 4), u32le(data, at + i * 4))
 
-    def table(data):
-        n, at = u32le(data, 40), 44 + F.when(F.substring(data, 4, F.lit(1)).cast("string") == "k", 4).otherwise(0)
-        numbers = F.when((n > 0) & (n <= 256) & (F.length(data) >= at + n * 12), F.sequence(one(0), n - 1)).otherwise(F.array().cast("array<bigint>"))
-        codec = codec_of(data, F.length(data).cast("bigint"), ["smk", "bink"])
-        tracks = F.when(codec == "smk", F.transform(F.sequence(one(0), one(6)), lambda i: smk(data, i))).when(codec == "bink", F.transform(numbers, lambda i: bink(data, n, at, i)))
-        return F.struct(codec.alias("codec"), F.array_compact(tracks).alias("tracks"))
+    n, at = u32le(data, 40), 44 + F.when(F.substring(data, 4, F.lit(1)).cast("string") == "k", 4).otherwise(0)
+    numbers = F.when((n > 0) & (n <= 256) & (F.length(data) >= at + n * 12), F.sequence(one(0), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    codec = codec_of(data, F.length(data).cast("bigint"), ["smk", "bink"])
+    tracks = F.when(codec == "smk", F.transform(F.sequence(one(0), one(6)), smk)).when(codec == "bink", F.transform(numbers, lambda i: bink(n, at, i)))
+    return F.struct(codec.alias("codec"), F.array_compact(tracks).alias("tracks"))
+
 
-    found = media.select("path", F.explode_outer(F.array(once(F.col("content"), table))).alias("x"))
+def audio_tracks(media: DataFrame) -> DataFrame:
+    """A row an audio track of Smacker and Bink files: ``track``, ``rate``, ``channels``, ``bits``, ``packed``, and Bink's ``track_id`` and ``max_bytes``.
+
+    Smacker has seven places for tracks, of which those present are given; Bink has a table of up to 256.
+    """
+    found = media.select("path", F.explode_outer(F.array(once(F.col("content"), tracks_of))).alias("x"))
     return found.select("path", F.col("x.codec").alias("codec"), F.explode("x.tracks").alias("t")).select("path", "codec", "t.*")
 
 
