@@ -158,6 +158,33 @@ def seq_cel_files(docs: DataFrame) -> DataFrame:
     return _files(rows, lambda d: F.concat(head, F.repeat(F.lit("00" * 4), n), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda f: cel(d, f)), "")))
 
 
+#: Of a Smacker file's sound, bytes a frame; and a palette block's.
+SMK_SOUND, SMK_PALETTE = 32, 8
+
+
+def smk_files(docs: DataFrame) -> DataFrame:
+    """Smacker files: of the text's bytes, every third frame has a palette block and every other one raw 8-bit sound; the rest is its picture, which no decoder reads."""
+    rows, n = _padded(docs), F.col("n")
+    head = F.concat(F.lit(b"SMK2".hex()), _num(WIDTH, 4), _num(HEIGHT, 4), _num(n, 4), _num(100, 4), _num(0, 4))
+    head = F.rpad(F.concat(F.rpad(head, 144, "0"), _num(11025 + (0x40 << 24), 4)), 208, "0")
+    palette = lambda f: f % 3 == 0
+    sound = lambda f: f % 2 == 0
+    size = lambda f: F.when(palette(f), SMK_PALETTE).otherwise(0) + F.when(sound(f), 4 + SMK_SOUND).otherwise(0) + SIZE
+    each = lambda make: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), make), "")
+
+    def block(d: Column, f: Column) -> Column:
+        byte = lambda k: F.conv(_slice(d, f * SIZE + k, 1), 16, 10).cast("int")
+        pick = lambda k, room, flag: F.lpad(F.hex(byte(k) % room + flag), 2, "0")
+        return F.concat(F.lit("02"), pick(0, 64, 0x80), pick(1, 64, 0x40), pick(2, 128, 0), pick(3, 64, 0), pick(4, 256, 0), pick(5, 256, 0), F.lit("80"))
+
+    def frame(d: Column, f: Column) -> Column:
+        heard = F.concat(_num(4 + SMK_SOUND, 4), _slice(d, f * SIZE, SMK_SOUND))
+        return F.concat(F.when(palette(f), block(d, f)).otherwise(""), F.when(sound(f), heard).otherwise(""), _slice(d, f * SIZE, SIZE))
+
+    flags = lambda f: _num(F.when(palette(f), 1).otherwise(0) + F.when(sound(f), 2).otherwise(0), 1)
+    return _files(rows, lambda d: F.concat(head, each(lambda f: _num(size(f), 4)), each(flags), each(lambda f: frame(d, f))))
+
+
 def _chunk(kind: str, payload: Column | str) -> Column:
     """An IFF chunk of an even number of bytes, as hexadecimal digits."""
     return once(payload if isinstance(payload, Column) else F.lit(payload), lambda p: F.concat(F.lit(kind.encode().hex()), _num(F.length(p) / 2, 4, False), p))

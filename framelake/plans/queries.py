@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import binary, colour, timing
-from framelake.operators import audio, chunks, folds, frame_index, frames, iff, probe, seek, seq, timeline, write_ops
+from framelake.operators import audio, chunks, folds, frame_index, frames, iff, probe, seek, seq, smk, timeline, write_ops
 from framelake.plans import derived
 from framelake.sources import media
 
@@ -656,3 +656,25 @@ def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for more in files[1:]:
         whole = whole.union(more)
     return probe.probe(whole)
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())}, s AS (SELECT path, k, regexp_extract_all(substr(x, CAST(k * 512 + 1 AS INTEGER), 64), '..') AS bytes FROM f WHERE k % 2 = 0)
+SELECT path, CAST(k AS INTEGER) AS frame_index, 0 AS track, 11025 AS rate, 1 AS channels, array_to_string(list_transform(bytes, lambda b: printf('%02X', xor(('0x' || b)::BIGINT, 128))), '') AS pcm FROM s""")
+def smk_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw sound of Smacker files, behind a palette in some frames and before the picture in all."""
+    parts = smk.smk_parts(derived.smk_files(_table(spark, sf_dir, "documents")))
+    return smk.smk_pcm(parts).withColumn("pcm", F.hex("pcm"))
+
+
+@query(f"""WITH RECURSIVE d AS ({_padded_sql()}), f AS (SELECT path, x, unnest(range(n)) AS k FROM d),
+b AS (SELECT path, k, k // 3 AS i, list_transform(range(6), lambda j: ('0x' || substr(x, CAST(k * 512 + j * 2 + 1 AS INTEGER), 2))::BIGINT) AS v FROM f WHERE k % 3 = 0),
+m AS (SELECT path, k, i, v[1] % 64 + 1 AS kept, v[2] % 64 + 1 AS copied, v[3] % 128 AS source, -1 - {" - ".join(f"((v[{j}] % 64) * 4 + (v[{j}] % 64) // 16) * {w}" for j, w in ((4, 65536), (5, 256), (6, 1)))} AS colour FROM b),
+c AS (SELECT path, k, i, list_transform(range(256), lambda e: CASE WHEN e < kept THEN e WHEN e < kept + copied THEN source + e - kept WHEN e = kept + copied THEN colour ELSE e END) AS map FROM m),
+w AS (SELECT path, k, i, list_transform(map, lambda x: CASE WHEN x < 0 THEN -1 - x ELSE 0 END) AS palette FROM c WHERE i = 0
+  UNION ALL SELECT c.path, c.k, c.i, list_transform(c.map, lambda x: CASE WHEN x < 0 THEN -1 - x ELSE w.palette[x + 1] END) FROM w JOIN c ON c.path = w.path AND c.i = w.i + 1)
+SELECT path, CAST(k AS INTEGER) AS frame_index, md5(array_to_string(palette, ',')) AS palette_md5 FROM w""")
+def smk_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The palettes of Smacker files, each from the changes to the one before."""
+    parts = smk.smk_parts(derived.smk_files(_table(spark, sf_dir, "documents")))
+    shown = F.md5(F.array_join(F.transform("palette", lambda c: c.cast("string")), ","))
+    return smk.smk_palettes(parts).select("path", "frame_index", shown.alias("palette_md5"))
