@@ -238,7 +238,7 @@ def test_a_host_of_many_layouts_is_folded_in_parts(spark):
 
 
 BODY = "Some long body text of the page, with several words in it."
-PAGES = {
+NAMED_PAGES = {
     "a form around the page": (f'<form id="aspnetForm"><article>{BODY}</article></form>', BODY),
     "a form with fields": (f'<form><input value="x"><article><h1>T</h1>{BODY}</article></form>', f"T\n{BODY}"),
     "a form with an article in an aside": (f"<form><aside><article>{BODY}</article></aside></form><p>own</p>", "own"),
@@ -254,9 +254,9 @@ PAGES = {
 }
 
 
-@pytest.mark.parametrize("case", PAGES)
+@pytest.mark.parametrize("case", NAMED_PAGES)
 def test_names_lose_no_page(case):
-    page, want = PAGES[case]
+    page, want = NAMED_PAGES[case]
     assert html_extract.extract(parse(page)) == want
 
 
