@@ -215,6 +215,27 @@ def anim_files(docs: DataFrame) -> DataFrame:
     return _files(rows, lambda d: _form("ANIM", F.concat(bank, frames(d))))
 
 
+def anim_delta_files(docs: DataFrame) -> DataFrame:
+    """ANIM files of 8 planes: every ninth frame is a whole picture of the text's bytes, the others change, in every other plane, five rows of each column, none, and two alike; every seventh delta draws to the same buffer again."""
+    rows, n = _padded(docs), F.col("n")
+    byte = lambda x, size=1: _num(x, size, False)
+    columns, planes = WIDTH // 8, 8
+    bmhd = F.concat(byte(WIDTH, 2), byte(HEIGHT, 2), F.lit("00" * 4 + "08" + "00" * 5 + "0101"), byte(WIDTH, 2), byte(HEIGHT, 2))
+    run = lambda d, f, p, c: F.concat(F.lit("0385"), _slice(d, f * SIZE + p * 32 + c * 8, 5), F.lit("010002"), _slice(d, f * SIZE + p * 32 + c * 8 + 5, 1))
+    size = 11 * columns
+
+    def delta(d: Column, f: Column) -> Column:
+        changed = lambda p: (f + p) % 2 == 0
+        at = lambda p: F.lit(64) + size * F.call_function("div", F.lit(p), F.lit(2))
+        table = F.concat(*[byte(F.when(changed(p), at(p)).otherwise(0), 4) for p in range(planes)], F.lit("00" * 32))
+        body = F.concat(*[F.when(changed(p), F.concat(*[run(d, f, p, c) for c in range(columns)])).otherwise("") for p in range(planes)])
+        return F.concat(table, body)
+
+    anhd = lambda f: _chunk("ANHD", F.concat(F.lit("05" + "00" * 13), byte(ANIM_RELTIME, 4), F.lit("0000"), byte(F.when(f % 7 == 6, 2).otherwise(0), 4)))
+    frame = lambda d, f: _form("ILBM", F.when(f % 9 == 0, F.concat(_chunk("BMHD", bmhd), _chunk("BODY", _slice(d, f * SIZE, SIZE)))).otherwise(F.concat(anhd(f), _chunk("DLTA", delta(d, f)))))
+    return _files(rows, lambda d: _form("ANIM", F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda f: frame(d, f)), "")))
+
+
 YAFA_SPEED = 2
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import binary, colour, timing
-from framelake.operators import audio, chunks, folds, frame_index, frames, iff, probe, seek, seq, smk, timeline, write_ops
+from framelake.operators import anim_delta, audio, chunks, folds, frame_index, frames, iff, probe, seek, seq, smk, timeline, write_ops
 from framelake.plans import derived
 from framelake.sources import media
 
@@ -678,3 +678,18 @@ def smk_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = smk.smk_parts(derived.smk_files(_table(spark, sf_dir, "documents")))
     shown = F.md5(F.array_join(F.transform("palette", lambda c: c.cast("string")), ","))
     return smk.smk_palettes(parts).select("path", "frame_index", shown.alias("palette_md5"))
+
+
+@query(f"""{_EVERY.format(padded=_padded_sql())}, c AS (SELECT path, k, k // 9 AS segment, k % 9 = 0 AS body, k % 9 > 0 AND k % 7 < 6 AS swaps, substr(x, CAST(k * 512 + 1 AS INTEGER), 512) AS h FROM f),
+s AS (SELECT *, coalesce(sum(CAST(swaps AS INTEGER)) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS shown FROM c),
+p AS (SELECT path, k, segment, body, shown, h, b AS buffer, y, col FROM s, range(2) r(b), range(8) v(y), range(4) w(col) WHERE (body OR b = shown) AND (body OR y <> 5)),
+v AS (SELECT path, k, segment, shown, buffer, y, col, {", ".join(f"CASE WHEN body THEN ('0x' || substr(h, CAST((y * 32 + {4 * p} + col) * 2 + 1 AS INTEGER), 2))::BIGINT WHEN (k + {p}) % 2 = 0 THEN ('0x' || substr(h, CAST(({32 * p} + col * 8 + least(y, 5)) * 2 + 1 AS INTEGER), 2))::BIGINT END AS q{p}" for p in range(8))} FROM p),
+l AS (SELECT path, k, shown, buffer, y, col, {", ".join(f"coalesce(last_value(q{p} IGNORE NULLS) OVER o, 0) AS p{p}" for p in range(8))} FROM v WINDOW o AS (PARTITION BY path, segment, buffer, y, col ORDER BY k ROWS UNBOUNDED PRECEDING))
+SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(any_value(buffer) AS INTEGER) AS buffer, CAST(count(*) AS BIGINT) AS places,
+  CAST(sum({" + ".join("(" + " + ".join(f"((p{p} >> {7 - i}) & 1) * {1 << p}" for p in range(8)) + f") * (y * 32 + col * 8 + {i + 1})" for i in range(8))}) AS BIGINT) AS weighted FROM l WHERE buffer = shown GROUP BY path, k""")
+def anim_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as ANIM files of whole pictures and byte-vertical deltas over two buffers: the touched pixels of each frame, weighted by place."""
+    rows = anim_delta.anim_screens(anim_delta.anim_runs(derived.anim_delta_files(_table(spark, sf_dir, "documents"))))
+    weighted = sum((F.col("pixels")[i] * (F.col("y") * 32 + F.col("column") * 8 + i + 1) for i in range(8)), F.lit(0).cast("bigint"))
+    found = rows.groupBy("path", "segment", "buffer", "frame_index").agg(F.count("*").alias("places"), F.sum(weighted).alias("weighted"))
+    return found.select("path", "frame_index", "buffer", "places", "weighted")
