@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators.chunks import iff_chunks_of, map_files
 from framelake.operators.folds import double_buffer, words_to_chunky
+from framelake.operators.frames import byte_run
 
 RUNS = "path string, frame_index int, kind string, swaps boolean, segment int, plane int, column int, y int, data binary, error string"
 PLANES = 8
@@ -58,18 +59,6 @@ def column_runs(delta: bytes, columns: int, planes: int, height: int) -> Iterato
                 y = min(height, y + n)
 
 
-def unpack_bits(data: bytes, size: int) -> bytes:
-    """Counts up to 127 copy one byte more, those above repeat, 128 does nothing; filled with zeros."""
-    out, at = bytearray(), 0
-    while at < len(data) and len(out) < size:
-        n, at = data[at], at + 1
-        if n < 128:
-            out, at = out + data[at : at + n + 1], at + n + 1
-        elif n > 128:
-            out, at = out + data[at : at + 1] * (257 - n), at + 1
-    return bytes(out[:size].ljust(size, b"\0"))
-
-
 def runs_of(data: bytes) -> Iterator[tuple]:
     """For each frame a row ``frame``, with what it draws to the next buffer or not, and its runs; a whole picture is a run a row and column."""
     frame, filled, shape, cleared, packed, operation, bits = -1, True, None, 0, 0, 0, 0
@@ -89,7 +78,7 @@ def runs_of(data: bytes) -> Iterator[tuple]:
                 columns, planes, height = shape
                 if kind == "BODY":
                     cleared, whole = cleared + 1, columns * planes * height
-                    body = unpack_bits(body, whole) if packed == 1 else body[:whole].ljust(whole, b"\0")
+                    body = byte_run(body, whole) if packed == 1 else body[:whole].ljust(whole, b"\0")
                     yield frame, "frame", False, cleared, None, None, None, None, None
                     for k in range(columns * planes):
                         yield frame, "body", False, cleared, k // columns, k % columns, 0, body[k :: columns * planes]

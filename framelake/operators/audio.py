@@ -64,17 +64,18 @@ def pcm_between(chunks: DataFrame, requests: DataFrame, bucket: int = BUCKET) ->
     spread = lambda a, b: F.explode(F.sequence(cut(a), cut(b)))
     placed = chunks.where(n > 0).withColumn("start", F.coalesce(F.sum(n).over(before), F.lit(0))).withColumn("stop", F.col("start") + n)
     placed = placed.select("path", "start", "stop", "pcm", spread(F.col("start"), F.col("stop") - 1).alias("bucket"))
-    form = chunks.groupBy("path").agg(F.first("rate").alias("rate"), F.first("channels").alias("channels"))
-    asked = requests.withColumn("request", F.monotonically_increasing_id()).join(form, "path", "left")
+    form = chunks.groupBy("path").agg(F.first("rate").alias("rate"), F.first("channels").alias("channels"), F.sum(n).alias("held"))
+    asked = requests.join(form, "path", "left")
     at = lambda c: pcm_offset(F.greatest(F.col(c), F.lit(0)), F.col("rate"), F.col("channels"))
-    asked = asked.withColumns({"low": F.coalesce(at("begin_us"), F.lit(0)), "high": F.coalesce(at("end_us"), F.lit(0))}).drop("rate", "channels")
-    wanted = asked.where("low < high").select("path", "request", "low", "high", spread(F.col("low"), F.col("high") - 1).alias("bucket"))
+    asked = asked.withColumns({"low": F.coalesce(at("begin_us"), F.lit(0)), "high": F.least(F.coalesce(at("end_us"), F.lit(0)), F.coalesce("held", F.lit(0)))}).drop("rate", "channels", "held")
+    # equal requests are answered once
+    wanted = asked.where("low < high").select("path", "low", "high").distinct().select("path", "low", "high", spread(F.col("low"), F.col("high") - 1).alias("bucket"))
     met = wanted.join(placed, ["path", "bucket"]).where((F.col("start") < F.col("high")) & (F.col("stop") > F.col("low")) & (F.col("bucket") == F.greatest(cut(F.col("low")), cut(F.col("start")))))
     first, last = F.greatest("low", "start"), F.least("high", "stop")
     piece = F.substring(F.col("pcm"), (first - F.col("start") + 1).cast("int"), (last - first).cast("int"))
-    parts = met.select("request", F.struct(first.alias("at"), F.hex(piece).alias("digits")).alias("part")).groupBy("request").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    parts = met.select("path", "low", "high", F.struct(first.alias("at"), F.hex(piece).alias("digits")).alias("part")).groupBy("path", "low", "high").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     whole = F.unhex(F.array_join(F.transform(F.coalesce("parts", F.array().cast("array<struct<at: bigint, digits: string>>")), lambda p: p["digits"]), ""))
-    return asked.join(parts, "request", "left").select(*requests.columns, whole.alias("pcm"))
+    return asked.join(parts, ["path", "low", "high"], "left").select(*requests.columns, whole.alias("pcm"))
 
 
 def voices(events: DataFrame, session: str, order: list[str], start: str, length: str, clear: str | None = None, most: int = 16) -> DataFrame:
