@@ -1,6 +1,6 @@
 """DuckDB SQL for those corpus queries that SQL can express, written from their contracts.
 
-Not here: token ids (3), the classifier (4), fingerprints and their closure (9).
+Not here: token ids (3), the classifier (4), fingerprints and their closure (9), scored contexts (12).
 """
 
 from __future__ import annotations
