@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,23 +61,48 @@ def convertible(source: Column, target: Column) -> Column:
     return F.coalesce(rank(source) <= rank(target), F.lit(False))
 
 
-def _pixel_hex(pixels: Column, width: int) -> Column:
-    digits = F.hex(pixels)
-    n = (F.length(pixels) / width).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 * width + 1, F.lit(2 * width)))).otherwise(F.array().cast("array<string>"))
+def _numpy_udf(step: Callable[..., bytes]) -> Callable[..., Column]:
+    """A binary column of ``step`` over the bytes of a row's columns, null as empty ones: a row's pixels by one numpy operation."""
+
+    @F.arrow_udf("binary")
+    def convert(*columns: pa.Array) -> pa.Array:
+        return pa.array([step(*(x.as_py() or b"" for x in row)) for row in zip(*columns, strict=True)], pa.binary())
+
+    return convert
+
+
+def _entries(palette: bytes, alpha: bool) -> np.ndarray:
+    """256 entries of 3 or 4 bytes; those that the palette doesn't have are black."""
+    table = np.full((256, 4 if alpha else 3), 255, np.uint8)
+    table[:, :3] = np.frombuffer(palette[:768].ljust(768, b"\0"), np.uint8).reshape(256, 3)
+    return table
 
 
 def indexed_to_rgb(pixels: Column, palette: Column, alpha: bool = False) -> Column:
     """indexed8 pixels as rgb888 or rgba8888; an index past the palette is black."""
-    colours = F.hex(palette)
-    index = lambda h: F.conv(h, 16, 10).cast("int")
-    pick = lambda h: F.rpad(F.substring(colours, index(h) * 6 + 1, F.lit(6)), 6, "0")
-    joined = F.array_join(F.transform(_pixel_hex(pixels, 1), lambda h: F.concat(pick(h), F.lit("FF")) if alpha else pick(h)), "")
-    return F.unhex(joined)
+    known: dict[bytes, np.ndarray] = {}
+
+    def step(p: bytes, colours: bytes) -> bytes:
+        if colours not in known:
+            known.clear()
+            known[colours] = _entries(colours, alpha)
+        return known[colours][np.frombuffer(p, np.uint8)].tobytes()
+
+    return _numpy_udf(step)(pixels, palette)
+
+
+def pixels_to_bits(pixels: Column) -> Column:
+    """Pixels of one plane, eight a byte, the first one in the highest bit."""
+    return _numpy_udf(lambda p: np.packbits(np.frombuffer(p, np.uint8)).tobytes())(pixels)
 
 
 def rgb_to_rgba(pixels: Column) -> Column:
-    return F.unhex(F.array_join(F.transform(_pixel_hex(pixels, 3), lambda h: F.concat(h, F.lit("FF"))), ""))
+    def widen(p: bytes) -> bytes:
+        out = np.full((len(p) // 3, 4), 255, np.uint8)
+        out[:, :3] = np.frombuffer(p, np.uint8, len(p) // 3 * 3).reshape(-1, 3)
+        return out.tobytes()
+
+    return _numpy_udf(widen)(pixels)
 
 
 def convert_pixels(pixels: Column, palette: Column, source: Column, target: str) -> Column:
