@@ -93,3 +93,15 @@ def test_replay_matches_the_decoder_and_ranges_read_their_segments(spark, tmp_pa
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     needed = stored.where("path = 'f0' AND until >= 8 AND frame_index <= 9 AND op <> 'size'")
     assert 0 < needed.count() < stored.where("path = 'f0' AND frame_index <= 9 AND op <> 'size'").count()
+
+
+def test_replay_writes_no_row_a_pixel(spark):
+    picture = random.Random(3).randbytes(320 * 200)
+    chunk = struct.pack("<IH", len(picture) + 6, 16) + picture
+    frame = struct.pack("<IHH8x", len(chunk) + 16, 0xF1FA, 1) + chunk
+    still = struct.pack("<IHH8x", 16, 0xF1FA, 0)
+    content = struct.pack("<IHHHHHHI", 128 + len(frame) + 16 * 199, 0xAF12, 200, 320, 200, 8, 3, 33).ljust(128, b"\0") + frame + still * 199
+    media = spark.createDataFrame([("large", content)], "path string, content binary")
+    rows = write_ops.replay(write_ops.write_ops(media))
+    assert [(r.frame_index, bytes(r.pixels)) for r in rows.orderBy("frame_index").collect()] == [(k, picture) for k in range(200)]
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
