@@ -280,7 +280,7 @@ SELECT path, frame_index, md5(h) AS pixels_md5, frame_index = 0 AS keyframe, fra
   ('0x' || substr(h, 1, 2))::BIGINT + ('0x' || substr(h, 257, 2))::BIGINT + ('0x' || substr(h, 511, 2))::BIGINT AS checksum FROM p""")
 def flc_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as FLC files (raw, run and changed-byte frames in turn) and decoded again."""
-    rows = _one_start(derived.joined(frames.decode_frames(_with_codec(_flc(spark, sf_dir))), derived.FLC_FRAMES), "keyframe", "palette_changed")
+    rows = _one_start(derived.joined(frames.decode_frames(_with_codec(_flc(spark, sf_dir)), palette=False), derived.FLC_FRAMES), "keyframe", "palette_changed")
     return rows.select("path", "frame_index", F.md5(F.hex("pixels")).alias("pixels_md5"), "keyframe", "palette_changed", timeline.frame_checksum(F.col("pixels")).alias("checksum"))
 
 
@@ -336,17 +336,16 @@ def cdxl_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cdxl_frames(files: DataFrame) -> DataFrame:
     """One-plane pictures: the pixels that are set, and the packed bytes again, weighted by place."""
-    rows = frames.decode_frames(_with_codec(files))
-    rows = rows.select("path", "frame_index", F.regexp_replace(F.hex("pixels"), "0(.)", "$1").alias("bits"))
-    byte = lambda i: F.conv(F.substring("bits", i * 8 + 1, F.lit(8)), 2, 10).cast("bigint") * (i + 1)
-    weighted = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(31)), byte), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    ones = F.length(F.regexp_replace("bits", "0", "")).cast("bigint")
-    return rows.select("path", "frame_index", ones.alias("set_pixels"), weighted.alias("weighted"))
+    rows = frames.decode_frames(_with_codec(files), palette=False)
+    rows = rows.select("path", "frame_index", F.hex(colour.pixels_to_bits(F.col("pixels"))).alias("bits"), F.length(F.replace(F.hex("pixels"), F.lit("0"), F.lit(""))).cast("bigint").alias("ones"))
+    # summed as columns and not by a lambda, which Spark would interpret
+    weighted = sum((F.conv(F.substring("bits", i * 2 + 1, 2), 16, 10).cast("bigint") * (i + 1) for i in range(32)), F.lit(0).cast("bigint"))
+    return rows.select("path", "frame_index", F.col("ones").alias("set_pixels"), weighted.alias("weighted"))
 
 
 @query(f"""{_EVERY.format(padded=_padded_sql())} SELECT path, CAST(k AS INTEGER) AS frame_index, md5(substr(x, CAST(k * 512 + 1 AS INTEGER), 512)) AS pixels_md5, CAST(NULL AS VARCHAR) AS error FROM f""")
 def dpan_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.joined(frames.decode_frames(_with_codec(derived.dpan_files(_table(spark, sf_dir, "documents")))), derived.DPAN_FRAMES)
+    rows = derived.joined(frames.decode_frames(_with_codec(derived.dpan_files(_table(spark, sf_dir, "documents"))), palette=False), derived.DPAN_FRAMES)
     return rows.select("path", "frame_index", F.md5(F.hex("pixels")).alias("pixels_md5"), "error")
 
 
@@ -548,7 +547,7 @@ b AS (SELECT path, k, array_to_string(list_transform(regexp_extract_all(rpad(sub
 SELECT path, CAST(k AS INTEGER) AS frame_index, md5(array_to_string(list_transform(range(256), lambda i: '0' || printf('%X', {" + ".join(f"CAST(substr(bits, CAST({p * 256} + i + 1 AS INTEGER), 1) AS BIGINT) * {1 << p}" for p in range(4))})), '')) AS pixels_md5 FROM b""")
 def cdxl_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CDXL files of four planes, as pixels."""
-    rows = frames.decode_frames(_with_codec(derived.cdxl_files(_table(spark, sf_dir, "documents"), planes=4)))
+    rows = frames.decode_frames(_with_codec(derived.cdxl_files(_table(spark, sf_dir, "documents"), planes=4)), palette=False)
     return rows.select("path", "frame_index", F.md5(F.hex("pixels")).alias("pixels_md5"))
 
 
