@@ -1,9 +1,14 @@
-"""Unsigned integers in BINARY columns. What lies past the end reads as 0, as in a cursor that has failed."""
+"""Unsigned integers in BINARY columns. What lies past the end reads as 0, as in a cursor that has failed.
+
+``uint`` and ``bits`` read one place, by expressions; ``words_folded`` and ``codes_folded`` read a column's bytes from end to end, by numpy.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +63,54 @@ def u32be(data: Column, at: int | Column) -> Column:
     return uint(data, at, 4, little=False)
 
 
+#: What a polynomial of 31 over values read is taken modulo of, and values that are folded at once.
+PRIME, BLOCK = 2**31 - 1, 4096
+
+
+def _folded(data: Column, read: Callable[[bytes], tuple[Iterator[np.ndarray], int]]) -> Column:
+    """Over the values that ``read`` gives of a row's bytes, in blocks of ``BLOCK`` at most, and as many zeros after them, acc * 31 + value modulo ``PRIME``."""
+    powers = np.array([pow(31, BLOCK - 1 - k, PRIME) for k in range(BLOCK)], np.int64)
+
+    @F.arrow_udf("bigint")
+    def fold(column: pa.Array) -> pa.Array:
+        out = []
+        for x in column:
+            acc, (blocks, zeros) = 0, read(x.as_py() or b"")
+            for values in blocks:
+                weighted = values.astype(np.int64) % PRIME * powers[BLOCK - len(values) :] % PRIME
+                acc = (acc * pow(31, len(values), PRIME) + int(weighted.sum())) % PRIME
+            out.append(acc * pow(31, zeros, PRIME) % PRIME)
+        return pa.array(out, pa.int64())
+
+    return fold(data)
+
+
+def words_folded(data: Column, size: int, little: bool = True) -> Column:
+    """All integers of 1, 2 or 4 bytes from end to end, and once past the end, folded; a word cut short reads as 0."""
+    kind = f"{'<' if little else '>'}u{size}"
+
+    def read(x: bytes) -> tuple[Iterator[np.ndarray], int]:
+        n = len(x) // size
+        return (np.frombuffer(x, kind, min(BLOCK, n - k), k * size) for k in range(0, n, BLOCK)), -(-len(x) // size) + 1 - n
+
+    return _folded(data, read)
+
+
+def codes_folded(data: Column, width: int) -> Column:
+    """All codes of ``width`` bits, the lowest bit of a byte first, the last one filled with zeros, folded."""
+    step = BLOCK // 8 * width  # bytes of BLOCK codes
+
+    def read(x: bytes) -> tuple[Iterator[np.ndarray], int]:
+        def codes(part: bytes) -> np.ndarray:
+            found = np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")
+            found = np.pad(found, (0, -len(found) % width)).reshape(-1, width)
+            return found.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+
+        return (codes(x[k : k + step]) for k in range(0, len(x), step)), 0
+
+    return _folded(data, read)
+
+
 def s16(value: Column) -> Column:
     """A 16-bit pattern read as signed."""
     return F.when(value >= 1 << 15, value - (1 << 16)).otherwise(value)

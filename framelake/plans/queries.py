@@ -171,15 +171,9 @@ def _read_sql() -> str:
 @query(_read_sql())
 def byte_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reader over the whole text, from end to end in steps of its own width and once past the end: the values read, as a polynomial of 31 modulo 2 ** 31 - 1."""
-    readers = {"u8": (binary.u8, 1), "u16le": (binary.u16le, 2), "u16be": (binary.u16be, 2), "u32le": (binary.u32le, 4), "u32be": (binary.u32be, 4)}
-
-    def read(data: Column) -> Column:
-        n = F.length(data)
-        folded = lambda f, w: F.aggregate(F.sequence(F.lit(0), F.ceil(n / w).cast("int")), F.lit(0).cast("bigint"), lambda acc, i: (acc * 31 + f(data, i * w)) % 2147483647)
-        return F.struct(n.cast("bigint").alias("n_bytes"), *[folded(*r).alias(name) for name, r in readers.items()])
-
-    rows = _table(spark, sf_dir, "documents").select("doc_id", binary.once(F.encode(F.coalesce("text", F.lit("")), "utf-8"), read).alias("x"))
-    return rows.select("doc_id", "x.*")
+    readers = {"u8": (1, True), "u16le": (2, True), "u16be": (2, False), "u32le": (4, True), "u32be": (4, False)}
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    return rows.select("doc_id", F.length("data").cast("bigint").alias("n_bytes"), *[binary.words_folded(F.col("data"), *r).alias(name) for name, r in readers.items()])
 
 
 _OPS = "SELECT event_id, ts, user_id AS file, event_id % 16 AS place, CASE WHEN event_type = 'error' THEN NULL ELSE user_id % 256 END AS v, event_id % 7 = 0 AS clear, (event_id * 37) % 65536 AS word, event_id % 3 > 0 AS swaps FROM events"
@@ -477,13 +471,8 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bits, list_reduce(codes, lambda a, v: (a *
 def bit_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of 11 bits over the whole text, the last one filled with zeros, as a polynomial of 31 modulo 2 ** 31 - 1."""
 
-    def read(data: Column) -> Column:
-        n = F.length(data) * 8
-        codes = F.when(n > 0, F.sequence(F.lit(0), F.call_function("div", n - 1, F.lit(11)).cast("int"))).otherwise(F.array().cast("array<int>"))
-        folded = F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, i: (acc * 31 + binary.bits(data, i * 11, 11)) % 2147483647)
-        return F.struct(n.cast("bigint").alias("n_bits"), folded.alias("folded"))
-
-    return _table(spark, sf_dir, "documents").select("doc_id", binary.once(F.encode(F.coalesce("text", F.lit("")), "utf-8"), read).alias("x")).select("doc_id", "x.*")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    return rows.select("doc_id", (F.length("data") * 8).cast("bigint").alias("n_bits"), binary.codes_folded(F.col("data"), 11).alias("folded"))
 
 
 @query(f"""
