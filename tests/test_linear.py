@@ -5,9 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.functions import colour
+from framelake.functions import binary, colour
 from framelake.operators import audio, frame_index, iff
-from framelake.plans import derived
+from framelake.plans import derived, queries
 from framelake.sources import media
 
 MB = 1 << 20
@@ -53,3 +53,22 @@ def test_pixels_become_rgba_in_proportion_to_a_picture(spark):
     began = time.time()
     rows(20).write.format("noop").mode("overwrite").save()
     assert time.time() - began < 5  # of 0.1 MB each, hexadecimal digits were made again for every pixel
+
+
+def test_whole_columns_are_read_like_one_place_after_the_other(spark):
+    some = spark.range(60).select(F.expr("substring(sha2(cast(id AS string), 512) || sha2(cast(id + 1 AS string), 512), 1, cast(id * 3 AS int))").alias("t")).select(F.unhex(F.expr("substring(t, 1, length(t) div 2 * 2)")).alias("d"))
+    steps = lambda last, f: F.aggregate(F.sequence(F.lit(0), last.cast("int")), F.lit(0).cast("bigint"), lambda acc, i: (acc * 31 + f(F.col("d"), i)) % binary.PRIME)
+    for size, little in ((1, True), (2, True), (2, False), (4, True), (4, False)):
+        want = steps(F.ceil(F.length("d") / size), lambda d, i: binary.uint(d, i * size, size, little))
+        assert some.where(binary.words_folded(F.col("d"), size, little) != want).count() == 0
+    codes = F.when(F.length("d") > 0, steps(F.call_function("div", F.length("d") * 8 - 1, F.lit(11)), lambda d, i: binary.bits(d, i * 11, 11))).otherwise(0)
+    assert some.where(binary.codes_folded(F.col("d"), 11) != codes).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_readers", "bit_reader"])
+def test_texts_are_read_at_a_good_rate(spark, tmp_path, name):
+    docs(spark, 8 * MB).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    assert queries.queries()[name](spark, str(tmp_path)).count() == 1
+    queries.queries()[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 8  # at microseconds a byte, as by interpreted lambdas, it took over that
