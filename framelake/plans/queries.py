@@ -367,7 +367,7 @@ SELECT 'order/' || l_orderkey AS path, CAST(k AS INTEGER) AS frame_index, CAST(4
   CAST(bytes AS BIGINT) AS size, k = 0 AS keyframe_flag, CAST(1001 * 1000000 // 30000 * k AS BIGINT) AS pts_us FROM s""")
 def bink_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = derived.index_files(_table(spark, sf_dir, "lineitem"), "bink")
-    rows = frame_index.with_times(frame_index.bink_index(files), media.containers(files))
+    rows = frame_index.timed(frame_index.bink_index(media.containers(files, keep=("path", "content")), ("frame_period_us",)))
     return rows.select("path", "frame_index", "offset", "size", "keyframe_flag", "pts_us")
 
 
