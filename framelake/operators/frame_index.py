@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from framelake.functions.binary import once, u8, u16le, u32be, u32le
 from framelake.functions.timing import div
 
+#: Of rows that a task holds as Python objects.
+BATCH_ROWS = 10_000
 INDEX = "path string, frame_index int, offset bigint, size bigint, raw_flags int, keyframe_flag boolean, delay_ms int"
 
 
@@ -25,9 +27,9 @@ def _before(part: list[str], order: str) -> Column:
     return F.coalesce(F.sum("size").over(w), F.lit(0).cast("bigint"))
 
 
-def _explode(rows: DataFrame, entries: Column) -> DataFrame:
+def _explode(rows: DataFrame, entries: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     # outer, as otherwise Spark filters on the entries first and so makes them twice
-    return rows.select("path", F.explode_outer(entries).alias("e")).where("e IS NOT NULL").select("path", F.col("e.i").cast("int").alias("frame_index"), *[F.col(f"e.{c}").alias(c) for c in ("offset", "size")],
+    return rows.select("path", *keep, F.explode_outer(entries).alias("e")).where("e IS NOT NULL").select("path", *keep, F.col("e.i").cast("int").alias("frame_index"), *[F.col(f"e.{c}").alias(c) for c in ("offset", "size")],
         F.col("e.flags").cast("int").alias("raw_flags"), F.col("e.key").alias("keyframe_flag"), F.lit(None).cast("int").alias("delay_ms"))
 
 
@@ -47,8 +49,8 @@ def smk_index(media: DataFrame) -> DataFrame:
         "path", F.col("i").cast("int").alias("frame_index"), "offset", "size", F.col("flags").cast("int").alias("raw_flags"), key.alias("keyframe_flag"), F.lit(None).cast("int").alias("delay_ms"))
 
 
-def bink_index(media: DataFrame) -> DataFrame:
-    """From the offset table, whose low bits mark keyframes; a table that doesn't ascend gives no rows."""
+def bink_index(media: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """From the offset table, whose low bits mark keyframes; a table that doesn't ascend gives no rows. Columns to ``keep`` of a file are given with each frame."""
     even = lambda x: F.shiftleft(F.shiftright(x, 1), 1)
 
     def table(data: Column) -> Column:
@@ -62,7 +64,7 @@ def bink_index(media: DataFrame) -> DataFrame:
         return F.struct(i.alias("i"), even(this).alias("offset"), (even(after) - even(this)).alias("size"), F.lit(0).alias("flags"), (this.bitwiseAND(F.lit(1).cast("bigint")) != 0).alias("key"))
 
     rising = lambda es: F.when(~F.exists(es, lambda e: e["size"] <= 0), es)
-    return _explode(media, once(F.col("content"), table))
+    return _explode(media, once(F.col("content"), table), keep)
 
 
 def cdxl_index(media: DataFrame) -> DataFrame:
@@ -100,16 +102,24 @@ def dense_records(records: DataFrame) -> DataFrame:
     return dense.select("path", F.col("frame").cast("int").alias("frame_index"), "offset", "size", F.lit(0).alias("raw_flags"), (F.col("frame") == 0).alias("keyframe_flag"), F.lit(None).cast("int").alias("delay_ms"))
 
 
-def _walk(media: DataFrame, walker) -> DataFrame:
+def _walked(walker):
     """``walker(content)`` gives (frame, offset, size, flags, key, delay) for each frame of a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in INDEX.split(", ")])
         for batch in batches:
-            rows = [(path, *x) for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in walker(data or b"")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in INDEX.split(", ")])
+            rows = []
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):  # one file at a time
+                path, data = path.as_py(), data.as_py() or b""
+                for x in walker(data):
+                    rows.append((path, *x))
+                    if len(rows) == BATCH_ROWS:
+                        yield packed(rows)
+                        rows = []
+            yield packed(rows)
 
-    return media.select("path", "content").mapInArrow(run, INDEX)
+    return run
 
 
 def flc_frames_of(data: bytes) -> Iterator[tuple]:
@@ -140,11 +150,11 @@ def seq_frames_of(data: bytes) -> Iterator[tuple]:
 
 
 def flc_index(media: DataFrame) -> DataFrame:
-    return _walk(media, flc_frames_of)
+    return media.select("path", "content").mapInArrow(_walked(flc_frames_of), INDEX)
 
 
 def seq_index(media: DataFrame) -> DataFrame:
-    return _walk(media, seq_frames_of)
+    return media.select("path", "content").mapInArrow(_walked(seq_frames_of), INDEX)
 
 
 INDEXERS = {"flc": flc_index, "smk": smk_index, "atari_seq": seq_index, "cdxl": cdxl_index, "dpan": dpan_index, "bink": bink_index}
@@ -152,6 +162,10 @@ INDEXERS = {"flc": flc_index, "smk": smk_index, "atari_seq": seq_index, "cdxl":
 
 def with_times(index: DataFrame, containers: DataFrame) -> DataFrame:
     """Frames with ``pts_us`` (period times index, whatever the frame's own delay) and ``duration_us`` (which honours it)."""
-    rows = index.join(containers.select("path", "frame_period_us"), "path")
+    return timed(index.join(containers.select("path", "frame_period_us"), "path")).select(*index.columns, "pts_us", "duration_us")
+
+
+def timed(rows: DataFrame) -> DataFrame:
+    """``with_times`` for frames that have their file's ``frame_period_us`` already: no join, and files are made once."""
     own = F.when(F.col("delay_ms") > 0, F.col("delay_ms").cast("bigint") * 1000).otherwise(F.col("frame_period_us"))
-    return rows.select(*index.columns, (F.col("frame_period_us") * F.col("frame_index")).alias("pts_us"), own.alias("duration_us"))
+    return rows.select("*", (F.col("frame_period_us") * F.col("frame_index")).alias("pts_us"), own.alias("duration_us"))

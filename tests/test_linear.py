@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,15 @@ def test_texts_are_read_at_a_good_rate(spark, tmp_path, name):
     assert queries.queries()[name](spark, str(tmp_path)).count() == 1
     queries.queries()[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
     assert time.time() - began < 8  # at microseconds a byte, as by interpreted lambdas, it took over that
+
+
+def test_indexes_come_in_bounded_batches():
+    walker = lambda data: ((n, n, 1, 0, n == 0, None) for n in range(25_000 if data else 0))
+    files = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([b"x", None, b"y"], pa.binary())], ["path", "content"])
+    sizes = [batch.num_rows for batch in frame_index._walked(walker)(iter([files]))]
+    assert sum(sizes) == 50_000 and max(sizes) <= frame_index.BATCH_ROWS
+
+
+def test_orders_become_bink_files_once(spark, sf_dir):
+    plan = queries.queries()["bink_index"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem.parquet") + plan.count("Relation [") <= 1 and "Join" not in plan
