@@ -111,6 +111,23 @@ def codes_folded(data: Column, width: int) -> Column:
     return _folded(data, read)
 
 
+def placed(places: str, pixels: str, each: int) -> Column:
+    """The sum of pixels times where they stand, counted from 1 on; ``pixels`` holds ``each`` for one of the ``places``."""
+
+    @F.arrow_udf("bigint")
+    def weigh(at: pa.Array, values: pa.Array) -> pa.Array:
+        out = []
+        for k in range(0, len(at), 512):
+            part = at[k : k + 512]
+            ends = np.cumsum([0, *(len(x) for x in part)])
+            rows = np.frombuffer(b"".join(values[k : k + 512].to_pylist()), np.uint8).reshape(-1, each).astype(np.int32)
+            sums = part.flatten().to_numpy() * rows.sum(1) * each + rows @ np.arange(1, each + 1, dtype=np.int32)
+            out.append(np.diff(np.concatenate([[0], np.cumsum(sums)])[ends]))
+        return pa.array(np.concatenate(out) if out else [], pa.int64())
+
+    return weigh(places, pixels)
+
+
 def s16(value: Column) -> Column:
     """A 16-bit pattern read as signed."""
     return F.when(value >= 1 << 15, value - (1 << 16)).otherwise(value)

@@ -6,12 +6,16 @@ a decoder gives back can then be held against the document.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.binary import hex_uint, once
+from framelake.operators.chunks import BATCH_BYTES, map_files
 
 WIDTH, HEIGHT = 32, 8
 SIZE = WIDTH * HEIGHT
@@ -62,80 +66,101 @@ def _slice(data: Column, at: Column, size: int) -> Column:
     return F.hex(F.substring(data, at + 1, F.lit(size)))
 
 
+def _built(rows: DataFrame, build: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``path`` and ``content``, which ``build`` makes of a file's frames: a row of ``SIZE`` bytes each."""
+    rows = rows.select("path", F.col("data").alias("content"))
+    return map_files(rows, lambda data: [(build(np.frombuffer(data, np.uint8).reshape(-1, SIZE)),)], "path string, content binary")
+
+
+def _row(*parts: bytes | np.ndarray) -> np.ndarray:
+    """Records side by side of their parts: a column of bytes a record, or bytes that all have."""
+    n = next(len(x) for x in parts if not isinstance(x, bytes))
+    return np.concatenate([np.broadcast_to(np.frombuffer(x, np.uint8), (n, len(x))) if isinstance(x, bytes) else x for x in parts], axis=1)
+
+
+def _column(values: np.ndarray, kind: str) -> np.ndarray:
+    """Numbers as columns of bytes."""
+    return values.astype(kind)[:, None].view(np.uint8)
+
+
+def _lined(frames: np.ndarray, head: bytes) -> np.ndarray:
+    """Frames with ``head`` before each of their lines."""
+    lines = _row(head, frames.reshape(-1, WIDTH))
+    return lines.reshape(len(frames), HEIGHT * lines.shape[1])
+
+
 def flc_files(docs: DataFrame, words: bool = False) -> DataFrame:
     """FLC files: frames in turn a raw picture, byte runs and changed bytes; the first with a palette.
 
     ``words``: with changed words in the place of bytes, every fifth frame black, and a palette of six bits a colour.
     """
-    rows = _padded(docs, FLC_FRAMES)
-    palette = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.lpad(F.hex((i * 7) % (64 if words else 256)), 2, "0")), "")
-    chunk = lambda kind, payload: once(payload, lambda p: F.concat(_num(F.length(p) / 2 + 6, 4), _num(kind, 2), p))
-    lines = lambda d, f, head: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda y: F.concat(F.lit(head), _slice(d, f * SIZE + y * WIDTH, WIDTH))), "")
-    brun = lambda d, f: chunk(15, lines(d, f, f"00{256 - WIDTH:02X}"))
-    lc = lambda d, f: chunk(12, F.concat(_num(0, 2), _num(HEIGHT, 2), lines(d, f, f"0100{WIDTH:02X}")))
-    ss2 = lambda d, f: chunk(7, F.concat(_num(HEIGHT, 2), lines(d, f, f"010000{WIDTH // 2:02X}")))
-    changed = lambda d, f: F.when(f % 5 == 4, chunk(13, F.lit(""))).otherwise(ss2(d, f)) if words else lc(d, f)
-    body = lambda d, f: F.when(f % 3 == 0, chunk(16, _slice(d, f * SIZE, SIZE))).when(f % 3 == 1, brun(d, f)).otherwise(changed(d, f))
-    colours = lambda f: F.when(f == 0, chunk(11 if words else 4, F.concat(_num(1, 2), F.lit("0000"), palette))).otherwise("")
+    chunk = lambda kind, size: struct.pack("<IH", size + 6, kind)
+    head = lambda size, n: struct.pack("<IHH8x", size + 16, 0xF1FA, n)
+    colours = chunk(11 if words else 4, 772) + b"\1\0\0\0" + bytes(i * 7 % (64 if words else 256) for i in range(768))
 
-    def frame(d: Column, f: Column) -> Column:
-        head = lambda c: F.concat(_num(F.length(c) / 2 + 16, 4), _num(0xF1FA, 2), _num(F.when(f == 0, 2).otherwise(1), 2), F.lit("00" * 8))
-        return once(F.concat(colours(f), body(d, f)), lambda c: F.concat(head(c), c))
+    def frame(kind: int, payload: np.ndarray) -> list[bytes]:
+        n = payload.shape[1]
+        return [x.tobytes() for x in _row(head(n + 6, 1) + chunk(kind, n), payload)]
+
+    def build(d: np.ndarray) -> bytes:
+        parts = [b""] * len(d)
+        parts[::3] = frame(16, d[::3])
+        parts[0] = head(len(colours) + 6 + SIZE, 2) + colours + parts[0][16:]
+        parts[1::3] = frame(15, _lined(d[1::3], bytes((0, 256 - WIDTH))))
+        lines = struct.pack("<H", HEIGHT)
+        parts[2::3] = frame(7, _row(lines, _lined(d[2::3], bytes((1, 0, 0, WIDTH // 2))))) if words else frame(12, _row(b"\0\0" + lines, _lined(d[2::3], bytes((1, 0, WIDTH)))))
+        if words:
+            parts[14::15] = [head(6, 1) + chunk(13, 0)] * len(parts[14::15])
+        body = b"".join(parts)
+        return struct.pack("<I6HI", len(body) + 128, 0xAF12, len(d), WIDTH, HEIGHT, 8, 3, SPEED).ljust(128, b"\0") + body
 
-    frames = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda f: frame(d, f)), "")
-    head = F.concat(_num(0xAF12, 2), _num(F.col("n"), 2), _num(WIDTH, 2), _num(HEIGHT, 2), _num(8, 2), _num(3, 2), _num(SPEED, 4))
-    whole = lambda d: once(frames(d), lambda body: F.concat(F.rpad(F.concat(_num(F.length(body) / 2 + 128, 4), head), 256, "0"), body))
-    return _files(rows, whole)
+    return _built(_padded(docs, FLC_FRAMES), build)
 
 
 def cdxl_files(docs: DataFrame, planes: int = 1) -> DataFrame:
     """CDXL files: a chunk's picture is 32 bytes of the text a plane, as 32 by 8 bits, and its sound the next 16. A last chunk is filled with zeros."""
     bitmap, sound, colours = WIDTH // 8 * HEIGHT * planes, 16, 1 << planes
-    rows = _padded(docs)
     step = bitmap + sound
-    missing = F.pmod(-F.length("data"), F.lit(step)).cast("int")
-    rows = rows.select("path", F.explode(F.array(F.concat("data", F.unhex(F.repeat(F.lit("00"), missing))))).alias("data"))
-    n = F.call_function("div", F.length("data"), F.lit(step)).cast("int")
     size = 32 + 2 * colours + step
 
-    def chunk(d: Column, i: Column) -> Column:
-        head = F.concat(F.lit("0100"), _num(size, 4, False), _num(F.when(i > 0, size).otherwise(0), 4, False), _num(i + 1, 4, False), _num(WIDTH, 2, False), _num(HEIGHT, 2, False), _num(planes, 2, False), _num(2 * colours, 2, False), _num(sound, 2, False))
-        return F.concat(F.rpad(head, 64, "0"), F.lit("0000" + "0FFF" * (colours - 1)), _slice(d, i * step, step))
+    def build(d: np.ndarray) -> bytes:
+        data = d.tobytes()
+        data = np.frombuffer(data.ljust(-(-len(data) // step) * step, b"\0"), np.uint8).reshape(-1, step)
+        numbers = np.arange(len(data))
+        sizes = struct.pack(">5H8x", WIDTH, HEIGHT, planes, 2 * colours, sound)
+        return _row(struct.pack(">HI", 0x100, size), _column((numbers > 0) * size, ">u4"), _column(numbers + 1, ">u4"), sizes, b"\0\0" + b"\x0f\xff" * (colours - 1), data).tobytes()
 
-    return _files(rows.withColumn("n", n), lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: chunk(d, i)), ""))
+    return _built(_padded(docs), build)
 
 
 def dpan_files(docs: DataFrame) -> DataFrame:
     """DPAN files of one page a 64 KiB: each record a long copy of a whole frame; 200 frames a page."""
-    rows, per = _padded(docs, DPAN_FRAMES), 200
-    record = 4 + 3 + SIZE
-    n = F.col("n")
-    pages = F.ceil(n / per).cast("int")
-    held = lambda p: F.least(F.lit(per), n - p * per)
-    entry = lambda p: F.concat(_num(p * per, 2), _num(held(p), 2), _num(held(p) * record, 2))
-    table = F.rpad(F.array_join(F.transform(F.sequence(F.lit(0), pages - 1), entry), ""), 256 * 12, "0")
-
-    def page(d: Column, p: Column) -> Column:
-        numbers = F.sequence(p * per, p * per + held(p) - 1)
-        sizes = F.array_join(F.transform(numbers, lambda f: _num(record, 2)), "")
-        pictures = F.array_join(F.transform(numbers, lambda f: F.concat(F.lit("4200000080"), _num(0x8000 + SIZE, 2), _slice(d, f * SIZE, SIZE))), "")
-        body = F.concat(entry(p), F.lit("0000"), sizes, pictures)
-        return F.when(p < pages - 1, F.rpad(body, 2 * 65536, "0")).otherwise(body)
-
-    head = F.concat(F.lit(b"LPF ".hex()), _num(256, 2), _num(pages, 2), _num(n, 4), _num(per, 2), _num(1280, 2), F.lit(b"ANIM".hex()), _num(WIDTH, 2), _num(HEIGHT, 2), F.lit("0000000000010001"))
-    head = F.rpad(F.concat(F.rpad(head, 128, "0"), _num(n, 4), _num(10, 2)), 512, "0")
-    colours = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex((i * 5) % 256), 2, "0")), "")
-    body = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), pages - 1), lambda p: page(d, p)), "")
-    return _files(rows, lambda d: F.concat(head, colours, table, body(d)))
+    per, record = 200, 4 + 3 + SIZE
+    colours = bytes(i * 5 % 256 for i in range(1024))
+
+    def build(d: np.ndarray) -> bytes:
+        firsts = range(0, len(d), per)
+        held = [len(d[k : k + per]) for k in firsts]
+        entries = [struct.pack("<3H", k, n, n * record) for k, n in zip(firsts, held, strict=True)]
+        head = struct.pack("<4sHHIHH4sHH", b"LPF ", 256, len(held), len(d), per, 1280, b"ANIM", WIDTH, HEIGHT) + bytes.fromhex("0000000000010001")
+        head = (head.ljust(64, b"\0") + struct.pack("<IH", len(d), 10)).ljust(256, b"\0")
+        pages = [e + b"\0\0" + struct.pack("<H", record) * n + _row(struct.pack("<5sH", b"\x42\0\0\0\x80", 0x8000 + SIZE), d[k : k + per]).tobytes() for e, k, n in zip(entries, firsts, held, strict=True)]
+        return head + colours + b"".join(entries).ljust(256 * 6, b"\0") + b"".join([p.ljust(65536, b"\0") for p in pages[:-1]] + pages[-1:])
+
+    return _built(_padded(docs, DPAN_FRAMES), build)
+
+
+def _seq_file(cels: np.ndarray) -> bytes:
+    return struct.pack(">HHIH", 0xFEDB, 0, len(cels), SPEED).ljust(128, b"\0") + bytes(4 * len(cels)) + cels.tobytes()
 
 
 def seq_files(docs: DataFrame) -> DataFrame:
     """SEQ files: a cel of the text's bytes a frame, every fourth a copy and the others XOR; the table of offsets is left empty, as it is not to be trusted."""
-    rows, n = _padded(docs), F.col("n")
-    word = lambda x, size=2: _num(x, size, False)
-    head = F.rpad(F.concat(word(0xFEDB), word(0), word(n, 4), word(SPEED)), 256, "0")
-    cel = lambda d, f: F.concat(F.rpad(F.concat(F.rpad(F.lit("FFFF"), 124, "0"), word(F.when(f % 4 == 0, 0).otherwise(1), 1), word(0, 1), word(SIZE, 4)), 256, "0"), _slice(d, f * SIZE, SIZE))
-    return _files(rows, lambda d: F.concat(head, F.repeat(F.lit("00" * 4), n), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda f: cel(d, f)), "")))
+
+    def build(d: np.ndarray) -> bytes:
+        return _seq_file(_row(b"\xff\xff".ljust(62, b"\0"), _column(np.arange(len(d)) % 4 > 0, "u1"), struct.pack(">BI", 0, SIZE).ljust(65, b"\0"), d))
+
+    return _built(_padded(docs), build)
 
 
 #: Of a cel's 128 words, those that lie in the file one by one; the last of them is repeated for the rest.
@@ -145,17 +170,16 @@ SEQ_CEL = (32, 16)
 
 def seq_cel_files(docs: DataFrame) -> DataFrame:
     """SEQ files of run-length cels of 32 by 16 pixels in four planes, each of 256 bytes of the text: its first 32 are the palette too. Every fourth clears the screen, the others are XOR; they move by 5 pixels and a line a frame."""
-    rows, n = _padded(docs), F.col("n")
-    word = lambda x, size=2: _num(x, size, False)
-    head = F.rpad(F.concat(word(0xFEDB), word(0), word(n, 4), word(SPEED)), 256, "0")
-    size = 2 + 2 * (SEQ_LITERAL - 1) + 4
+    at = 2 * (SEQ_LITERAL - 1)
+    size = 2 + at + 4
 
-    def cel(d: Column, f: Column) -> Column:
-        fields = F.concat(F.lit("FFFF0000"), _slice(d, f * SIZE, 32), F.lit("00" * 18), word(f * 5 % 40), word(f % 20), word(SEQ_CEL[0]), word(SEQ_CEL[1]), word(F.when(f % 4 == 0, 0).otherwise(1), 1), word(1, 1), word(size, 4))
-        runs = F.concat(word(0x8000 + SEQ_LITERAL - 1), _slice(d, f * SIZE, 2 * (SEQ_LITERAL - 1)), word(SIZE // 2 - SEQ_LITERAL + 1), _slice(d, f * SIZE + 2 * (SEQ_LITERAL - 1), 2))
-        return F.concat(F.rpad(fields, 256, "0"), runs)
+    def build(d: np.ndarray) -> bytes:
+        f = np.arange(len(d))
+        place = (_column(f * 5 % 40, ">u2"), _column(f % 20, ">u2"), struct.pack(">HH", *SEQ_CEL), _column(f % 4 > 0, "u1"))
+        fields = _row(b"\xff\xff\0\0", d[:, :32], bytes(18), *place, struct.pack(">BI", 1, size).ljust(65, b"\0"))
+        return _seq_file(_row(fields, struct.pack(">H", 0x8000 + SEQ_LITERAL - 1), d[:, :at], struct.pack(">H", SIZE // 2 - SEQ_LITERAL + 1), d[:, at : at + 2]))
 
-    return _files(rows, lambda d: F.concat(head, F.repeat(F.lit("00" * 4), n), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda f: cel(d, f)), "")))
+    return _built(_padded(docs), build)
 
 
 #: Of a Smacker file's sound, bytes a frame; and a palette block's.
@@ -185,55 +209,52 @@ def smk_files(docs: DataFrame) -> DataFrame:
     return _files(rows, lambda d: F.concat(head, each(lambda f: _num(size(f), 4)), each(flags), each(lambda f: frame(d, f))))
 
 
-def _chunk(kind: str, payload: Column | str) -> Column:
-    """An IFF chunk of an even number of bytes, as hexadecimal digits."""
-    return once(payload if isinstance(payload, Column) else F.lit(payload), lambda p: F.concat(F.lit(kind.encode().hex()), _num(F.length(p) / 2, 4, False), p))
-
-
-def _form(kind: str, body: Column) -> Column:
-    return _chunk("FORM", F.concat(F.lit(kind.encode().hex()), body))
+def _chunk(kind: bytes, payload: bytes | np.ndarray) -> bytes | np.ndarray:
+    """An IFF chunk of an even number of bytes, or one a record."""
+    if isinstance(payload, bytes):
+        return kind + struct.pack(">I", len(payload)) + payload
+    return _row(kind + struct.pack(">I", payload.shape[1]), payload)
 
 
 #: The sounds of ANIM files: eight bytes of the slot's number each.
 BANK = [f"{k:02X}" * 8 for k in (1, 2, 3)]
 ANIM_RELTIME, ANIM_RATE = 2, 8000
+_BMHD = _chunk(b"BMHD", struct.pack(">HH4xB5xBBHH", WIDTH, HEIGHT, 8, 1, 1, WIDTH, HEIGHT))
 
 
 def anim_files(docs: DataFrame) -> DataFrame:
     """ANIM files: a picture of the text's bytes a frame, whole at first and a delta from then on, each with a sound control and 16 bytes of stereo sound, behind a bank of sounds."""
-    rows = _padded(docs)
-    byte = lambda x, size=1: _num(x, size, False)
-    bank = F.concat(*[_form("8SVX", _chunk("BODY", sound)) for sound in BANK])
-    bmhd = F.concat(byte(WIDTH, 2), byte(HEIGHT, 2), F.lit("00" * 4 + "08" + "00" * 5 + "0101"), byte(WIDTH, 2), byte(HEIGHT, 2))
-    sxhd = F.concat(F.lit("0840"), byte(8, 4), byte(0, 4), byte(0, 4), F.lit("0202"), byte(ANIM_RATE, 4))
-    first = F.concat(_chunk("BMHD", bmhd), _chunk("CMAP", "000000FF8040"), _chunk("CAMG", "00000800"), _chunk("SXHD", sxhd))
-    later = _chunk("ANHD", F.concat(F.lit("05" + "00" * 13), byte(ANIM_RELTIME, 4), F.lit("00" * 6)))
-    control = lambda f: _chunk("SCTL", F.concat(F.lit("01"), byte(32 + f % 64), byte(f % 5, 2), byte(1, 2), byte(3, 2), F.lit("00" * 8)))
-    picture = lambda d, f: F.when(f == 0, _chunk("BODY", _slice(d, f * SIZE, SIZE))).otherwise(_chunk("DLTA", _slice(d, f * SIZE, SIZE)))
-    frame = lambda d, f: _form("ILBM", F.concat(F.when(f == 0, first).otherwise(later), control(f), picture(d, f), _chunk("SBDY", _slice(d, f * SIZE, 16))))
-    frames = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda f: frame(d, f)), "")
-    return _files(rows, lambda d: _form("ANIM", F.concat(bank, frames(d))))
+    bank = b"".join(_chunk(b"FORM", b"8SVX" + _chunk(b"BODY", bytes.fromhex(sound))) for sound in BANK)
+    sxhd = struct.pack(">BBIIIBBI", 8, 64, 8, 0, 0, 2, 2, ANIM_RATE)
+    first = _BMHD + _chunk(b"CMAP", bytes.fromhex("000000FF8040")) + _chunk(b"CAMG", struct.pack(">I", 0x800)) + _chunk(b"SXHD", sxhd)
+    later = _chunk(b"ANHD", struct.pack(">B13xI6x", 5, ANIM_RELTIME))
+
+    def build(d: np.ndarray) -> bytes:
+        f = np.arange(len(d))
+        control = _chunk(b"SCTL", _row(b"\1", _column(32 + f % 64, "u1"), _column(f % 5, ">u2"), struct.pack(">HH8x", 1, 3)))
+        sound = _chunk(b"SBDY", d[:, :16])
+        frames = [_chunk(b"FORM", _row(b"ILBM" + head, control[at], _chunk(kind, d[at]), sound[at])) for head, kind, at in ((first, b"BODY", slice(1)), (later, b"DLTA", slice(1, None)))]
+        return _chunk(b"FORM", b"ANIM" + bank + b"".join(x.tobytes() for x in frames))
+
+    return _built(_padded(docs), build)
 
 
 def anim_delta_files(docs: DataFrame) -> DataFrame:
     """ANIM files of 8 planes: every ninth frame is a whole picture of the text's bytes, the others change, in every other plane, five rows of each column, none, and two alike; every seventh delta draws to the same buffer again."""
-    rows, n = _padded(docs), F.col("n")
-    byte = lambda x, size=1: _num(x, size, False)
     columns, planes = WIDTH // 8, 8
-    bmhd = F.concat(byte(WIDTH, 2), byte(HEIGHT, 2), F.lit("00" * 4 + "08" + "00" * 5 + "0101"), byte(WIDTH, 2), byte(HEIGHT, 2))
-    run = lambda d, f, p, c: F.concat(F.lit("0385"), _slice(d, f * SIZE + p * 32 + c * 8, 5), F.lit("010002"), _slice(d, f * SIZE + p * 32 + c * 8 + 5, 1))
     size = 11 * columns
+    tables = np.array([[64 + size * (p // 2) if p % 2 == odd else 0 for p in range(planes)] for odd in (0, 1)], ">u4").view(np.uint8)
 
-    def delta(d: Column, f: Column) -> Column:
-        changed = lambda p: (f + p) % 2 == 0
-        at = lambda p: F.lit(64) + size * F.call_function("div", F.lit(p), F.lit(2))
-        table = F.concat(*[byte(F.when(changed(p), at(p)).otherwise(0), 4) for p in range(planes)], F.lit("00" * 32))
-        body = F.concat(*[F.when(changed(p), F.concat(*[run(d, f, p, c) for c in range(columns)])).otherwise("") for p in range(planes)])
-        return F.concat(table, body)
+    def build(d: np.ndarray) -> bytes:
+        f = np.arange(len(d))
+        changed = d.reshape(-1, planes // 2, 2, columns, 8)[f, :, f % 2].reshape(-1, 8)
+        runs = _row(b"\3\x85", changed[:, :5], b"\1\0\2", changed[:, 5:6]).reshape(len(d), planes // 2 * size)
+        anhd = _chunk(b"ANHD", _row(struct.pack(">B13xI2x", 5, ANIM_RELTIME), _column(np.where(f % 7 == 6, 2, 0), ">u4")))
+        frames = [x.tobytes() for x in _chunk(b"FORM", _row(b"ILBM", anhd, _chunk(b"DLTA", _row(tables[f % 2], bytes(32), runs))))]
+        frames[::9] = [x.tobytes() for x in _chunk(b"FORM", _row(b"ILBM" + _BMHD, _chunk(b"BODY", d[::9])))]
+        return _chunk(b"FORM", b"ANIM" + b"".join(frames))
 
-    anhd = lambda f: _chunk("ANHD", F.concat(F.lit("05" + "00" * 13), byte(ANIM_RELTIME, 4), F.lit("0000"), byte(F.when(f % 7 == 6, 2).otherwise(0), 4)))
-    frame = lambda d, f: _form("ILBM", F.when(f % 9 == 0, F.concat(_chunk("BMHD", bmhd), _chunk("BODY", _slice(d, f * SIZE, SIZE)))).otherwise(F.concat(anhd(f), _chunk("DLTA", delta(d, f)))))
-    return _files(rows, lambda d: _form("ANIM", F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda f: frame(d, f)), "")))
+    return _built(_padded(docs), build)
 
 
 YAFA_SPEED = 2
@@ -241,37 +262,65 @@ YAFA_SPEED = 2
 
 def yafa_files(docs: DataFrame) -> DataFrame:
     """YAFA files: the text's bytes as chunky frames; with an even number of frames they count as packed, and their ends are listed."""
-    rows, n = _padded(docs, FLC_FRAMES), F.col("n")
-    word = lambda x, size=2: _num(x, size, False)
-    listed = n % 2 == 0
-    info = F.concat(word(WIDTH), word(HEIGHT), word(8), word(YAFA_SPEED), word(n), word(F.when(listed, 3).otherwise(4)), word(0))
-    ends = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: word((k + 1) * SIZE, 4)), "")
-    return _files(rows, lambda d: _form("YAFA", F.concat(_chunk("INFO", info), F.when(listed, _chunk("PROF", ends)).otherwise(""), _chunk("BODY", F.hex(d)))))
+
+    def build(d: np.ndarray) -> bytes:
+        n = len(d)
+        listed = n % 2 == 0
+        ends = _chunk(b"PROF", (np.arange(1, n + 1) * SIZE).astype(">u4").tobytes()) if listed else b""
+        return _chunk(b"FORM", b"YAFA" + _chunk(b"INFO", struct.pack(">7H", WIDTH, HEIGHT, 8, YAFA_SPEED, n, 3 if listed else 4, 0)) + ends + _chunk(b"BODY", d.tobytes()))
+
+    return _built(_padded(docs, FLC_FRAMES), build)
+
+
+def _smk_order(key: int, sizes: list[int]) -> bytes:
+    n = len(sizes)
+    head = struct.pack("<4s5I48xI28x", b"SMK2", 160, 120, n, 100, 0, 22050 + (0xF0 << 24) if key % 2 else 0)
+    return head + struct.pack(f"<{n}I{n}x", *sizes) + b"\xab" * sum(s >> 2 << 2 for s in sizes)
+
+
+def _bink_order(key: int, sizes: list[int]) -> bytes:
+    n, tracks = len(sizes), key % 3
+    base, end, ends = 44 + 12 * tracks + 4 * (n + 1), 0, []
+    for s in sizes:
+        end += s >> 1 << 1
+        ends.append(base + end)
+    sound = struct.pack(f"<{tracks}I", *range(1000, 1000 + tracks)) + b"".join(struct.pack("<HH", 11025 * (k + 1), 0x1000 if k else 0x7000) for k in range(tracks)) + struct.pack(f"<{tracks}I", *range(7, 7 + tracks))
+    return struct.pack("<4s10I", b"BIKi", 0, n, 64, n, 320, 200, 30000, 1001, 0, tracks) + sound + struct.pack(f"<{n + 1}I", base + 1, *ends) + b"\xcd" * end
+
+
+_ORDERS = {"smk": _smk_order, "bink": _bink_order}
 
 
-def index_files(lines: DataFrame, codec: str, tracks: bool = False) -> DataFrame:
-    """SMK or Bink files of an order's lines: a frame a line, in order of line number, of as many bytes as the part's number modulo 64, and 4 more.
+def index_files(lines: DataFrame, *codecs: str, tracks: bool = False) -> DataFrame:
+    """SMK or Bink files of an order's lines, or both: a frame a line, in order of line number, of as many bytes as the part's number modulo 64, and 4 more.
 
-    ``tracks``: with sound tracks by the order's number: Bink as many as it leaves modulo 3, Smacker one if it is odd.
+    ``tracks``: with sound tracks by the order's number: Bink as many as it leaves modulo 3, Smacker one if it is odd. Lines
+    are dealt by order and sorted, so that files of all ``codecs`` are cut from one shuffle of three numbers a line.
     """
-    size = (F.col("l_partkey") % 64 + 4).cast("bigint")
-    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", size.alias("size"), (F.shiftright(size, 1) * 2).alias("even"))
-    upto = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum("even").over(upto)).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "size", "even", "end"))).alias("lines"))
-    key = F.col("l_orderkey") if tracks else F.lit(0).cast("bigint")
-    rows = rows.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path"), "lines", (key % 2).alias("odd"), (key % 3).cast("int").alias("tracks"))
-    n = F.size("lines")
-    if codec == "smk":
-        head = F.concat(F.lit(b"SMK2".hex()), _num(160, 4), _num(120, 4), _num(n, 4), _num(100, 4), _num(0, 4))
-        head = F.concat(F.rpad(head, 144, "0"), F.when(F.col("odd") == 1, _num(22050 + (0xF0 << 24), 4)).otherwise("00" * 4))
-        words = F.array_join(F.transform("lines", lambda x: _num(x["size"], 4)), "")
-        flags = F.repeat(F.lit("00"), n)
-        data = F.array_join(F.transform("lines", lambda x: F.repeat(F.lit("AB"), (F.shiftright(x["size"], 2) * 4).cast("int"))), "")
-        return _files(rows, lambda _: F.concat(F.rpad(head, 208, "0"), words, flags, data))
-    base = 44 + 12 * F.col("tracks") + 4 * (n + 1)
-    each = lambda f: F.when(F.col("tracks") > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.col("tracks") - 1), f), "")).otherwise("")
-    sound = F.concat(each(lambda k: _num(1000 + k, 4)), each(lambda k: F.concat(_num(11025 * (k + 1), 2), _num(F.when(k == 0, 0x7000).otherwise(0x1000), 2))), each(lambda k: _num(k + 7, 4)))
-    words = F.concat(_num(base + F.when(n > 0, 1).otherwise(0), 4), F.array_join(F.transform("lines", lambda x: _num(base + x["end"], 4)), ""))
-    head = F.concat(F.lit(b"BIKi".hex()), _num(0, 4), _num(n, 4), _num(64, 4), _num(n, 4), _num(320, 4), _num(200, 4), _num(30000, 4), _num(1001, 4), _num(0, 4), _num(F.col("tracks"), 4))
-    data = F.array_join(F.transform("lines", lambda x: F.repeat(F.lit("CD"), x["even"].cast("int"))), "")
-    return _files(rows, lambda _: F.concat(head, sound, words, data))
+    makes = [_ORDERS[c] for c in codecs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, key, sizes = ([], []), 0, None, []
+
+        def files() -> Iterator[pa.RecordBatch]:
+            nonlocal out, held
+            for make in makes if sizes else ():
+                out[0].append(None if key is None else f"order/{key}")
+                out[1].append(make(key or 0 if tracks else 0, sizes))
+                held += 64 + len(out[1][-1])
+            if held > BATCH_BYTES:
+                yield packed()
+                out, held = ([], []), 0
+
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary())], ["path", "content"])
+        for batch in batches:
+            for order, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if order != key:
+                    yield from files()
+                    key, sizes = order, []
+                sizes.append(size)
+        yield from files()
+        yield packed()
+
+    rows = lines.select("l_orderkey", (F.pmod(F.coalesce("l_partkey", F.lit(0)), F.lit(64)) + 4).alias("size"), "l_linenumber", "l_partkey").repartition("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey")
+    return rows.select("l_orderkey", "size").mapInArrow(run, "path string, content binary")

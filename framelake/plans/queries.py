@@ -677,7 +677,5 @@ SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(any_value(buffer) AS INTEGE
   CAST(sum({" + ".join("(" + " + ".join(f"((p{p} >> {7 - i}) & 1) * {1 << p}" for p in range(8)) + f") * (y * 32 + col * 8 + {i + 1})" for i in range(8))}) AS BIGINT) AS weighted FROM l WHERE buffer = shown GROUP BY path, k""")
 def anim_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ANIM files of whole pictures and byte-vertical deltas over two buffers: the touched pixels of each frame, weighted by place."""
-    rows = anim_delta.anim_screens(anim_delta.anim_runs(derived.anim_delta_files(_table(spark, sf_dir, "documents"))))
-    weighted = sum((F.col("pixels")[i] * (F.col("y") * 32 + F.col("column") * 8 + i + 1) for i in range(8)), F.lit(0).cast("bigint"))
-    found = rows.groupBy("path", "segment", "buffer", "frame_index").agg(F.count("*").alias("places"), F.sum(weighted).alias("weighted"))
-    return found.select("path", "frame_index", "buffer", "places", "weighted")
+    shown = anim_delta.anim_shown(derived.anim_delta_files(_table(spark, sf_dir, "documents")))
+    return shown.select("path", "frame_index", "buffer", F.size("places").cast("bigint").alias("places"), binary.placed("places", "pixels", 8).alias("weighted"))

@@ -6,6 +6,7 @@ import struct
 import pytest
 
 from framelake.operators import anim_delta
+from framelake.plans import queries
 
 
 def chunk(kind, body):
@@ -113,3 +114,20 @@ def test_packed_pictures_cut_short_are_errors():
     bmhd = chunk("BMHD", struct.pack(">HHHHBBBB", 8, 6, 0, 0, 1, 0, 1, 0).ljust(20, b"\0"))
     whole, short = (list(anim_delta.runs_of(form("ANIM", form("ILBM", bmhd, chunk("BODY", body))))) for body in (packed(b"aabbcc"), b"\x05ab"))
     assert whole[1][-1] == b"aabbcc" and short[-1][1] == "error" and short[-1][-1] == "literal cut short"
+
+
+def test_frames_are_shown_as_their_places_are(spark, sf_dir):
+    rng = random.Random(5)
+    made = [(f"f{k}", some_file(rng, w, h, p, 30, k % 2)[0]) for k, (w, h, p) in enumerate([(16, 5, 3), (8, 9, 8), (20, 3, 1), (33, 4, 5)])]
+    late = form("ANIM", form("ILBM", chunk("ANHD", b"\5".ljust(24, b"\0")), chunk("BMHD", struct.pack(">HHHHBBBB", 8, 2, 0, 0, 1, 0, 0, 0).ljust(20, b"\0")), chunk("DLTA", struct.pack(">I", 64).ljust(64, b"\0") + b"\1\x82ab")))
+    files = spark.createDataFrame([*made, ("late", late), ("cut", made[0][1][:-3]), ("empty", b""), ("none", None)], "path string, content binary").repartition(3)
+    want = {}
+    for r in anim_delta.anim_screens(anim_delta.anim_runs(files)).collect():
+        want.setdefault((r.path, r.frame_index, r.segment, r.buffer), {})[r.y, r.column] = bytes(r.pixels)
+    got = {}
+    for r in anim_delta.anim_shown(files).collect():
+        got[r.path, r.frame_index, r.segment, r.buffer] = {divmod(p, r.columns): bytes(r.pixels[8 * k : 8 * k + 8]) for k, p in enumerate(r.places)}
+        assert list(r.places) == sorted(r.places)
+    assert got == want and any(k[0] == "late" for k in got)
+    plan = queries.queries()["anim_deltas"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan  # a row a byte was shuffled
