@@ -1,8 +1,9 @@
-"""Atari SEQ cels to pixels: a cel's runs are expanded where the file lies, and screens are folded from words by a window.
+"""Atari SEQ cels to pixels: a cel's runs are expanded where the file lies, and screens are folded from words there too, or by a window.
 
 A screen is planes of 16-bit words. A cel writes a rectangle of them, plane by plane and column by column, and either
 clears the screen first or is XOR with it. Every bit is written at most once by a cel, so a place is the XOR of all words
-since the screen was cleared; what is shuffled is a row for each place that a cel touches, with its words of all planes.
+since the screen was cleared. ``seq_shown`` folds the words of a file in order, a row a cel and nothing shuffled; what
+``seq_screens`` shuffles is a row for each place that a cel touches, with its words of all planes.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 from framelake.functions.binary import once, u16be
 from framelake.functions.colour import st_palette
 from framelake.operators.chunks import map_files
-from framelake.operators.folds import words_to_chunky
+from framelake.operators.folds import with_pixels, words_to_chunky
 from framelake.operators.frame_index import seq_frames_of
 
 # Width, height and planes of the three resolutions.
 SCREENS = {0: (320, 200, 4), 1: (640, 200, 2), 2: (640, 400, 1)}
 CELS = "path string, frame_index int, resolution int, palette binary, x int, y int, w int, h int, op int, storage int, size bigint, segment int, words array<int>, error string"
+SHOWN = "path string, frame_index int, segment int, columns int, places array<int>, pixels binary"
 
 
 def expand_runs(data: bytes, room: int) -> tuple[bytes, str | None]:
@@ -49,34 +51,63 @@ def expand_runs(data: bytes, room: int) -> tuple[bytes, str | None]:
     return bytes(out.ljust(room, b"\0")), None
 
 
+def cels_of(data: bytes) -> Iterator[tuple]:
+    """The rows of ``seq_cels`` of a file."""
+    cleared, base = 0, None
+    for n, at, size, *_ in seq_frames_of(data):
+        resolution, x, y, w, h, op, storage = (*struct.unpack_from(">H", data, at + 2), *struct.unpack_from(">4H2B", data, at + 54))
+        base, words, error = resolution if base is None else base, b"", None
+        screen = SCREENS.get(base)
+        body = data[at + 128 : at + size]
+        if screen is None or resolution > 2 or op > 1 or storage > 1:
+            error = "unknown resolution, operation or storage"
+        elif len(body) < size - 128:
+            error = "cel cut short"
+        elif body and (x + w > screen[0] or y + h > screen[1]):
+            error = "cel outside its screen"
+        elif body and storage == 1:
+            cleared += op == 0
+            words, error = expand_runs(body, (w + 15) // 16 * h * screen[2])
+        yield n, base, data[at + 4 : at + 36], x, y, w, h, op, storage, size - 128, cleared, np.frombuffer(words, ">u2").astype(np.int32), error
+        if error:
+            return
+
+
 def seq_cels(media: DataFrame) -> DataFrame:
     """A row a cel: its header, the resolution of the file's first one, its palette of 16 words, its expanded ``words``, the number of times the screen was cleared up to it (``segment``), or its error.
 
     Empty and uncompressed cels change nothing and clear nothing. A cel that doesn't lie within its screen, or is cut short, has an
     ``error``; frames after it can't be shown, and have no rows.
     """
-
-    def walker(data: bytes) -> Iterator[tuple]:
-        cleared, base = 0, None
-        for n, at, size, *_ in seq_frames_of(data):
-            resolution, x, y, w, h, op, storage = (*struct.unpack_from(">H", data, at + 2), *struct.unpack_from(">4H2B", data, at + 54))
-            base, words, error = resolution if base is None else base, b"", None
-            screen = SCREENS.get(base)
-            body = data[at + 128 : at + size]
-            if screen is None or resolution > 2 or op > 1 or storage > 1:
-                error = "unknown resolution, operation or storage"
-            elif len(body) < size - 128:
-                error = "cel cut short"
-            elif body and (x + w > screen[0] or y + h > screen[1]):
-                error = "cel outside its screen"
-            elif body and storage == 1:
-                cleared += op == 0
-                words, error = expand_runs(body, (w + 15) // 16 * h * screen[2])
-            yield n, base, data[at + 4 : at + 36], x, y, w, h, op, storage, size - 128, cleared, np.frombuffer(words, ">u2").astype(np.int32), error
-            if error:
-                return
-
-    return map_files(media, walker, CELS)
+    return map_files(media, cels_of, CELS)
+
+
+def shown_of(data: bytes) -> Iterator[tuple]:
+    """A row for each cel that draws: its segment, the screen's columns, the places touched, and the bytes of their planes."""
+    screen, segment, known = None, 0, {}
+    for n, base, _, x, y, w, h, _, _, _, cleared, words, _ in cels_of(data):
+        if not len(words):
+            continue
+        width, height, planes = SCREENS[base]
+        wide, groups, first, shift = width // 16, (w + 15) // 16, x // 16, x % 16
+        if screen is None or cleared != segment:
+            screen, segment = np.zeros((planes, wide, height), np.uint16), cleared
+        # words of a column, and what is shifted out of those of the column before
+        cut, words = min(groups + (shift > 0), wide - first), words.reshape(planes, groups, h)
+        screen[:, first : first + groups, y : y + h] ^= (words >> shift).astype(np.uint16)
+        if shift:
+            screen[:, first + 1 : first + cut, y : y + h] ^= (words[:, : cut - 1] << (16 - shift)).astype(np.uint16)
+        if (cut, h) not in known:
+            known = {(cut, h): (np.arange(h) * wide + np.arange(cut)[:, None]).ravel().astype(np.int32)}
+        yield n, cleared, wide, known[cut, h] + np.int32(y * wide + first), screen[:, first : first + cut, y : y + h].astype(">u2").view(np.uint8).reshape(planes, -1)
+
+
+def seq_shown(media: DataFrame) -> DataFrame:
+    """What ``seq_screens`` tells of the cels of files, a row a cel: the touched ``places`` (y * columns + column) and 16 ``pixels`` for each. A cel that touches none has no row.
+
+    A file is folded in its task, with one screen of it in memory.
+    """
+    return map_files(media, lambda data: with_pixels(shown_of(data)), SHOWN)
 
 
 def seq_palettes(cels: DataFrame) -> DataFrame:

@@ -551,10 +551,8 @@ q AS (SELECT path, k, count(*) AS places, sum({" + ".join(f"(((p0 >> {15 - i}) &
 SELECT path, CAST(k AS INTEGER) AS frame_index, CAST(places AS BIGINT) AS places, CAST(weighted AS BIGINT) AS weighted FROM q""")
 def seq_cels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as cels of SEQ files, run-length coded, moving, and XOR with the screen: the touched pixels of each frame, weighted by place."""
-    cels = seq.seq_cels(derived.seq_cel_files(_table(spark, sf_dir, "documents")))
-    weighted = sum((F.col("pixels")[i] * (F.col("y") * 320 + F.col("column") * 16 + i + 1) for i in range(16)), F.lit(0).cast("bigint"))
-    rows = seq.seq_screens(seq.seq_words(cels)).groupBy("path", "segment", "frame_index").agg(F.count("*").alias("places"), F.sum(weighted).alias("weighted"))
-    return rows.select("path", "frame_index", "places", "weighted")
+    shown = seq.seq_shown(derived.seq_cel_files(_table(spark, sf_dir, "documents")))
+    return shown.select("path", "frame_index", F.size("places").cast("bigint").alias("places"), binary.placed("places", "pixels", 16).alias("weighted"))
 
 
 @query(f"""{_EVERY.format(padded=_padded_sql())}, c AS (SELECT path, k, list_transform(regexp_extract_all(substr(x, CAST(k * 512 + 1 AS INTEGER), 64), '.{{{{4}}}}'), lambda w: ('0x' || w)::BIGINT) AS ws FROM f)

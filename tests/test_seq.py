@@ -4,6 +4,7 @@ import random
 import struct
 
 from framelake.operators import seq
+from framelake.plans import queries
 
 
 def runs(rng, words):
@@ -98,3 +99,17 @@ def test_broken_cels_and_palettes(spark):
     colours = seq.seq_palettes(cels.where("path = 'plain'")).first().palette
     assert [tuple(c) for c in colours[:5]] == [(255, 255, 255), (0, 255, 0), (0, 0, 255), (255, 0, 0), (0, 0, 0)]
     assert [list(r.pixels) for r in seq.seq_screens(seq.seq_words(cels.where("path = 'plain' AND frame_index = 0"))).collect()] == [[3, 3, 3, 3, 0, 0, 0, 0] * 2]
+
+
+def test_cels_are_shown_as_their_places_are(spark, sf_dir):
+    rng = random.Random(9)
+    made = [(f"f{r}{k}", some_file(rng, r, 12)[0]) for r in seq.SCREENS for k in range(3)]
+    files = spark.createDataFrame([*made, ("cut", made[0][1][:-3]), ("empty", b""), ("none", None)], "path string, content binary").repartition(3)
+    want, got = {}, {}
+    for r in seq.seq_screens(seq.seq_words(seq.seq_cels(files).where("error IS NULL"))).collect():
+        want.setdefault((r.path, r.frame_index, r.segment), {})[r.y, r.column] = bytes(r.pixels)
+    for r in seq.seq_shown(files).collect():
+        got[r.path, r.frame_index, r.segment] = {divmod(p, r.columns): bytes(r.pixels[16 * k : 16 * k + 16]) for k, p in enumerate(r.places)}
+    assert got == want and len(got) > 60
+    plan = queries.queries()["seq_cels"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan  # a row for 16 pixels was shuffled
