@@ -1,13 +1,15 @@
-"""Frames, sound and headers of the IFF formats, ANIM and YAFA, as windows and groups over their chunks' rows.
+"""Frames, sound and headers of the IFF formats, ANIM and YAFA, as groups over their chunks' rows.
 
-A walker gives the chunks of a file in order, with the payloads of the kinds asked for; what belongs together is then
-found by windows over these rows. Pictures are never asked for, so what is shuffled is heads and sound.
+A walker gives the chunks of a file in order, with their form and frame and the payloads of the kinds asked for; what
+belongs together is then found by groups over these rows. Pictures are never asked for, so what is shuffled is heads. A
+frame's sound is put together where its file lies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,34 +18,44 @@ from framelake.functions.timing import SECOND, anim_period, div, yafa_period
 from framelake.operators.chunks import IFF_CHUNKS, iff_chunks_of, map_files
 
 
-def _rows_to(last: int):
-    """A file's chunks from the first one to this one and ``last`` more."""
-    return Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, last)
-
-
 def iff_rows(media: DataFrame, *ids: str) -> DataFrame:
     """The chunks of files with ``form``, the type of the FORM that a chunk lies in, and the ``payload`` of those of some ids."""
     wanted = frozenset(ids)
 
     def walker(data: bytes) -> Iterator[tuple]:
+        form = None
         for seq, kind, at, size, head in iff_chunks_of(data):
-            yield seq, kind, at, size, head, data[at : at + size] if kind in wanted else None
+            form = head[:4].decode("latin-1") if kind == "FORM" else form
+            yield seq, kind, at, size, head, data[at : at + size] if kind in wanted else None, form
 
-    rows = map_files(media, walker, f"{IFF_CHUNKS}, payload binary")
-    form = F.when(F.col("id") == "FORM", F.decode(F.substring("head", 1, 4), "iso-8859-1"))
-    return rows.withColumn("form", F.last(form, ignorenulls=True).over(_rows_to(0)))
+    return map_files(media, walker, f"{IFF_CHUNKS}, payload binary, form string")
 
 
-def anim_rows(media: DataFrame, *ids: str) -> DataFrame:
-    """The chunks within the pictures of ANIM files, with their ``frame_index``.
+def anim_chunks_of(data: bytes) -> Iterator[tuple]:
+    """The chunks within the pictures of an ANIM file, with their frame last.
 
     A frame begins at a BMHD or ANHD once the one before has a picture or sound.
     """
-    rows = iff_rows(media, *ids).where((F.col("form") == "ILBM") & (F.col("id") != "FORM"))
-    filled = F.coalesce(F.sum(F.col("id").isin("BODY", "DLTA", "SBDY").cast("int")).over(_rows_to(-1)), F.lit(0))
-    rows = rows.withColumn("begun", F.when(F.col("id").isin("BMHD", "ANHD"), filled))
-    rows = rows.withColumn("part", F.coalesce(F.last("begun", ignorenulls=True).over(_rows_to(0)), F.lit(0)))
-    return rows.withColumn("frame_index", F.dense_rank().over(Window.partitionBy("path").orderBy("part")) - 1).drop("begun", "part")
+    form, frame, filled = b"", 0, False
+    for seq, kind, at, size, head in iff_chunks_of(data):
+        if kind == "FORM":
+            form = head[:4]
+        elif form == b"ILBM":
+            if kind in ("BMHD", "ANHD") and filled:
+                frame, filled = frame + 1, False
+            filled = filled or kind in ("BODY", "DLTA", "SBDY")
+            yield seq, kind, at, size, head, frame
+
+
+def anim_rows(media: DataFrame, *ids: str) -> DataFrame:
+    """The chunks within the pictures of ANIM files, with their ``frame_index``, and the ``payload`` of those of some ids."""
+    wanted = frozenset(ids)
+
+    def walker(data: bytes) -> Iterator[tuple]:
+        for seq, kind, at, size, head, frame in anim_chunks_of(data):
+            yield seq, kind, at, size, head, data[at : at + size] if kind in wanted else None, frame
+
+    return map_files(media, walker, f"{IFF_CHUNKS}, payload binary, frame_index int")
 
 
 def _first(value: Column | str, *ids: str) -> Column:
@@ -104,26 +116,29 @@ def sound_bank(media: DataFrame) -> DataFrame:
     return map_files(media, walker, "path string, slot int, sound_bytes binary")
 
 
+def pcm_of(data: bytes) -> Iterator[tuple]:
+    """(frame, rate, channels, sound) of an ANIM file, by the last SXHD in it."""
+    sounds, sxhd = {}, None
+    for _, kind, at, size, head, frame in anim_chunks_of(data):
+        if kind == "SBDY":
+            sounds.setdefault(frame, []).append((at, size))
+        elif kind == "SXHD" and size >= 20:
+            sxhd = head
+    if sxhd is None or sxhd[0] != 8 or any(sxhd[10:14]) or sxhd[15] not in (1, 2) or not any(sxhd[16:20]):
+        return
+    rate, channels = int.from_bytes(sxhd[16:20], "big"), sxhd[15]
+    for frame, parts in sounds.items():
+        pcm = b"".join(data[at : at + size] for at, size in parts)
+        half = len(pcm) // 2  # bytes of a channel
+        yield frame, rate, channels, pcm if channels == 1 else np.frombuffer(pcm, np.uint8, 2 * half).reshape(2, half).T.tobytes()
+
+
 def anim_pcm(media: DataFrame) -> DataFrame:
     """The sound of a frame (``rate``, ``channels``, ``pcm``): its SBDY chunks in order, and of stereo ones both halves interleaved.
 
-    Only uncompressed 8-bit sound of one or two channels at a known rate is given.
+    Only uncompressed 8-bit sound of one or two channels at a known rate is given. Nothing is shuffled.
     """
-    rows = anim_rows(media, "SBDY", "SXHD").where(F.col("id").isin("SBDY", "SXHD"))
-    last = F.last(F.when((F.col("id") == "SXHD") & (F.col("payload_size") >= 20), F.col("payload")), ignorenulls=True).over(_rows_to(Window.unboundedFollowing))
-    x = F.col("sxhd")
-    rows = rows.withColumn("sxhd", last).where((F.col("id") == "SBDY") & (u8(x, 0) == 8) & (u32be(x, 10) == 0) & u8(x, 15).isin(1, 2) & (u32be(x, 16) > 0))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("payload").alias("digits")))), lambda c: c["digits"]), "")
-    frames = rows.groupBy("path", "frame_index").agg(F.first(u32be(x, 16)).alias("rate"), F.first(u8(x, 15)).alias("channels"), whole.alias("digits"))
-    byte = lambda data, at: F.hex(F.substring(data, at + 1, F.lit(1)))
-
-    def stereo(data: Column) -> Column:
-        half = div(F.length(data), F.lit(2)).cast("int")  # bytes of a channel
-        pairs = once(half, lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(byte(data, i), byte(data, n + i))))
-        return F.unhex(F.when(half > 0, F.array_join(pairs, "")).otherwise(""))
-
-    pcm = once(F.unhex("digits"), lambda data: F.when(F.col("channels") == 1, data).otherwise(stereo(data)))
-    return frames.select("path", "frame_index", "rate", "channels", pcm.alias("pcm"))
+    return map_files(media, pcm_of, "path string, frame_index int, rate bigint, channels bigint, pcm binary")
 
 
 def yafa_index(media: DataFrame) -> DataFrame:

@@ -85,3 +85,8 @@ def test_indexes_come_in_bounded_batches():
 def test_orders_become_bink_files_once(spark, sf_dir):
     plan = queries.queries()["bink_index"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lineitem.parquet") + plan.count("Relation [") <= 1 and "Join" not in plan
+
+
+def test_sound_of_frames_is_not_shuffled(spark, sf_dir):
+    plan = queries.queries()["anim_pcm"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan  # a task sorted the chunks of all files of a partition
