@@ -18,6 +18,39 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+class Head:
+    """The first ``size`` bytes of files in a column, of which numbers at fixed places are read all at once by numpy, into the column ``numbers``.
+
+    ``uint`` and what is made of it takes one in the place of a column, and tells it which places are wanted.
+    """
+
+    def __init__(self, column: str, numbers: str, size: int) -> None:
+        self.bytes, self.numbers, self.size, self.places = F.col(column), numbers, size, {}
+
+    def number(self, at: int, size: int, little: bool) -> Column:
+        if at + size > self.size:
+            raise ValueError("beyond the head")
+        return F.get(F.col(self.numbers), F.lit(self.places.setdefault((at, size, little), len(self.places))))
+
+    def read(self) -> Column:
+        """The numbers, of the places wanted by now."""
+        places, most = list(self.places), self.size
+
+        @F.arrow_udf("array<bigint>")
+        def numbers(column: pa.Array) -> pa.Array:
+            parts = [(x or b"")[:most] for x in column.to_pylist()]
+            lengths = np.array([len(x) for x in parts], np.int64)
+            rows = np.frombuffer(b"".join(x.ljust(most, b"\0") for x in parts), np.uint8).reshape(-1, most)
+            found = np.zeros((len(rows), len(places)), np.int64)
+            for k, (at, size, little) in enumerate(places):
+                for i in range(size):
+                    found[:, k] |= rows[:, at + i].astype(np.int64) << 8 * (i if little else size - 1 - i)
+                found[lengths < at + size, k] = 0
+            return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(places), found.ravel())
+
+        return numbers(self.bytes)
+
+
 def _at(x: int | Column) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
@@ -27,8 +60,10 @@ def swapped(digits: Column, size: int) -> Column:
     return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])
 
 
-def uint(data: Column, at: int | Column, size: int, little: bool = True) -> Column:
+def uint(data: Column | Head, at: int | Column, size: int, little: bool = True) -> Column:
     """The ``size``-byte unsigned integer at byte offset ``at``, as BIGINT (size up to 7)."""
+    if isinstance(data, Head):
+        return data.number(at, size, little)
     part = F.substring(data, _at(at).cast("int") + 1, F.lit(size))
     digits = F.hex(part)
     value = F.conv(swapped(digits, size) if little and size > 1 else digits, 16, 10).cast("bigint")
@@ -143,6 +178,6 @@ def hex_uint(value: Column, size: int, little: bool = True) -> Column:
     return swapped(digits, size) if little else digits
 
 
-def text_prefix(data: Column, at: int, size: int) -> Column:
+def text_prefix(data: Column | Head, at: int, size: int) -> Column:
     """``size`` bytes as hexadecimal digits, for comparing magic numbers."""
-    return F.hex(F.substring(data, at + 1, size))
+    return F.hex(F.substring(data.bytes if isinstance(data, Head) else data, at + 1, size))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.functions.binary import once
 from framelake.functions.timing import anim_period, yafa_period
 from framelake.operators.chunks import iff_chunks_of
-from framelake.sources.media import MAX_SIDE, containers, tracks_of
+from framelake.sources.media import MAX_SIDE, containers, with_tracks
 
 IFF = "width int, height int, frames int, planes int, ham boolean, reltime bigint, speed int, rate int, channels int, bits int, error string"
 
@@ -62,11 +61,12 @@ def _iff_head(data: bytes) -> tuple | None:
 def probe(media: DataFrame, max_width: int = MAX_SIDE, max_height: int = MAX_SIDE) -> DataFrame:
     """``containers`` with the headers of ANIM and YAFA files and the sound tracks of all: their number, and the first one's rate, channels and bits.
 
-    No shuffle; only the contents of ANIM and YAFA files reach Python.
+    No shuffle; only the contents of ANIM and YAFA files, and the first bytes of the others, reach Python.
     """
-    rows = containers(media, max_width=max_width, max_height=max_height, keep=("path", "content"))
+    rows = with_tracks(media.select("path", "content"), "_sound")
+    rows = containers(rows, max_width=max_width, max_height=max_height, keep=("path", "content", "_sound"))
     iff = F.col("codec").isin("amiga_anim", "yafa")
-    rows = rows.withColumns({"_tracks": once(F.col("content"), tracks_of)["tracks"], "_iff": F.udf(_iff_head, IFF, useArrow=True)(F.when(iff, F.col("content")))}).drop("content")
+    rows = rows.withColumns({"_tracks": F.col("_sound.tracks"), "_iff": F.udf(_iff_head, IFF, useArrow=True)(F.when(iff, F.col("content")))}).drop("content", "_sound")
     h = lambda c: F.col(f"_iff.{c}")
     period = F.when(F.col("codec") == "yafa", yafa_period(h("speed"))).otherwise(anim_period(h("reltime")))
     large = (h("width") > max_width) | (h("height") > max_height)

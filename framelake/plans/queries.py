@@ -637,7 +637,7 @@ def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of all eight formats: every document in six of them, every order in the other two."""
     docs, lines = (_table(spark, sf_dir, n) for n in ("documents", "lineitem"))
     files = [build(docs) for build in (derived.flc_files, derived.cdxl_files, derived.dpan_files, derived.seq_files, derived.anim_files, derived.yafa_files)]
-    files += [derived.index_files(lines, codec, tracks=True) for codec in ("smk", "bink")]
+    files.append(derived.index_files(lines, "smk", "bink", tracks=True))
     whole = files[0]
     for more in files[1:]:
         whole = whole.union(more)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import timing as t
-from framelake.functions.binary import once, s32, text_prefix, u8, u16be, u16le, u32be, u32le
+from framelake.functions.binary import Head, once, s32, text_prefix, u8, u16be, u16le, u32be, u32le
 
 #: Formats in the order in which they are tried, with their usual file extensions.
 CODECS = {
@@ -14,6 +14,8 @@ CODECS = {
     "yafa": ("yafa",), "dpan": ("anm", "gam"), "bink": ("bik", "bk"),
 }
 MAX_SIDE = 16384
+#: What is cut from a file for its header fields, and for a table of 256 sound tracks. Spark copies a binary column whole at every use.
+HEAD, TRACKS_HEAD = 128, 48 + 256 * 12
 
 
 def read_media(spark: SparkSession, path: str, codecs: list[str] | None = None) -> DataFrame:
@@ -31,7 +33,7 @@ def _ascii(data: Column, at: int, text: str) -> Column:
 
 def cdxl_chunk(data: Column, at: int | Column = 0) -> Column:
     """The fields of a CDXL chunk header."""
-    base = at if isinstance(at, Column) else F.lit(at)
+    base = at
     info = u8(data, base + 1)
     return F.struct(
         u8(data, base).alias("type"), info.bitwiseAND(F.lit(3).cast("bigint")).alias("encoding"), info.bitwiseAND(F.lit(0xE0).cast("bigint")).alias("orientation"),
@@ -59,7 +61,7 @@ def sniffs(data: Column, length: Column) -> dict[str, Column]:
         "cdxl": _is_cdxl(data, length),
         "yafa": _ascii(data, 0, "FORM") & _ascii(data, 8, "YAFA"),
         "dpan": _ascii(data, 0, "LPF ") & _ascii(data, 16, "ANIM") & (u16le(data, 20) > 0) & (u16le(data, 22) > 0),
-        "bink": _ascii(data, 0, "BIK") & F.substring(data, 4, F.lit(1)).cast("string").isin(*"bfghik"),
+        "bink": _ascii(data, 0, "BIK") & text_prefix(data, 3, 1).isin(*(x.encode().hex().upper() for x in "bfghik")),
     }
 
 
@@ -71,14 +73,17 @@ def codec_of(data: Column, length: Column, codecs: list[str] | None = None) -> C
     return found
 
 
-def _fields(data: Column) -> dict[str, dict[str, Column | int | str]]:
+def _seq_resolution(data: Column) -> Column:
+    """Of an Atari SEQ file's first cel, which lies behind the table of all."""
+    return F.when(sniffs(data, F.length(data))["atari_seq"], u16be(data, 128 + 4 * u32be(data, 4) + 2))
+
+
+def _fields(data: Column, length: Column, resolution: Column) -> dict[str, dict[str, Column | int | str]]:
     """Header fields by format; those of ANIM and YAFA are IFF chunks: operators.iff and operators.chunks."""
     one = lambda x: F.lit(x).cast("bigint")
-    seq_cel = 128 + 4 * u32be(data, 4)
-    resolution = u16be(data, seq_cel + 2)
     by_resolution = lambda a, b, c: F.when(resolution == 0, one(a)).when(resolution == 1, one(b)).when(resolution == 2, one(c))
     c = cdxl_chunk(data)
-    cdxl_frames = t.div(F.length(data), c["size"])
+    cdxl_frames = t.div(length, c["size"])
     channels = F.when(c["stereo"], one(2)).otherwise(one(1))
     heard = lambda x: F.when(c["audio_bytes"] > 0, x).otherwise(one(0))
     drop_last = F.when(u8(data, 26) > 0, F.greatest(u32le(data, 8), one(1)) - 1).otherwise(u32le(data, 8))
@@ -118,10 +123,12 @@ def _error(data: Column, length: Column, codec: Column) -> Column:
 def containers(media: DataFrame, codecs: list[str] | None = None, max_width: int = MAX_SIDE, max_height: int = MAX_SIDE, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """A row a file: format, size, frames, pixel format, duration, audio, or the error that stands against it.
 
-    ``media`` has ``path`` and ``content``. Files are parsed where they lie: no shuffle, no Python.
+    ``media`` has ``path`` and ``content``. Files are parsed where they lie: no shuffle, and but their first bytes reach Python.
     """
-    rows = media.withColumn("codec", codec_of(F.col("content"), F.length("content").cast("bigint"), codecs))
-    data, fields = F.col("content"), _fields(F.col("content"))
+    data, length = Head("_head", "_numbers", HEAD), F.col("_length")
+    rows = media.select(*keep, F.substring("content", 1, HEAD).alias("_head"), F.length("content").cast("bigint").alias("_length"), _seq_resolution(F.col("content")).alias("_resolution"))
+    codec, fields, error = codec_of(data, length, codecs), _fields(data, length, F.col("_resolution")), _error(data, length, F.col("codec"))
+    rows = rows.withColumn("_numbers", data.read()).withColumn("codec", codec)
     kinds = {"width": "int", "height": "int", "frame_count": "int", "format": "string", "period": "bigint", "audio_rate": "int", "audio_channels": "int", "audio_bits": "int"}
     out = {}
     for field, kind in kinds.items():
@@ -131,7 +138,7 @@ def containers(media: DataFrame, codecs: list[str] | None = None, max_width: int
                 x = own[field] if isinstance(own[field], Column) else F.lit(own[field])
                 value = F.when(F.col("codec") == name, x.cast(kind)).otherwise(value)
         out[field] = value
-    rows = rows.select(*keep, "codec", *[v.alias(k) for k, v in out.items()], _error(data, F.length("content").cast("bigint"), F.col("codec")).alias("error"))
+    rows = rows.select(*keep, "codec", *[v.alias(k) for k, v in out.items()], error.alias("error"))
     large = (F.col("width") > max_width) | (F.col("height") > max_height)
     error = F.coalesce("error", F.when(large, F.lit("larger than allowed")), F.when((F.col("width") == 0) | (F.col("height") == 0), F.lit("zero dimensions")))
     return rows.select(
@@ -139,27 +146,38 @@ def containers(media: DataFrame, codecs: list[str] | None = None, max_width: int
         F.when(F.col("audio_rate") > 0, 1).otherwise(0).alias("audio_track_count"), "audio_rate", "audio_channels", "audio_bits", error.alias("error"))
 
 
-def tracks_of(data: Column) -> Column:
-    """``codec`` and the sound ``tracks`` of a Smacker or Bink header; null ``tracks`` for others."""
+def with_tracks(rows: DataFrame, name: str, content: str = "content") -> DataFrame:
+    """``rows`` with a struct of ``codec`` and the sound ``tracks`` of Smacker and Bink headers; null ``tracks`` for others."""
+    head = Head("_tracks_head", "_tracks_numbers", HEAD)
+    tracks = _tracks_of(head, F.col("_tracks_head"))
+    rows = rows.withColumn("_tracks_head", F.substring(content, 1, TRACKS_HEAD)).withColumn("_tracks_numbers", head.read())
+    return rows.withColumn(name, tracks).drop("_tracks_head", "_tracks_numbers")
+
+
+def _tracks_of(data: Head, content: Column) -> Column:
     one = lambda x: F.lit(x).cast("bigint")
     flag = lambda flags, bit: flags.bitwiseAND(one(1 << bit)) != 0
 
     def entry(i, rate, stereo, wide, packed, track_id, most):
-        return F.struct(i.cast("int").alias("track"), rate.alias("rate"), F.when(stereo, 2).otherwise(1).alias("channels"), F.when(wide, 16).otherwise(8).alias("bits"), packed.alias("packed"), track_id.alias("track_id"), most.alias("max_bytes"))
+        return F.struct((i if isinstance(i, Column) else F.lit(i)).cast("int").alias("track"), rate.alias("rate"), F.when(stereo, 2).otherwise(1).alias("channels"), F.when(wide, 16).otherwise(8).alias("bits"), packed.alias("packed"), track_id.alias("track_id"), most.alias("max_bytes"))
 
     def smk(i):
         flags = u8(data, 75 + i * 4)
         return F.when(flag(flags, 6), entry(i, u32le(data, 72 + i * 4).bitwiseAND(one(0xFFFFFF)), flag(flags, 4), flag(flags, 5), flag(flags, 7), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
 
-    def bink(n, at, i):
-        flags = u16le(data, at + n * 4 + i * 4 + 2)
-        return entry(i, u16le(data, at + n * 4 + i * 4), flag(flags, 13), flag(flags, 14), F.lit(True), u32le(data, at + n * 8 + i * 4), u32le(data, at + i * 4))
+    def bink(table, i):
+        n = F.call_function("div", F.length(table), F.lit(12))
+        flags = u16le(table, n * 4 + i * 4 + 2)
+        return entry(i, u16le(table, n * 4 + i * 4), flag(flags, 13), flag(flags, 14), F.lit(True), u32le(table, n * 8 + i * 4), u32le(table, i * 4))
 
-    n, at = u32le(data, 40), 44 + F.when(F.substring(data, 4, F.lit(1)).cast("string") == "k", 4).otherwise(0)
-    numbers = F.when((n > 0) & (n <= 256) & (F.length(data) >= at + n * 12), F.sequence(one(0), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    codec = codec_of(data, F.length(data).cast("bigint"), ["smk", "bink"])
-    tracks = F.when(codec == "smk", F.transform(F.sequence(one(0), one(6)), smk)).when(codec == "bink", F.transform(numbers, lambda i: bink(n, at, i)))
-    return F.struct(codec.alias("codec"), F.array_compact(tracks).alias("tracks"))
+    n, at = u32le(data, 40), 44 + F.when(text_prefix(data, 3, 1) == "6B", 4).otherwise(0)
+    # only the table is read by interpreted lambdas
+    table = F.substring(content, at + 1, (n * 12).cast("int"))
+    listed = once(table, lambda x: F.transform(F.sequence(one(0), F.call_function("div", F.length(x), F.lit(12)) - 1), lambda i: bink(x, i)))
+    length = F.length(content).cast("bigint")
+    codec = codec_of(data, length, ["smk", "bink"])
+    tracks = F.when(codec == "smk", F.array(*[smk(i) for i in range(7)])).when((codec == "bink") & (n > 0) & (n <= 256) & (length >= at + n * 12), listed)
+    return F.struct(codec.alias("codec"), F.array_compact(F.coalesce(tracks, F.when(codec == "bink", F.slice(F.array(smk(0)), 1, 0)))).alias("tracks"))
 
 
 def audio_tracks(media: DataFrame) -> DataFrame:
@@ -167,7 +185,7 @@ def audio_tracks(media: DataFrame) -> DataFrame:
 
     Smacker has seven places for tracks, of which those present are given; Bink has a table of up to 256.
     """
-    found = media.select("path", F.explode_outer(F.array(once(F.col("content"), tracks_of))).alias("x"))
+    found = with_tracks(media.select("path", "content"), "x")
     return found.select("path", F.col("x.codec").alias("codec"), F.explode("x.tracks").alias("t")).select("path", "codec", "t.*")
 
 
