@@ -461,7 +461,7 @@ UNION ALL SELECT 'order/' || l_orderkey, 'bink', CAST(t AS INTEGER), 11025 * (t
 def audio_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sound tracks of Smacker and Bink files; every order has a file of either kind."""
     lines = _table(spark, sf_dir, "lineitem")
-    return media.audio_tracks(derived.index_files(lines, "smk", tracks=True).union(derived.index_files(lines, "bink", tracks=True)))
+    return media.audio_tracks(derived.index_files(lines, "smk", "bink", tracks=True))
 
 
 @query("""

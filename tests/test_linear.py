@@ -90,3 +90,9 @@ def test_orders_become_bink_files_once(spark, sf_dir):
 def test_sound_of_frames_is_not_shuffled(spark, sf_dir):
     plan = queries.queries()["anim_pcm"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan  # a task sorted the chunks of all files of a partition
+
+
+def test_orders_become_files_of_both_formats_by_one_shuffle(spark, sf_dir):
+    for name in ("audio_tracks", "probe_files"):
+        plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Window" not in plan, name  # two, each behind a window and a group
