@@ -96,3 +96,16 @@ def test_orders_become_files_of_both_formats_by_one_shuffle(spark, sf_dir):
     for name in ("audio_tracks", "probe_files"):
         plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Window" not in plan, name  # two, each behind a window and a group
+
+
+def test_numbers_of_heads_are_read_at_once(spark, sf_dir):
+    rows = spark.range(60).select(F.when(F.col("id") > 0, F.expr("substring(unhex(sha2(cast(id AS string), 512)), 1, cast(id - 1 AS int))")).alias("d")).repartition(3)
+    places = [(0, 1, True), (3, 2, True), (3, 2, False), (10, 4, True), (16, 4, False), (31, 3, True)]
+    head = binary.Head("d", "numbers", 40)
+    got = [binary.uint(head, *x) for x in places]
+    want = [F.coalesce(binary.uint(F.col("d"), *x), F.lit(0)) for x in places]
+    assert rows.withColumn("numbers", head.read()).where(F.array(*got) != F.array(*want)).count() == 0
+    with pytest.raises(ValueError, match="beyond the head"):
+        head.number(38, 4, True)
+    plan = queries.queries()["files_by_codec"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("conv(") < 20  # 91 before, for the headers alone
