@@ -5,10 +5,10 @@ pattern length, a shift table over blocks of two words tells how far a scan may
 moves it on, past all positions where no pattern can end. Where the shift is zero, the patterns that end in that
 block are looked up by their suffix and compared word for word. Documents are scanned whole, in place: no shuffle.
 
-The benchmark is a stated query set. It reaches the tasks in blocks of ``BLOCK_BYTES`` of text, each its own pass over the
-rows; an item longer than a block is cut into parts that overlap by a window less a word, so that no window is lost. In
-the tables words are numbers and patterns lie in one run of bytes. No more than ``BLOCKS_AT_ONCE`` blocks share a stage;
-then the rows are written with what was found, and the next ones read them. Above ``MAX_BYTES`` the operator refuses, as
+The benchmark is a stated query set. It reaches the tasks in blocks of ``BLOCK_BYTES`` of text, each with tables of its
+own; an item longer than a block is cut into parts that overlap by a window less a word, so that no window is lost. In
+the tables words are numbers and patterns lie in one run of bytes. ``BLOCKS_AT_ONCE`` blocks at most share a pass over the
+rows, and a Python process; then the rows are written with what was found, and the next ones read them. Above ``MAX_BYTES`` the operator refuses, as
 there would be too many passes.
 
 Defined results: null or wordless texts have no words and no hits; a null or wordless item has no windows; an item with
@@ -117,32 +117,33 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _scanner(patterns: Patterns, text_at: int):
-    """Appends what one block of the benchmark hits to the last two columns, spans and items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_at):
-            spans, items = [], []
-            before = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
-            for text, (s, i) in zip(batch.column(text_at).to_pylist(), before, strict=True):
-                hits, names = patterns.search(benchmark_words(text))
-                spans.append(s + [x for span in hits for x in span])
-                items.append(i + sorted(names))
-            columns = [*batch.columns[:-2], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return run
+def _scanner(tables: list[Patterns], text_at: int, into: str | None = None):
+    """Appends what the blocks of ``tables`` hit to the last two columns, spans and items; or puts the report ``into`` their place.
 
+    All that a task does is one function, as each further one in a row would be a Python process of its own.
+    """
 
-def _summary(text_at: int, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_at):
             found: list[tuple] = []
             columns = (batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))
-            for text, s, i in zip(*(c.to_pylist() for c in columns), strict=True):
-                hit, names = covered(list(zip(s[::2], s[1::2], strict=True))), sorted(set(i))
-                found.append((len(benchmark_words(text)), hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, s, names))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string())]
+            for text, spans, items in zip(*(c.to_pylist() for c in columns), strict=True):
+                words = benchmark_words(text)
+                for patterns in tables:
+                    hits, names = patterns.search(words)
+                    spans += [x for span in hits for x in span]
+                    items += sorted(names)
+                if into is not None:
+                    hit, items = covered(list(zip(spans[::2], spans[1::2], strict=True))), sorted(set(items))
+                    found.append((len(words), hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, spans, items))
+                else:
+                    found.append((spans, items))
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.string())]
+            if into is None:
+                last = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *last], batch.schema.names)
+                continue
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *kinds]
             report = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
             struct = pa.StructArray.from_arrays(report, names=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], struct], [*batch.schema.names[:-2], into])
@@ -179,13 +180,13 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     docs = docs.drop(into)
     name, at = fresh(docs.columns, "_wm"), docs.columns.index(text)
     found = docs.withColumns({f"{name}1": F.array().cast("array<int>"), f"{name}2": F.array().cast("array<string>")})
-    schema = found.schema
-    for k, block in enumerate(benchmark_blocks(benchmark, window=window)):
-        if k and k % BLOCKS_AT_ONCE == 0:
-            found = materialize(found)
-        found = found.mapInArrow(_scanner(Patterns(block, window), at), schema)
+    tables: list[Patterns] = []
+    for block in benchmark_blocks(benchmark, window=window):
+        if len(tables) == BLOCKS_AT_ONCE:
+            found, tables = materialize(found.mapInArrow(_scanner(tables, at), found.schema)), []
+        tables.append(Patterns(block, window))
     report = "struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, contaminated: boolean, spans: array<int>, items: array<string>>"
-    return found.mapInArrow(_summary(at, into), docs.withColumn(into, F.lit(None).cast(report)).schema)
+    return found.mapInArrow(_scanner(tables, at, into), docs.withColumn(into, F.lit(None).cast(report)).schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:

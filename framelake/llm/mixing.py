@@ -16,6 +16,7 @@ rows; the result depends on the rows and ``seed`` alone, not on partitions.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +63,10 @@ def systematic_sample(docs: DataFrame, id: str = "doc_id", text: str = "text", s
         raise ValueError(f"over {MAX_SOURCES} sources")
     sizes = {r["source"]: r["words"] for r in rows}
     goal = targets(sizes, weights, share)
-    wanted = spark.createDataFrame([(s, sizes[s], goal[s], goal[s] / sizes[s] if sizes[s] else 0.0) for s in sizes], "source string, source_size bigint, target double, rate double")
+    rows = [(s, sizes[s], goal[s], goal[s] / sizes[s] if sizes[s] else 0.0) for s in sizes]
+    kinds = {"source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "rate": pa.float64()}
+    # as Arrow: rows of Python objects would be turned into Spark's by further Python processes on the executors
+    wanted = spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())}))
     runs = runs.alias("r").join(wanted.alias("w"), F.col("r.source").eqNullSafe(F.col("w.source"))).select("r.source", "part", "first", "before", "source_size", "target", "rate")
     rank = F.col("before") + F.col("at") - F.col("first")
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("p.source", F.lit("")))), 1, 13)

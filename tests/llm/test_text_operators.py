@@ -280,3 +280,24 @@ def test_many_items_of_one_suffix_are_found_fast():
     spans, names = many.search(text)
     assert time.perf_counter() - began < 0.2
     assert spans == [(10_000, 10_010), (10_010, 10_020)] and names == {"i5", "i29999", *(f"copy{k}" for k in range(3000))}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_a_task_of_the_search_takes_one_python_process(spark, sf_dir, prose, monkeypatch, block):
+    """Each function in a row has a process of its own, which stays, and then serves other stages and keeps what these load."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    bench = spark.createDataFrame([(1, " ".join(prose(77, 30))), (2, " ".join(prose(78, 12)))], "item_id bigint, text string")
+    assert (len(list(decontaminate.benchmark_blocks(bench))) > 1) == (block == 100)
+    assert plan_of(decontaminate.drop_contaminated(docs, bench)).count("MapInArrow") == 1
+
+
+def test_mixing_takes_no_python_process(spark, sf_dir):
+    """Rows of Python objects would be turned into Spark's by Python processes of a kind of their own on the executors."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = plan_of(mixing.systematic_sample(docs))
+    assert "ExistingRDD" not in plan and "Python" not in plan
